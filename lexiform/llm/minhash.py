@@ -11,7 +11,10 @@ bucket's smallest class only (a star), so candidates grow with the bucket's size
 square; every candidate is confirmed on the two full sets. A star misses links between two members
 that both differ from its centre. Rounds with new centres therefore follow in every bucket whose
 members still lie in several components, until each bucket has compared all it must. No bucket or
-candidate list has a cap.
+candidate list has a cap. Before such a round an exact bound thins these buckets: a link across components
+needs three quarters of a document's shingles to occur in other components, so documents with fewer
+leave, again and again until none does. This is what keeps a family of thousands of copies with
+a rim of slightly too different ones from comparing the rim with the family.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from .textops import grams, mix, words
 
 BINS, ROWS = 128, 4
 #: New centres of a bucket in each later round.
-CENTRES = 8
+CENTRES = 32
 #: Documents compared with one copy of a centre's text.
 CHUNK = 64
 
@@ -121,6 +124,58 @@ def _confirmer(size: int, percent: int):
     return confirm
 
 
+def _lister(size: int):
+    """(id, comp, n, text) to a row for each shingle."""
+    schema = pa.schema([("id", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("s", pa.int64())])
+
+    def spread(batches):
+        for b in batches:
+            ids, comp, n = (b.column(i).to_numpy() for i in range(3))
+            raw, offs = buffers(b.column(3))
+            sets = list(shingle_sets(raw, offs, size))
+            lens = [len(s) for s in sets]
+            if sum(lens):
+                yield batch(schema, [*(np.repeat(x, lens) for x in (ids, comp, n)), np.concatenate(sets).view(np.int64)])
+
+    return spread
+
+
+def _thin(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``left`` (key, id, n, comp) without rows that can have no link to another component of their bucket.
+
+    Two sets of m and n shingles are linked only if both share percent / (100 + percent) of m + n.
+    Hence a row leaves when too few of its shingles occur in other components at all (``shared``), even
+    for its bucket's smallest set. And the bucket's largest component (``big``) leaves when no other
+    member has enough of its shingles in it (``inbig``). What leaves lowers the others' counts.
+    """
+    docs = left.groupBy("id", "comp").agg(F.min("n").alias("n"))
+    spread = docs.join(texts, "id").select("id", "comp", "n", "text").mapInArrow(_lister(size), "id long, comp long, n long, s long")
+    rows, had = materialise(spread.select("id", "comp", "s").distinct(), "shingles"), 0
+
+    def enough(shared: str, other: str):
+        return F.expr(f"{100 + percent} * {shared} >= {percent} * (n + greatest({other}, ceil(n * {percent} / 100)))")
+
+    while True:
+        across = rows.groupBy("s").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("s")
+        counts = rows.join(across, "s", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+        least = left.groupBy("key").agg(F.min("n").alias("least"))
+        left = left.select("key", "id", "n", "comp").join(counts, "id").join(least, "key").filter(enough("shared", "least")).drop("least")
+        left = materialise(_open(left), "open")
+        big = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
+        big = big.groupBy("key").agg(F.max_by(F.struct("comp", "least"), F.struct("m", "comp")).alias("b")).select("key", F.col("b.comp").alias("big"), F.col("b.least").alias("least"))
+        inside = rows.join(big.select(F.col("big").alias("comp")).distinct(), "comp").select("s", F.col("comp").alias("big")).distinct()
+        inside = rows.join(inside, "s").filter("comp <> big").groupBy("id", "big").agg(F.count(F.lit(1)).alias("inbig"))
+        left = left.join(big, "key").join(inside, ["id", "big"], "left").withColumn("inbig", F.coalesce("inbig", F.lit(0)))
+        alive = left.filter((F.col("comp") != F.col("big")) & enough("inbig", "least")).select("key").distinct().withColumn("alive", F.lit(True))
+        left = left.join(alive, "key", "left").filter("comp <> big or alive").drop("alive", "least")
+        left = materialise(_open(left), "open")
+        ids = left.select("id").distinct()
+        now = left.count()
+        if not now or had and now > 0.8 * had:  # any stop is exact: the bound only saves work
+            return left
+        rows, had = materialise(rows.join(ids, "id", "left_semi"), "shingles"), now
+
+
 def _compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int, n: int) -> DataFrame:
     """(u, v, linked) of the candidate pairs (u, v). A frequent u is split into chunks, each with a copy of its text."""
     many = pairs.groupBy("u").agg((F.count(F.lit(1)) / CHUNK).cast("int").alias("salts"))
@@ -131,6 +186,11 @@ def _compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int, n: int
     return rows.mapInArrow(_confirmer(size, percent), "u long, v long, linked boolean")
 
 
+def _open(left: DataFrame) -> DataFrame:
+    """The rows of buckets whose members lie in several components."""
+    return left.join(left.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key"), "key", "left_semi")
+
+
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
@@ -167,21 +227,30 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     fails = tested.filter("not linked").select("u", "v")
     while True:
         left = members.join(spent, ["key", "id"], "left_anti").join(same, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-        open_ = left.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key")
-        left = materialise(left.join(open_, "key", "left_semi"), "open")
+        left = materialise(_open(left), "open")
         if left.isEmpty():
             break
-        # A centre for each of the bucket's components, at most CENTRES of them.
-        heads = left.groupBy("key", "comp").agg(F.min_by(F.struct("id", "n"), "id").alias("h")).select("key", "comp", F.col("h.id").alias("c"), F.col("h.n").alias("cn"))
-        heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("comp"))).filter(f"k <= {CENTRES}").drop("k")
-        heads = materialise(heads, "heads")
-        new = left.join(heads.withColumnRenamed("comp", "ccomp"), "key").filter((F.col("comp") != F.col("ccomp")) & fits)
+        left = _thin(left, texts, size, percent)
+        # One centre for each of a bucket's components but the largest, at most CENTRES of them.
+        order = Window.partitionBy("key").orderBy(F.col("m").desc(), "comp")
+        heads = left.groupBy("key", "comp").agg(F.min_by(F.struct("id", "n", "shared", "inbig"), "id").alias("h"), F.count(F.lit(1)).alias("m"))
+        heads = heads.withColumn("k", F.row_number().over(order)).filter(f"k <= {CENTRES + 1}").filter("k > 1")
+        heads = materialise(heads.select("key", F.col("comp").alias("ccomp"), *(F.col(f"h.{x}").alias(y) for x, y in (("id", "c"), ("n", "cn"), ("shared", "cs"), ("inbig", "cb")))), "heads")
+        if heads.isEmpty():
+            break
+        can = F.expr(f"{100 + percent} * least(shared, cs, if(comp = big, cb, cs)) >= {percent} * (n + cn)")
+        # A pair that meets in several buckets is made in the first of them only.
+        once = F.expr("key = array_min(array_intersect(keys, ckeys))")
+        left = left.join(left.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+        heads_of = heads.join(heads.groupBy("c").agg(F.collect_set("key").alias("ckeys")), "c")
+        new = left.join(heads_of, "key").filter((F.col("comp") != F.col("ccomp")) & fits & can & once)
         new = new.select(F.least("c", "id").alias("u"), F.greatest("c", "id").alias("v")).distinct().join(fails, ["u", "v"], "left_anti")
         tested = materialise(_compare(new, texts, size, percent, n), "tested")
-        fails = fails.unionByName(tested.filter("not linked").select("u", "v"))
-        spent = spent.unionByName(heads.select("key", F.col("c").alias("id")))
+        fails = materialise(fails.unionByName(tested.filter("not linked").select("u", "v")), "fails")
+        spent = materialise(spent.unionByName(heads.select("key", F.col("c").alias("id"))), "spent")
         found = tested.filter("linked").select("u", "v")
         if not found.isEmpty():
             same = materialise(components(same.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(found)), "components")
+        members = left.select("key", "id", "n")  # only these can still gain a link
     out = signed.select("id", "n").join(same, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id").eqNullSafe(F.col("id"))).alias("kept"))
