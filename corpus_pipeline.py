@@ -1,10 +1,74 @@
-"""The corpus pipeline. Each stage takes the documents that the one before it kept."""
+"""The corpus pipeline: language, exact copies, near copies, repeated passages, packing.
+
+Each stage takes the documents that the one before it kept, with the columns of ``documents``. The last
+one returns the packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiform.llm import langid
+from lexiform.llm.exact import exact_dedup
+from lexiform.llm.minhash import near_dups
+from lexiform.llm.packing import pack
+from lexiform.llm.substring import remove_repeats
+from lexiform.llm.tables import materialise
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A prediction below it is no language. A guess among four languages has at least a quarter.
+CONFIDENCE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in some language go on: not those without a letter or without a confident prediction."""
+    model = langid.fit(docs)
+    found = langid.predict(docs.select(*COLUMNS), model, lang_out="_pred", score_out="_score")
+    return found.filter((F.col("_pred") != langid.UNKNOWN) & (F.col("_score") >= CONFIDENCE)).select(*COLUMNS)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of equal texts goes on, that of the largest id; one also of rows that repeat text and id."""
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    rows = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_own"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_own"]).select(*COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component goes on, that of the smallest id."""
+    gone = near_dups(docs).filter("not kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that repeat an earlier one; a text that was nothing else goes."""
+    out = remove_repeats(docs, with_text=True, carry=["lang", "source", "n_chars"])
+    out = out.filter("n_removed = 0 or n_removed < n_words")
+    count = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", count.alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all pieces in training sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language ID", language),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("substring dedup", passages),
+    ("best-fit packing", packing),
+]
+
+#: The language model and the hash-ordered packing have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

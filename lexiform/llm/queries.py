@@ -6,27 +6,89 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import langid, mpegts
 from .exact import exact_dedup
+from .licenses import license_scan
+from .lm import lm_scores
 from .minhash import near_dups
+from .packing import pack
+from .pieces import Pieces, decode_column, encode_column
 from .substring import remove_repeats
+from .tables import remainder
+from .warc import round_trip
+
+#: Where public vocabularies lie; a parameter of the operators.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merge-dropout ids of every text, decoded again: the digests tell that the text came back."""
+    pieces = Pieces.load(VOCABULARY)
+    return decode_column(encode_column(table(spark, sf_dir, "documents"), pieces, rate=0.1, seed=17), pieces)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).drop("intact")
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegts.demux_column(mpegts.mux_column(table(spark, sf_dir, "documents")))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = (remainder("doc_id", 4) == 2).alias("held_out")
+    model = langid.fit(docs, learn=remainder("doc_id", 4) != 2)
+    return langid.predict(docs.select("doc_id", "text", held), model).drop("text")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(table(spark, sf_dir, "documents"))
 
 
+#: SHA-1 in base32: five bits of its 160 for each letter.
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
+), d AS (
+  SELECT page_id, top, strlen(body) AS n,
+         list_reduce(list_transform(range(0, 40), lambda i: printf('%04d', CAST(bin(strpos('0123456789abcdef', substr(sha1(body), i + 1, 1)) - 1) AS INTEGER))), lambda a, b: a || b) AS bits
+  FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INTEGER)
+           + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INTEGER) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INTEGER)
+           + CAST(substr(bits, 5 * i + 5, 1) AS INTEGER), 1)), lambda a, b: a || b) AS payload_digest,
+       CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN top = page_id THEN NULL ELSE top END AS refers_to
+FROM d
+"""
+
 OP8_SQL = """
 SELECT doc_id,
        max(doc_id) OVER same AS keep_id,
@@ -63,11 +125,18 @@ FROM w LEFT JOIN kept USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
+        "op2_sentencepiece": op2_sentencepiece,
+        "op3_warc": op3_warc,
+        "op4_media_columns": op4_media_columns,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_language_id": op6_language_id,
+        "op7_license_scan": op7_license_scan,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_best_fit_packing": op9_best_fit_packing,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op3_warc": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op8_exact_dedup": OP8_SQL}

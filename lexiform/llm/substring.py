@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -202,20 +203,20 @@ def _extender(batches):
 
 
 def _remover(length: int, with_text: bool):
-    """Streams over (id, tag, text, runs) sorted by id and tag: a document's runs (tag 0) before its rows."""
-    fields = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema(fields + [("kept_text", pa.string())] * with_text)
+    """Streams over (id, tag, text, runs, carry) sorted by id and tag: a document's runs (tag 0) before its rows."""
 
     def remove(batches):
         current, runs = None, []
         for b in batches:
-            out = []
-            for i, tag, text, run in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out, rows = [], []
+            ids, tags, texts, told = (c.to_pylist() for c in b.columns[:4])
+            for k, i in enumerate(ids):
                 if i != current:
                     current, runs = i, []
-                if tag == 0:
-                    runs.append(np.frombuffer(run, np.int64).reshape(2, -1))
+                if tags[k] == 0:
+                    runs.append(np.frombuffer(told[k], np.int64).reshape(2, -1))
                     continue
+                text = texts[k]
                 kept = text.split()
                 n = len(kept)
                 if runs and n:
@@ -225,33 +226,44 @@ def _remover(length: int, with_text: bool):
                     np.add.at(cover, np.minimum(starts + counts + length - 1, n), -1)
                     stays = np.cumsum(cover[:n]) == 0
                     kept = [w for w, s in zip(kept, stays.tolist(), strict=True) if s]
-                text = b" ".join(kept)
-                out.append((i, n, n - len(kept), hashlib.sha256(text).hexdigest(), text.decode() if with_text else None))
+                joined = b" ".join(kept)
+                out.append((i, n, n - len(kept), hashlib.sha256(joined).hexdigest(), (joined if len(kept) < n else text).decode() if with_text else None))
+                rows.append(k)
             if out:
-                yield batch(schema, [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=False)])
+                kinds = [("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
+                cols = [pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), kinds, strict=True)][: 4 + with_text]
+                names = [k for k, _ in kinds][: 4 + with_text]
+                if b.num_columns > 4:
+                    cols.append(b.column(4).take(pa.array(rows)))
+                    names.append("carry")
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return remove
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, with_text: bool = False) -> DataFrame:
-    """One row per input row: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text and the columns ``carry``.
 
     A word goes when a window of ``length`` words that covers it also starts earlier: in a document of
     smaller id, or earlier in the same one. Windows are judged on the input. Kept words are
-    joined by one space. A null or empty text has no words. A null id is smaller than any other and comes
+    joined by one space; kept_text is the text as it was where nothing went. A null or empty text has no words. A null id is smaller than any other and comes
     back as null. Rows that share an id are one document: the same place in two such rows is not
     earlier, and a repeat found in one of them is removed from all. Further columns are ignored.
     """
     bound_batches(docs.sparkSession)
     n = parts(docs)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text_of(text_col).cast("binary").alias("text"))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id")
+    rows = docs.select(key, text_of(text_col).cast("binary").alias("text"), *[F.struct(*carry).alias("carry")] * bool(carry))
     # About half a million windows a bucket at the usual split sizes: buckets follow the input's splits.
-    work = rows.mapInArrow(_seeder(length, 4 * n), "bucket long, id long, body binary")
+    work = rows.select("id", "text").mapInArrow(_seeder(length, 4 * n), "bucket long, id long, body binary")
     runs = work.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_extender, "id long, runs binary")
     none = F.lit(None).cast("binary")
-    tagged = runs.select("id", F.lit(0).alias("tag"), none.alias("text"), "runs").unionByName(rows.select("id", F.lit(1).alias("tag"), "text", none.alias("runs")))
+    kind = rows.schema["carry"].dataType.simpleString() if carry else ""
+    blank = [F.lit(None).cast(kind).alias("carry")] if carry else []
+    held = ["carry"] if carry else []
+    tagged = runs.select("id", F.lit(0).alias("tag"), none.alias("text"), "runs", *blank).unionByName(rows.select("id", F.lit(1).alias("tag"), "text", none.alias("runs"), *held))
     dealt = tagged.repartition(n, "id").sortWithinPartitions("id", "tag")
-    names = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    names = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + (f", carry {kind}" if carry else "")
     out = dealt.mapInArrow(_remover(length, with_text), names)
     back = F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col)
-    return out.select(back, "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text)
+    return out.select(back, "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text, *(F.col("carry")[c].alias(c) for c in carry))

@@ -152,6 +152,8 @@ def test_repeats_long_document(spark, monkeypatch):
 def test_repeats_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = remove_repeats(docs, with_text=True).collect()
+    got = remove_repeats(docs, with_text=True, carry=["lang", "n_chars"]).collect()
+    assert {(r.doc_id, r.lang, r.n_chars) for r in got} == {(r.doc_id, r.lang, r.n_chars) for r in docs.collect()}
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(repeats(rows))
-    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
+    text = dict(rows)
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 if r.n_removed else r.kept_text == text[r.doc_id] for r in got)
