@@ -6,8 +6,9 @@ has many segmentations, each a function of the seed and the text alone: a retrie
 Decoding gives back the text exactly, whatever was skipped. Without dropout the result is the model's own.
 
 A piece never holds a space mark behind another character, so a text is cut at spaces and units are
-encoded on their own. Units repeat, so a worker keeps a bounded memo of them; with dropout a unit
-takes one of ``VARIANTS`` keys, chosen by its place in the text.
+encoded on their own; with dropout a unit takes one of ``VARIANTS`` keys, chosen by its place in the text. The
+distinct units of a batch of texts are encoded together: each step carries out the next merge of every
+unit's agenda at once.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,14 @@ from .tables import batch, bound_batches, text_of
 MARK = "▁"
 LITERAL = "\0" + MARK  # no piece holds it
 VARIANTS = 4
-MEMO = 150_000
+#: Units up to this length go through the agenda together, longer ones one at a time with a heap.
+WIDE = 24
+#: Units of one step.
+TOGETHER = 1 << 16
+#: Characters of texts encoded at once.
+STEP = 4 << 20
+_NONE = np.iinfo(np.int64).max
+U = np.uint64
 _MASK = (1 << 64) - 1
 _UNIT = re.compile(r" *[^ ]+| +")
 
@@ -41,7 +49,6 @@ class Pieces:
     byte: list[int]
     surface: list[bytes]
     control: frozenset[int]
-    memo: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -67,41 +74,59 @@ class Pieces:
             raise ValueError("the vocabulary has no byte fallback")
         return cls(merge, byte, surface, frozenset(control))
 
-    def _unit(self, unit: str, rate: int, key: int) -> tuple[int, ...]:
-        """Ids of a unit. rate: of 2**32; key: of the dropout."""
+    @cached_property
+    def tables(self):
+        """(id of each character or -1, sorted pairs of ids, their merged ids, rank of each id)."""
+        char = np.full(0x110000, -1, np.int32)
+        pairs = {}
+        for p, (i, _) in self.merge.items():
+            if len(p) == 1:
+                char[ord(p)] = i
+            for k in range(1, len(p)):
+                left, right = self.merge.get(p[:k]), self.merge.get(p[k:])
+                if left and right:
+                    pairs[left[0] << 24 | right[0]] = i
+        char[ord(" ")], char[ord(MARK)] = char[ord(MARK)], -1  # a mark in the text itself is no space
+        keys = np.array(sorted(pairs), np.int64)
+        rank = np.zeros(len(self.surface), np.int64)
+        score = np.zeros(len(self.surface))
+        for i, x in self.merge.values():
+            score[i] = -x
+        rank[:] = np.unique(score, return_inverse=True)[1]
+        return char, keys, np.array([pairs[k] for k in keys.tolist()], np.int64), rank
+
+    def _unit(self, unit: str, rate: int, base: int) -> list[int]:
+        """Ids of one unit by a heap. rate: of 2**32; base: of the dropout."""
         merge = self.merge
-        # A mark in the text itself is no space: it stays alone and becomes bytes.
         chars = [MARK if c == " " else LITERAL if c == MARK else c for c in unit]
         n = len(chars)
-        if n > 1:
-            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            base = key ^ zlib.crc32(unit.encode("utf-8", "surrogatepass")) if rate else 0
-            agenda = []
-            for i in range(n - 1):
-                if (m := merge.get(chars[i] + chars[i + 1])) is not None:
-                    agenda.append((-m[1], i, chars[i] + chars[i + 1]))
-            heapq.heapify(agenda)
-            while agenda:
-                _, i, piece = heapq.heappop(agenda)
-                j = after[i]
-                if j >= n or len(chars[i]) + len(chars[j]) != len(piece) or chars[i] + chars[j] != piece:
-                    continue  # one of its parts has been merged
-                if rate:
-                    h = (base + i * 0x9E3779B97F4A7C15 + merge[piece][0] * 0xC2B2AE3D27D4EB4F) & _MASK
-                    h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & _MASK
-                    h = (h ^ h >> 32) * 0x94D049BB133111EB & _MASK
-                    if h >> 32 < rate:
-                        continue
-                chars[i], chars[j] = piece, ""
-                k = after[j]
-                after[i] = k
-                if k < n:
-                    before[k] = i
-                    if (m := merge.get(piece + chars[k])) is not None:
-                        heapq.heappush(agenda, (-m[1], i, piece + chars[k]))
-                p = before[i]
-                if p >= 0 and (m := merge.get(chars[p] + piece)) is not None:
-                    heapq.heappush(agenda, (-m[1], p, chars[p] + piece))
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        agenda = []
+        for i in range(n - 1):
+            if (m := merge.get(chars[i] + chars[i + 1])) is not None:
+                agenda.append((-m[1], i, chars[i] + chars[i + 1]))
+        heapq.heapify(agenda)
+        while agenda:
+            _, i, piece = heapq.heappop(agenda)
+            j = after[i]
+            if j >= n or not chars[i] or chars[i] + chars[j] != piece:
+                continue  # one of its parts has been merged
+            if rate:
+                h = (base + i * 0x9E3779B97F4A7C15 + merge[piece][0] * 0xC2B2AE3D27D4EB4F) & _MASK
+                h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & _MASK
+                h = (h ^ h >> 32) * 0x94D049BB133111EB & _MASK
+                if h >> 32 < rate:
+                    continue
+            chars[i], chars[j] = piece, ""
+            k = after[j]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (m := merge.get(piece + chars[k])) is not None:
+                    heapq.heappush(agenda, (-m[1], i, piece + chars[k]))
+            p = before[i]
+            if p >= 0 and (m := merge.get(chars[p] + piece)) is not None:
+                heapq.heappush(agenda, (-m[1], p, chars[p] + piece))
         out: list[int] = []
         for c in chars:
             if c:
@@ -109,29 +134,129 @@ class Pieces:
                     out.append(m[0])
                 else:
                     out += [self.byte[b] for b in (MARK if c == LITERAL else c).encode()]
-        return tuple(out)
+        return out
+
+    def _together(self, sym: np.ndarray, rate: int, base: np.ndarray) -> np.ndarray:
+        """Ids of units of at most WIDE known characters, a row each, -1 behind the end."""
+        _, keys, merged, rank = self.tables
+
+        def candidate(left, right, start, base):
+            """(agenda order, merged id) of pairs; _NONE where there is none or it is skipped."""
+            key = left.astype(np.int64) << 24 | right.astype(np.int64)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            ok = (keys[at] == key) & (left >= 0) & (right >= 0)
+            to = merged[at]
+            if rate:
+                h = base + start.astype(np.uint64) * U(0x9E3779B97F4A7C15) + to.astype(np.uint64) * U(0xC2B2AE3D27D4EB4F)
+                h = (h ^ h >> U(29)) * U(0xBF58476D1CE4E5B9)
+                h = (h ^ h >> U(32)) * U(0x94D049BB133111EB)
+                ok &= (h >> U(32)) >= U(rate)
+            return np.where(ok, rank[to], _NONE), to
+
+        m, n = sym.shape
+        sym = sym.copy()
+        if n < 2 or not len(keys):
+            return sym
+        start = np.broadcast_to(np.arange(n, dtype=np.int8), (m, n)).copy()
+        order, to = candidate(sym[:, :-1], sym[:, 1:], start[:, :-1], base[:, None])
+        live, place = np.arange(m), np.arange(n)
+        done = sym
+        while len(live):
+            j = order.argmin(axis=1)
+            row = np.arange(len(live))
+            go = order[row, j] != _NONE
+            if not go.all():
+                done[live[~go]] = sym[~go]
+                live, sym, start, order, to, base, j = (x[go] for x in (live, sym, start, order, to, base, j))
+                row = np.arange(len(live))
+                if not len(live):
+                    break
+            new = to[row, j]
+            past = place[None, :] > j[:, None]
+            take = np.minimum(place + past, n - 1)
+            sym, start = np.take_along_axis(sym, take, 1), np.take_along_axis(start, take, 1)
+            sym[row, j] = new
+            sym[:, -1] = -1
+            cut = np.minimum(place[:-1] + past[:, :-1], n - 2)
+            order, to = np.take_along_axis(order, cut, 1), np.take_along_axis(to, cut, 1)
+            order[:, -1] = _NONE
+            for k in (j - 1, j):
+                at = np.flatnonzero((k >= 0) & (k < n - 1))
+                if len(at):
+                    c = k[at]
+                    order[at, c], to[at, c] = candidate(sym[at, c], sym[at, c + 1], start[at, c], base[at])
+        return done
+
+    def encode_many(self, texts: list[str], rate: float = 0.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other, and where each text begins (one more number than texts)."""
+        cut = round(rate * (1 << 32))
+        index: dict[str, int] = {}
+        which, lens, keys = [], [], []
+        for text in texts:
+            units = _UNIT.findall(" " + text) if text else []
+            which += [index.setdefault(u, len(index)) for u in units]
+            lens.append(len(units))
+            if cut:
+                keys.append(int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+        unit, lens = np.array(which, np.int64), np.array(lens, np.int64)
+        if cut:  # a variant for each place, by the text and the place in it
+            place = np.arange(len(unit)) - np.repeat(np.cumsum(lens) - lens, lens)
+            mixed = (place.astype(np.uint64) * U(0x9E3779B97F4A7C15) ^ np.repeat(np.array(keys, np.uint64), lens)) * U(0xD6E8FEB86659FD93)
+            unit = unit * VARIANTS + ((mixed >> U(40)) % U(VARIANTS)).astype(np.int64)
+        distinct, unit = np.unique(unit, return_inverse=True)
+        names = list(index)
+        chosen = [names[i] for i in (distinct // VARIANTS if cut else distinct).tolist()]
+        flat, at = self._encode_units(chosen, distinct % VARIANTS, cut, seed)
+        n = np.diff(at)[unit]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(at[unit] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.append(0, ends)[np.append(0, np.cumsum(lens))]
+        return ids, stops
+
+    def _encode_units(self, units: list[str], variants: np.ndarray, cut: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        char = self.tables[0]
+        size = np.array([len(u) for u in units], np.int64)
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.cumsum(size) - size
+        inside = (np.arange(len(points)) - np.repeat(first, size)).astype(np.uint64)
+        base = np.zeros(len(units), np.uint64)
+        if len(points):
+            mixed = (points.astype(np.uint64) + U(1)) * (inside * U(0x9E3779B97F4A7C15) + U(0xD6E8FEB86659FD93))
+            base = np.add.reduceat((mixed ^ mixed >> U(31)) * U(0xBF58476D1CE4E5B9), first)
+        key = U(seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D & _MASK)
+        base = base + key + variants.astype(np.uint64) * U(0x94D049BB133111EB)
+        sym = char[points]
+        unknown = np.zeros(len(units), bool)
+        if len(points):
+            unknown = np.minimum.reduceat(sym, first) < 0
+        out: list = [None] * len(units)
+        counts, rows = np.zeros(len(units), np.int64), []
+        alone = np.flatnonzero(unknown | (size > WIDE))
+        for i in alone.tolist():
+            out[i] = np.array(self._unit(units[i], cut, int(base[i])), np.int32)
+            counts[i] = len(out[i])
+        together = np.flatnonzero(~(unknown | (size > WIDE)))
+        together = together[np.argsort(size[together], kind="stable")]  # units of like length share a step
+        for a in range(0, len(together), TOGETHER):
+            part = together[a : a + TOGETHER]
+            wide = int(size[part].max())
+            grid = np.full((len(part), wide), -1, np.int32)
+            real = np.arange(wide)[None, :] < size[part][:, None]
+            grid[real] = sym[np.repeat(first[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(size[part].sum())]
+            ids = self._together(grid, cut, base[part])
+            counts[part] = (ids >= 0).sum(axis=1)
+            rows.append((part, ids[ids >= 0]))
+        at = np.append(0, np.cumsum(counts))
+        flat = np.zeros(int(at[-1]), np.int32)
+        for part, ids in rows:
+            n = counts[part]
+            flat[np.repeat(at[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = ids
+        for i in alone.tolist():
+            flat[at[i] : at[i + 1]] = out[i]
+        return flat, at
 
     def encode(self, text: str, rate: float = 0.0, seed: int = 0) -> list[int]:
-        if not text:
-            return []
-        units = _UNIT.findall(" " + text)
-        cut, memo, out = round(rate * (1 << 32)), self.memo, []
-        if cut:
-            key = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
-            which = ((np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(key)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(VARIANTS)
-            items = zip(units, which.tolist(), strict=True)
-        else:
-            items = zip(units, [0] * len(units), strict=True)
-        for item in items:
-            ids = memo.get((*item, cut, seed))
-            if ids is None:
-                unit, variant = item
-                ids = self._unit(unit, cut, (seed * 0x9E3779B97F4A7C15 + (variant + 1) * 0xBF58476D1CE4E5B9) & _MASK)
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[(*item, cut, seed)] = ids
-            out += ids
-        return out
+        return self.encode_many([text], rate, seed)[0].tolist()
 
     def decode(self, ids) -> str:
         """The text of ids; control ids and ids outside the vocabulary are an error."""
@@ -150,10 +275,14 @@ def encode_column(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_
 
     def run(batches):
         for b in batches:
-            encoded = [np.array(shared.value.encode(t, rate, seed), np.int32) for t in b.column(1).to_pylist()]
-            at = np.append(0, np.cumsum([len(e) for e in encoded])).astype(np.int32)
-            flat = np.concatenate(encoded) if encoded else np.zeros(0, np.int32)
-            yield batch(schema, [b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))])
+            texts, a = b.column(1).to_pylist(), 0
+            while a < len(texts):  # some MB of text at a time
+                e, size = a, 0
+                while e < len(texts) and size < STEP:
+                    size, e = size + len(texts[e]), e + 1
+                flat, at = shared.value.encode_many(texts[a:e], rate, seed)
+                yield batch(schema, [b.column(0).slice(a, e - a), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat, pa.int32()))])
+                a = e
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` long, ids array<int>")

@@ -43,6 +43,14 @@ def test_pieces_dropout(model):
         model.decode([1])
 
 
+def test_pieces_heap_equals_steps(model, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("theanionrsdé") for _ in range(rng.randrange(1, 40))) for _ in range(60)) for _ in range(20)]
+    want = [model.encode(t, r, s) for t in texts for r in (0.0, 0.2) for s in (1, 2)]
+    monkeypatch.setattr(pieces, "WIDE", 0)
+    assert [model.encode(t, r, s) for t in texts for r in (0.0, 0.2) for s in (1, 2)] == want
+
+
 def test_pieces_columns(model, spark):
     rows = odd_rows()
     got = pieces.decode_column(pieces.encode_column(frame(spark, rows), model, rate=0.2, seed=3), model, with_text=True).collect()
