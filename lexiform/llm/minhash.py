@@ -141,39 +141,26 @@ def _lister(size: int):
 
 
 def _thin(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """``left`` (key, id, n, comp) without rows that can have no link to another component of their bucket.
+    """``left`` (key, id, n, comp) with ``shared``, without rows that can have no link to another component.
 
-    Two sets of m and n shingles are linked only if both share percent / (100 + percent) of m + n.
-    Hence a row leaves when too few of its shingles occur in other components at all (``shared``), even
-    for its bucket's smallest set. And the bucket's largest component (``big``) leaves when no other
-    member has enough of its shingles in it (``inbig``). What leaves lowers the others' counts.
+    shared is how many of a document's shingles occur in other components at all. Two sets of m and n
+    shingles are linked only if both share percent / (100 + percent) of m + n, so a row leaves
+    when that fails even with its bucket's smallest set; what leaves lowers the others' counts.
     """
     docs = left.groupBy("id", "comp").agg(F.min("n").alias("n"))
     spread = docs.join(texts, "id").select("id", "comp", "n", "text").mapInArrow(_lister(size), "id long, comp long, n long, s long")
     rows, had = materialise(spread.select("id", "comp", "s").distinct(), "shingles"), 0
-
-    def enough(shared: str, other: str):
-        return F.expr(f"{100 + percent} * {shared} >= {percent} * (n + greatest({other}, ceil(n * {percent} / 100)))")
-
     while True:
         across = rows.groupBy("s").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("s")
         counts = rows.join(across, "s", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
         least = left.groupBy("key").agg(F.min("n").alias("least"))
-        left = left.select("key", "id", "n", "comp").join(counts, "id").join(least, "key").filter(enough("shared", "least")).drop("least")
-        left = materialise(_open(left), "open")
-        big = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
-        big = big.groupBy("key").agg(F.max_by(F.struct("comp", "least"), F.struct("m", "comp")).alias("b")).select("key", F.col("b.comp").alias("big"), F.col("b.least").alias("least"))
-        inside = rows.join(big.select(F.col("big").alias("comp")).distinct(), "comp").select("s", F.col("comp").alias("big")).distinct()
-        inside = rows.join(inside, "s").filter("comp <> big").groupBy("id", "big").agg(F.count(F.lit(1)).alias("inbig"))
-        left = left.join(big, "key").join(inside, ["id", "big"], "left").withColumn("inbig", F.coalesce("inbig", F.lit(0)))
-        alive = left.filter((F.col("comp") != F.col("big")) & enough("inbig", "least")).select("key").distinct().withColumn("alive", F.lit(True))
-        left = left.join(alive, "key", "left").filter("comp <> big or alive").drop("alive", "least")
+        enough = F.expr(f"{100 + percent} * shared >= {percent} * (n + greatest(least, ceil(n * {percent} / 100)))")
+        left = left.select("key", "id", "n", "comp").join(counts, "id").join(least, "key").filter(enough).drop("least")
         left = materialise(_open(left), "open")
-        ids = left.select("id").distinct()
         now = left.count()
         if not now or had and now > 0.8 * had:  # any stop is exact: the bound only saves work
             return left
-        rows, had = materialise(rows.join(ids, "id", "left_semi"), "shingles"), now
+        rows, had = materialise(rows.join(left.select("id").distinct(), "id", "left_semi"), "shingles"), now
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int, n: int) -> DataFrame:
@@ -233,12 +220,12 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         left = _thin(left, texts, size, percent)
         # One centre for each of a bucket's components but the largest, at most CENTRES of them.
         order = Window.partitionBy("key").orderBy(F.col("m").desc(), "comp")
-        heads = left.groupBy("key", "comp").agg(F.min_by(F.struct("id", "n", "shared", "inbig"), "id").alias("h"), F.count(F.lit(1)).alias("m"))
+        heads = left.groupBy("key", "comp").agg(F.min_by(F.struct("id", "n", "shared"), "id").alias("h"), F.count(F.lit(1)).alias("m"))
         heads = heads.withColumn("k", F.row_number().over(order)).filter(f"k <= {CENTRES + 1}").filter("k > 1")
-        heads = materialise(heads.select("key", F.col("comp").alias("ccomp"), *(F.col(f"h.{x}").alias(y) for x, y in (("id", "c"), ("n", "cn"), ("shared", "cs"), ("inbig", "cb")))), "heads")
+        heads = materialise(heads.select("key", F.col("comp").alias("ccomp"), *(F.col(f"h.{x}").alias(y) for x, y in (("id", "c"), ("n", "cn"), ("shared", "cs")))), "heads")
         if heads.isEmpty():
             break
-        can = F.expr(f"{100 + percent} * least(shared, cs, if(comp = big, cb, cs)) >= {percent} * (n + cn)")
+        can = F.expr(f"{100 + percent} * least(shared, cs) >= {percent} * (n + cn)")
         # A pair that meets in several buckets is made in the first of them only.
         once = F.expr("key = array_min(array_intersect(keys, ckeys))")
         left = left.join(left.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
