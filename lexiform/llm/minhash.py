@@ -36,6 +36,8 @@ BINS, ROWS = 128, 4
 CENTRES = 32
 #: Documents compared with one copy of a centre's text.
 CHUNK = 64
+#: Members of a bucket that meet one copy of its new centres.
+PART = 512
 
 
 @cache
@@ -173,6 +175,46 @@ def _compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int, n: int
     return rows.mapInArrow(_confirmer(size, percent), "u long, v long, linked boolean")
 
 
+def _meeter(size: int, percent: int):
+    """Streams over (key, salt, tag, id, comp, n, shared, text) sorted by the first three: a bucket's new centres
+    (tag 0), then its members. Each member meets all centres of other components; linked pairs come out."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def meet(batches):
+        at, centres = None, []
+        for b in batches:
+            key, salt, tag, ids, comp, n, shared = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            raw, offs = buffers(b.column(7))
+            u, v = [], []
+            for i, s in enumerate(shingle_sets(raw, offs, size)):
+                if (key[i], salt[i]) != at:
+                    at, centres = (key[i], salt[i]), []
+                if tag[i] == 0:
+                    centres.append((ids[i], comp[i], shared[i], s))
+                    continue
+                for c, ccomp, cshared, cs in centres:
+                    need = percent * (len(s) + len(cs))
+                    if ccomp == comp[i] or (100 + percent) * min(cshared, shared[i], len(s), len(cs)) < need:
+                        continue
+                    if (100 + percent) * len(np.intersect1d(s, cs, assume_unique=True)) >= need:
+                        u.append(c)
+                        v.append(ids[i])
+            if u:
+                yield batch(schema, [np.array(u, np.int64), np.array(v, np.int64)])
+
+    return meet
+
+
+def _meet(left: DataFrame, heads: DataFrame, texts: DataFrame, size: int, percent: int, n: int) -> DataFrame:
+    """Links between the new centres ``heads`` of buckets and all members: a row per member and not per pair.
+    A large bucket is dealt out in parts, each with a copy of the centres."""
+    many = left.join(heads.select("key").distinct(), "key", "left_semi").groupBy("key").agg((F.count(F.lit(1)) / PART).cast("int").alias("salts"))
+    members = left.join(many, "key").select("key", F.pmod(F.xxhash64("id"), F.col("salts") + 1).alias("salt"), F.lit(1).alias("tag"), "id", "comp", "n", "shared")
+    centres = heads.join(many, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long"))).alias("salt"), F.lit(0).alias("tag"), "id", "comp", "n", "shared")
+    rows = centres.unionByName(members).join(texts, "id").select("key", "salt", "tag", "id", "comp", "n", "shared", "text")
+    return rows.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "tag").mapInArrow(_meeter(size, percent), "u long, v long").distinct()
+
+
 def _open(left: DataFrame) -> DataFrame:
     """The rows of buckets whose members lie in several components."""
     return left.join(left.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key"), "key", "left_semi")
@@ -202,7 +244,6 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     texts = materialise(source.join(members.select("id").distinct(), "id", "left_semi"), "texts")
 
     sizes = members.select("id", "n").groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = F.expr(f"least(n, cn) * 100 >= greatest(n, cn) * {percent}")
     pairs = members.withColumnRenamed("n", "vn").filter("id <> c").select(F.col("c").alias("u"), F.col("id").alias("v"), "vn").distinct()
     pairs = pairs.join(sizes.select(F.col("id").alias("u"), "least", "most"), "u").filter(f"vn * 100 >= least * {percent} and most * 100 >= vn * {percent}").select("u", "v")
     tested = materialise(_compare(pairs, texts, size, percent, n), "tested")
@@ -210,34 +251,24 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     same = components(links.unionByName(copies.select(F.col("id").alias("u"), F.col("rep").alias("v"))))
     same = materialise(same, "components")
 
-    spent = members.select("key", F.col("c").alias("id")).distinct()  # centres that met their whole bucket
-    fails = tested.filter("not linked").select("u", "v")
-    while True:
-        left = members.join(spent, ["key", "id"], "left_anti").join(same, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-        left = materialise(_open(left), "open")
-        if left.isEmpty():
-            break
+    # Centres that met their whole bucket need not meet it again.
+    left = members.filter("id <> c").select("key", "id", "n")
+    left = left.join(same, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    left = materialise(_open(left), "open")
+    if not left.isEmpty():
         left = _thin(left, texts, size, percent)
-        # One centre for each of a bucket's components but the largest, at most CENTRES of them.
-        order = Window.partitionBy("key").orderBy(F.col("m").desc(), "comp")
-        heads = left.groupBy("key", "comp").agg(F.min_by(F.struct("id", "n", "shared"), "id").alias("h"), F.count(F.lit(1)).alias("m"))
-        heads = heads.withColumn("k", F.row_number().over(order)).filter(f"k <= {CENTRES + 1}").filter("k > 1")
-        heads = materialise(heads.select("key", F.col("comp").alias("ccomp"), *(F.col(f"h.{x}").alias(y) for x, y in (("id", "c"), ("n", "cn"), ("shared", "cs")))), "heads")
-        if heads.isEmpty():
-            break
-        can = F.expr(f"{100 + percent} * least(shared, cs) >= {percent} * (n + cn)")
-        # A pair that meets in several buckets is made in the first of them only.
-        once = F.expr("key = array_min(array_intersect(keys, ckeys))")
-        left = left.join(left.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
-        heads_of = heads.join(heads.groupBy("c").agg(F.collect_set("key").alias("ckeys")), "c")
-        new = left.join(heads_of, "key").filter((F.col("comp") != F.col("ccomp")) & fits & can & once)
-        new = new.select(F.least("c", "id").alias("u"), F.greatest("c", "id").alias("v")).distinct().join(fails, ["u", "v"], "left_anti")
-        tested = materialise(_compare(new, texts, size, percent, n), "tested")
-        fails = materialise(fails.unionByName(tested.filter("not linked").select("u", "v")), "fails")
-        spent = materialise(spent.unionByName(heads.select("key", F.col("c").alias("id"))), "spent")
-        found = tested.filter("linked").select("u", "v")
+    while not left.isEmpty():
+        # New centres: members outside the bucket's largest component, at most CENTRES of them at a time.
+        big = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"))
+        order = Window.partitionBy("key").orderBy("comp", "id")
+        heads = left.join(big, "key").filter("comp <> big").withColumn("k", F.row_number().over(order)).filter(f"k <= {CENTRES}")
+        heads = heads.select("key", "comp", "id", "n", "shared")
+        heads = materialise(heads, "heads")
+        found = materialise(_meet(left, heads, texts, size, percent, n), "found")
+        left = left.join(heads.select("key", "id"), ["key", "id"], "left_anti")
         if not found.isEmpty():
             same = materialise(components(same.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(found)), "components")
-        members = left.select("key", "id", "n")  # only these can still gain a link
+            left = left.drop("comp").join(same, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"), "shared")
+        left = materialise(_open(left), "open")
     out = signed.select("id", "n").join(same, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("component", "id").eqNullSafe(F.col("id"))).alias("kept"))
