@@ -11,10 +11,9 @@ bucket's smallest class only (a star), so candidates grow with the bucket's size
 square; every candidate is confirmed on the two full sets. A star misses links between two members
 that both differ from its centre. Rounds with new centres therefore follow in every bucket whose
 members still lie in several components, until each bucket has compared all it must. No bucket or
-candidate list has a cap. Before such a round an exact bound thins these buckets: a link across components
-needs three quarters of a document's shingles to occur in other components, so documents with fewer
-leave, again and again until none does. This is what keeps a family of thousands of copies with
-a rim of slightly too different ones from comparing the rim with the family.
+candidate list has a cap. Before these rounds an exact bound thins the buckets: a link across components
+needs enough of a document's shingles to occur in other components at all, and documents with fewer
+leave. This keeps a family of thousands of copies from meeting its rim of too different ones.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ from .tables import batch, bound_batches, buffers, materialise, parts, text_of
 from .textops import grams, mix, words
 
 BINS, ROWS = 128, 4
-#: New centres of a bucket in each later round.
-CENTRES = 32
+#: New centres of a bucket in each later round, and shingles that they have together at most (one centre can have more).
+CENTRES, SHINGLES = 512, 4_000_000
 #: Documents compared with one copy of a centre's text.
 CHUNK = 64
 #: Members of a bucket that meet one copy of its new centres.
@@ -147,22 +146,17 @@ def _thin(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFra
 
     shared is how many of a document's shingles occur in other components at all. Two sets of m and n
     shingles are linked only if both share percent / (100 + percent) of m + n, so a row leaves
-    when that fails even with its bucket's smallest set; what leaves lowers the others' counts.
+    when that fails even with its bucket's smallest set.
     """
     docs = left.groupBy("id", "comp").agg(F.min("n").alias("n"))
     spread = docs.join(texts, "id").select("id", "comp", "n", "text").mapInArrow(_lister(size), "id long, comp long, n long, s long")
-    rows, had = materialise(spread.select("id", "comp", "s").distinct(), "shingles"), 0
-    while True:
-        across = rows.groupBy("s").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("s")
-        counts = rows.join(across, "s", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
-        least = left.groupBy("key").agg(F.min("n").alias("least"))
-        enough = F.expr(f"{100 + percent} * shared >= {percent} * (n + greatest(least, ceil(n * {percent} / 100)))")
-        left = left.select("key", "id", "n", "comp").join(counts, "id").join(least, "key").filter(enough).drop("least")
-        left = materialise(_open(left), "open")
-        now = left.count()
-        if not now or had and now > 0.8 * had:  # any stop is exact: the bound only saves work
-            return left
-        rows, had = materialise(rows.join(left.select("id").distinct(), "id", "left_semi"), "shingles"), now
+    rows = materialise(spread.select("id", "comp", "s").distinct(), "shingles")
+    across = rows.groupBy("s").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("s")
+    counts = rows.join(across, "s", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    least = left.groupBy("key").agg(F.min("n").alias("least"))
+    enough = F.expr(f"{100 + percent} * shared >= {percent} * (n + greatest(least, ceil(n * {percent} / 100)))")
+    left = left.join(counts, "id").join(least, "key").filter(enough).select("key", "id", "n", "comp", "shared")
+    return materialise(_open(left), "open")
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int, n: int) -> DataFrame:
@@ -262,7 +256,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         big = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("big"))
         order = Window.partitionBy("key").orderBy("comp", "id")
         heads = left.join(big, "key").filter("comp <> big").withColumn("k", F.row_number().over(order)).filter(f"k <= {CENTRES}")
-        heads = heads.select("key", "comp", "id", "n", "shared")
+        heads = heads.withColumn("sum", F.sum("n").over(order)).filter(f"k = 1 or sum <= {SHINGLES}").select("key", "comp", "id", "n", "shared")
         heads = materialise(heads, "heads")
         found = materialise(_meet(left, heads, texts, size, percent, n), "found")
         left = left.join(heads.select("key", "id"), ["key", "id"], "left_anti")
