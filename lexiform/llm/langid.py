@@ -142,8 +142,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             fx = [counts(t) for t in b.column(0).to_pylist()]
             yield batch(schema, [b.column(2), b.column(1), [f.astype(np.uint16).tobytes() for f, _ in fx], [n.astype(np.int32).tobytes() for _, n in fx]])
 
-    # The learning rows of the smallest id hashes: a bounded part of them, evenly over the input.
-    chosen = rows.orderBy("order", "lang", F.xxhash64("text")).limit(fit_rows)
+    # The learning rows of the smallest id hashes: a bounded part of them, evenly over the input. Hashes are
+    # even, so half as many again as are wanted lie below this cut; only those are sorted.
+    share = min(1.0, 1.5 * fit_rows / total + 1e-9)
+    low = rows if 1.5 * fit_rows >= total else rows.filter(F.col("order") < int(share * 2**64) - 2**63)
+    chosen = low.orderBy("order", "lang", F.xxhash64("text")).limit(fit_rows)
     got = chosen.select("text", "lang", "order").mapInArrow(vectors, "order long, lang string, f binary, x binary").collect()
     index = {lang: i for i, lang in enumerate(langs)}
     model = Model(langs, np.zeros((SPACE, len(langs)), np.float32), np.zeros(len(langs)), idf)
