@@ -29,7 +29,7 @@ from .tables import NULL_ID, batch, bound_batches, buffers, parts, text_of
 from .textops import grams, mix, words
 
 #: Words in a block: it bounds a map task's arrays.
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 #: Words of an anchor.
 ANCHOR = 8
 WORK = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("body", pa.binary())])
