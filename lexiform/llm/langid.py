@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import batch, bound_batches, text_of
+from .tables import batch, bound_batches, lean, text_of
 
 BITS = 15
 SPACE = 1 << BITS
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield batch(pa.schema([("f", pa.int32()), ("n", pa.int64())]), [np.append(where, SPACE).astype(np.int32), np.append(df[where], n)])
 
     # At most SPACE + 1 rows whatever the input: the space of features is fixed.
-    df = {r["f"]: r["n"] for r in rows.select("text").mapInArrow(frequencies, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
+    df = {r["f"]: r["n"] for r in rows.select("text").mapInArrow(lean(frequencies), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
     total = df.pop(SPACE, 0)
     if not total:
         return None
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = min(1.0, 1.5 * fit_rows / total + 1e-9)
     low = rows if 1.5 * fit_rows >= total else rows.filter(F.col("order") < int(share * 2**64) - 2**63)
     chosen = low.orderBy("order", "lang", F.xxhash64("text")).limit(fit_rows)
-    got = chosen.select("text", "lang", "order").mapInArrow(vectors, "order long, lang string, f binary, x binary").collect()
+    got = chosen.select("text", "lang", "order").mapInArrow(lean(vectors), "order long, lang string, f binary, x binary").collect()
     index = {lang: i for i, lang in enumerate(langs)}
     model = Model(langs, np.zeros((SPACE, len(langs)), np.float32), np.zeros(len(langs)), idf)
     data = []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import batch, bound_batches, buffers, materialise, parts, text_of
+from .tables import batch, bound_batches, buffers, lean, materialise, parts, text_of
 from .textops import grams, mix, words
 
 BINS, ROWS = 128, 4
@@ -149,7 +149,7 @@ def _thin(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFra
     when that fails even with its bucket's smallest set.
     """
     docs = left.groupBy("id", "comp").agg(F.min("n").alias("n"))
-    spread = docs.join(texts, "id").select("id", "comp", "n", "text").mapInArrow(_lister(size), "id long, comp long, n long, s long")
+    spread = docs.join(texts, "id").select("id", "comp", "n", "text").mapInArrow(lean(_lister(size)), "id long, comp long, n long, s long")
     rows = materialise(spread.select("id", "comp", "s").distinct(), "shingles")
     across = rows.groupBy("s").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("s")
     counts = rows.join(across, "s", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
@@ -166,7 +166,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, size: int, percent: int, n: int
     dealt = materialise(dealt, "pairs")
     need = dealt.select("u", "salt", F.lit(1).alias("tag"), F.col("v").alias("id")).unionByName(dealt.select("u", "salt", F.lit(0).alias("tag"), F.col("u").alias("id")).distinct())
     rows = need.join(texts, "id").select("u", "salt", "tag", "id", "text").repartition(n, "u", "salt").sortWithinPartitions("u", "salt", "tag")
-    return rows.mapInArrow(_confirmer(size, percent), "u long, v long, linked boolean")
+    return rows.mapInArrow(lean(_confirmer(size, percent)), "u long, v long, linked boolean")
 
 
 def _meeter(size: int, percent: int):
@@ -206,7 +206,7 @@ def _meet(left: DataFrame, heads: DataFrame, texts: DataFrame, size: int, percen
     members = left.join(many, "key").select("key", F.pmod(F.xxhash64("id"), F.col("salts") + 1).alias("salt"), F.lit(1).alias("tag"), "id", "comp", "n", "shared")
     centres = heads.join(many, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long"))).alias("salt"), F.lit(0).alias("tag"), "id", "comp", "n", "shared")
     rows = centres.unionByName(members).join(texts, "id").select("key", "salt", "tag", "id", "comp", "n", "shared", "text")
-    return rows.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "tag").mapInArrow(_meeter(size, percent), "u long, v long").distinct()
+    return rows.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "tag").mapInArrow(lean(_meeter(size, percent)), "u long, v long").distinct()
 
 
 def _open(left: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     bound_batches(docs.sparkSession)
     n = parts(docs)
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    signed = materialise(source.mapInArrow(_signer(size), "id long, n long, digest binary, keys array<long>"), "signatures")
+    signed = materialise(source.mapInArrow(lean(_signer(size)), "id long, n long, digest binary, keys array<long>"), "signatures")
     some = signed.filter("n > 0 and id is not null")
     reps = some.groupBy("digest").agg(F.min("id").alias("rep"))
     copies = materialise(some.select("id", "digest").join(reps, "digest").select("id", "rep").filter("id <> rep").distinct(), "copies")

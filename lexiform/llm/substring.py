@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import NULL_ID, batch, bound_batches, buffers, parts, text_of
+from .tables import NULL_ID, batch, bound_batches, buffers, lean, parts, release, text_of
 from .textops import grams, mix, words
 
 #: Words in a block: it bounds a map task's arrays.
@@ -144,6 +144,7 @@ def _seeder(length: int, buckets: int):
                     if n >= BLOCK:
                         yield from out()
                         held, n = [], 0
+                        release()
         if held:
             yield from out()
 
@@ -255,8 +256,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id")
     rows = docs.select(key, text_of(text_col).cast("binary").alias("text"), *[F.struct(*carry).alias("carry")] * bool(carry))
     # About half a million windows a bucket at the usual split sizes: buckets follow the input's splits.
-    work = rows.select("id", "text").mapInArrow(_seeder(length, 4 * n), "bucket long, id long, body binary")
-    runs = work.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_extender, "id long, runs binary")
+    work = rows.select("id", "text").mapInArrow(lean(_seeder(length, 4 * n)), "bucket long, id long, body binary")
+    runs = work.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_extender), "id long, runs binary")
     none = F.lit(None).cast("binary")
     kind = rows.schema["carry"].dataType.simpleString() if carry else ""
     blank = [F.lit(None).cast(kind).alias("carry")] if carry else []
@@ -264,6 +265,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tagged = runs.select("id", F.lit(0).alias("tag"), none.alias("text"), "runs", *blank).unionByName(rows.select("id", F.lit(1).alias("tag"), "text", none.alias("runs"), *held))
     dealt = tagged.repartition(n, "id").sortWithinPartitions("id", "tag")
     names = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + (f", carry {kind}" if carry else "")
-    out = dealt.mapInArrow(_remover(length, with_text), names)
+    out = dealt.mapInArrow(lean(_remover(length, with_text)), names)
     back = F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col)
     return out.select(back, "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text, *(F.col("carry")[c].alias(c) for c in carry))

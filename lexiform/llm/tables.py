@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +43,28 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def lean(run):
+    """``run`` over a task's batches, giving freed memory back at its end: workers outlive their tasks, and
+    what an allocator keeps of one stage would count against the next one."""
+
+    def kept(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return kept
+
+
+def release() -> None:
+    """Free what this worker no longer uses, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def parts(df: DataFrame, least: int = 1) -> int:
     """Partitions for a shuffle of about the size of ``df``: as many as its scan has splits,
     and never fewer than the session's own number."""
