@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ DEEPSEEK = (
     "[!\"#$%&'()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~][A-Za-z]+|[^\r\n\\p{L}\\p{P}\\p{S}]?[\\p{L}\\p{M}]+| ?[\\p{P}\\p{S}]+[\r\n]*|\\s*[\r\n]+|\\s+(?!\\S)|\\s+",
 )
 
-SCHEMES: dict[str, tuple[str, ...]] = {"gpt2": (GPT2,), "gpt4": (GPT4,), "qwen2": (QWEN2,), "qwen35": (QWEN35,), "olmo3": (OLMO3,), "o200k": (O200K,), "nemotron": (NEMOTRON,), "kimi": (KIMI,), "deepseek_v3": DEEPSEEK}
+LAGUNA = (r"(?:\r?\n)+(?:(?!\r?\n)[\s\S])*", QWEN2)  # a run of line ends begins a segment; segments are split alone
+
+SCHEMES: dict[str, tuple[str, ...]] = {"gpt2": (GPT2,), "gpt4": (GPT4,), "qwen2": (QWEN2,), "qwen35": (QWEN35,), "olmo3": (OLMO3,), "o200k": (O200K,), "nemotron": (NEMOTRON,), "kimi": (KIMI,), "deepseek_v3": DEEPSEEK, "laguna": LAGUNA}
 ALIASES = {"r50k": "gpt2", "cl100k": "gpt4", "qwen3": "qwen2", "none": "gpt2"}
 
 
@@ -36,6 +40,8 @@ def by_patterns(patterns: list[str]) -> str:
     """The scheme that split patterns of a tokenizer file mean; they must match exactly."""
     if list(patterns) == [GPT4_POSSESSIVE]:
         return "gpt4"  # both spellings mean at most three digits a piece
+    if list(patterns) == [r"(?:\r?\n)+", QWEN2]:
+        return "laguna"
     for name, own in SCHEMES.items():
         if tuple(patterns) == own:
             return name
@@ -58,6 +64,28 @@ def pieces(text: Column, scheme: str) -> Column:
     return out
 
 
+# A place between an ASCII letter or digit and a space that a letter follows. No scheme has a piece that
+# reaches over it, and none looks past it, so both sides can be split alone. NFC doesn't compose there either.
+_CUT = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z])")
+
+
+def last_cut(text: str, window: int = 512) -> int:
+    """The last place of ``text`` at which it can be cut, 0 where there is none. Looks back by doubling windows."""
+    while True:
+        low = max(0, len(text) - window)
+        at = 0
+        for m in _CUT.finditer(text, low):
+            at = m.start()
+        if at or not low:
+            return at
+        window *= 2
+
+
+def ranges(text: Column, size: int) -> Column:
+    """array<string> of parts that can be split alone, each of ``size`` characters or somewhat more."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{size},}}?(?:(?<=[A-Za-z0-9])(?= [A-Za-z])|\z)|.+"), F.lit(0))
+
+
 def _stage(pattern: str):
     """Cuts a piece; what the pattern doesn't match stays whole for the next stage."""
     return lambda x: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))

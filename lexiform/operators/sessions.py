@@ -1,14 +1,32 @@
-"""Conversations as token sessions: an append returns only the replaced suffix."""
+"""Conversations as token sessions: an append returns only the replaced suffix.
+
+A session's ids are sealed up to the last place where the text can be cut; only the tail behind it is encoded
+again by an append, so that its cost follows the delta and not the session. A text without such a place
+stays in the tail, which is always exact.
+"""
 
 from __future__ import annotations
 
+from typing import Protocol
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Engine, Tokenizer
+from ..errors import SessionStateMismatch
+from .tokens import Tokenizer
 
 PATCH = "session long, revision long, replace_from int, replacement_ids array<int>, token_count int, path string"
+#: A tail of more characters is told apart: its append costs a whole encode of the tail.
+HARD_CAP = 1 << 20
+
+
+class Encoder(Protocol):
+    """What a session needs of an engine."""
+
+    def encode(self, text: str) -> list[int]: ...
+
+    def cut(self, text: str) -> int: ...
 
 
 def first_difference(old: list[int], new: list[int]) -> int:
@@ -20,44 +38,85 @@ def first_difference(old: list[int], new: list[int]) -> int:
     return n
 
 
-class Session:
-    """One conversation's state: text, ids, revision. Every result equals a full encode of the text."""
+class Tail:
+    """The part of a session that an append can still change: the state to keep between micro-batches."""
 
-    def __init__(self, engine: Engine, text: str = "", revision: int = -1, ids: list[int] | None = None) -> None:
-        self.engine, self.text, self.revision = engine, text, revision
-        self.ids = engine.encode(text) if ids is None else list(ids)
+    def __init__(self, engine: Encoder, text: str = "", sealed: int = 0, revision: int = -1) -> None:
+        self.engine, self.text, self.sealed, self.revision = engine, text, sealed, revision
+        self.empty = not text and not sealed
+        self.ids = engine.encode(text)
+
+    @property
+    def count(self) -> int:
+        return self.sealed + len(self.ids)
 
     def append(self, delta: str, expected: int | None = None) -> tuple:
         """(revision, replace_from, replacement_ids, token_count, path). A wrong expected revision changes nothing."""
         if expected is not None and expected != self.revision:
-            return self.revision, len(self.ids), [], len(self.ids), "revision_conflict"
+            return self.revision, self.count, [], self.count, "revision_conflict"
         self.revision += 1
         if not delta:  # keeps ids, still a revision
-            return self.revision, len(self.ids), [], len(self.ids), "noop"
-        seed = not self.text
-        self.text += delta
-        new = self.engine.encode(self.text)
-        at = first_difference(self.ids, new)
-        self.ids = new
-        return self.revision, at, new[at:], len(new), "seed" if seed else "append"
-
-    def transcript(self, text: str) -> tuple:
-        """Takes a whole text: the same is a hit, a longer one is an append, any other overwrites."""
+            return self.revision, self.count, [], self.count, "noop"
+        path = "seed" if self.empty else "degraded_full_reencode" if len(self.text) > HARD_CAP else "append"
+        self.empty = False
+        text = self.text + delta
+        at = self.engine.cut(text)
+        done, rest = self.engine.encode(text[:at]) if at else [], self.engine.encode(text[at:])
+        new = done + rest
+        same = first_difference(self.ids, new)
+        patch = self.revision, self.sealed + same, new[same:], self.sealed + len(new), path
+        self.text, self.ids, self.sealed = text[at:], rest, self.sealed + len(done)
+        return patch
+
+
+class Session:
+    """One conversation with its whole text and ids. Every result equals a full encode of the text."""
+
+    def __init__(self, engine: Encoder, text: str = "", revision: int = -1) -> None:
+        self.engine, self.text, self.ids = engine, "", []
+        self.tail = Tail(engine)
+        if text:
+            self.append(text)
+        self.tail.revision = revision
+
+    @property
+    def revision(self) -> int:
+        return self.tail.revision
+
+    def _take(self, patch: tuple) -> tuple:
+        if patch[4] not in ("noop", "revision_conflict", "hit"):
+            self.ids[patch[1] :] = patch[2]
+        return patch
+
+    def append(self, delta: str, expected: int | None = None) -> tuple:
+        patch = self._take(self.tail.append(delta, expected))
+        if patch[4] != "revision_conflict":
+            self.text += delta
+        return patch
+
+    def transcript(self, text: str, prefix: str | None = None) -> tuple:
+        """Takes a whole text: the same is a hit, a longer one is an append, any other overwrites.
+        A caller that claims ``prefix`` as the stored text is refused where it isn't."""
+        if prefix is not None and prefix != self.text:
+            raise SessionStateMismatch("the claimed prefix is not the stored text", stored=len(self.text), claimed=len(prefix))
         if text == self.text and self.revision >= 0:
             return self.revision, len(self.ids), [], len(self.ids), "hit"
         if text.startswith(self.text):
             return self.append(text[len(self.text) :])
-        old, self.text, self.revision = self.ids, text, self.revision + 1
-        self.ids = self.engine.encode(text)
+        old, revision = self.ids, self.revision + 1
+        self.__init__(self.engine, text, revision)
         at = first_difference(old, self.ids)
-        return self.revision, at, self.ids[at:], len(self.ids), "overwrite"
+        return revision, at, self.ids[at:], len(self.ids), "overwrite"
+
+    def snapshot(self) -> dict:
+        return {"text": self.text, "ids": list(self.ids), "revision": self.revision, "token_count": len(self.ids)}
 
     def fork(self) -> Session:
-        return Session(self.engine, self.text, 0, self.ids)
+        return Session(self.engine, self.text, 0)
 
 
 def patches(tok: Tokenizer, turns: DataFrame, session: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
-    """One patch per turn. Sessions are streamed in order; a task holds one session at a time."""
+    """One patch per turn. Sessions are streamed in order; a task holds one session's tail at a time."""
     engine = tok._engine()
     rows = turns.select(F.col(session).cast("long").alias("session"), F.col(order).alias("turn"), F.coalesce(text, F.lit("")).alias("delta"))
 
@@ -66,10 +125,38 @@ def patches(tok: Tokenizer, turns: DataFrame, session: str = "conv_id", order: s
         for b in batches:
             out = []
             for s, delta in zip(b["session"], b["delta"], strict=True):
+                if held is None or s != current:
+                    current, held = s, Tail(engine())
+                out.append((s, *held.append(delta)))
+            yield pd.DataFrame(out, columns=["session", "revision", "replace_from", "replacement_ids", "token_count", "path"])
+
+    return rows.repartition("session").sortWithinPartitions("session", "turn").mapInPandas(run, PATCH)
+
+
+def transcripts(tok: Tokenizer, states: DataFrame, session: str, order: str, text: str) -> DataFrame:
+    """One patch per whole transcript, in order: hits, appends and overwrites of growing or rewritten sessions."""
+    engine = tok._engine()
+    rows = states.select(F.col(session).cast("long").alias("session"), F.col(order).alias("turn"), F.coalesce(text, F.lit("")).alias("body"))
+
+    def run(batches):
+        current, held = None, None
+        for b in batches:
+            out = []
+            for s, body in zip(b["session"], b["body"], strict=True):
                 if held is None or s != current:
                     current, held = s, Session(engine())
-                r = held.append(delta)
-                out.append((s, r[0], r[1], r[2], r[3], r[4]))
+                out.append((s, *held.transcript(body)))
             yield pd.DataFrame(out, columns=["session", "revision", "replace_from", "replacement_ids", "token_count", "path"])
 
     return rows.repartition("session").sortWithinPartitions("session", "turn").mapInPandas(run, PATCH)
+
+
+def fold(patches_: DataFrame) -> DataFrame:
+    """(session, revision, ids) after the last patch: the patches of one session spliced in order."""
+
+    def splice(acc, p):
+        kept = F.when(p["replace_from"] > 0, F.slice(acc, F.lit(1), p["replace_from"])).otherwise(F.array().cast("array<int>"))
+        return F.when(p["path"].isin("noop", "hit", "revision_conflict"), acc).otherwise(F.concat(kept, p["replacement_ids"]))
+
+    one = patches_.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("revision", "replace_from", "replacement_ids", "path"))).alias("p"))
+    return one.select("session", F.array_max(F.transform("p", lambda x: x["revision"])).alias("revision"), F.aggregate("p", F.array().cast("array<int>"), splice).alias("ids"))

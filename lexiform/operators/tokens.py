@@ -32,6 +32,7 @@ class Engine:
         self.by_text = {t.content: t for t in artifact.added if t.content}
         names = sorted(self.by_text, key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, names))) if names else None
+        self.cuttable = self._cuttable()
 
     def piece(self, piece: str) -> tuple[int, ...]:
         ids = self.memo.get(piece)
@@ -81,6 +82,14 @@ class Engine:
                     out += self.piece(p)
         return out
 
+    def _cuttable(self) -> bool:
+        """No added token can reach over a cut of text, nor take or leave the space behind it."""
+        return not any(re.search("[A-Za-z0-9] ", t.content) or (t.rstrip and re.search("[A-Za-z0-9]\\Z", t.content)) for t in self.by_text.values())
+
+    def cut(self, text: str) -> int:
+        """The last place at which both sides of a text encode alone, whatever is appended; 0 for none."""
+        return schemes.last_cut(text) if self.cuttable else 0
+
     def pieces(self, pieces) -> list[int]:
         out: list[int] = []
         for p in pieces:
@@ -161,6 +170,16 @@ class Tokenizer:
         joined = put.select(id_col, F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
         return df.select(id_col).join(joined, id_col, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
 
+    def encode_spread(self, df: DataFrame, id_col: str, text_col: str, size: int = 1 << 16, partitions: int | None = None) -> DataFrame:
+        """(id, ids) with long texts cut at safe places and dealt out, so that one huge text isn't one task.
+        Ids must be unique. Where an added token could reach over a cut, texts stay whole."""
+        text = F.col(text_col)
+        cut = schemes.ranges(text, size) if self.local.cuttable else F.array(text)
+        each = df.select(id_col, F.posexplode_outer(F.when(F.length(text) > size, cut).otherwise(F.array(text))).alias("pos", "part"))
+        each = each.repartition(partitions, id_col, "pos") if partitions else each.repartition(id_col, "pos")
+        put = each.select(id_col, "pos", self.encode(F.col("part")).alias("ids")).groupBy(id_col).agg(F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))).alias("parts"))
+        return put.select(id_col, F.when(F.size("parts") > 0, F.flatten(F.transform("parts", lambda x: x["ids"]))).alias("ids"))
+
     def decode(self, ids: Column, skip_special_tokens: bool = True) -> Column:
         engine = self._engine()
 

@@ -8,21 +8,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.sessions import PATCH, Session
+from ..operators.sessions import PATCH, Tail
 from ..operators.tokens import Tokenizer
 
 
 def patch_stream(tok: Tokenizer, turns: DataFrame, session: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
-    """Patches of a streaming DataFrame of turns. Turns of one micro-batch are taken in their order; the text
-    and revision are the state, ids are a function of the text."""
+    """Patches of a streaming DataFrame of turns. Turns of one micro-batch are taken in their order; the tail
+    behind the sealed ids, their number and the revision are the state, so it doesn't grow with the session."""
     engine = tok._engine()
     rows = turns.select(F.col(session).cast("long").alias("session"), F.col(order).cast("long").alias("turn"), F.coalesce(text, F.lit("")).alias("delta"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = Session(engine(), *state.get) if state.exists else Session(engine())
+        held = Tail(engine(), *state.get) if state.exists else Tail(engine())
         new = pd.concat(list(batches)).sort_values("turn")
         out = [(key[0], *held.append(d)) for d in new["delta"]]
-        state.update((held.text, held.revision))
+        state.update((held.text, held.sealed, held.revision))
         yield pd.DataFrame(out, columns=["session", "revision", "replace_from", "replacement_ids", "token_count", "path"])
 
-    return rows.groupBy("session").applyInPandasWithState(run, PATCH, "text string, revision long", "append", "NoTimeout")
+    return rows.groupBy("session").applyInPandasWithState(run, PATCH, "text string, sealed long, revision long", "append", "NoTimeout")
