@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import Tokenizer
+
 MARK = 4096
+#: Bounds of what is kept without a name: bytes a text needs, entries, bytes of all.
+AUTO_LEAST, AUTO_ENTRIES, AUTO_BYTES = 4096, 1024, 128 << 20
 
 
 def prefix(text: Column, n: Column) -> Column:
@@ -23,13 +28,35 @@ def marks(text: Column) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(0), F.lit(18)), lambda k: F.call_function("shiftleft", F.lit(MARK).cast("long"), k)), lambda p: p < n)
 
 
+def mark_digests(text: Column) -> Column:
+    """array<struct<pos, digest>>: the digest of the text up to each mark."""
+    return F.transform(marks(text), lambda p: F.struct(p.alias("pos"), F.sha2(prefix(text, p.cast("int")), 256).alias("digest")))
+
+
 def blocks(df: DataFrame, id_col: str, text_col: str, size: int = MARK) -> DataFrame:
-    """(id, block, digest) of a text's whole blocks of ``size`` characters, each digest chained to the one before."""
+    """(id, block, digest) of a text's whole blocks of ``size`` characters, each digest that of the text up to its end."""
     n = F.floor(F.length(text_col) / size).cast("int")
     each = F.transform(F.sequence(F.lit(1), n), lambda k: F.sha2(F.substring(F.col(text_col), F.lit(1), k * size).cast("binary"), 256))
     return df.filter(n > 0).select(id_col, F.posexplode(each).alias("block", "digest"))
 
 
+def chain(df: DataFrame, id_col: str, text_col: str, size: int = MARK) -> DataFrame:
+    """(id, block, node): a node is the digest of the node before it and its own block, so that a text is hashed once."""
+    parts = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{{size}}}"), F.lit(0))
+    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))
+    nodes = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(last(acc), x).cast("binary"), 256))))
+    return df.select(id_col, F.posexplode(nodes).alias("block", "node"))
+
+
+def chain_prefix(queries: DataFrame, nodes: DataFrame, query_id: str, text_col: str, size: int = MARK) -> DataFrame:
+    """(query_id, n_blocks): how many blocks from the start are all among ``nodes`` (column node). The first that
+    is missing ends the match."""
+    asked = chain(queries, query_id, text_col, size).join(nodes.select("node").distinct().withColumn("_held", F.lit(True)), "node", "left")
+    found = asked.groupBy(query_id).agg(F.min(F.when(F.col("_held").isNull(), F.col("block"))).alias("gap"), F.count(F.lit(1)).alias("all"))
+    found = found.select(query_id, F.coalesce("gap", "all").cast("long").alias("n_blocks"))
+    return queries.select(query_id).join(found, query_id, "left").select(query_id, F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"))
+
+
 def _powers(n: Column) -> Column:
     """Powers of two up to n."""
     return F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.call_function("shiftleft", F.lit(1), k)), lambda p: p <= n)
@@ -38,15 +65,60 @@ def _powers(n: Column) -> Column:
 def longest_prefix(queries: DataFrame, entries: DataFrame, query_id: str, query_text: str, entry_id: str, entry_text: str) -> DataFrame:
     """For each query the longest entry that begins it: (query_id, entry_id, matched_bytes), no row for a miss.
 
-    An entry is indexed by the digest of its longest beginning of 2**k bytes; a query is digested at all
-    powers of two, at most 31 keys whatever the entries. Bytes decide after the join; of equal entries the
-    smallest id is told.
+    Entries are grouped by the digest of their longest beginning of 2**k bytes; a group holds only its distinct
+    lengths, so entries that all begin alike cost a query one digest per length, not one row per entry. A query is
+    digested at all powers of two, then at the lengths of the groups it meets, and meets entries by
+    their whole digest. Bytes decide after the join; of equal entries the smallest id is told. Query ids must be unique.
     """
     text = F.col(entry_text)
-    e = entries.filter(F.octet_length(text) > 0).select(F.col(entry_id).alias("_e"), text.alias("_et"), F.octet_length(text).alias("_n"), F.array_max(_powers(F.octet_length(text))).alias("_p"))
-    e = e.withColumn("_d", F.sha2(prefix(F.col("_et"), F.col("_p")), 256))
+    e = entries.filter(F.octet_length(text) > 0).groupBy(text.alias("_et")).agg(F.min(entry_id).alias("_e"))
+    e = e.withColumn("_n", F.octet_length("_et")).withColumn("_all", content_digest(F.col("_et")))
+    lead = e.select(F.array_max(_powers(F.col("_n"))).alias("_p"), "_et", "_n").select("_p", F.sha2(prefix(F.col("_et"), F.col("_p")), 256).alias("_d"), "_n")
+    lengths = lead.groupBy("_p", "_d").agg(F.collect_set("_n").alias("_ns"))
     q = queries.select(F.col(query_id).alias("_q"), F.col(query_text).alias("_qt"))
-    keyed = q.select("_q", "_qt", F.explode(_powers(F.octet_length("_qt"))).alias("_p")).select("_q", "_p", F.sha2(prefix(F.col("_qt"), F.col("_p")), 256).alias("_d"))
-    found = keyed.join(e, ["_p", "_d"]).join(q, "_q").filter(F.col("_qt").startswith(F.col("_et")))
-    best = found.groupBy("_q").agg(F.max_by(F.struct("_e", "_n"), F.struct("_n", -F.col("_e"))).alias("b"))
-    return best.select(F.col("_q").alias(query_id), F.col("b._e").alias(entry_id), F.col("b._n").alias("matched_bytes"))
+    keyed = q.select("_q", F.explode(F.transform(_powers(F.octet_length("_qt")), lambda p: F.struct(p.alias("_p"), F.sha2(prefix(F.col("_qt"), p), 256).alias("_d")))).alias("k")).select("_q", "k.*")
+    asked = keyed.join(lengths, ["_p", "_d"]).groupBy("_q").agg(F.flatten(F.collect_list("_ns")).alias("_ns")).join(q, "_q")
+    fits = F.filter("_ns", lambda n: n <= F.octet_length("_qt"))
+    tried = asked.select("_q", F.explode(F.transform(fits, lambda n: F.struct(n.alias("_n"), F.sha2(prefix(F.col("_qt"), n), 256).alias("_all")))).alias("t")).select("_q", "t.*")
+    top = tried.join(e.select("_n", "_all", "_e"), ["_n", "_all"]).groupBy("_q").agg(F.max_by(F.struct("_e", "_n"), "_n").alias("b")).select("_q", "b.*")
+    held = top.join(e.select("_e", "_et"), "_e").join(q, "_q").filter(F.col("_qt").startswith(F.col("_et")))
+    return held.select(F.col("_q").alias(query_id), F.col("_e").alias(entry_id), F.col("_n").alias("matched_bytes"))
+
+
+def entries(tok: Tokenizer, df: DataFrame, name: str, text: str, kind: str = "named", used: Column | None = None) -> DataFrame:
+    """Stored entries with their digests and ids: (name, kind, used, byte_length, end_digest, marks, text, ids)."""
+    t = F.col(text)
+    return df.select(F.col(name).alias("name"), F.lit(kind).alias("kind"), (used if used is not None else F.lit(0)).cast("long").alias("used"), F.octet_length(t).cast("long").alias("byte_length"), content_digest(t).alias("end_digest"), mark_digests(t).alias("marks"), t.alias("text"), tok.encode(t).alias("ids"))
+
+
+def keep(store: DataFrame, least: int = AUTO_LEAST, most: int = AUTO_ENTRIES, budget: int = AUTO_BYTES) -> DataFrame:
+    """The store after eviction: all named entries, and of the others of at least ``least`` bytes those last used,
+    at most ``most`` and at most ``budget`` bytes of text. The bounds are the store's, the window sees ``most`` rows."""
+    from pyspark.sql import Window
+
+    auto = store.filter((F.col("kind") == "auto") & (F.col("byte_length") >= least)).orderBy(F.col("used").desc(), "name").limit(most)
+    w = Window.partitionBy("kind").orderBy(F.col("used").desc(), "name").rowsBetween(Window.unboundedPreceding, 0)
+    auto = auto.withColumn("_sum", F.sum("byte_length").over(w)).filter(F.col("_sum") <= budget).drop("_sum")
+    return store.filter("kind = 'named'").unionByName(auto)
+
+
+def serve(tok: Tokenizer, queries: DataFrame, store: DataFrame, query_id: str, query_text: str) -> DataFrame:
+    """(query_id, name, path, ids): a stored text's own ids (exact), its ids with the rest encoded from the last
+    safe cut on (extension), or no ids (miss): a miss neither encodes nor stores. Ids equal a full encode."""
+    engine = tok._engine()
+    hit = longest_prefix(queries, store, query_id, query_text, "name", "text").select(query_id, "name")
+    rows = queries.select(query_id, F.col(query_text).alias("_qt")).join(hit, query_id, "left").join(store.select("name", F.col("text").alias("_et"), F.col("ids").alias("_ids")), "name", "left")
+
+    @F.pandas_udf("array<int>")
+    def extend(whole: pd.Series, stored: pd.Series, ids: pd.Series) -> pd.Series:
+        e, out = engine(), []
+        for q, t, i in zip(whole, stored, ids, strict=True):
+            if t is None or q is None:
+                out.append(None)
+                continue
+            at = e.cut(t)
+            out.append(list(i) if q == t else list(i[: len(i) - len(e.encode(t[at:]))]) + e.encode(q[at:]))
+        return pd.Series(out, dtype=object)
+
+    path = F.when(F.col("_et").isNull(), "miss").when(F.col("_qt") == F.col("_et"), "exact").otherwise("extension")
+    return rows.select(query_id, "name", path.alias("path"), extend("_qt", "_et", "_ids").alias("ids"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import schemes, text
 from .operators import lookup, sessions
 from .operators.tokens import Tokenizer
 from .plans import routing
+from .sources import records
 from .sources.artifact import byte_artifact, load
 
 #: A public byte-level vocabulary; a parameter wherever it is used.
@@ -125,6 +126,92 @@ def block_slices(spark, sf_dir):
     return lookup.blocks(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("block", F.col("block").cast("long"))
 
 
+def block_chain(spark, sf_dir):
+    return lookup.chain(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("block", F.col("block").cast("long"))
+
+
+def chain_prefix_blocks(spark, sf_dir):
+    """Blocks of each document that a store of the documents with even ids holds from the start on."""
+    d = _table(spark, sf_dir, "documents")
+    return lookup.chain_prefix(d, lookup.chain(d.filter("doc_id % 2 = 0"), "doc_id", "text"), "doc_id", "text")
+
+
+def serve_paths(spark, sf_dir):
+    """Whole conversations served from a store of their first turns."""
+    t, tok = _transcripts(spark, sf_dir), _bytes(spark)
+    store = lookup.entries(tok, t.filter("head <> ''"), "conv_id", "head")
+    return lookup.serve(tok, t, store, "conv_id", "body").select("conv_id", "path", F.size("ids").cast("long").alias("n_tokens"))
+
+
+def store_keep(spark, sf_dir):
+    """What a store keeps of all documents as unnamed entries, the newest being those of the largest id."""
+    d = _table(spark, sf_dir, "documents")
+    store = lookup.entries(_bytes(spark), d, "doc_id", "text", "auto", F.col("doc_id"))
+    return lookup.keep(store, budget=1 << 20).select(F.col("name").alias("doc_id"), "byte_length")
+
+
+def record_store(spark, sf_dir):
+    """Every document as a record, read back and verified."""
+    d = _table(spark, sf_dir, "documents")
+    tok, key = _bytes(spark), bytes.fromhex(byte_artifact().fingerprint())
+    states = d.select(F.col("doc_id").alias("session"), F.lit(0).alias("revision"), "text", tok.encode(F.col("text")).alias("ids"))
+    held = records.write(states, key)
+    checked = held.select("session", F.length("record").cast("long").alias("n_bytes"), records.verify(F.col("record"), key).alias("v"))
+    return checked.select(F.col("session").alias("doc_id"), "n_bytes", "v.ok", F.sha2(F.col("v.text").cast("binary"), 256).alias("text_sha256"), F.size("v.ids").cast("long").alias("n_tokens"))
+
+
+def record_damage(spark, sf_dir):
+    """Records with one byte changed, at a place that the id chooses: none is accepted."""
+    d = _table(spark, sf_dir, "documents")
+    tok, key = _bytes(spark), bytes.fromhex(byte_artifact().fingerprint())
+    held = records.write(d.select(F.col("doc_id").alias("session"), F.lit(0).alias("revision"), "text", tok.encode(F.col("text")).alias("ids")), key)
+    at = F.pmod(F.col("session") * 7919, F.length("record")).cast("int")
+    byte = F.substring(F.col("record"), at + 1, F.lit(1))
+    other = F.unhex(F.when(byte == F.lit(b"\xff"), "00").otherwise("FF"))
+    bad = F.concat(F.substring(F.col("record"), F.lit(1), at), other, F.substring(F.col("record"), at + 2, F.length("record")))
+    v = held.select(records.verify(bad, key).alias("v"))
+    return v.groupBy(F.col("v.ok").alias("ok")).agg(F.count(F.lit(1)).alias("n_records"))
+
+
+def session_transcript(spark, sf_dir):
+    """Patches of whole growing transcripts, as a caller sends them turn by turn."""
+    turns = _table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    grown = turns.select("conv_id", "turn", F.array_join(F.collect_list("text").over(w), "").alias("body"))
+    p = sessions.transcripts(_bytes(spark), grown, "conv_id", "turn", "body")
+    return p.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("replacement_ids")).cast("long").alias("n_replaced"))
+
+
+def session_fold(spark, sf_dir):
+    """A session's ids, put together from its patches."""
+    ids = sessions.fold(sessions.patches(_bytes(spark), _table(spark, sf_dir, "conversations")))
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return ids.select(F.col("session").alias("conv_id"), "revision", F.size("ids").cast("long").alias("n_tokens"), total.alias("sum_ids"))
+
+
+def encode_spread(spark, sf_dir):
+    """Counts with long documents cut at safe places and dealt out to tasks."""
+    ids = _bytes(spark).encode_spread(_table(spark, sf_dir, "documents"), "doc_id", "text", 4096)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"))
+
+
+def ragged_offsets(spark, sf_dir):
+    """The place of each document's ids in one long column of all, in the order of the ids of documents, by language."""
+    n = _table(spark, sf_dir, "documents").select("lang", "doc_id", F.size(_bytes(spark).encode(F.col("text"))).cast("long").alias("n"))
+    w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return n.select("lang", "doc_id", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long").alias("offset"), "n")
+
+
+def mark_positions(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lookup.mark_digests(F.col("text"))).alias("k", "m")).select("doc_id", F.col("k").cast("long").alias("k"), F.col("m.pos").alias("pos"), F.col("m.digest").alias("digest"))
+
+
+def letter_runs_topk(spark, sf_dir):
+    """The hundred most frequent letter runs, ties by the run."""
+    runs = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("piece"))
+    return runs.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "piece").limit(100)
+
+
 def vocab_byte_lengths(spark, sf_dir):
     v = load(spark, f"file://{VOCABULARY}").vocab_frame(spark)
     return v.groupBy(F.octet_length("bytes").cast("long").alias("n_bytes")).agg(F.count(F.lit(1)).alias("n_tokens"))
@@ -152,6 +239,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "content_digest": content_digest,
         "block_slices": block_slices,
         "vocab_byte_lengths": vocab_byte_lengths,
+        "block_chain": block_chain,
+        "chain_prefix_blocks": chain_prefix_blocks,
+        "serve_paths": serve_paths,
+        "store_keep": store_keep,
+        "record_store": record_store,
+        "record_damage": record_damage,
+        "session_transcript": session_transcript,
+        "session_fold": session_fold,
+        "encode_spread": encode_spread,
+        "ragged_offsets": ragged_offsets,
+        "mark_positions": mark_positions,
+        "letter_runs_topk": letter_runs_topk,
     }
 
 
@@ -177,5 +276,17 @@ def oracle_sql() -> dict[str, str]:
         "session_final_length": "SELECT conv_id, count(*) - 1 AS revision, CAST(sum(strlen(text)) AS BIGINT) AS token_count FROM conversations GROUP BY conv_id",
         "prefix_lookup_longest": "WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS body, first(text ORDER BY turn) AS head FROM conversations GROUP BY conv_id), c AS (SELECT q.conv_id, e.conv_id AS entry_id, CAST(strlen(e.head) AS BIGINT) AS matched_bytes, row_number() OVER (PARTITION BY q.conv_id ORDER BY strlen(e.head) DESC, e.conv_id) AS k FROM t q JOIN t e ON starts_with(q.body, e.head) AND e.head <> '') SELECT conv_id, entry_id, matched_bytes FROM c WHERE k = 1",
         "content_digest": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS byte_length, sha256(text) AS end_digest, CAST(len(list_filter(range(0, 19), lambda k: 4096 * (1::BIGINT << k) < strlen(text))) AS BIGINT) AS n_marks FROM documents",
+        "block_chain": "WITH b AS (SELECT doc_id, text, list_transform(range(0, length(text) // 4096), lambda i: substr(text, 4096 * i + 1, 4096)) AS bs FROM documents), k AS (SELECT doc_id, bs, unnest(range(1, len(bs) + 1)) AS k FROM b) SELECT doc_id, k - 1 AS block, list_reduce([''] || bs[1:k], lambda a, x: sha256(a || x)) AS node FROM k",
+        "chain_prefix_blocks": "WITH p AS (SELECT doc_id, substr(text, 1, 4096 * k) AS p, k FROM (SELECT doc_id, text, unnest(range(1, length(text) // 4096 + 1)) AS k FROM documents)), h AS (SELECT DISTINCT p FROM p WHERE doc_id % 2 = 0) SELECT d.doc_id, count(h.p) AS n_blocks FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN h ON h.p = p.p GROUP BY d.doc_id",
+        "serve_paths": "WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS body, first(text ORDER BY turn) AS head FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN head = '' AND NOT any_hit THEN 'miss' WHEN same THEN 'exact' ELSE 'extension' END AS path, CASE WHEN any_hit THEN CAST(strlen(body) AS BIGINT) END AS n_tokens FROM (SELECT conv_id, body, head, EXISTS (SELECT 1 FROM t e WHERE e.head <> '' AND starts_with(t.body, e.head)) AS any_hit, EXISTS (SELECT 1 FROM t e WHERE e.head <> '' AND e.head = t.body) AS same FROM t)",
+        "store_keep": "SELECT doc_id, n AS byte_length FROM (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id DESC) AS s FROM (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents WHERE strlen(text) >= 4096 ORDER BY doc_id DESC LIMIT 1024)) WHERE s <= 1048576",
+        "record_store": "SELECT doc_id, CAST(200 + 5 * strlen(text) AS BIGINT) AS n_bytes, true AS ok, sha256(text) AS text_sha256, CAST(strlen(text) AS BIGINT) AS n_tokens FROM documents",
+        "record_damage": "SELECT false AS ok, count(*) AS n_records FROM documents",
+        "session_transcript": f"SELECT CASE WHEN n_replaced = 0 THEN 'hit' WHEN replace_from = 0 THEN 'seed' ELSE 'append' END AS path, count(*) AS n_rows, CAST(sum(n_replaced) AS BIGINT) AS n_replaced FROM ({_RUN}) GROUP BY 1",
+        "session_fold": "WITH t AS (SELECT conv_id, count(*) - 1 AS revision, string_agg(text, '' ORDER BY turn) AS body FROM conversations GROUP BY conv_id), h AS (SELECT conv_id, revision, hex(encode(body)) AS h, strlen(body) AS n FROM t) SELECT conv_id, revision, CAST(n AS BIGINT) AS n_tokens, CAST(list_sum(list_transform(range(0, n), lambda i: 16 * (strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1)) AS BIGINT) AS sum_ids FROM h",
+        "encode_spread": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_tokens FROM documents",
+        "ragged_offsets": "SELECT lang, doc_id, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset, CAST(strlen(text) AS BIGINT) AS n FROM documents",
+        "mark_positions": "SELECT doc_id, k, pos, sha256(array_slice(encode(text), 1, pos)) AS digest FROM (SELECT doc_id, text, k, 4096 * (1::BIGINT << k) AS pos FROM (SELECT doc_id, text, unnest(range(0, 19)) AS k FROM documents)) WHERE pos < strlen(text)",
+        "letter_runs_topk": r"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS piece FROM documents) GROUP BY piece ORDER BY n DESC, piece LIMIT 100",
         "block_slices": "SELECT doc_id, k - 1 AS block, sha256(substr(text, 1, k * 4096)) AS digest FROM (SELECT doc_id, text, unnest(range(1, length(text) // 4096 + 1)) AS k FROM documents)",
     }
