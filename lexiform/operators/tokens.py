@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import schemes
 from ..functions.bpe import merge
 from ..functions.text import may_hold
-from ..sources.artifact import Artifact
+from ..sources.artifact import Artifact, Splitter
 
 MEMO = 200_000
 
@@ -29,9 +29,7 @@ class Engine:
         self.a, self.memo = artifact, {}
         self.surface = artifact.surface()
         self.special = {t.id for t in artifact.added if t.special}
-        self.by_text = {t.content: t for t in artifact.added if t.content}
-        names = sorted(self.by_text, key=len, reverse=True)
-        self.added = re.compile("|".join(map(re.escape, names))) if names else None
+        self.added = Splitter(artifact.added)
         self.cuttable = self._cuttable()
 
     def piece(self, piece: str) -> tuple[int, ...]:
@@ -46,31 +44,9 @@ class Engine:
             self.memo[piece] = ids
         return ids
 
-    def _single(self, text: str, start: int, end: int) -> bool:
-        word = lambda c: c.isalnum() or c == "_"
-        return not (start and word(text[start - 1])) and not (end < len(text) and word(text[end]))
-
-    def segments(self, text: str) -> list[tuple[str, int | None]]:
-        """Text cut at added tokens, leftmost and longest first: (segment, None) or (literal, id)."""
-        out, at, place = [], 0, 0
-        while self.added and (m := self.added.search(text, place)):
-            t = self.by_text[m.group()]
-            start, end = m.span()
-            if t.single_word and not self._single(text, start, end):
-                place = start + 1
-                continue
-            head = text[at:start]
-            out.append((head.rstrip() if t.lstrip else head, None))
-            out.append((m.group(), t.id))
-            at = end
-            if t.rstrip:
-                at += len(text[at:]) - len(text[at:].lstrip())
-            place = at
-        return [*out, (text[at:], None)]
-
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        for part, token in self.segments(text):
+        for part, token in self.added.split(text):
             if token is not None:
                 out.append(token)
             elif part:
@@ -84,7 +60,7 @@ class Engine:
 
     def _cuttable(self) -> bool:
         """No added token can reach over a cut of text, nor take or leave the space behind it."""
-        return not any(re.search("[A-Za-z0-9] ", t.content) or (t.rstrip and re.search("[A-Za-z0-9]\\Z", t.content)) for t in self.by_text.values())
+        return not any(re.search("[A-Za-z0-9] ", t.content) or (t.rstrip and re.search("[A-Za-z0-9]\\Z", t.content)) for t in self.added.by_text.values())
 
     def cut(self, text: str) -> int:
         """The last place at which both sides of a text encode alone, whatever is appended; 0 for none."""

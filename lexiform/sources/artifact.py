@@ -8,8 +8,10 @@ import json
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import ArtifactHashMismatch, ArtifactNotFound
 from ..functions import schemes
 from ..functions.bpe import byte_alphabet, merge
 
@@ -25,6 +27,32 @@ class Added:
     normalized: bool = False
 
 
+class Splitter:
+    """Cuts a text at added tokens, leftmost and longest first."""
+
+    def __init__(self, added: list[Added]) -> None:
+        self.by_text = {a.content: a for a in added if a.content}
+        names = sorted(self.by_text, key=len, reverse=True)
+        self.rule = re.compile("|".join(map(re.escape, names))) if names else None
+
+    def _alone(self, text: str, start: int, end: int) -> bool:
+        word = lambda c: c.isalnum() or c == "_"
+        return not (start and word(text[start - 1])) and not (end < len(text) and word(text[end]))
+
+    def split(self, text: str) -> list[tuple[str, int | None]]:
+        """(segment, None) or (literal, id), in order."""
+        out, at, place = [], 0, 0
+        while self.rule and (m := self.rule.search(text, place)):
+            t, (start, end) = self.by_text[m.group()], m.span()
+            if t.single_word and not self._alone(text, start, end):
+                place = start + 1
+                continue
+            head = text[at:start]
+            out += [(head.rstrip() if t.lstrip else head, None), (m.group(), t.id)]
+            at = place = end + (len(text[end:]) - len(text[end:].lstrip()) if t.rstrip else 0)
+        return [*out, (text[at:], None)]
+
+
 @dataclass
 class Artifact:
     """A byte-level BPE vocabulary. ``vocab``: id to bytes; ``ranks``: pair of ids to (rank, merged id)."""
@@ -122,12 +150,12 @@ def from_json(data: bytes | str) -> Artifact:
         else:
             raise ValueError(f"unsupported pre-tokenizer: {s['type']}")
     scheme = schemes.by_patterns(patterns) if patterns else "gpt2"
-    bos, eos = _template(j.get("post_processor"))
+    bos, eos = template(j.get("post_processor"))
     del regex_on  # a bare byte level means the gpt2 pattern
     return Artifact(vocab, ranks, scheme, added, bool(parts), prefix, bool(model.get("ignore_merges")), bos, eos, hashlib.sha256(raw).hexdigest())
 
 
-def _template(post) -> tuple[list[int], list[int]]:
+def template(post) -> tuple[list[int], list[int]]:
     for p in (post or {}).get("processors", [post] if post else []):
         if p["type"] == "TemplateProcessing":
             ids, out, at = p["special_tokens"], ([], []), 0
@@ -159,7 +187,16 @@ def from_ranks(data: bytes, scheme: str, special: dict[str, int] | None = None)
 
 def load(spark: SparkSession, path: str, scheme: str | None = None, sha256: str | None = None) -> Artifact:
     """Reads a local or shared file through Spark and checks its digest before parsing."""
-    body = bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+    try:
+        body = bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+    except (AnalysisException, TypeError):
+        raise ArtifactNotFound("no such artifact", searched=path) from None
     if sha256 and hashlib.sha256(body).hexdigest() != sha256:
-        raise ValueError("artifact digest mismatch")
-    return from_ranks(body, scheme or "gpt4") if path.endswith(".tiktoken") else from_json(body)
+        raise ArtifactHashMismatch("artifact digest mismatch", path=path, expected_sha256=sha256, observed_sha256=hashlib.sha256(body).hexdigest())
+    if path.endswith(".tiktoken"):
+        return from_ranks(body, scheme or "gpt4")
+    if json.loads(body)["model"].get("byte_fallback"):
+        from . import sentencepiece
+
+        return sentencepiece.from_json(body)
+    return from_json(body)

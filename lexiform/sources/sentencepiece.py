@@ -2,36 +2,54 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import json
 import re
 from dataclasses import dataclass, field
 
 from ..functions.bpe import merge
+from ..functions.charsmap import CharsMap
 from ..functions.text import MARK
+from .artifact import Added, Splitter, template
 
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
 @dataclass
 class PieceArtifact:
-    """``steps``: normalizers in order, as (kind, arguments). ``prepend``: never, always or first."""
+    """``steps``: normalizers in order, as (kind, arguments). ``prepend``: never, always or first.
+
+    Added tokens are cut out in two passes: those for the raw text, then, in what is left and
+    normalized, those marked as normalized. What is cut out isn't normalized again.
+    """
 
     vocab: dict[str, int]
     ranks: dict[tuple[int, int], tuple[int, int]]
     steps: list[tuple] = field(default_factory=list)
     prepend: str = "never"
     ignore_merges: bool = False
+    metaspace: bool = False
+    added: list[Added] = field(default_factory=list)
+    bos: list[int] = field(default_factory=list)
+    eos: list[int] = field(default_factory=list)
+    sha256: str = ""
 
     def __post_init__(self):
+        self.raw_added = Splitter([a for a in self.added if not a.normalized])
+        self.late_added = Splitter([Added(**vars(a) | {"content": self._plain(a.content)}) for a in self.added if a.normalized])
         self.names = {i: t for t, i in self.vocab.items()}
         self.byte = {int(m[1], 16): i for t, i in self.vocab.items() if (m := _BYTE.match(t))}
         self.raw = {i: b for b, i in self.byte.items()}
         # A text can be cut before a mark if no merge joins a mark to what stands before it.
         self.cuts = not any(MARK in t.lstrip(MARK) for t in self.vocab if not _BYTE.match(t))
 
-    def normalize(self, text: str) -> str:
+    def _plain(self, text: str) -> str:
+        """The normalizers alone, without the marks of the pre-tokenizer."""
         for kind, *args in self.steps:
-            if kind == "replace":
+            if kind == "map":
+                text = args[0].normalize(text)
+            elif kind == "replace":
                 text = text.replace(*args)
             elif kind == "collapse":
                 text = re.sub(" {2,}", args[0], text)
@@ -40,11 +58,18 @@ class PieceArtifact:
             elif kind == "strip":
                 text = text.lstrip() if args[0] else text
                 text = text.rstrip() if args[1] else text
-        if self.prepend != "never":
-            text = text.replace(" ", MARK)
-            text = text if not text or text.startswith(MARK) else MARK + text
         return text
 
+    def _marked(self, text: str, first: bool) -> str:
+        if not self.metaspace:
+            return text
+        text = text.replace(" ", MARK)
+        wanted = self.prepend == "always" or (self.prepend == "first" and first)
+        return MARK + text if wanted and text and not text.startswith(MARK) else text
+
+    def normalize(self, text: str) -> str:
+        return self._marked(self._plain(text), True)
+
     def units(self, text: str) -> list[str]:
         """Parts of a normalized text that can be encoded alone; the whole text where that isn't certain."""
         return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text) if self.cuts else [text] if text else []
@@ -61,10 +86,30 @@ class PieceArtifact:
         return merge(ids, self.ranks)
 
     def encode(self, text: str) -> list[int]:
-        return [i for u in self.units(self.normalize(text)) for i in self.unit(u)]
+        out: list[int] = []
+        begun = False
+        for part, token in self.raw_added.split(text):
+            if token is not None:
+                out.append(token)
+                begun = True
+                continue
+            for piece, late in self.late_added.split(self._plain(part)) if part else ():
+                if late is not None:
+                    out.append(late)
+                elif piece:
+                    for u in self.units(self._marked(piece, not begun)):
+                        out += self.unit(u)
+                begun = True
+        return out
+
+    def cut(self, text: str) -> int:
+        """Normalizers may look over any place, so that a session's text is never cut."""
+        return 0
 
-    def decode(self, ids: list[int]) -> str:
-        data = b"".join(bytes([self.raw[i]]) if i in self.raw else self.names[i].replace(MARK, " ").encode() for i in ids)
+    def decode(self, ids: list[int], skip_special: bool = False) -> str:
+        names = self.names | {a.id: a.content for a in self.added}
+        special = {a.id for a in self.added if a.special} if skip_special else ()
+        data = b"".join(bytes([self.raw[i]]) if i in self.raw else names[i].replace(MARK, " ").encode() for i in ids if i not in special)
         text = data.decode("utf-8", "replace")
         added = self.prepend != "never" or any(k == "prepend" for k, *_ in self.steps)
         return text[1:] if added and text.startswith(" ") else text
@@ -91,6 +136,8 @@ def from_json(data: bytes | str) -> PieceArtifact:
             steps.append(("collapse", p["content"]))
         elif p["type"] == "Prepend":
             steps.append(("prepend", p["prepend"]))
+        elif p["type"] == "Precompiled" and p.get("precompiled_charsmap"):
+            steps.append(("map", CharsMap(base64.b64decode(p["precompiled_charsmap"]))))
         elif p["type"] == "Strip":
             steps.append(("strip", p["strip_left"], p["strip_right"]))
         else:
@@ -98,4 +145,8 @@ def from_json(data: bytes | str) -> PieceArtifact:
     pre = j.get("pre_tokenizer")
     if pre and pre["type"] != "Metaspace":
         raise ValueError(f"unsupported pre-tokenizer: {pre['type']}")
-    return PieceArtifact(vocab, ranks, steps, (pre or {}).get("prepend_scheme", "always") if pre else "never", bool(model.get("ignore_merges")))
+    prepend = (pre.get("prepend_scheme") or ("always" if pre.get("add_prefix_space", True) else "never")) if pre else "never"
+    added = [Added(**{k: a[k] for k in Added.__dataclass_fields__ if k in a}) for a in j.get("added_tokens") or []]
+    bos, eos = template(j.get("post_processor"))
+    raw = data.encode() if isinstance(data, str) else data
+    return PieceArtifact(vocab, ranks, steps, prepend, bool(model.get("ignore_merges")), bool(pre), added, bos, eos, hashlib.sha256(raw).hexdigest())
