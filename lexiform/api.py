@@ -38,7 +38,7 @@ class Lexiform:
             self.plan = routing.plan(config.policy, certified, config.threshold)
         except ValueError:
             raise UncertifiedTokenizer("the policy needs a certified vocabulary", artifact_sha256=a.sha256) from None
-        self.columns = PieceTokenizer(spark, a) if isinstance(a, PieceArtifact) else Tokenizer(spark, a)
+        self.columns = (PieceTokenizer if isinstance(a, PieceArtifact) else Tokenizer)(spark, a, config.batch_bytes)
         self.sessions: dict[str, Session] = {}
         self.counts = {"encode": 0, "hit": 0, "append": 0, "overwrite": 0, "seed": 0, "noop": 0, "degraded_full_reencode": 0}
 
@@ -87,6 +87,12 @@ class Lexiform:
     def ids(self, text: Column, add_special_tokens: bool = False) -> Column:
         return self.columns.encode(text, add_special_tokens)
 
+    def ids_of(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, ids) of a table with unique ids, long texts cut and dealt out."""
+        if isinstance(self.artifact, PieceArtifact):
+            return df.select(id_col, self.ids(F.col(text_col)).alias("ids"))
+        return self.columns.encode_spread(df, id_col, text_col, self.config.spread_chars)
+
     def text(self, ids: Column, skip_special_tokens: bool = True) -> Column:
         return self.columns.decode(ids, skip_special_tokens)
 

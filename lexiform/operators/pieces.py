@@ -6,14 +6,16 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
 from ..sources.sentencepiece import PieceArtifact
 
 
 class PieceTokenizer:
     """A byte-fallback model bound to a session."""
 
-    def __init__(self, spark: SparkSession, artifact: PieceArtifact) -> None:
+    def __init__(self, spark: SparkSession, artifact: PieceArtifact, batch_bytes: int = 16 << 20) -> None:
         self.spark, self.artifact, self.local = spark, artifact, artifact
+        bound_batches(spark, batch_bytes)
         self.shared = spark.sparkContext.broadcast(artifact)  # as large as the vocabulary
 
     def _engine(self):

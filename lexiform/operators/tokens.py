@@ -1,22 +1,27 @@
 """Encoding and decoding of text columns.
 
 Pieces are split in the JVM; merging runs in Arrow UDFs that hold the vocabulary as a broadcast of its own
-size and a bounded memo of pieces. Rows are independent, so nothing is shuffled.
+size and a bounded memo of pieces. A batch's pieces are dictionary-encoded, so that Python sees each distinct
+piece once and the ids are gathered by whole arrays. Rows are independent, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schemes
 from ..functions.bpe import merge
 from ..functions.text import may_hold
+from ..session import bound_batches
 from ..sources.artifact import Artifact, Splitter
 
 MEMO = 200_000
@@ -26,7 +31,7 @@ class Engine:
     """One artifact's encoder in plain Python, for a worker or for one text."""
 
     def __init__(self, artifact: Artifact) -> None:
-        self.a, self.memo = artifact, {}
+        self.a, self.memo, self.tables = artifact, {}, {}
         self.surface = artifact.surface()
         self.special = {t.id for t in artifact.added if t.special}
         self.added = Splitter(artifact.added)
@@ -75,10 +80,22 @@ class Engine:
     def decode(self, ids, skip_special: bool = True) -> bytes:
         return b"".join(self.surface[i] for i in ids if not (skip_special and i in self.special))
 
+    def table(self, skip_special: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids one after the other, and the number of each id's; -1 where there is no such id."""
+        if skip_special not in self.tables:
+            lens = np.full(max(self.surface, default=-1) + 1, -1, np.int64)
+            parts = []
+            for i in sorted(self.surface):
+                body = b"" if skip_special and i in self.special else self.surface[i]
+                lens[i] = len(body)
+                parts.append(body)
+            self.tables[skip_special] = np.frombuffer(b"".join(parts), np.uint8), lens
+        return self.tables[skip_special]
+
     def spans(self, text: str, ids) -> tuple[np.ndarray, np.ndarray]:
         """Character spans of ids whose bytes are the text's; tokens inside one character share its span."""
         data = np.frombuffer(text.encode(), np.uint8)
-        lens = np.array([len(self.surface[i]) for i in ids], np.int64)
+        lens = self.table(False)[1][np.asarray(ids, np.int64)] if len(ids) else np.zeros(0, np.int64)
         ends = np.cumsum(lens)
         if (ends[-1] if len(ends) else 0) != len(data):
             raise ValueError("ids do not close over the text")
@@ -86,11 +103,49 @@ class Engine:
         return (char[ends - lens], char[ends - 1] + 1) if len(ends) else (ends, ends)
 
 
+def _gather(values: np.ndarray, lens: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries ``idx`` of a ragged table one after the other, and where each ends up (one offset more)."""
+    take = lens[idx]
+    offs = np.append(0, np.cumsum(take))
+    starts = np.cumsum(lens) - lens
+    return values[np.repeat(starts[idx] - offs[:-1], take) + np.arange(offs[-1])], offs
+
+
+def _looked_up(e: Engine, texts: pa.Array, pieces: pa.Array) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of the batch's distinct pieces, their indices row by row, indices per row, null rows). A row that came
+    without pieces is one entry of its own."""
+    # Nulls are seen before the pieces are put together: a null list has none.
+    bare = np.asarray(pieces.is_null())
+    counts = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pieces.flatten().dictionary_encode()
+    idx = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ids: list = [e.piece(p) for p in coded.dictionary.to_pylist()]
+    whole = np.flatnonzero(bare & np.asarray(texts.is_valid()))
+    if len(whole):
+        starts = np.cumsum(counts) - counts
+        idx = np.insert(idx, starts[whole], np.arange(len(whole)) + len(ids))
+        ids += [e.encode(t) for t in texts.take(pa.array(whole)).to_pylist()]
+        counts[whole] = 1
+    bare[whole] = False
+    return ids, idx, counts, bare
+
+
+def _lists(values: np.ndarray, offs: np.ndarray, none: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(values.astype(np.int32)), mask=pa.array(none))
+
+
+def _flat(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, one offset more than rows, null rows) of a list column."""
+    counts = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(counts)), np.asarray(rows.is_null())
+
+
 class Tokenizer:
     """An artifact bound to a session."""
 
-    def __init__(self, spark: SparkSession, artifact: Artifact) -> None:
+    def __init__(self, spark: SparkSession, artifact: Artifact, batch_bytes: int = 16 << 20) -> None:
         self.spark, self.artifact = spark, artifact
+        bound_batches(spark, batch_bytes)
         self.shared = spark.sparkContext.broadcast(artifact)  # as large as the vocabulary
         self.local = Engine(artifact)
 
@@ -119,10 +174,13 @@ class Tokenizer:
         """array<int> of a text's ids; null stays null. Equal to a from-scratch encode on either path."""
         engine = self._engine()
 
-        @F.pandas_udf("array<int>")
-        def run(texts: pd.Series, pieces: pd.Series) -> pd.Series:
-            e = engine()
-            return pd.Series([None if t is None and p is None else e.pieces(p) if p is not None else e.encode(t) for t, p in zip(texts, pieces, strict=True)], dtype=object)
+        @F.arrow_udf("array<int>")
+        def run(texts: pa.Array, pieces: pa.Array) -> pa.Array:
+            ids, idx, counts, none = _looked_up(engine(), texts, pieces)
+            lens = np.fromiter(map(len, ids), np.int64, len(ids))
+            values = np.fromiter(itertools.chain.from_iterable(ids), np.int64, lens.sum())
+            out, offs = _gather(values, lens, idx)
+            return _lists(out, offs[np.append(0, np.cumsum(counts))], none)
 
         plain = self.plain(text)
         ids = run(F.when(~plain, text), F.when(plain, self.pieces(text)))
@@ -130,6 +188,21 @@ class Tokenizer:
             ids = F.concat(F.array(*map(F.lit, self.artifact.bos)).cast("array<int>"), ids, F.array(*map(F.lit, self.artifact.eos)).cast("array<int>"))
         return ids
 
+    def count(self, text: Column) -> Column:
+        """The number of a text's ids, without sending the ids; null stays null."""
+        engine = self._engine()
+
+        @F.arrow_udf("long")
+        def run(texts: pa.Array, pieces: pa.Array) -> pa.Array:
+            ids, idx, counts, none = _looked_up(engine(), texts, pieces)
+            lens = np.fromiter(map(len, ids), np.int64, len(ids))
+            sums = np.append(0, np.cumsum(lens[idx]))
+            at = np.append(0, np.cumsum(counts))
+            return pa.array(sums[at[1:]] - sums[at[:-1]], mask=none)
+
+        plain = self.plain(text)
+        return run(F.when(~plain, text), F.when(plain, self.pieces(text)))
+
     def encode_distinct(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """The relational way: each distinct piece is merged once, and documents are put together again.
         Two shuffles of pieces; worth it only where a piece's merging costs more than its shuffle."""
@@ -159,10 +232,19 @@ class Tokenizer:
     def decode(self, ids: Column, skip_special_tokens: bool = True) -> Column:
         engine = self._engine()
 
-        @F.pandas_udf("string")
-        def run(rows: pd.Series) -> pd.Series:
+        @F.arrow_udf("string")
+        def run(rows: pa.Array) -> pa.Array:
             e = engine()
-            return pd.Series([None if r is None else e.decode(r, skip_special_tokens).decode("utf-8", "replace") for r in rows], dtype=object)
+            ids, at, none = _flat(rows)
+            values, lens = e.table(skip_special_tokens)
+            if len(ids) and not (0 <= ids.min() and ids.max() < len(lens) and (lens[ids] >= 0).all()):
+                raise KeyError("an id that the vocabulary lacks")
+            data, offs = _gather(values, np.maximum(lens, 0), ids)
+            ends = offs[at]
+            try:
+                return pa.array([None if n else data[a:b].tobytes().decode() for a, b, n in zip(ends[:-1], ends[1:], none, strict=True)], pa.string())
+            except UnicodeDecodeError:
+                return pa.array([None if n else data[a:b].tobytes().decode("utf-8", "replace") for a, b, n in zip(ends[:-1], ends[1:], none, strict=True)], pa.string())
 
         return run(ids)
 
@@ -170,15 +252,22 @@ class Tokenizer:
         """struct<starts, ends> in characters, or null where the ids do not close over the text."""
         engine = self._engine()
 
-        @F.pandas_udf("struct<starts: array<int>, ends: array<int>>")
-        def run(texts: pd.Series, rows: pd.Series) -> pd.DataFrame:
-            e, out = engine(), []
-            for t, r in zip(texts, rows, strict=True):
+        @F.arrow_udf("struct<starts: array<int>, ends: array<int>>")
+        def run(texts: pa.Array, rows: pa.Array) -> pa.Array:
+            e = engine()
+            flat, at, none = _flat(rows)
+            starts, ends = [], []
+            for k, t in enumerate(texts.to_pylist()):
                 try:
-                    out.append(e.spans(t, r) if t is not None and r is not None else (None, None))
+                    a, b = e.spans(t, flat[at[k] : at[k + 1]]) if t is not None and not none[k] else (None, None)
                 except ValueError:
-                    out.append((None, None))
-            return pd.DataFrame({"starts": [a for a, _ in out], "ends": [b for _, b in out]})
+                    a, b = None, None
+                starts.append(a)
+                ends.append(b)
+            lost = np.array([a is None for a in starts], bool)
+            offs = np.append(0, np.cumsum([0 if a is None else len(a) for a in starts])).astype(np.int64)
+            join = lambda x: np.concatenate([np.zeros(0, np.int64), *(y for y in x if y is not None)])
+            return pa.StructArray.from_arrays([_lists(join(starts), offs, lost), _lists(join(ends), offs, lost)], ["starts", "ends"])
 
         return run(text, ids)
 

@@ -12,6 +12,7 @@ from .functions import schemes, text
 from .operators import lookup, sessions
 from .operators.tokens import Tokenizer
 from .plans import routing
+from .session import spread
 from .sources import records
 from .sources.artifact import byte_artifact, load
 
@@ -24,6 +25,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of documents for work that costs more than moving them."""
+    return spread(_table(spark, sf_dir, "documents").select(*columns))
+
+
 def _bytes(spark: SparkSession) -> Tokenizer:
     return Tokenizer(spark, byte_artifact())
 
@@ -33,48 +39,47 @@ def _real(spark: SparkSession) -> Tokenizer:
 
 
 def token_count_by(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select(key, "text")
-    counted = docs.select(key, F.size(_bytes(spark).encode(F.col("text"))).alias("n"))
+    docs = _dealt(spark, sf_dir, key, "text")
+    counted = docs.select(key, _bytes(spark).count(F.col("text")).alias("n"))
     return counted.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").cast("long").alias("n_tokens"))
 
 
 def encode_bytes_ids(spark, sf_dir):
-    ids = _table(spark, sf_dir, "documents").select("doc_id", _bytes(spark).encode(F.col("text")).alias("ids"))
+    ids = _dealt(spark, sf_dir, "doc_id", "text").select("doc_id", _bytes(spark).encode(F.col("text")).alias("ids"))
     total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), total.alias("sum_ids"), F.element_at("ids", -1).cast("long").alias("last_id"))
 
 
 def decode_roundtrip(spark, sf_dir):
     tok = _real(spark)
-    ids = _table(spark, sf_dir, "documents").select("doc_id", tok.encode(F.col("text")).alias("ids"))
+    ids = _dealt(spark, sf_dir, "doc_id", "text").select("doc_id", tok.encode(F.col("text")).alias("ids"))
     return ids.select("doc_id", F.sha2(tok.decode("ids"), 256).alias("text_sha256"))
 
 
 def encode_bpe(spark, sf_dir):
-    ids = _table(spark, sf_dir, "documents").select("doc_id", _real(spark).encode(F.col("text")).alias("ids"))
+    ids = _dealt(spark, sf_dir, "doc_id", "text").select("doc_id", _real(spark).encode(F.col("text")).alias("ids"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"))
 
 
 def spans_tile(spark, sf_dir):
     tok = _real(spark)
-    rows = _table(spark, sf_dir, "documents").select("doc_id", "text", tok.encode(F.col("text")).alias("ids"))
+    rows = _dealt(spark, sf_dir, "doc_id", "text").select("doc_id", "text", tok.encode(F.col("text")).alias("ids"))
     s = rows.select("doc_id", tok.spans(F.col("text"), F.col("ids")).alias("s")).select("doc_id", "s.*")
     nexts = F.zip_with(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda a, b: a <= b)
     return s.select("doc_id", F.array_min("starts").cast("long").alias("first_char"), F.array_max("ends").cast("long").alias("end_char"), F.forall(nexts, lambda x: x).alias("no_gap"))
 
 
 def pieces_by_scheme(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    each = [docs.select(F.lit(s).alias("scheme"), F.size(schemes.pieces(F.col("text"), s)).alias("n"), (F.array_join(schemes.pieces(F.col("text"), s), "") == F.col("text")).alias("whole")) for s in schemes.SCHEMES]
-    out = each[0]
-    for x in each[1:]:
-        out = out.unionByName(x)
-    return out.groupBy("scheme").agg(F.sum("n").cast("long").alias("n_pieces"), F.min("whole").alias("whole"))
+    docs = _dealt(spark, sf_dir, "text")
+    told = lambda p: F.struct(F.size(p).alias("n"), (F.array_join(p, "") == F.col("text")).alias("whole"))
+    each = docs.select(F.posexplode(F.transform(F.array(*[schemes.pieces(F.col("text"), s) for s in schemes.SCHEMES]), told)).alias("k", "r"))
+    name = F.element_at(F.array(*map(F.lit, schemes.SCHEMES)), F.col("k") + 1)
+    return each.groupBy(name.alias("scheme")).agg(F.sum("r.n").cast("long").alias("n_pieces"), F.min("r.whole").alias("whole"))
 
 
 def memo_reuse_ratio(spark, sf_dir):
     """Pieces and distinct pieces of the corpus: what a memo of pieces saves."""
-    each = _table(spark, sf_dir, "documents").select(F.explode(schemes.pieces(F.col("text"), "gpt2")).alias("piece"))
+    each = _dealt(spark, sf_dir, "text").select(F.explode(schemes.pieces(F.col("text"), "gpt2")).alias("piece"))
     return each.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").cast("long").alias("n_pieces"), F.count(F.lit(1)).alias("n_distinct"))
 
 
@@ -152,7 +157,7 @@ def store_keep(spark, sf_dir):
 
 def record_store(spark, sf_dir):
     """Every document as a record, read back and verified."""
-    d = _table(spark, sf_dir, "documents")
+    d = _dealt(spark, sf_dir, "doc_id", "text")
     tok, key = _bytes(spark), bytes.fromhex(byte_artifact().fingerprint())
     states = d.select(F.col("doc_id").alias("session"), F.lit(0).alias("revision"), "text", tok.encode(F.col("text")).alias("ids"))
     held = records.write(states, key)
@@ -162,7 +167,7 @@ def record_store(spark, sf_dir):
 
 def record_damage(spark, sf_dir):
     """Records with one byte changed, at a place that the id chooses: none is accepted."""
-    d = _table(spark, sf_dir, "documents")
+    d = _dealt(spark, sf_dir, "doc_id", "text")
     tok, key = _bytes(spark), bytes.fromhex(byte_artifact().fingerprint())
     held = records.write(d.select(F.col("doc_id").alias("session"), F.lit(0).alias("revision"), "text", tok.encode(F.col("text")).alias("ids")), key)
     at = F.pmod(F.col("session") * 7919, F.length("record")).cast("int")
@@ -197,7 +202,7 @@ def encode_spread(spark, sf_dir):
 
 def ragged_offsets(spark, sf_dir):
     """The place of each document's ids in one long column of all, in the order of the ids of documents, by language."""
-    n = _table(spark, sf_dir, "documents").select("lang", "doc_id", F.size(_bytes(spark).encode(F.col("text"))).cast("long").alias("n"))
+    n = _dealt(spark, sf_dir, "lang", "doc_id", "text").select("lang", "doc_id", _bytes(spark).count(F.col("text")).alias("n"))
     w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     return n.select("lang", "doc_id", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long").alias("offset"), "n")
 
@@ -208,7 +213,7 @@ def mark_positions(spark, sf_dir):
 
 def letter_runs_topk(spark, sf_dir):
     """The hundred most frequent letter runs, ties by the run."""
-    runs = _table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("piece"))
+    runs = _dealt(spark, sf_dir, "text").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("piece"))
     return runs.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "piece").limit(100)
 
 

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +23,19 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(path))
         _shipped.add(app)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out rows of a table that lies in fewer files than there are cores: a file of one row group is one task,
+    however many splits its scan shows. Larger tables stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > 4 * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(2 * cores)
+
+
+def bound_batches(spark: SparkSession, size: int) -> None:
+    """Keep Arrow batches below ``size`` bytes, unless the session sets a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1)).rstrip("b")) > 64 << 20:
+        spark.conf.set(key, str(size))
