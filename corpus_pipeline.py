@@ -30,10 +30,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of equal texts goes on, that of the largest id; one also of rows that repeat text and id."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_own"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_own"]).select(*COLUMNS)
+    # A null id gets a value of its own, so that the join and the last step deal texts out by the same keys, once.
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    kept = exact_dedup(docs).filter("kept").select(key, F.col("text_sha256").alias("_own"))
+    rows = docs.select(*COLUMNS, key, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_own"))
+    rows = rows.join(kept, ["_key", "_own"], "left_semi")
+    return rows.dropDuplicates(["_key", "_own"]).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
