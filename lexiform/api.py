@@ -47,7 +47,10 @@ class Lexiform:
         if add_special_tokens and (session is not None or offsets):
             raise UnsupportedConfig("special tokens are added to plain encodes only", option="add_special_tokens", value=True, reason="sessions and offsets hold core ids")
         if session is not None:
-            held = self.sessions.setdefault(session, Session(self.columns.local))
+            held = self.sessions.pop(session, None) or Session(self.columns.local)
+            self.sessions[session] = held  # the last used is last
+            while len(self.sessions) > self.config.max_sessions:
+                del self.sessions[next(iter(self.sessions))]
             path = held.transcript(text)[4]
             self.counts[path] += 1
             ids = held.ids

@@ -22,6 +22,7 @@ class Config:
     threshold: int = THRESHOLD
     spread_chars: int = 1 << 16
     batch_bytes: int = 16 << 20
+    max_sessions: int = 1024
     diagnostics: bool = False
 
     def with_(self, **values) -> Config:

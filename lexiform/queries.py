@@ -13,11 +13,12 @@ from .operators import lookup, sessions
 from .operators.tokens import Tokenizer
 from .plans import routing
 from .session import spread
-from .sources import records
-from .sources.artifact import byte_artifact, load
+from .sources import convert, records
+from .sources.artifact import byte_artifact, load, unsafe_frame
 
 #: A public byte-level vocabulary; a parameter wherever it is used.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 ADDED = ["<script>", "the ", "</p>"]
 
 
@@ -112,6 +113,18 @@ def session_final_length(spark, sf_dir):
     return p.groupBy(F.col("session").alias("conv_id")).agg(F.max("revision").alias("revision"), F.max_by("token_count", "revision").cast("long").alias("token_count"))
 
 
+def unsafe_merges(spark, sf_dir):
+    """The merges of a public vocabulary that a fold over ranks would take too early."""
+    return unsafe_frame(load(spark, f"file://{VOCABULARY}").merges_frame(spark)).agg(F.count(F.lit(1)).alias("n_merges"))
+
+
+def conversion_splits(spark, sf_dir):
+    """All two-way splits of a rank file's tokens, by the number of bytes of the token."""
+    ranks = convert.rank_frame(spark, bytes(spark.read.format("binaryFile").load(f"file://{RANKS}").select("content").first()["content"]))
+    n = ranks.select("rank", F.length("token").cast("long").alias("n_bytes"))
+    return convert.splits(ranks).join(n, "rank").groupBy("n_bytes").agg(F.count(F.lit(1)).alias("n_splits"), F.sum("left").alias("sum_left"), F.sum("right").alias("sum_right"))
+
+
 def _transcripts(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("body"), F.element_at("t", 1)["text"].alias("head"))
@@ -244,6 +257,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "content_digest": content_digest,
         "block_slices": block_slices,
         "vocab_byte_lengths": vocab_byte_lengths,
+        "unsafe_merges": unsafe_merges,
+        "conversion_splits": conversion_splits,
         "block_chain": block_chain,
         "chain_prefix_blocks": chain_prefix_blocks,
         "serve_paths": serve_paths,
@@ -281,6 +296,7 @@ def oracle_sql() -> dict[str, str]:
         "session_final_length": "SELECT conv_id, count(*) - 1 AS revision, CAST(sum(strlen(text)) AS BIGINT) AS token_count FROM conversations GROUP BY conv_id",
         "prefix_lookup_longest": "WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS body, first(text ORDER BY turn) AS head FROM conversations GROUP BY conv_id), c AS (SELECT q.conv_id, e.conv_id AS entry_id, CAST(strlen(e.head) AS BIGINT) AS matched_bytes, row_number() OVER (PARTITION BY q.conv_id ORDER BY strlen(e.head) DESC, e.conv_id) AS k FROM t q JOIN t e ON starts_with(q.body, e.head) AND e.head <> '') SELECT conv_id, entry_id, matched_bytes FROM c WHERE k = 1",
         "content_digest": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS byte_length, sha256(text) AS end_digest, CAST(len(list_filter(range(0, 19), lambda k: 4096 * (1::BIGINT << k) < strlen(text))) AS BIGINT) AS n_marks FROM documents",
+        "conversion_splits": f"WITH r AS (SELECT hex(from_base64(token)) AS h, rank FROM read_csv('{RANKS}', delim=' ', header=false, quote='', escape='', columns={{'token': 'VARCHAR', 'rank': 'BIGINT'}})), s AS (SELECT h, unnest(range(1, length(h) // 2)) AS k FROM r) SELECT CAST(length(s.h) // 2 AS BIGINT) AS n_bytes, count(*) AS n_splits, CAST(sum(a.rank) AS BIGINT) AS sum_left, CAST(sum(b.rank) AS BIGINT) AS sum_right FROM s JOIN r a ON a.h = substr(s.h, 1, 2 * k) JOIN r b ON b.h = substr(s.h, 2 * k + 1) GROUP BY 1",
         "block_chain": "WITH b AS (SELECT doc_id, text, list_transform(range(0, length(text) // 4096), lambda i: substr(text, 4096 * i + 1, 4096)) AS bs FROM documents), k AS (SELECT doc_id, bs, unnest(range(1, len(bs) + 1)) AS k FROM b) SELECT doc_id, k - 1 AS block, list_reduce([''] || bs[1:k], lambda a, x: sha256(a || x)) AS node FROM k",
         "chain_prefix_blocks": "WITH p AS (SELECT doc_id, substr(text, 1, 4096 * k) AS p, k FROM (SELECT doc_id, text, unnest(range(1, length(text) // 4096 + 1)) AS k FROM documents)), h AS (SELECT DISTINCT p FROM p WHERE doc_id % 2 = 0) SELECT d.doc_id, count(h.p) AS n_blocks FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN h ON h.p = p.p GROUP BY d.doc_id",
         "serve_paths": "WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS body, first(text ORDER BY turn) AS head FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN head = '' AND NOT any_hit THEN 'miss' WHEN same THEN 'exact' ELSE 'extension' END AS path, CASE WHEN any_hit THEN CAST(strlen(body) AS BIGINT) END AS n_tokens FROM (SELECT conv_id, body, head, EXISTS (SELECT 1 FROM t e WHERE e.head <> '' AND starts_with(t.body, e.head)) AS any_hit, EXISTS (SELECT 1 FROM t e WHERE e.head <> '' AND e.head = t.body) AS same FROM t)",

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import ArtifactHashMismatch, ArtifactNotFound
 from ..functions import schemes
@@ -103,6 +104,14 @@ class Artifact:
         return spark.createDataFrame(sorted((r, a, b, m) for (a, b), (r, m) in self.ranks.items()), "rank int, left int, right int, merged int")
 
 
+def unsafe_frame(merges: DataFrame) -> DataFrame:
+    """Merges (rank, left, right, merged) whose rank is below that of the first merge that makes one of their parts."""
+    made = merges.groupBy("merged").agg(F.min("rank").alias("made"))
+    part = lambda side: made.select(F.col("merged").alias(side), F.col("made").alias(f"{side}_made"))
+    held = merges.join(part("left"), "left", "left").join(part("right"), "right", "left")
+    return held.filter((F.col("left_made") > F.col("rank")) | (F.col("right_made") > F.col("rank"))).select("rank", "left", "right", "merged")
+
+
 def byte_artifact(scheme: str = "gpt2", added: list[Added] | None = None) -> Artifact:
     """One token per byte and no merges: any wrong id shows at once."""
     return Artifact({b: bytes([b]) for b in range(256)}, {}, scheme, added or [])

@@ -11,7 +11,7 @@ from lexiform.functions import schemes
 from lexiform.operators.tokens import Engine
 from lexiform.plans.routing import Policy
 from lexiform.sources import convert, manifest
-from lexiform.sources.artifact import from_json, from_ranks
+from lexiform.sources.artifact import from_json, from_ranks, unsafe_frame
 
 public = pytest.importorskip("public_tokenizers")
 hf = pytest.importorskip("tokenizers")  # the oracle only
@@ -44,6 +44,10 @@ def test_front_door(spark):
     with pytest.raises(UnsupportedConfig):
         tok.encode("a", session="s", add_special_tokens=True)
     assert "append 2" in tok.explain()
+    few = api.load(spark, path, max_sessions=2)
+    for name in ("a", "b", "a", "c"):
+        few.encode("x", session=name)
+    assert list(few.sessions) == ["a", "c"] and few.counts["hit"] == 1
     df = spark.createDataFrame([("short",), ("a longer text",), ("x<|endoftext|>",)], "text string")
     assert {(r.path, r.n_rows) for r in tok.explain(df).collect()} == {("fast", 1), ("split", 1), ("reference", 1)}
     with pytest.raises(UncertifiedTokenizer):
@@ -99,6 +103,12 @@ def test_splits_table_equals_merges(spark):
             convert.parse(bad)
 
 
+def test_unsafe_ranks(spark):
+    a = from_json(json.dumps({"model": {"vocab": {"a": 0, "b": 1, "ab": 2, "abb": 3, "ba": 4}, "merges": ["ab b", "a b", "b a"]}}))
+    rows = unsafe_frame(a.merges_frame(spark)).collect()
+    assert [(r.left, r.right) for r in rows] == a.unsafe_ranks() == [(2, 1)]
+
+
 def test_manifest(spark, tmp_path):
     for name, body in (("one", b"1"), ("two", b"22"), ("copy", b"1"), ("odd", b"odd")):
         (tmp_path / f"{name}.json").write_bytes(body)
