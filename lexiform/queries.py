@@ -296,6 +296,8 @@ def oracle_sql() -> dict[str, str]:
         "session_final_length": "SELECT conv_id, count(*) - 1 AS revision, CAST(sum(strlen(text)) AS BIGINT) AS token_count FROM conversations GROUP BY conv_id",
         "prefix_lookup_longest": "WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS body, first(text ORDER BY turn) AS head FROM conversations GROUP BY conv_id), c AS (SELECT q.conv_id, e.conv_id AS entry_id, CAST(strlen(e.head) AS BIGINT) AS matched_bytes, row_number() OVER (PARTITION BY q.conv_id ORDER BY strlen(e.head) DESC, e.conv_id) AS k FROM t q JOIN t e ON starts_with(q.body, e.head) AND e.head <> '') SELECT conv_id, entry_id, matched_bytes FROM c WHERE k = 1",
         "content_digest": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS byte_length, sha256(text) AS end_digest, CAST(len(list_filter(range(0, 19), lambda k: 4096 * (1::BIGINT << k) < strlen(text))) AS BIGINT) AS n_marks FROM documents",
+        "vocab_byte_lengths": f"SELECT CAST(length(k) AS BIGINT) AS n_bytes, count(*) AS n_tokens FROM (SELECT unnest(json_keys(content, '$.model.vocab')) AS k FROM read_text('{VOCABULARY}') UNION SELECT unnest(json_extract_string(content, '$.added_tokens[*].content')) FROM read_text('{VOCABULARY}')) GROUP BY 1",
+        "unsafe_merges": f"WITH l AS (SELECT from_json(json_extract(content, '$.model.merges'), '[\"json\"]') AS ms FROM read_text('{VOCABULARY}')), m AS (SELECT unnest(range(1, len(ms) + 1)) AS rank, unnest(ms) AS x FROM l), p AS (SELECT rank, CASE WHEN json_type(x) = 'ARRAY' THEN x ->> 0 ELSE split_part(x ->> '$', ' ', 1) END AS a, CASE WHEN json_type(x) = 'ARRAY' THEN x ->> 1 ELSE split_part(x ->> '$', ' ', 2) END AS b FROM m), made AS (SELECT a || b AS t, min(rank) AS made FROM p GROUP BY 1) SELECT count(*) AS n_merges FROM p LEFT JOIN made l ON l.t = p.a LEFT JOIN made r ON r.t = p.b WHERE l.made > p.rank OR r.made > p.rank",
         "conversion_splits": f"WITH r AS (SELECT hex(from_base64(token)) AS h, rank FROM read_csv('{RANKS}', delim=' ', header=false, quote='', escape='', columns={{'token': 'VARCHAR', 'rank': 'BIGINT'}})), s AS (SELECT h, unnest(range(1, length(h) // 2)) AS k FROM r) SELECT CAST(length(s.h) // 2 AS BIGINT) AS n_bytes, count(*) AS n_splits, CAST(sum(a.rank) AS BIGINT) AS sum_left, CAST(sum(b.rank) AS BIGINT) AS sum_right FROM s JOIN r a ON a.h = substr(s.h, 1, 2 * k) JOIN r b ON b.h = substr(s.h, 2 * k + 1) GROUP BY 1",
         "block_chain": "WITH b AS (SELECT doc_id, text, list_transform(range(0, length(text) // 4096), lambda i: substr(text, 4096 * i + 1, 4096)) AS bs FROM documents), k AS (SELECT doc_id, bs, unnest(range(1, len(bs) + 1)) AS k FROM b) SELECT doc_id, k - 1 AS block, list_reduce([''] || bs[1:k], lambda a, x: sha256(a || x)) AS node FROM k",
         "chain_prefix_blocks": "WITH p AS (SELECT doc_id, substr(text, 1, 4096 * k) AS p, k FROM (SELECT doc_id, text, unnest(range(1, length(text) // 4096 + 1)) AS k FROM documents)), h AS (SELECT DISTINCT p FROM p WHERE doc_id % 2 = 0) SELECT d.doc_id, count(h.p) AS n_blocks FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN h ON h.p = p.p GROUP BY d.doc_id",
