@@ -45,3 +45,8 @@ def may_hold(c: Column, literals: list[str]) -> Column:
 def over(c: Column, threshold: int) -> Column:
     """Whether the text has at least so many UTF-8 bytes."""
     return F.octet_length(c) >= threshold
+
+
+def valid(c: Column) -> Column:
+    """Whether bytes are a text; what isn't goes to the reference path."""
+    return F.is_valid_utf8(c.cast("string"))

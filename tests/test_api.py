@@ -151,3 +151,10 @@ def test_command_line(tmp_path, capsys):
     assert main(["inspect", "/no/such"]) == 2
     assert main(["convert", path, str(tmp_path / "t.json")]) == 0 and main(["inspect", str(tmp_path / "t.json")]) == 0
     assert main(["doctor"]) == 0 and main(["nothing"]) == 64
+
+
+def test_validity(spark):
+    from lexiform.functions.text import valid
+
+    rows = spark.createDataFrame([(0, bytearray(b"ok")), (1, bytearray(b"\xc3")), (2, bytearray("é".encode())), (3, None)], "i int, b binary")
+    assert [r.v for r in rows.orderBy("i").select(valid(F.col("b")).alias("v")).collect()] == [True, False, True, None]
