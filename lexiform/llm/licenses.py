@@ -3,7 +3,9 @@
 A template is aligned with a text by the words that are unique in both: the longest increasing
 subsequence of their places anchors the alignment, equal words next to an anchor extend it, and the gaps
 between anchors are aligned again in the same way, since words that repeat in the whole text are often
-unique in a gap. Coverage is the aligned part of the template.
+unique in a gap. A gap without such words is aligned by its longest common subsequence. Every window of a text
+is looked at, so a notice is found wherever and however often its words stand. Coverage is the aligned part of the
+template in the best window.
 
 Only words of some template can ever align, so a text is reduced to those first; places count all words.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Sequence
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +33,7 @@ TEMPLATES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
 }
 COVERAGE = 0.8
-#: An alignment may spread over at most so many times its template's words.
+#: A window, and so an alignment, spreads over at most so many times its template's words.
 SPREAD = 2.0
 
 
@@ -60,6 +63,48 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _rows(a: Sequence, b: Sequence) -> list[int]:
+    """After each item of ``a``, which places of ``b`` do not add to the longest common subsequence so far, as bits."""
+    at: dict = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v, out = full, []
+    for x in a:
+        if m := at.get(x):
+            u = v & m
+            v = (v + u | v - u) & full
+        out.append(v)
+    return out
+
+
+def common(a: Sequence, b: Sequence) -> int:
+    """Length of the longest common subsequence."""
+    at: dict = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    for x in a:
+        if m := at.get(x):
+            u = v & m
+            v = (v + u | v - u) & full
+    return len(b) - v.bit_count()
+
+
+def _common_pairs(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence."""
+    rows, out, i, j = _rows(a, b), [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def align(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     """Aligned places of ``a`` and ``b``, increasing in both."""
     out: list[tuple[int, int]] = []
@@ -72,6 +117,7 @@ def align(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
         place = {b[j]: j for j in range(b0, b1) if in_b[b[j]] == 1}
         anchors = _increasing([(i, place[a[i]]) for i in range(a0, a1) if in_a[a[i]] == 1 and a[i] in place])
         if not anchors:
+            out += [(a0 + i, b0 + j) for i, j in _common_pairs(a[a0:a1], b[b0:b1])]
             continue
         pa_, pb = a0, b0
         for i, j in [*anchors, (a1, b1)]:
@@ -92,6 +138,37 @@ def align(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _window(words: Sequence, places: list[int], template: Sequence) -> list[tuple[int, int]]:
+    """The alignment of the window with the most words in common with the template; the first of equals, [] below COVERAGE.
+
+    Windows span at most SPREAD times the template's words. What a window has in common it has within any larger
+    stretch too, so a run of windows is passed over when the stretch of all of them has too little, and halved otherwise.
+    """
+    n, span = len(template), int(SPREAD * len(template))
+    best, found = max(1, ceil(COVERAGE * n - 1e-9)) - 1, None
+    todo = [(e, min(e + n, len(words)) - 1) for e in range(0, len(words), n)][::-1]
+    while todo and best < n:
+        first, last = todo.pop()
+        lo = bisect_left(places, places[first] - span + 1)
+        if last + 1 - lo <= best or (size := common(words[lo : last + 1], template)) <= best:
+            continue
+        if places[last] - places[lo] < span:
+            best, found = size, (lo, last + 1)
+        else:
+            mid = (first + last) // 2
+            todo += [(mid + 1, last), (first, mid)]
+    if found is None:
+        return []
+    lo, hi = found
+    hi = bisect_left(range(hi), best, lo=lo, key=lambda e: common(words[lo : e + 1], template)) + 1
+    lo = bisect_left(range(hi), 1 - best, lo=lo, key=lambda s: -common(words[s:hi], template)) - 1
+    part = words[lo:hi]
+    pairs = align(part, template)
+    if len(pairs) < best:  # anchors that cross what is in common
+        pairs = _common_pairs(part, template)
+    return [(lo + i, j) for i, j in pairs]
+
+
 def scan(text: bytes, templates: dict[str, list[bytes]], vocabulary: dict[bytes, bytes | None]) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, aligned words, first place, place after the last) of all templates that reach COVERAGE.
 
@@ -112,23 +189,13 @@ def scan(text: bytes, templates: dict[str, list[bytes]], vocabulary: dict[bytes,
     for name, template in templates.items():
         if sum(t in have for t in template) < COVERAGE * len(template):
             continue
-        pairs = _dense(align(words, template), places, len(template))
-        if len(pairs) >= COVERAGE * len(template):
-            out.append((name, len(pairs) / len(template), len(pairs), places[pairs[0][0]], places[pairs[-1][0]] + 1))
+        own = set(template)
+        at = [k for k, w in enumerate(words) if w in own]
+        if pairs := _window([words[k] for k in at], [places[k] for k in at], template):
+            out.append((name, len(pairs) / len(template), len(pairs), places[at[pairs[0][0]]], places[at[pairs[-1][0]]] + 1))
     return sorted(out, key=lambda x: (-x[2], x[0]))
 
 
-def _dense(pairs: list[tuple[int, int]], places: list[int], size: int) -> list[tuple[int, int]]:
-    """The largest part of an alignment that lies within SPREAD times the template's length; the first of equals."""
-    best, a = [], 0
-    for b in range(len(pairs)):
-        while places[pairs[b][0]] - places[pairs[a][0]] + 1 > SPREAD * size:
-            a += 1
-        if b - a + 1 > len(best):
-            best = pairs[a : b + 1]
-    return best
-
-
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """One row per input row: id, license, coverage, n_aligned, first_word, end_word, n_found.
 

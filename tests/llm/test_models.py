@@ -229,3 +229,51 @@ def test_licenses_documents(spark, small):
                 assert got[r.doc_id], r.doc_id
         if "licen" not in plain:
             assert got[r.doc_id] is None
+
+
+def test_licenses_repeated(spark):
+    """A notice whose words are not unique in the text is found all the same."""
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    words = notice.split()
+    rows = [
+        (60, notice + "\n" + "prose " * 100 + "\n" + notice),
+        (61, notice + "\n" + notice),
+        (62, " prose ".join(reversed(words)) + " prose " * 40 + notice + " prose " * 40 + " prose ".join(reversed(words))),
+        (63, "the MIT group released under the sun a License. " * 40 + "Released under the MIT License. " + "the License of MIT. " * 40),
+        (64, " prose ".join(words[::-1] * 50)),
+        (65, words[0] + " prose" * 30 + " " + " ".join(words[1:7]) + " prose" * 30 + " " + " ".join(words[7:])),
+    ]
+    got = {r.doc_id: r for r in licenses.license_scan(frame(spark, rows)).collect()}
+    assert {i: r.license for i, r in got.items()} == {60: "GPL-3.0", 61: "GPL-3.0", 62: "GPL-3.0", 63: "MIT", 64: None, 65: None}
+    assert [(got[i].first_word, got[i].end_word, got[i].coverage) for i in (60, 61)] == [(0, 12, 1.0)] * 2
+    assert (got[62].end_word - got[62].first_word, got[62].coverage) == (12, 1.0)
+
+
+def test_license_windows():
+    """The best of all windows, against every window by the plain recurrence."""
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(8)
+    hits = 0
+    for _ in range(400):
+        template = [rng.choice("abcdef") for _ in range(rng.randrange(1, 9))]
+        text = [rng.choice("abcdefxyz") for _ in range(rng.randrange(0, 40))]
+        if rng.random() < 0.5:
+            text[5:5] = template * rng.randrange(1, 3)
+        at = [i for i, w in enumerate(text) if w in template]
+        got = licenses._window([text[i] for i in at], at, template)
+        span = int(licenses.SPREAD * len(template))
+        want = max((plain(text[i : i + span], template) for i in range(len(text))), default=0)
+        assert len(got) == (want if want >= licenses.COVERAGE * len(template) else 0)
+        assert all(text[at[i]] == template[j] for i, j in got)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+        hits += bool(got)
+    assert hits > 100
