@@ -12,7 +12,7 @@ Only words of some template can ever align, so a text is reduced to those first;
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Sequence
 from math import ceil
@@ -21,17 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .notices import NOTICES, notices
 from .tables import batch, bound_batches, text_of
 
-#: Notices that stand in texts, by SPDX identifier. Fixed values.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-}
+#: Notices that stand in texts, by SPDX identifier. Fixed values; ``notices()`` adds whole license texts, which only the driver reads.
+TEMPLATES = {name: text for name, (text, _) in NOTICES.items()}
+#: Least part of a template that is aligned. Its deciding words, which tell its name and version, are all aligned besides.
 COVERAGE = 0.8
 #: A window, and so an alignment, spreads over at most so many times its template's words.
 SPREAD = 2.0
@@ -138,60 +133,94 @@ def align(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _window(words: Sequence, places: list[int], template: Sequence) -> list[tuple[int, int]]:
+def _find(words: Sequence, part: Sequence) -> list[int]:
+    """Where ``part`` stands in ``words``."""
+    return [k for k in range(len(words) - len(part) + 1) if words[k] == part[0] and list(words[k : k + len(part)]) == list(part)]
+
+
+def _window(words: Sequence, places: list[int], template: Sequence, deciding: Sequence = (), ranks: list[int] | None = None) -> list[tuple[int, int]]:
     """The alignment of the window with the most words in common with the template; the first of equals, [] below COVERAGE.
 
     Windows span at most SPREAD times the template's words. What a window has in common it has within any larger
     stretch too, so a run of windows is passed over when the stretch of all of them has too little, and halved otherwise.
+    deciding: words of the template that a window must hold one behind the other; ranks: places that count words with a letter or digit only.
     """
-    n, span = len(template), int(SPREAD * len(template))
+    n, span, m = len(template), int(SPREAD * len(template)), len(deciding)
+    p = _find(template, deciding)[0] if m else 0
+    ranks = ranks or places
+    marks = [k for k in _find(words, deciding) if ranks[k + m - 1] - ranks[k] == m - 1] if m else []
+
+    def parts(lo: int, hi: int) -> list[tuple[int, int, int, int]]:
+        """(words in common, end of the words before, the deciding words, begin of the words behind)."""
+        if not m:
+            return [(common(words[lo:hi], template), hi, n, n)]
+        inside = marks[bisect_left(marks, lo) : bisect_right(marks, hi - m)]
+        return [(common(words[lo:k], template[:p]) + m + common(words[k + m : hi], template[p + m :]), k, p, p + m) for k in inside]
+
+    def size(lo: int, hi: int) -> int:
+        return max((x[0] for x in parts(lo, hi)), default=0)
+
     best, found = max(1, ceil(COVERAGE * n - 1e-9)) - 1, None
-    todo = [(e, min(e + n, len(words)) - 1) for e in range(0, len(words), n)][::-1]
+    todo = [(e, min(e + n, len(words)) - 1) for e in range(0, len(words), n)][::-1] if marks or not m else []
     while todo and best < n:
         first, last = todo.pop()
         lo = bisect_left(places, places[first] - span + 1)
-        if last + 1 - lo <= best or (size := common(words[lo : last + 1], template)) <= best:
+        if last + 1 - lo <= best or (got := size(lo, last + 1)) <= best:
             continue
         if places[last] - places[lo] < span:
-            best, found = size, (lo, last + 1)
+            best, found = got, (lo, last + 1)
         else:
             mid = (first + last) // 2
             todo += [(mid + 1, last), (first, mid)]
     if found is None:
         return []
     lo, hi = found
-    hi = bisect_left(range(hi), best, lo=lo, key=lambda e: common(words[lo : e + 1], template)) + 1
-    lo = bisect_left(range(hi), 1 - best, lo=lo, key=lambda s: -common(words[s:hi], template)) - 1
-    part = words[lo:hi]
-    pairs = align(part, template)
-    if len(pairs) < best:  # anchors that cross what is in common
-        pairs = _common_pairs(part, template)
-    return [(lo + i, j) for i, j in pairs]
+    hi = bisect_left(range(hi), best, lo=lo, key=lambda e: size(lo, e + 1)) + 1
+    lo = bisect_left(range(hi), 1 - best, lo=lo, key=lambda s: -size(s, hi)) - 1
+    _, k, q, r = max(parts(lo, hi), key=lambda x: x[0])
+    out = _most(words, lo, k, template, 0, q)
+    if m:
+        out += [(k + i, p + i) for i in range(m)] + _most(words, k + m, hi, template, r, n)
+    return out
 
 
-def scan(text: bytes, templates: dict[str, list[bytes]], vocabulary: dict[bytes, bytes | None]) -> list[tuple[str, float, int, int, int]]:
+def _most(a: Sequence, a0: int, a1: int, b: Sequence, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Patience alignment of two parts, or what they have in common where anchors cross it."""
+    pairs = align(a[a0:a1], b[b0:b1])
+    if len(pairs) < common(a[a0:a1], b[b0:b1]):
+        pairs = _common_pairs(a[a0:a1], b[b0:b1])
+    return [(a0 + i, b0 + j) for i, j in pairs]
+
+
+def scan(text: bytes, templates: dict[str, tuple[list[bytes], list[bytes]]], vocabulary: dict[bytes, bytes | None], known: set[bytes] | None = None) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, aligned words, first place, place after the last) of all templates that reach COVERAGE.
 
-    vocabulary: memo from raw lower-cased words to template words, None for others.
+    templates: words and deciding words. vocabulary: memo from raw lower-cased words to template words, None for others,
+    empty for words without a letter or digit. known: all words of templates.
     """
-    known = {t for ts in templates.values() for t in ts}
-    words, places = [], []
+    known = known or {t for ts, _ in templates.values() for t in ts}
+    words, places, ranks, rank = [], [], [], 0
     for i, w in enumerate(text.lower().split()):
         if w not in vocabulary:
             if len(vocabulary) > 200_000:
                 vocabulary.clear()
             t = tokens(w)[0]
-            vocabulary[w] = t if t in known else None
-        if (t := vocabulary[w]) is not None:
+            vocabulary[w] = t if t in known else None if any(map(str.isalnum, w.decode("utf-8", "replace"))) else b""
+        t = vocabulary[w]
+        if t:
             words.append(t)
             places.append(i)
+            ranks.append(rank)
+        rank += t != b""
     have, out = set(words), []
-    for name, template in templates.items():
-        if sum(t in have for t in template) < COVERAGE * len(template):
+    for name, (template, deciding) in templates.items():
+        if not have.issuperset(deciding) or len(words) < COVERAGE * len(template):
             continue
         own = set(template)
+        if sum(t in have for t in template) < COVERAGE * len(template):
+            continue
         at = [k for k, w in enumerate(words) if w in own]
-        if pairs := _window([words[k] for k in at], [places[k] for k in at], template):
+        if pairs := _window([words[k] for k in at], [places[k] for k in at], template, deciding, [ranks[k] for k in at]):
             out.append((name, len(pairs) / len(template), len(pairs), places[at[pairs[0][0]]], places[at[pairs[-1][0]]] + 1))
     return sorted(out, key=lambda x: (-x[2], x[0]))
 
@@ -201,10 +230,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     license is the template with the most aligned words (ties: the first by name) of those whose coverage is
     at least COVERAGE, null where there is none; n_found counts them all. Null and empty texts
-    have none. Whole texts are scanned. Rows are independent, so nothing is shuffled.
+    have none. Templates of one's own have no deciding words. Whole texts are scanned. Rows are independent, so nothing is shuffled.
     """
     bound_batches(docs.sparkSession)
-    split = {name: [t for t in tokens(text) if t] for name, text in sorted((templates or TEMPLATES).items())}
+    chosen = {name: (text, "") for name, text in templates.items()} if templates else notices()
+    split = {name: tuple([t for t in tokens(part) if t] for part in parts) for name, parts in sorted(chosen.items())}
+    known = {t for words, _ in split.values() for t in words}
     schema = pa.schema([(id_col, pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("n_aligned", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("n_found", pa.int64())])
 
     def run(batches):
@@ -212,7 +243,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = scan(text, split, memo)
+                found = scan(text, split, memo, known)
                 rows.append((i, *(found[0] if found else (None, 0.0, 0, None, None)), len(found)))
             if rows:
                 yield batch(schema, [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)])

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -277,3 +278,39 @@ def test_license_windows():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
         hits += bool(got)
     assert hits > 100
+
+
+def test_license_near_misses(spark):
+    """Another name or version than a template's is never that template."""
+    rows = [
+        (70, "Released under the BSD License.", "BSD"),
+        (71, "Licensed under CC BY 4.0", "CC-BY-4.0"),
+        (72, "Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"),
+        (73, "This work is licensed under the GNU General Public License, version 2, see section 3.", "GPL-2.0"),
+        (74, "This work is licensed under the GNU General Public License, version 7.", None),
+        (75, "Released under the Foo License", None),
+        (76, "Licensed under CC BY-NC 9.0", None),
+        (77, "Released under the MIT No Attribution License", "MIT-0"),
+        (78, "Licensed under the Apache License, Version 1.1", "Apache-1.1"),
+        (79, "This work is licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+        (80, "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General\n# Public License as published by\n# the Free Software Foundation, either version 2 of the License, or\n# (at your option) any later version.", "GPL-2.0-or-later-header"),
+        (81, "// SPDX-License-Identifier: MPL-2.0\nint main() {}", "MPL-2.0-spdx"),
+    ]
+    got = {r.doc_id: r.license for r in licenses.license_scan(frame(spark, [r[:2] for r in rows])).collect()}
+    assert got == {i: want for i, _, want in rows}
+
+
+def test_license_texts(spark):
+    """Every template is found as its license, alone and twice with prose before."""
+    from lexiform.llm.notices import notices
+
+    every, kind = notices(), re.compile("-(name|spdx|header|text|full|only|or-later)\\b.*|\\+-spdx$")
+    names = sorted(every)
+    filler = "some prose of the version and this license " * 30
+    rows = [(2 * i + k, f"{filler if k else ''}{every[n][0]}\n{every[n][0] if k else ''}") for i, n in enumerate(names) for k in (0, 1)]
+    got = {r.doc_id: r for r in licenses.license_scan(frame(spark, rows)).collect()}
+    for i, n in enumerate(names):
+        for k in (0, 1):
+            r = got[2 * i + k]
+            assert kind.sub("", r.license or "") == kind.sub("", n), (n, k)
+            assert r.n_aligned == len([t for t in licenses.tokens(every[n][0]) if t]) or r.license != n
