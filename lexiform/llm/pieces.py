@@ -6,9 +6,10 @@ has many segmentations, each a function of the seed and the text alone: a retrie
 Decoding gives back the text exactly, whatever was skipped. Without dropout the result is the model's own.
 
 A piece never holds a space mark behind another character, so a text is cut at spaces and units are
-encoded on their own; with dropout a unit takes one of ``VARIANTS`` keys, chosen by its place in the text. The
-distinct units of a batch of texts are encoded together: each step carries out the next merge of every
-unit's agenda at once.
+encoded on their own; with dropout each occurrence of a unit has a key of its own, from the seed, the text's digest and its
+place in the text. The distinct units of a batch of texts are encoded together: each step carries out the next
+merge of every unit's agenda at once. Units that occur more than once are first encoded without dropout, and an occurrence
+whose key skips none of the merges carried out has that result; all others are encoded with their own keys.
 """
 
 from __future__ import annotations
@@ -28,14 +29,13 @@ from .tables import batch, bound_batches, text_of
 
 MARK = "▁"
 LITERAL = "\0" + MARK  # no piece holds it
-VARIANTS = 4
 #: Units up to this length go through the agenda together, longer ones one at a time with a heap.
 WIDE = 24
 #: Units of one step.
 TOGETHER = 1 << 16
 #: Characters of texts encoded at once.
 STEP = 4 << 20
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
 U = np.uint64
 _MASK = (1 << 64) - 1
 _UNIT = re.compile(r" *[^ ]+| +")
@@ -88,15 +88,15 @@ class Pieces:
                     pairs[left[0] << 24 | right[0]] = i
         char[ord(" ")], char[ord(MARK)] = char[ord(MARK)], -1  # a mark in the text itself is no space
         keys = np.array(sorted(pairs), np.int64)
-        rank = np.zeros(len(self.surface), np.int64)
+        rank = np.zeros(len(self.surface), np.int32)
         score = np.zeros(len(self.surface))
         for i, x in self.merge.values():
             score[i] = -x
         rank[:] = np.unique(score, return_inverse=True)[1]
-        return char, keys, np.array([pairs[k] for k in keys.tolist()], np.int64), rank
+        return char, keys, np.array([pairs[k] for k in keys.tolist()], np.int32), rank
 
-    def _unit(self, unit: str, rate: int, base: int) -> list[int]:
-        """Ids of one unit by a heap. rate: of 2**32; base: of the dropout."""
+    def _unit(self, unit: str, rate: int, base: int, merges: list[tuple[int, int]] | None = None) -> list[int]:
+        """Ids of one unit by a heap. rate: of 2**32; base: of the dropout; merges takes (place, id) of those carried out."""
         merge = self.merge
         chars = [MARK if c == " " else LITERAL if c == MARK else c for c in unit]
         n = len(chars)
@@ -117,6 +117,8 @@ class Pieces:
                 h = (h ^ h >> 32) * 0x94D049BB133111EB & _MASK
                 if h >> 32 < rate:
                     continue
+            if merges is not None:
+                merges.append((i, merge[piece][0]))
             chars[i], chars[j] = piece, ""
             k = after[j]
             after[i] = k
@@ -136,8 +138,8 @@ class Pieces:
                     out += [self.byte[b] for b in (MARK if c == LITERAL else c).encode()]
         return out
 
-    def _together(self, sym: np.ndarray, rate: int, base: np.ndarray) -> np.ndarray:
-        """Ids of units of at most WIDE known characters, a row each, -1 behind the end."""
+    def _together(self, sym: np.ndarray, rate: int, base: np.ndarray, merges: list | None = None) -> np.ndarray:
+        """Ids of units of at most WIDE known characters, a row each, -1 behind the end. merges takes arrays (row, place, id) of those carried out."""
         _, keys, merged, rank = self.tables
 
         def candidate(left, right, start, base):
@@ -151,7 +153,7 @@ class Pieces:
                 h = (h ^ h >> U(29)) * U(0xBF58476D1CE4E5B9)
                 h = (h ^ h >> U(32)) * U(0x94D049BB133111EB)
                 ok &= (h >> U(32)) >= U(rate)
-            return np.where(ok, rank[to], _NONE), to
+            return np.where(ok, rank[to], np.int32(_NONE)), to
 
         m, n = sym.shape
         sym = sym.copy()
@@ -172,6 +174,8 @@ class Pieces:
                 if not len(live):
                     break
             new = to[row, j]
+            if merges is not None:
+                merges.append((live, start[row, j], new))
             past = place[None, :] > j[:, None]
             take = np.minimum(place + past, n - 1)
             sym, start = np.take_along_axis(sym, take, 1), np.take_along_axis(start, take, 1)
@@ -199,42 +203,48 @@ class Pieces:
             if cut:
                 keys.append(int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
         unit, lens = np.array(which, np.int64), np.array(lens, np.int64)
-        if cut:  # a variant for each place, by the text and the place in it
+        names, merges = list(index), [] if cut else None
+        often = np.flatnonzero(np.bincount(unit, minlength=len(names)) > 1) if cut else np.arange(len(names))
+        flat, at = self._encode_units(names, often, None, 0, merges)
+        if cut:
             place = np.arange(len(unit)) - np.repeat(np.cumsum(lens) - lens, lens)
-            mixed = (place.astype(np.uint64) * U(0x9E3779B97F4A7C15) ^ np.repeat(np.array(keys, np.uint64), lens)) * U(0xD6E8FEB86659FD93)
-            unit = unit * VARIANTS + ((mixed >> U(40)) % U(VARIANTS)).astype(np.int64)
-        distinct, unit = np.unique(unit, return_inverse=True)
-        names = list(index)
-        chosen = [names[i] for i in (distinct // VARIANTS if cut else distinct).tolist()]
-        flat, at = self._encode_units(chosen, distinct % VARIANTS, cut, seed)
+            base = (place.astype(np.uint64) * U(0x9E3779B97F4A7C15) ^ np.repeat(np.array(keys, np.uint64), lens)) * U(0xD6E8FEB86659FD93)
+            base = (base ^ base >> U(32)) * U(0xA0761D6478BD642F) + U(seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D & _MASK)
+            slot = np.full(len(names), -1)
+            slot[often] = np.arange(len(often))
+            one = slot[unit] < 0  # what occurs once shares with none
+            own = np.flatnonzero(one | _skips(np.where(one, 0, slot[unit]), base, merges, cut, len(often)))
+            more, ends = self._encode_units(names, unit[own], base[own], cut)
+            unit = slot[unit]
+            unit[own] = len(often) + np.arange(len(own))
+            flat, at = np.concatenate([flat, more]), np.concatenate([at[:-1], at[-1] + ends])
         n = np.diff(at)[unit]
         ends = np.cumsum(n)
         ids = flat[np.repeat(at[unit] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         stops = np.append(0, ends)[np.append(0, np.cumsum(lens))]
         return ids, stops
 
-    def _encode_units(self, units: list[str], variants: np.ndarray, cut: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_units(self, names: list[str], which: np.ndarray, base: np.ndarray | None, cut: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units names[which], and where each begins. merges takes arrays (unit, place, id) of the merges carried out."""
         char = self.tables[0]
-        size = np.array([len(u) for u in units], np.int64)
-        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.array([len(u) for u in names], np.int64)
+        points = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
         first = np.cumsum(size) - size
-        inside = (np.arange(len(points)) - np.repeat(first, size)).astype(np.uint64)
-        base = np.zeros(len(units), np.uint64)
-        if len(points):
-            mixed = (points.astype(np.uint64) + U(1)) * (inside * U(0x9E3779B97F4A7C15) + U(0xD6E8FEB86659FD93))
-            base = np.add.reduceat((mixed ^ mixed >> U(31)) * U(0xBF58476D1CE4E5B9), first)
-        key = U(seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D & _MASK)
-        base = base + key + variants.astype(np.uint64) * U(0x94D049BB133111EB)
         sym = char[points]
-        unknown = np.zeros(len(units), bool)
+        unknown = np.zeros(len(names), bool)
         if len(points):
             unknown = np.minimum.reduceat(sym, first) < 0
-        out: list = [None] * len(units)
-        counts, rows = np.zeros(len(units), np.int64), []
+        first, size, unknown = first[which], size[which], unknown[which]
+        base = np.zeros(len(which), np.uint64) if base is None else base
+        out: list = [None] * len(which)
+        counts, rows = np.zeros(len(which), np.int64), []
         alone = np.flatnonzero(unknown | (size > WIDE))
         for i in alone.tolist():
-            out[i] = np.array(self._unit(units[i], cut, int(base[i])), np.int32)
+            done: list | None = None if merges is None else []
+            out[i] = np.array(self._unit(names[which[i]], cut, int(base[i]), done), np.int32)
             counts[i] = len(out[i])
+            if done:
+                merges.append((np.full(len(done), i), *np.array(done, np.int64).T))
         together = np.flatnonzero(~(unknown | (size > WIDE)))
         together = together[np.argsort(size[together], kind="stable")]  # units of like length share a step
         for a in range(0, len(together), TOGETHER):
@@ -243,7 +253,10 @@ class Pieces:
             grid = np.full((len(part), wide), -1, np.int32)
             real = np.arange(wide)[None, :] < size[part][:, None]
             grid[real] = sym[np.repeat(first[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(size[part].sum())]
-            ids = self._together(grid, cut, base[part])
+            steps: list | None = None if merges is None else []
+            ids = self._together(grid, cut, base[part], steps)
+            if steps:
+                merges += [(part[row], place, to) for row, place, to in steps]
             counts[part] = (ids >= 0).sum(axis=1)
             rows.append((part, ids[ids >= 0]))
         at = np.append(0, np.cumsum(counts))
@@ -266,6 +279,27 @@ class Pieces:
         return data[1:].decode("utf-8", "replace") if data[:1] == b" " else data.decode("utf-8", "replace")
 
 
+def _skips(unit: np.ndarray, base: np.ndarray, merges: list, cut: int, n_units: int) -> np.ndarray:
+    """Whether an occurrence's key skips one of the merges that its unit has without dropout. unit and base: of each occurrence."""
+    hit = np.zeros(len(unit), bool)
+    if not merges:
+        return hit
+    row, place, to = (np.concatenate([x[k] for x in merges]).astype(np.int64) for k in range(3))
+    order = np.argsort(row, kind="stable")
+    add = (place.astype(np.uint64) * U(0x9E3779B97F4A7C15) + to.astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))[order]
+    count = np.bincount(row, minlength=max(1, n_units))
+    begin = np.cumsum(count) - count
+    for a in range(0, len(unit), TOGETHER):
+        part = unit[a : a + TOGETHER]
+        n = count[part]
+        of = np.repeat(np.arange(len(part)), n)
+        h = base[a : a + TOGETHER][of] + add[np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        h = (h ^ h >> U(29)) * U(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> U(32)) * U(0x94D049BB133111EB)
+        hit[a + of[(h >> U(32)) < U(cut)]] = True
+    return hit
+
+
 def encode_column(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, seed: int = 0) -> DataFrame:
     """(id, ids) of every row; a null or empty text has no ids. Rows are independent and nothing is shuffled."""
     spark = docs.sparkSession

@@ -44,6 +44,24 @@ def test_pieces_dropout(model):
         model.decode([1])
 
 
+def test_pieces_dropout_of_each_occurrence(model, monkeypatch):
+    """A word's segmentations grow with its occurrences, and each is that of its own key, worked out alone."""
+    word, n = "internationalization", 2000
+    seen: Counter = Counter()
+    one: list[int] = []
+    for i in model.encode(" ".join([word] * n), 0.1, 17):
+        if one and model.surface[i][:1] == b" ":
+            seen[tuple(one)] += 1
+            one = []
+        one.append(i)
+    assert sum(seen.values()) == n - 1 and len(seen) > 100
+    assert seen.most_common(1)[0][0] == tuple(model.encode(word))
+    texts = TEXTS + ["the theatre thesis " * 300 + "日本 é🙂 " * 50 + "x" * 80]
+    want = [model.encode(t, r, 5) for t in texts for r in (0.1, 0.5)]
+    monkeypatch.setattr(pieces, "_skips", lambda unit, *_: np.ones(len(unit), bool))  # no occurrence takes the common result
+    assert [model.encode(t, r, 5) for t in texts for r in (0.1, 0.5)] == want
+
+
 def test_pieces_heap_equals_steps(model, monkeypatch):
     rng = random.Random(6)
     texts = [" ".join("".join(rng.choice("theanionrsdé") for _ in range(rng.randrange(1, 40))) for _ in range(60)) for _ in range(20)]
