@@ -17,15 +17,20 @@ from lexiform.llm.substring import remove_repeats
 from lexiform.llm.tables import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A prediction below it is no language. A guess among four languages has at least a quarter.
+#: A prediction below it is no language. A guess among four languages has at least a quarter; with more languages
+#: the bound is as far above an even guess as it is there.
 CONFIDENCE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language go on: not those without a letter or without a confident prediction."""
+    """Documents in some language go on: not those without a letter or without a confident prediction. Without a
+    labelled document there is no prediction, and all with a letter go on."""
     model = langid.fit(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    least = min(CONFIDENCE, 4 * CONFIDENCE / len(model.langs))
     found = langid.predict(docs.select(*COLUMNS), model, lang_out="_pred", score_out="_score")
-    return found.filter((F.col("_pred") != langid.UNKNOWN) & (F.col("_score") >= CONFIDENCE)).select(*COLUMNS)
+    return found.filter((F.col("_pred") != langid.UNKNOWN) & (F.col("_score") >= least)).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import corpus_pipeline as pipeline
+import numpy as np
 from brute import near, repeats
 
+from lexiform.llm import langid
 from lexiform.llm.packing import SIZES
 
 
@@ -58,3 +60,16 @@ def test_pipeline(spark, small, tmp_path):
         pieces.setdefault(r.doc_id, []).append((r.start, r.length))
     longest = max(SIZES)
     assert {i: sorted(p) for i, p in pieces.items()} == {i: [(s, min(longest, n - s)) for s in range(0, n, longest)] for i, t in want.items() for n in [len(t.encode().split()) + 1]}
+
+
+def test_language_of_many_or_none(spark, monkeypatch):
+    """A document is not rejected because there are many languages, or no labelled document."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(1, "some words", None, "s", 10), (2, "12 34", None, "s", 5), (3, None, None, "s", 0)], schema)
+    assert [r.doc_id for r in pipeline.language(spark, docs, "").collect()] == [1]
+    k = 20
+    bias = np.zeros(k)
+    bias[7] = np.log(5)  # 5 of 24: far above one of 20, below 0.3
+    model = langid.Model([f"l{i:02}" for i in range(k)], np.zeros((langid.SPACE, k), np.float32), bias, np.ones(langid.SPACE))
+    monkeypatch.setattr(langid, "fit", lambda docs: model)
+    assert [r.doc_id for r in pipeline.language(spark, docs, "").collect()] == [1]
