@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialise
+from .tables import discard, materialise
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,8 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialise(small, "edges")
+        before, edges = edges, materialise(small, "edges")
+        discard(before, large)
         if (now := _mark(edges)) == mark:
             break
         mark = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = materialise(out, "components")
+    discard(edges)
+    return out

@@ -19,10 +19,13 @@ NULL_ID = -(1 << 63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Only a local session, which has no
+    other machine, may do without: it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="lexiform-")  # only without a cluster's setting, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="lexiform-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -33,7 +36,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiform/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and no later step reads."""
+    for t in tables:
+        if path := getattr(t, "written", None):
+            jvm = t.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def join_hot(rows: DataFrame, counted: DataFrame, key: str, share: int = 1024) -> DataFrame:
+    """``rows`` joined with ``counted``, which has a row for each key and in ``m`` how many rows have it.
+
+    Keys that hold at least 1/``share`` of all these rows number ``share`` at most: this proven bound is broadcast, so
+    that a hot key's rows stay where they are. All others are rarer and are shuffled. Both tables should be written ones.
+    """
+    total = counted.agg(F.sum("m")).first()[0] or 0
+    hot = F.col("m") * share >= total
+    many = counted.filter(hot)
+    rest = rows.join(F.broadcast(many.select(key)), key, "left_anti").join(counted.filter(~hot), key)
+    return rows.join(F.broadcast(many), key).unionByName(rest)
 
 
 def bound_batches(spark: SparkSession) -> None:
