@@ -99,27 +99,58 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-#: Exact over whole tables: shingles are compared as lists of words, and links by a recursive closure.
+#: Exact over whole tables: windows are compared as lists of words. Each row is a document, also where ids repeat or are null.
 OP5_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, sha256(coalesce(text, ''))) AS r, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
 ), win AS (
-  SELECT doc_id, s, array_to_string(words[s : s + 19], ' ') AS body
-  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS s FROM w)
+  SELECT r, s, array_to_string(words[s : s + 19], ' ') AS body
+  FROM (SELECT r, words, unnest(range(1, len(words) - 18)) AS s FROM w)
 ), again AS (
-  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS k FROM win) WHERE k > 1
+  SELECT r, s FROM (SELECT r, s, row_number() OVER (PARTITION BY body ORDER BY r, s) AS k FROM win) WHERE k > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM again
+  SELECT DISTINCT r, unnest(range(s, s + 20)) AS p FROM again
 ), each AS (
-  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w
+  SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w
 ), kept AS (
-  SELECT e.doc_id, count(*) AS n_words, count(g.p) AS n_removed,
+  SELECT e.r, count(*) AS n_words, count(g.p) AS n_removed,
          coalesce(string_agg(e.word, ' ' ORDER BY e.p) FILTER (WHERE g.p IS NULL), '') AS body
-  FROM each e LEFT JOIN gone g USING (doc_id, p) GROUP BY e.doc_id
+  FROM each e LEFT JOIN gone g USING (r, p) GROUP BY e.r
 )
 SELECT w.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(body, '')) AS kept_sha256
-FROM w LEFT JOIN kept USING (doc_id)
+FROM w LEFT JOIN kept USING (r)
+"""
+
+#: Exact over whole tables: every pair that shares a shingle is compared on its full sets, links are closed by recursion.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                        ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), k AS (
+  SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id
+), c AS (
+  SELECT k, min(doc_id) AS rep FROM k GROUP BY k
+), sr AS (
+  SELECT s.doc_id, s.g FROM s JOIN c ON s.doc_id = c.rep
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS x FROM sr a JOIN sr b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), both_ways AS (
+  SELECT u, v FROM links JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * x >= 75 * (a.n + b.n - x)
+), edges AS (
+  SELECT u, v FROM both_ways UNION ALL SELECT v, u FROM both_ways
+), reach AS (
+  SELECT rep AS u, rep AS v FROM c UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u
+), low AS (
+  SELECT u, min(v) AS m FROM reach GROUP BY u
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low.m, w.doc_id) AS component_id, coalesce(low.m, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN c USING (k) LEFT JOIN low ON low.u = c.rep
 """
 
 
@@ -139,4 +170,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op3_warc": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op10_minhash_near_dedup": OP10_SQL}

@@ -43,15 +43,17 @@ def near(rows, size=5, percent=75):
 
 
 def repeats(rows, length=20):
+    """Each row is a document; rows that share an id come in the order of their texts' digests, null ids first."""
     first, out = {}, []
-    docs = sorted(((i, (t or "").encode().split()) for i, t in rows), key=lambda x: x[0])
-    for i, w in docs:
+    rows = [(i, (t or "").encode()) for i, t in rows]
+    docs = sorted(((i is not None, i or 0, hashlib.sha256(t).hexdigest()), i, t.split()) for i, t in rows)
+    for r, (_, _, w) in enumerate(docs):
         for s in range(len(w) - length + 1):
-            first.setdefault(tuple(w[s : s + length]), (i, s))
-    for i, w in docs:
+            first.setdefault(tuple(w[s : s + length]), (r, s))
+    for r, (_, i, w) in enumerate(docs):
         gone = [False] * len(w)
         for s in range(len(w) - length + 1):
-            if first[tuple(w[s : s + length])] < (i, s):
+            if first[tuple(w[s : s + length])] < (r, s):
                 gone[s : s + length] = [True] * length
         kept = [x for x, g in zip(w, gone) if not g]
         out.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
