@@ -78,36 +78,43 @@ def test_pieces_columns(model, spark):
     assert pieces.decode_column(pieces.encode_column(frame(spark, []), model), model).collect() == []
 
 
-def brute_lm(rows, modulus=10):
-    docs = [(i, zlib.crc32(str(i).encode() if i is not None else b"") % modulus != 0, (t or "").encode().lower().split() + [0]) for i, t in rows]
-    uni, pair, starts = Counter(), Counter(), 0
-    for _, learn, w in docs:
+def brute_lm(rows, order=3, block_of=lambda i, t: 0, modulus=10):
+    """The smoothed model by its formulas, a word after another; continuations count once in each block of documents."""
+    docs = [(i, t or "", zlib.crc32(str(i).encode() if i is not None else b"") % modulus != 0, (t or "").encode().lower().split() + [0]) for i, t in rows]
+    c, follow = Counter(), set()
+    for i, t, learn, w in docs:
         if learn:
-            uni.update(w)
-            pair.update(zip([1, *w], w))
-            starts += 1
-    n, v = sum(uni.values()), len(uni)
-    once, twice = (sum(c == k for c in uni.values()) for k in (1, 2))
-    d = once / (once + 2 * twice) if once and twice else 0.5
+            w = [1, *w]  # the start mark
+            c[(1,)] += 1
+            for at in range(1, len(w)):
+                for k in range(1, order + 1):
+                    if at - k + 1 >= (k == 1):
+                        gram = tuple(w[at - k + 1 : at + 1])
+                        c[gram] += 1
+                        follow.add((block_of(i, t), gram))
+    types = Counter(gram[:-1] for _, gram in follow)
+    n, v = sum(k for g, k in c.items() if len(g) == 1 and g != (1,)), sum(len(g) == 1 for g in c if g != (1,))
+
+    def p(w, h):
+        if not h:
+            return (c[(w,)] or v) / (n + v)
+        if not c[h]:
+            return p(w, h[1:])
+        return (c[h + (w,)] + types[h] * p(w, h[1:])) / (c[h] + types[h])
+
     out = []
-    for i, learn, w in docs:
-        base = sum(math.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        score = 0.0
-        for u, x in zip([1, *w], w):
-            if not n:
-                continue
-            p = (uni[x] - d) / n if uni[x] else d * v / n
-            c = starts if u == 1 else uni[u]
-            b = float(lm.backoff(np.array([c]))[0]) if c else 1.0
-            score += math.log10((1 - b) * pair[u, x] / c + b * p) if pair[u, x] else math.log10(b) + math.log10(p)
-        out.append((i, not learn, len(w), sum(uni[x] > 0 for x in w), n, base, score))
+    for i, _, learn, w in docs:
+        base = sum(math.log10((c[(x,)] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
+        full = [1, *w]
+        score = sum(math.log10(p(full[at], tuple(full[max(0, at - order + 1) : at]))) for at in range(1, len(full))) if n else 0.0
+        out.append((i, not learn, len(w), sum(c[(x,)] > 0 for x in w), n, base, score))
     return out
 
 
-def check_lm(spark, rows, parts=3):
-    key = lambda r: (r[0] is not None, r[0] or 0, r[2])
-    got = sorted((tuple(r) for r in lm.lm_scores(frame(spark, rows).repartition(parts)).collect()), key=key)
-    want = sorted(brute_lm(rows), key=key)
+def check_lm(spark, rows, parts=3, order=3, block_of=lambda i, t: 0):
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2], r[6])
+    got = sorted((tuple(r) for r in lm.lm_scores(frame(spark, rows).repartition(parts), order=order).collect()), key=key)
+    want = sorted(brute_lm(rows, order, block_of), key=key)
     assert len(got) == len(want)
     for g, w in zip(got, want):
         assert g[:5] == w[:5]
@@ -122,31 +129,65 @@ def test_lm_odd(spark):
 
 
 def test_lm_documents(spark, small, monkeypatch):
+    from pyspark.sql import functions as F
+
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    monkeypatch.setattr(lm, "BLOCK", 7_000)  # many blocks
-    check_lm(spark, rows)
-    got = lm.lm_scores(docs).collect()
-    held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    check_lm(spark, rows, order=2)
+    scores = {}
+    for order in (2, 3, 4):
+        got = lm.lm_scores(docs, order=order).collect()
+        held = [r for r in got if r.held_out]
+        scores[order] = sum(r.score for r in held)
+        assert scores[order] > sum(r.base_score for r in held)
+    assert scores[3] > scores[2]
+    monkeypatch.setattr(lm, "BLOCK", 7_000)  # many blocks and buckets
+    monkeypatch.setattr(lm, "BUCKET", 30_000)
+    blocks = -(-sum(len((t or "").split()) + 1 for _, t in rows) // 7_000)
+    dealt = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit("")).cast("binary")), F.lit(blocks)).alias("b"))
+    home = {r.doc_id: r.b for r in dealt.collect()}
+    assert blocks > 5
+    check_lm(spark, rows, block_of=lambda i, t: home[i])
 
 
 def test_lm_is_a_distribution():
     """The probabilities of all words and the unknown one add up to one after every history."""
-    rng = np.random.default_rng(1)
-    words = rng.integers(0, 12, 400)
-    uni, pairs = Counter(words.tolist()), Counter(zip(words[:-1].tolist(), words[1:].tolist()))
-    once, twice = 3, 2  # any discount
-    n, v = sum(uni.values()), len(uni)
-    for u in uni:
-        follow = {w: k for (a, w), k in pairs.items() if a == u}
-        c = sum(follow.values())
-        keys = list(uni) + ["?"]
-        counts = np.array([uni.get(w, 0) for w in keys] + [follow.get(w, 0) for w in keys] + [c])
-        m = len(keys)
-        root, fail, arc = lm.automaton(counts, np.arange(m), np.arange(m, 2 * m), np.full(m, 2 * m), n, v, once, twice)
-        got = lm.traverse(root, fail, arc, np.arange(m), np.arange(m, 2 * m), np.full(m, 2 * m), np.arange(m))
-        assert (10**got).sum() == pytest.approx(1, abs=1e-9)
+    rng = random.Random(1)
+    text = [f"w{rng.randrange(12)}" for _ in range(400)]
+    asked = [*{*text}, "never"]
+    histories = [[], ["w1"], ["w1", "w2"], ["w2", "never"], ["never"]]
+    docs = [(0, True, " ".join(text))] + [(1 + k, False, " ".join([*h, w])) for k, (h, w) in enumerate((h, w) for h in histories for w in asked)]
+    raw = [d[2].encode() for d in docs]
+    body = lm.squeeze(np.array([d[0] for d in docs]), np.array([d[1] for d in docs], np.uint8), np.array([len(r) for r in raw]), np.frombuffer(b"".join(raw), np.uint8))
+    x = lm.Block([body], 3)
+    c, follow = x.counts()
+    tokens, types = len(text) + 1, len({*text}) + 1
+    steps = [None, *(x.history(k) for k in (1, 2))]
+    arc, fail = lm.automaton(c, follow, x.gram, steps, tokens, types)
+    each = lm.traverse(arc, fail, steps, c, x.first)
+    ends = each[x.stops - 2][1:].reshape(len(histories), len(asked))  # the last word's weight, and the end's after the same history
+    own = [i for i, h in enumerate(histories)]
+    for i in own:
+        h = histories[i]
+        end = brute_end(text, h)
+        assert (10 ** ends[i]).sum() + end == pytest.approx(1, abs=1e-9)
+
+
+def brute_end(text, h):
+    """The end mark's probability after history h, by the formulas."""
+    full, c, follow = ["<s>", *text, "</s>"], Counter(), set()
+    for at in range(1, len(full)):
+        for k in range(1, 4):
+            if at - k + 1 >= (k == 1):
+                c[tuple(full[at - k + 1 : at + 1])] += 1
+    c[("<s>",)] = 1
+    follow = Counter(g[:-1] for g in c if len(g) > 1)
+    n, v = len(text) + 1, len({*text}) + 1
+    p = c[("</s>",)] / (n + v)
+    for s in [("<s>", *h)[-k:] for k in range(1, 3) if k <= len(h) + 1]:
+        if c[s]:
+            p = (c[(*s, "</s>")] + follow[s] * p) / (c[s] + follow[s])
+    return p
 
 
 def test_langid(spark, small):
