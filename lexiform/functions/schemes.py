@@ -24,6 +24,8 @@ DEEPSEEK = (
 )
 
 LAGUNA = (r"(?:\r?\n)+(?:(?!\r?\n)[\s\S])*", QWEN2)  # a run of line ends begins a segment; segments are split alone
+# Where a run of line ends begins. The JVM's matcher would recurse for each repetition of a group, so it cuts here instead.
+_RUN_BEGINS = r"(?<!\n)(?=\r\n)|(?<![\r\n])(?=\n)"
 
 SCHEMES: dict[str, tuple[str, ...]] = {"gpt2": (GPT2,), "gpt4": (GPT4,), "qwen2": (QWEN2,), "qwen35": (QWEN35,), "olmo3": (OLMO3,), "o200k": (O200K,), "nemotron": (NEMOTRON,), "kimi": (KIMI,), "deepseek_v3": DEEPSEEK, "laguna": LAGUNA}
 ALIASES = {"r50k": "gpt2", "cl100k": "gpt4", "qwen3": "qwen2", "none": "gpt2"}
@@ -58,7 +60,10 @@ def pieces(text: Column, scheme: str) -> Column:
     stages = SCHEMES[resolve(scheme)]
     if len(stages) == 1:
         return F.regexp_extract_all(text, F.lit("(?U)" + _jvm(stages[0])), F.lit(0))
-    out = F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(text))
+    out = F.array(text)
+    if stages is LAGUNA:
+        out, stages = F.split(text, _RUN_BEGINS), stages[1:]
+    out = F.when(text == "", F.array().cast("array<string>")).otherwise(out)
     for p in stages:
         out = F.flatten(F.transform(out, _stage(f"(?Us)(?:{_jvm(p)})|(?:(?!{_jvm(p)}).)+")))
     return out

@@ -9,14 +9,18 @@ from __future__ import annotations
 
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import SessionStateMismatch
 from .tokens import Tokenizer
 
-PATCH = "session long, revision long, replace_from int, replacement_ids array<int>, token_count int, path string"
+PATCH = pa.schema([("revision", pa.int64()), ("replace_from", pa.int32()), ("replacement_ids", pa.list_(pa.int32())), ("token_count", pa.int32()), ("path", pa.string())])
+#: What a command does to its session.
+APPEND, PUT, DELETE = "append", "put", "delete"
+#: Paths of patches that leave the ids as they are.
+KEEPS = ("noop", "hit", "revision_conflict", "unknown_session")
 #: A tail of more characters is told apart: its append costs a whole encode of the tail.
 HARD_CAP = 1 << 20
 
@@ -53,7 +57,7 @@ class Tail:
     def append(self, delta: str, expected: int | None = None) -> tuple:
         """(revision, replace_from, replacement_ids, token_count, path). A wrong expected revision changes nothing."""
         if expected is not None and expected != self.revision:
-            return self.revision, self.count, [], self.count, "revision_conflict"
+            return self._conflict()
         self.revision += 1
         if not delta:  # keeps ids, still a revision
             return self.revision, self.count, [], self.count, "noop"
@@ -68,6 +72,38 @@ class Tail:
         self.text, self.ids, self.sealed = text[at:], rest, self.sealed + len(done)
         return patch
 
+    def _conflict(self) -> tuple:
+        return self.revision, self.count, [], self.count, "revision_conflict"
+
+    def put(self, text: str, expected: int | None = None) -> tuple:
+        """Overwrites the session's text as its next revision."""
+        if expected is not None and expected != self.revision:
+            return self._conflict()
+        path = "seed" if self.empty and text else "overwrite"
+        self.__init__(self.engine, "", 0, self.revision)
+        patch = self.append(text)
+        return self.revision, 0, patch[2], patch[3], path
+
+    def delete(self, expected: int | None = None) -> tuple:
+        """Forgets the session: the next command begins a new one."""
+        if self.revision < 0:
+            return -1, 0, [], 0, "unknown_session"
+        if expected is not None and expected != self.revision:
+            return self._conflict()
+        revision = self.revision
+        self.__init__(self.engine)
+        return revision, 0, [], 0, "deleted"
+
+    def take(self, op: str | None, text: str | None, expected: int | None = None) -> tuple:
+        """One command; no operation named is an append."""
+        if op in (None, APPEND):
+            return self.append(text or "", expected)
+        if op == PUT:
+            return self.put(text or "", expected)
+        if op == DELETE:
+            return self.delete(expected)
+        raise ValueError(f"unknown operation: {op}")
+
 
 class Session:
     """One conversation with its whole text and ids. Every result equals a full encode of the text."""
@@ -84,7 +120,7 @@ class Session:
         return self.tail.revision
 
     def _take(self, patch: tuple) -> tuple:
-        if patch[4] not in ("noop", "revision_conflict", "hit"):
+        if patch[4] not in KEEPS:
             self.ids[patch[1] :] = patch[2]
         return patch
 
@@ -115,40 +151,47 @@ class Session:
         return Session(self.engine, self.text, 0)
 
 
-def patches(tok: Tokenizer, turns: DataFrame, session: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
-    """One patch per turn. Sessions are streamed in order; a task holds one session's tail at a time."""
-    engine = tok._engine()
-    rows = turns.select(F.col(session).cast("long").alias("session"), F.col(order).alias("turn"), F.coalesce(text, F.lit("")).alias("delta"))
+def _streamed(rows: DataFrame, fresh, step) -> DataFrame:
+    """A patch per row of (session, turn, ...), a session's rows in order. Sessions keep their own type, and a null one is
+    a session like any other; a task holds one session at a time."""
+    kind = rows.schema["session"].dataType.simpleString()
 
     def run(batches):
         current, held = None, None
         for b in batches:
             out = []
-            for s, delta in zip(b["session"], b["delta"], strict=True):
+            for s, *given in zip(b.column(0).to_pylist(), *(b.column(i).to_pylist() for i in range(2, b.num_columns)), strict=True):
                 if held is None or s != current:
-                    current, held = s, Tail(engine())
-                out.append((s, *held.append(delta)))
-            yield pd.DataFrame(out, columns=["session", "revision", "replace_from", "replacement_ids", "token_count", "path"])
+                    current, held = s, fresh()
+                out.append(step(held, *given))
+            cols = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), PATCH, strict=True)] if out else [pa.array([], f.type) for f in PATCH]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["session", *PATCH.names])
+
+    names = f"session {kind}, revision long, replace_from int, replacement_ids array<int>, token_count int, path string"
+    return rows.repartition("session").sortWithinPartitions("session", "turn").mapInArrow(run, names)
 
-    return rows.repartition("session").sortWithinPartitions("session", "turn").mapInPandas(run, PATCH)
+
+def patches(tok: Tokenizer, turns: DataFrame, session: str = "conv_id", order: str = "turn", text: str = "text", op: str | None = None, expected: str | None = None) -> DataFrame:
+    """One patch per turn. ``op`` names a column of append (also null), put and delete; ``expected`` one of the revisions that
+    callers think stored: a turn with a wrong one changes nothing. A null text is an empty one."""
+    engine = tok._engine()
+    told = lambda c, kind: (F.col(c) if c else F.lit(None)).cast(kind)
+    rows = turns.select(F.col(session).alias("session"), F.col(order).alias("turn"), told(op, "string").alias("op"), F.coalesce(text, F.lit("")).alias("delta"), told(expected, "long").alias("expected"))
+    return _streamed(rows, lambda: Tail(engine()), lambda held, *given: held.take(*given))
 
 
 def transcripts(tok: Tokenizer, states: DataFrame, session: str, order: str, text: str) -> DataFrame:
     """One patch per whole transcript, in order: hits, appends and overwrites of growing or rewritten sessions."""
     engine = tok._engine()
-    rows = states.select(F.col(session).cast("long").alias("session"), F.col(order).alias("turn"), F.coalesce(text, F.lit("")).alias("body"))
+    rows = states.select(F.col(session).alias("session"), F.col(order).alias("turn"), F.coalesce(text, F.lit("")).alias("body"))
+    return _streamed(rows, lambda: Session(engine()), lambda held, body: held.transcript(body))
 
-    def run(batches):
-        current, held = None, None
-        for b in batches:
-            out = []
-            for s, body in zip(b["session"], b["body"], strict=True):
-                if held is None or s != current:
-                    current, held = s, Session(engine())
-                out.append((s, *held.transcript(body)))
-            yield pd.DataFrame(out, columns=["session", "revision", "replace_from", "replacement_ids", "token_count", "path"])
 
-    return rows.repartition("session").sortWithinPartitions("session", "turn").mapInPandas(run, PATCH)
+def forked(turns: DataFrame, forks: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
+    """``turns`` and, for each row (session, name, upto) of ``forks``, the session's turns up to ``upto`` again as those of ``name``:
+    a fork is its own session with a common past. Names have the sessions' type."""
+    past = turns.join(forks.select(F.col("session").alias(session), "name", "upto"), session).filter(F.col(order) <= F.col("upto"))
+    return turns.unionByName(past.drop(session, "upto").withColumnRenamed("name", session))
 
 
 def fold(patches_: DataFrame) -> DataFrame:
@@ -156,7 +199,7 @@ def fold(patches_: DataFrame) -> DataFrame:
 
     def splice(acc, p):
         kept = F.when(p["replace_from"] > 0, F.slice(acc, F.lit(1), p["replace_from"])).otherwise(F.array().cast("array<int>"))
-        return F.when(p["path"].isin("noop", "hit", "revision_conflict"), acc).otherwise(F.concat(kept, p["replacement_ids"]))
+        return F.when(p["path"].isin(*KEEPS), acc).otherwise(F.concat(kept, p["replacement_ids"]))
 
     one = patches_.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("revision", "replace_from", "replacement_ids", "path"))).alias("p"))
     return one.select("session", F.array_max(F.transform("p", lambda x: x["revision"])).alias("revision"), F.aggregate("p", F.array().cast("array<int>"), splice).alias("ids"))

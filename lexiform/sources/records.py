@@ -12,6 +12,8 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,22 +138,26 @@ def verify(record: Column, fingerprint: bytes | None = None, magic: bytes = MAGI
 
 def write(states: DataFrame, fingerprint: bytes, magic: bytes = MAGIC, tag: bytes = TAG) -> DataFrame:
     """(session, revision, record) of (session, revision, text, ids), revisions of a session from 0 on in a chain.
-    Records carry the whole text and no incremental cut, which needs no proof."""
+    Records carry the whole text and no incremental cut, which needs no proof. Sessions keep their own type, a null one is a
+    session like any other."""
+    rows = states.select("session", F.col("revision").cast("long").alias("revision"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    kind = rows.schema["session"].dataType.simpleString()
 
     def run(batches):
-        current, last = None, ZERO
+        current, last, begun = None, ZERO, False
         for b in batches:
             out = []
-            for s, v, t, ids in zip(b["session"], b["revision"], b["text"], b["ids"], strict=True):
-                if s != current:
-                    current, last = s, ZERO
-                data = encode(Record(fingerprint, int(v), tuple(ids), t, previous=last), magic, tag)
+            ids = b.column(3)
+            flat, at = ids.flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy()))
+            for k, (s, v, t) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)):
+                if not begun or s != current:
+                    current, last, begun = s, ZERO, True
+                data = encode(Record(fingerprint, v, flat[at[k] : at[k + 1]], t, previous=last), magic, tag)
                 last = link_of(data)
-                out.append((s, v, data))
-            yield pd.DataFrame(out, columns=["session", "revision", "record"])
+                out.append(data)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["session", "revision", "record"])
 
-    rows = states.select(F.col("session").cast("long"), F.col("revision").cast("long"), F.coalesce("text", F.lit("")).alias("text"), "ids")
-    return rows.repartition("session").sortWithinPartitions("session", "revision").mapInPandas(run, "session long, revision long, record binary")
+    return rows.repartition("session").sortWithinPartitions("session", "revision").mapInArrow(run, f"session {kind}, revision long, record binary")
 
 
 def chain(records: DataFrame, fingerprint: bytes | None = None, magic: bytes = MAGIC, tag: bytes = TAG) -> DataFrame:
@@ -173,4 +179,4 @@ def save(records: DataFrame, path: str) -> None:
 
 
 def load(spark, path: str) -> DataFrame:
-    return spark.read.schema("session long, revision long, record binary").parquet(path)
+    return spark.read.parquet(path).select("session", "revision", "record")

@@ -218,3 +218,27 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 4
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+LONG = {"LF": "\n" * 1_000_000, "CRLF": "\r\n" * 500_000, "letters": "a" * 1_000_000, "capitals": "aB" * 500_000, "digits": "7" * 1_000_000, "marks": "!" * 1_000_000, "spaces": " " * 1_000_000, "lines": "ab \n" * 250_000, "returns": "\r" * 1_000_000}
+
+
+@pytest.mark.parametrize("scheme", list(schemes.SCHEMES))
+def test_a_million_characters(spark, scheme):
+    """No scheme's expression recurses over a long run; the JVM and Python agree on its pieces."""
+    df = spark.createDataFrame(list(LONG.items()), "name string, t string")
+    p = schemes.pieces(F.col("t"), scheme)
+    got = {r.name: (r.n, r.h) for r in df.select("name", F.size(p).alias("n"), F.sha2(F.array_join(p, "|"), 256).alias("h")).collect()}
+    for name, t in LONG.items():
+        want = schemes.split(t[:6000], scheme)
+        assert got[name][0] >= 1
+        short = spark.createDataFrame([(t[:6000],)], "t string").select(schemes.pieces(F.col("t"), scheme).alias("p")).first().p
+        assert short == want, name
+
+
+def test_laguna_in_the_jvm(spark):
+    import itertools
+
+    texts = ["".join(x) for n in range(1, 7) for x in itertools.product("a \r\n", repeat=n)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", schemes.pieces(F.col("t"), "laguna").alias("p")).collect()
+    assert all(list(r.p) == schemes.split(r.t, "laguna") for r in rows) and len(rows) == len(texts)

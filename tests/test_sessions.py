@@ -75,6 +75,58 @@ def test_transcripts_and_fold(spark):
     assert ids == {1: list(b"x"), 2: list("é z".encode())}
 
 
+def test_sessions_keep_their_ids(spark):
+    """Named sessions, whole numbers beyond what a float holds, and null ones beside them."""
+    tok = Tokenizer(spark, byte_artifact())
+    for kind, ids in (("string", ["a", "b", None]), ("long", [2**53 + 1, 2**53, None])):
+        df = spark.createDataFrame([(s, t, f"{t}") for s in ids for t in range(3)], f"s {kind}, t long, x string")
+        got = sessions.patches(tok, df, "s", "t", "x").collect()
+        assert sorted(((r.session, r.revision) for r in got), key=repr) == sorted(((s, t) for s in ids for t in range(3)), key=repr)
+        assert all(r.token_count == r.revision + 1 for r in got)
+        grown = spark.createDataFrame([(s, t, "012"[: t + 1]) for s in ids for t in range(3)], f"s {kind}, t long, x string")
+        assert all(r.token_count == r.revision + 1 for r in sessions.transcripts(tok, grown, "s", "t", "x").collect())
+
+
+COMMANDS = [
+    ("a", 0, None, "one", None), ("a", 1, "append", " two", 0), ("a", 2, "append", " lost", 7), ("a", 3, "put", "new", 1), ("a", 4, "put", "lost", 1), ("a", 5, "append", "er", 2),
+    ("b", 0, "append", "x", None), ("b", 1, "delete", None, 5), ("b", 2, "delete", None, 0), ("b", 3, "append", "y", -1), ("c", 0, "delete", None, None), ("c", 1, "put", "", None), (None, 0, "put", "z", None),
+]
+PATHS = ["seed", "append", "revision_conflict", "overwrite", "revision_conflict", "append", "seed", "revision_conflict", "deleted", "seed", "unknown_session", "overwrite", "seed"]
+
+
+def test_commands_on_tables(spark):
+    tok = Tokenizer(spark, byte_artifact())
+    df = spark.createDataFrame(COMMANDS, "s string, t long, op string, x string, e long")
+    got = [tuple(r) for r in sessions.patches(tok, df, "s", "t", "x", "op", "e").collect()]
+    assert sorted(r[5] for r in got) == sorted(PATHS)
+    newer = [r for r in got if r[0] == "a"]
+    assert [r[5] for r in newer] == PATHS[:6] and newer[3][2:5] == (0, list(b"new"), 3) and newer[2][1:5] == (1, 7, [], 7)
+
+
+def test_commands_on_streams(spark, tmp_path):
+    from lexiform.streaming.sessions import patch_stream
+
+    tok = Tokenizer(spark, byte_artifact())
+    schema = "s string, t long, op string, x string, e long"
+    for k, part in enumerate((COMMANDS[:4], COMMANDS[4:8], COMMANDS[8:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    turns = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = patch_stream(tok, turns, "s", "t", "x", "op", "e").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+    q.awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(r[5] for r in got) == sorted(PATHS)
+    assert {r[0] for r in got} == {"a", "b", "c", None}
+    assert [r[3] for r in got if r[0] == "a" and r[5] == "overwrite"] == [list(b"new")]
+
+
+def test_forks_share_a_past(spark):
+    tok = Tokenizer(spark, byte_artifact())
+    turns = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("a", 2, "z"), ("f", 9, "!")], "conv_id string, turn long, text string")
+    forks = spark.createDataFrame([("a", "f", 1)], "session string, name string, upto long")
+    ids = {r.session: bytes(r.ids) for r in sessions.fold(sessions.patches(tok, sessions.forked(turns, forks))).collect()}
+    assert ids == {"a": b"xyz", "f": b"xy!"}
+
+
 def test_long_texts_are_spread(spark):
     rng = random.Random(6)
     texts = [words(rng, 400), "a" * 5000, "the cat" * 900, "", None, " x"]
