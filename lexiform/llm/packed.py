@@ -30,13 +30,22 @@ def opened(body: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def planes(numbers: np.ndarray) -> np.ndarray:
+    """Numbers as bytes, all first bytes before all second ones: where most are small, most planes are zero."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.copy()
+
+
+def joined(data: np.ndarray, kind) -> np.ndarray:
+    return data.reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).reshape(-1)
+
+
 def steps(keys: np.ndarray) -> np.ndarray:
-    """Sorted keys as the bytes of their differences, all first bytes before all second ones: high bytes are mostly zero."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy()
+    """Sorted keys as planes of their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
-def stepped(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(planes.reshape(8, -1).T.copy().view(np.uint64).reshape(-1), dtype=np.uint64)
+def stepped(data: np.ndarray) -> np.ndarray:
+    return np.cumsum(joined(data, np.uint64), dtype=np.uint64)
 
 
 def slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
