@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import batch, bound_batches, materialise, parts, text_of
+from .tables import batch, bound_batches, buffers, join_hot, materialise, parts, text_of
 
 CHUNK = 64 << 10
 #: Header blocks are read whole; a longer one is an error.
@@ -148,9 +148,12 @@ def _write(size: int, date: str):
     def run(batches):
         rows, held = [], 0
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            for name, instance, uri, payload, digest, ref in zip(*cols, strict=True):
-                for n, last, data, running in chunks(record(name, uri, memoryview(payload), digest, ref, date), size):
+            # A payload is a view of the batch, cut into slices; nothing holds a copy of a whole one.
+            raw, offs = buffers(b.column(3))
+            small = (b.column(i).to_pylist() for i in (0, 1, 2, 4, 5))
+            for k, (name, instance, uri, digest, ref) in enumerate(zip(*small, strict=True)):
+                payload = raw[offs[k] : offs[k + 1]]
+                for n, last, data, running in chunks(record(name, uri, payload, digest, ref, date), size):
                     rows.append((name, instance, n, last, data, running))
                     held += len(data)
                     if held >= 8 << 20:
@@ -162,25 +165,55 @@ def _write(size: int, date: str):
     return run
 
 
+class _Record:
+    """A record of the table while its slices come, which can be lost, damaged or there twice."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.reader, self.sha = name, Reader(), hashlib.sha1()
+        self.next, self.intact, self.reading, self.ended = 0, True, True, False
+
+    def feed(self, n: int, last: bool, data: bytes, running: bytes) -> None:
+        if n < self.next or self.ended:  # a slice more than once
+            self.intact = False
+            return
+        self.reading &= n == self.next
+        self.next, self.ended = n + 1, bool(last)
+        self.sha.update(data)
+        self.reading &= self.sha.digest() == running
+        # Behind the first gap or damage the bytes mean nothing; what was read before them is told.
+        if self.reading:
+            try:
+                self.reader.feed(data)
+            except ValueError:
+                self.reading = False
+        self.intact &= self.reading
+
+    def result(self) -> tuple:
+        out = self.reader.result(self.intact and self.ended)
+        if self.reader.head is None:
+            return self.name, None, None, None, None, None, False
+        return out[0] or self.name, *out[1:]
+
+
 def _read(batches):
-    """Streams over slices sorted by record and number."""
-    reader, sha, intact = None, None, True
+    """Streams over slices sorted by record, instance and number: one row per record, whatever is lost of it."""
+    key, held = None, None
 
     def out(done):
         return batch(READ, [pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), READ, strict=True)])
 
     for b in batches:
         done = []
-        for _, _, n, last, data, running in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if n == 0:
-                reader, sha, intact = Reader(), hashlib.sha1(), True
-            sha.update(data)
-            intact &= sha.digest() == running
-            reader.feed(data)
-            if last:
-                done.append(reader.result(intact))
+        for name, instance, n, last, data, running in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (name, instance) != key:
+                if held:
+                    done.append(held.result())
+                key, held = (name, instance), _Record(name)
+            held.feed(n, last, data, running)
         if done:
             yield out(done)
+    if held:
+        yield out([held.result()])
 
 
 def write_table(pages: DataFrame, id_col: str = "page_id", uri_col: str | None = "url", body_col: str = "html", least: int = 0, size: int = CHUNK, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
@@ -188,17 +221,18 @@ def write_table(pages: DataFrame, id_col: str = "page_id", uri_col: str | None =
 
     Of records with equal payloads of ``least`` bytes or more, the one with the largest id is a response
     and the others are revisits of it; smaller payloads are all responses. A null id is smaller than any
-    other. Rows that share id and payload get the same kind of record. The table is lazy.
+    other. Rows that share id and payload get the same kind of record. A null payload is empty; one of any length goes through
+    in slices. An empty table gives no rows; further columns are ignored. The table is lazy, ids and digests are written first.
     """
     bound_batches(pages.sparkSession)
     body = text_of(body_col).cast("binary")
     uri = F.col(uri_col).cast("string") if uri_col else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).alias("id"), uri.alias("uri"), body.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    slim = rows.filter(F.octet_length("payload") >= least).select("id", "digest")
-    winners = slim.groupBy("digest").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    slim = materialise(rows.filter(F.octet_length("payload") >= least).select("id", "digest"), "digests")
+    winners = materialise(slim.groupBy("digest").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "winners")
     # Only losers are marked; they meet their rows by id, so that equal payloads don't meet in one task.
-    losers = slim.join(winners, "digest").filter(~F.col("id").eqNullSafe(F.col("winner"))).select(F.col("id").alias("lid"), F.col("digest").alias("ldigest"), "winner").distinct()
+    losers = join_hot(slim, winners, "digest").filter(~F.col("id").eqNullSafe(F.col("winner"))).select(F.col("id").alias("lid"), F.col("digest").alias("ldigest"), "winner").distinct()
     rows = rows.join(losers, F.col("id").eqNullSafe(F.col("lid")) & (F.col("digest") == F.col("ldigest")), "left")
     urn = lambda c: F.concat(F.lit(URN), F.coalesce(F.col(c).cast("string"), F.lit("")))
     rows = rows.select(urn("id").alias("name"), F.monotonically_increasing_id().alias("instance"), "uri", "payload", "digest", F.when(F.col("lid").isNotNull() | F.col("ldigest").isNotNull(), urn("winner")).alias("ref"))
@@ -208,7 +242,9 @@ def write_table(pages: DataFrame, id_col: str = "page_id", uri_col: str | None =
 def read_table(table: DataFrame) -> DataFrame:
     """One row per record of a chunked record table: what its headers say and what its payload is.
 
-    Records of one slice, nearly all, are read where they lie. Only slices of longer ones are shuffled.
+    Records of one slice, nearly all, are read where they lie. Only slices of longer ones are shuffled. ``intact`` is false
+    where a slice is lost, damaged or there twice, or the payload isn't what its digest states; size and digest are then those
+    of what could be read before it, and null without a whole header. A record without a single slice leaves no row.
     """
     bound_batches(table.sparkSession)
     table = table.select("record_id", "instance", "chunk_no", "last", "data", "running")
