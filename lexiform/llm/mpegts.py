@@ -2,8 +2,8 @@
 
 ``mux`` stores bytes losslessly as one private elementary stream: program tables, then packets with
 timestamps, random-access points and continuity counters. ``demux`` reads any such stream
-back: it parses PAT and PMT sections, checks continuity, reassembles elementary packets and returns their
-units with timestamps and random-access points. Both work on one value at a time, in pieces of a packet.
+back: it parses PAT and PMT sections, and for the streams that these name checks continuity, reassembles elementary packets
+and returns their units with timestamps and random-access points. Both work on one value at a time, in pieces of a packet.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import zlib
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import batch, bound_batches, text_of
@@ -105,19 +105,25 @@ class Stream:
     gaps: int = 0  # continuity errors
     repeats: int = 0  # packets sent twice, as the standard allows
     broken: int = 0  # packets, sections or units that can't be read
+    other: int = 0  # packets of streams that no program table names
 
-    def payload(self) -> bytes:
-        return b"".join(u.data for u in self.units)
+    def payload(self, pid: int | None = None) -> bytes:
+        """The bytes of one elementary stream, that of the lowest PID where none is named."""
+        pid = min(self.streams, default=-1) if pid is None else pid
+        return b"".join(u.data for u in self.units if u.pid == pid)
 
 
-def _sections(data: bytes):
-    """Whole sections with a right checksum; None for a broken one."""
-    while len(data) >= 3 and data[0] != 0xFF:
-        n = 3 + ((data[1] & 0x0F) << 8 | data[2])
-        if len(data) < n or n < 12:
+def _sections(held: bytearray):
+    """Takes whole sections from the front; None for one whose checksum is wrong. Behind the last one is stuffing."""
+    while len(held) >= 3 and held[0] != 0xFF:
+        n = 3 + ((held[1] & 0x0F) << 8 | held[2])
+        if len(held) < n:
             return
-        yield data[:n] if crc_mpeg(data[:n]) == 0 else None
-        data = data[n:]
+        data = bytes(held[:n])
+        del held[:n]
+        yield data if n >= 12 and crc_mpeg(data) == 0 else None
+    if held[:1] == b"\xff":
+        held.clear()
 
 
 def _unit(pid: int, random: bool, position: int, data: bytes) -> Unit | None:
@@ -135,7 +141,7 @@ def _unit(pid: int, random: bool, position: int, data: bytes) -> Unit | None:
 def demux(media: bytes) -> Stream:
     out = Stream()
     counters: dict[int, tuple[int, bytes]] = {}
-    tables: dict[int, list[bytes]] = {}
+    tables: dict[int, bytearray] = {}
     open_: dict[int, list] = {}  # PID to [random, position, parts...]
 
     def close(pid: int, holed: bool = False) -> None:
@@ -148,7 +154,7 @@ def demux(media: bytes) -> Stream:
                 out.units.append(unit)
 
     def read_table(pid: int) -> None:
-        for s in _sections(b"".join(tables.get(pid, []))):
+        for s in _sections(tables[pid]):
             if s is None:
                 out.broken += 1
             elif pid == 0 and s[0] == 0:
@@ -186,11 +192,17 @@ def demux(media: bytes) -> Stream:
         counters[pid] = counter, body
         start = flags & 0x40
         if pid == 0 or pid in out.programs.values():
-            if start:
-                tables[pid] = [body[1 + body[0] :]]
+            if start:  # the pointer tells where a section begins; what lies before it ends the one before
+                if pid in tables:
+                    tables[pid] += body[1 : 1 + body[0]]
+                    read_table(pid)
+                tables[pid] = bytearray(body[1 + body[0] :])
             elif pid in tables:
-                tables[pid].append(body)
-            read_table(pid)
+                tables[pid] += body
+            if pid in tables:
+                read_table(pid)
+        elif pid not in out.streams:  # no program has it
+            out.other += 1
         elif start:
             close(pid)
             open_[pid] = [random, at, body]
@@ -203,7 +215,8 @@ def demux(media: bytes) -> Stream:
 
 def mux_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, n_bytes, media): each text's UTF-8 bytes (null: none), padded by bytes 255 to a positive
-    multiple of ``block``, as a transport stream. Equal texts give equal streams; rows keep their number."""
+    multiple of ``block``, as a transport stream. Equal texts give equal streams; rows keep their number, repeated ones and
+    those with a null id too. A text of any length is worked on whole. An empty table gives no rows; ids must be integers."""
     bound_batches(df.sparkSession)
     schema = pa.schema([(id_col, pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
@@ -216,40 +229,43 @@ def mux_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     return rows.mapInArrow(run, f"`{id_col}` long, n_bytes long, media binary")
 
 
-def feature(s: Stream) -> str:
-    stamps = [u.pts for u in s.units if u.pts is not None]
-    kinds = ",".join(f"{pid}:{kind}" for pid, kind in sorted(s.streams.items()))
-    return f"programs={len(s.programs)};streams={kinds};units={len(s.units)};points={sum(u.random_access for u in s.units)};first={min(stamps, default=-1)};last={max(stamps, default=-1)};gaps={s.gaps};broken={s.broken}"
+UNITS = pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("random_access", pa.bool_()), ("position", pa.int64()), ("size", pa.int64())])
 
 
 def demux_column(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, feature) of the streams in column media."""
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, programs, streams, gaps, broken, units) of
+    the streams in column media, units being an array of (pid, pts, random_access, position, size). A null media is an
+    empty one; a null id stays null, repeated rows are worked on each. An empty table gives no rows."""
     bound_batches(df.sparkSession)
-    names = [(id_col, pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    names = [(id_col, pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())]
+    names += [("programs", pa.int64()), ("streams", pa.string()), ("gaps", pa.int64()), ("broken", pa.int64()), ("units", pa.list_(UNITS))]
     schema = pa.schema(names)
 
     def run(batches):
         for b in batches:
             rows = []
-            for i, n, media in zip(*(b.column(k).to_pylist() for k in (id_col, "n_bytes", "media")), strict=True):
+            for i, n, media in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 s = demux(media)
                 p = s.payload()
-                rows.append((i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s)))
+                kinds = ",".join(f"{pid}:{kind}" for pid, kind in sorted(s.streams.items()))
+                units = [(u.pid, u.pts, u.random_access, u.position, len(u.data)) for u in s.units]
+                rows.append((i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), len(s.programs), kinds, s.gaps, s.broken, units))
             if rows:
                 yield batch(schema, [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)])
 
-    return df.mapInArrow(run, f"`{id_col}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    spark_names = f"`{id_col}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, programs long, streams string, gaps long, broken long, units array<struct<pid: int, pts: long, random_access: boolean, position: long, size: long>>"
+    return df.select(F.col(id_col).cast("long").alias(id_col), "n_bytes", F.coalesce("media", F.lit(b"")).alias("media")).mapInArrow(run, spark_names)
 
 
-def unit_table(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per elementary packet: id, pid, unit, pts, random_access, position, size."""
-    bound_batches(df.sparkSession)
-    schema = pa.schema([(id_col, pa.int64()), ("pid", pa.int32()), ("unit", pa.int64()), ("pts", pa.int64()), ("random_access", pa.bool_()), ("position", pa.int64()), ("size", pa.int64())])
+def feature() -> Column:
+    """A stream's programs and streams, and its timestamps and random-access points, as text of the columns of ``demux_column``."""
+    stamps = F.filter(F.transform("units", lambda u: u["pts"]), lambda p: p.isNotNull())
+    points = F.size(F.filter("units", lambda u: u["random_access"]))
+    told = {"programs": "programs", "streams": "streams", "units": F.size("units"), "points": points, "first": F.coalesce(F.array_min(stamps), F.lit(-1)), "last": F.coalesce(F.array_max(stamps), F.lit(-1)), "gaps": "gaps", "broken": "broken"}
+    return F.concat_ws(";", *[F.concat(F.lit(f"{k}="), (F.col(v) if isinstance(v, str) else v).cast("string")) for k, v in told.items()])
 
-    def run(batches):
-        for b in batches:
-            rows = [(i, u.pid, k, u.pts, u.random_access, u.position, len(u.data)) for i, media in zip(b.column(id_col).to_pylist(), b.column("media").to_pylist(), strict=True) for k, u in enumerate(demux(media).units)]
-            if rows:
-                yield batch(schema, [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)])
 
-    return df.mapInArrow(run, f"`{id_col}` long, pid int, unit long, pts long, random_access boolean, position long, size long")
+def unit_table(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per elementary packet: id, unit, pid, pts, random_access, position, size."""
+    rows = demux_column(df.withColumn("n_bytes", F.lit(None).cast("long")), id_col)
+    return rows.select(id_col, F.posexplode("units").alias("unit", "u")).select(id_col, F.col("unit").cast("long").alias("unit"), "u.*")

@@ -14,7 +14,7 @@ from .minhash import near_dups
 from .packing import pack
 from .pieces import Pieces, decode_column, encode_column
 from .substring import remove_repeats
-from .tables import remainder
+from .tables import materialise, remainder
 from .warc import round_trip
 
 #: Where public vocabularies lie; a parameter of the operators.
@@ -40,7 +40,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpegts.demux_column(mpegts.mux_column(table(spark, sf_dir, "documents")))
+    """Texts as written media columns, read back; the feature tells timestamps and random-access points of their units."""
+    media = materialise(mpegts.mux_column(table(spark, sf_dir, "documents")), "media")
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    return mpegts.demux_column(media).select(*names, mpegts.feature().alias("feature"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
