@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import batch, bound_batches, lean, text_of
@@ -22,6 +22,8 @@ from .tables import batch, bound_batches, lean, text_of
 BITS = 15
 SPACE = 1 << BITS
 FIT_ROWS = 3000
+#: Rows that a language has in the sample at least.
+LEAST = 20
 #: Characters of one text worked on at a time.
 SPAN = 1 << 18
 UNKNOWN = "und"
@@ -108,11 +110,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], idf:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, fit_rows: int = FIT_ROWS, max_langs: int = 1024) -> Model | None:
-    """A model of the rows of ``docs`` where ``learn`` holds and text and language are not null; None without such rows."""
+    """A model of the rows of ``docs`` where ``learn`` holds and text and language are not null; None without such rows.
+
+    Document frequencies cover all these rows. The classifier is fitted on ``fit_rows`` of them, languages by their shares and
+    each with ``LEAST`` rows where it has so many: a bounded sample, chosen by hash. Over ``max_langs`` distinct values of
+    ``lang_col`` are an error. Rows that repeat count each; long texts are read whole; further columns are ignored.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.lit(True) if learn is None else learn))
-    rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("order"))
+    rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("order"))
 
     def frequencies(batches):
         df, n = np.zeros(SPACE, np.int64), 0
@@ -132,9 +139,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     seen = np.zeros(SPACE)
     seen[list(df)] = list(df.values())
     idf = np.log((1 + total) / (1 + seen)) + 1
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(max_langs + 1).collect())
-    if len(langs) > max_langs:
-        raise ValueError(f"over {max_langs} languages")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()
+    if len(sizes) > max_langs:
+        raise ValueError(f"over {max_langs} languages: the model is a number for each of them and each feature")
+    langs = sorted(r["lang"] for r in sizes)
 
     def vectors(batches):
         schema = pa.schema([("order", pa.int64()), ("lang", pa.string()), ("f", pa.binary()), ("x", pa.binary())])
@@ -142,11 +150,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             fx = [counts(t) for t in b.column(0).to_pylist()]
             yield batch(schema, [b.column(2), b.column(1), [f.astype(np.uint16).tobytes() for f, _ in fx], [n.astype(np.int32).tobytes() for _, n in fx]])
 
-    # The learning rows of the smallest id hashes: a bounded part of them, evenly over the input. Hashes are
-    # even, so half as many again as are wanted lie below this cut; only those are sorted.
-    share = min(1.0, 1.5 * fit_rows / total + 1e-9)
-    low = rows if 1.5 * fit_rows >= total else rows.filter(F.col("order") < int(share * 2**64) - 2**63)
-    chosen = low.orderBy("order", "lang", F.xxhash64("text")).limit(fit_rows)
+    # Each language's learning rows of the smallest hashes of id and text: its share of ``fit_rows``, ``LEAST`` at least. Hashes
+    # alone are ordered first; texts are read again for the rows up to each language's last hash only.
+    quota = {r["lang"]: max(LEAST, round(fit_rows * r["n"] / total)) for r in sizes}
+    told = F.create_map(*(F.lit(x) for kv in quota.items() for x in kv))
+    order = Window.partitionBy("lang").orderBy("order")
+    some = (F.col("k") <= max(quota.values())) & (F.col("k") <= told[F.col("lang")])  # the first bound limits tasks before the shuffle
+    last = rows.select("lang", "order").withColumn("k", F.row_number().over(order)).filter(some).groupBy("lang").agg(F.max("order").alias("last"))
+    ends = F.create_map(*(F.lit(x) for r in last.collect() for x in (r["lang"], r["last"])))
+    near = rows.filter(F.col("order") <= ends[F.col("lang")]).withColumn("k", F.row_number().over(order))
+    chosen = near.filter(some)
     got = chosen.select("text", "lang", "order").mapInArrow(lean(vectors), "order long, lang string, f binary, x binary").collect()
     index = {lang: i for i, lang in enumerate(langs)}
     model = Model(langs, np.zeros((SPACE, len(langs)), np.float32), np.zeros(len(langs)), idf)
@@ -161,7 +174,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its calibrated probability.
 
-    ``und`` with score 0 for a null text or one without a letter, or without a model. Only the text is read.
+    ``und`` with score 0 for a null text or one without a letter, or without a model. Only the text is read, all of it; of equal
+    scores the first language in order is told. Columns of ``docs`` called ``lang_out`` or ``score_out`` are replaced, all
+    others stay. Repeated rows stay each; an empty table gives no rows.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -173,7 +188,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_o
 
         m, out = shared.value, []
         for t in texts:
-            if m is None or t is None or not any(map(str.isalpha, t)):
+            if m is None or t is None:
                 out.append((UNKNOWN, 0.0))
                 continue
             p = m.probabilities(t)
@@ -181,5 +196,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_o
             out.append((m.langs[best], float(p[best])))
         return pd.DataFrame(out, columns=["lang", "score"])
 
-    out = docs.withColumn("_guess", guess(F.col(text_col).cast("string")))
-    return out.withColumns({lang_out: F.col("_guess.lang"), score_out: F.col("_guess.score")}).drop("_guess")
+    text = F.col(text_col).cast("string")
+    found = guess(F.when(text.rlike(r"\p{L}"), text))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (lang_out, score_out)]
+    out = docs.select(F.struct(*kept).alias("row"), found.alias("found")) if kept else docs.select(found.alias("found"))
+    return out.select(*["row.*"] * bool(kept), F.col("found.lang").alias(lang_out), F.col("found.score").alias(score_out))
