@@ -18,20 +18,20 @@ from .tables import materialise, text_of
 
 
 def digest_rows(docs: DataFrame, id_col: str, text_col: str, normalise) -> DataFrame:
+    """(id, row, digest): row numbers tell rows apart that share id and text."""
     text: Column = text_of(text_col)
     text = normalise(text) if normalise else text
-    return docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    return docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
 
 
 def heavy_digests(rows: DataFrame, share: int = 256, tracked: int = 4096) -> DataFrame:
-    """At most ``share`` rows (digest, keep_id, group_size): digests of at least 1/share of the rows."""
+    """At most ``share`` rows (digest, top, group_size): digests of at least 1/share of the rows; top has the largest id."""
     total = rows.count()
-    if not total:
-        return rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).limit(0)
-    found = rows.agg(F.expr(f"approx_top_k(digest_hex, {share}, {tracked})").alias("top")).collect() if "digest_hex" in rows.columns else rows.select(F.hex("digest").alias("digest_hex")).agg(F.expr(f"approx_top_k(digest_hex, {share}, {tracked})").alias("top")).collect()
-    named = [r["item"] for r in found[0]["top"] or [] if r["item"] is not None and r["count"] * share >= total]
+    found = rows.agg(F.expr(f"approx_top_k(hex(digest), {share}, {tracked})").alias("top")).first()["top"] if total else []
+    named = [r["item"] for r in found or [] if r["item"] is not None and r["count"] * share >= total]
     # The sketch's counts are upper bounds here, so no digest of that share is missed; verify them.
-    verified = rows.filter(F.hex("digest").isin(named) if named else F.lit(False)).groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    held = rows.filter(F.hex("digest").isin(named) if named else F.lit(False))
+    verified = held.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("top"), F.count(F.lit(1)).alias("group_size"))
     return verified.filter(F.col("group_size") * share >= total)
 
 
@@ -44,17 +44,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     rows = materialise(digest_rows(docs, id_col, text_col, normalise), "digests")
-    heavy = heavy_digests(rows, share)
-    joined = rows.join(F.broadcast(heavy), "digest", "left")
-    # A frequent digest's losers end here. Its winner, and rows that tie with it, go on to the shuffle.
-    lost = F.col("group_size").isNotNull() & ~F.col("id").eqNullSafe(F.col("keep_id"))
-    done = joined.filter(lost).select("id", "keep_id", "group_size", F.lit(False).alias("kept"), "digest")
+    joined = rows.join(F.broadcast(heavy_digests(rows, share)), "digest", "left")
+    # A frequent digest's rows are decided where they are read, its winner too; only the others go on to the shuffle.
+    heavy = F.col("group_size").isNotNull()
+    done = joined.filter(heavy).select("id", F.col("top.id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), "digest")
     same = Window.partitionBy("digest")
-    first = same.orderBy(F.col("id").desc_nulls_last())
-    rest = joined.filter(~lost).select(
+    first = same.orderBy(F.col("id").desc_nulls_last(), F.col("row").desc())
+    rest = joined.filter(~heavy).select(
         "id",
-        F.coalesce("keep_id", F.max("id").over(same)).alias("keep_id"),
-        F.coalesce("group_size", F.count(F.lit(1)).over(same)).alias("group_size"),
+        F.max("id").over(same).alias("keep_id"),
+        F.count(F.lit(1)).over(same).alias("group_size"),
         (F.row_number().over(first) == 1).alias("kept"),
         "digest",
     )
