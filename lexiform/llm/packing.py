@@ -6,12 +6,13 @@ decreasing runs on it with multiplicities: all pieces of a length go into all bi
 at once. Several rules for opening bins are planned over all permitted lengths jointly, each bin is then
 downsized to the smallest length that holds its contents, and the cheapest plan is carried out.
 
-Pieces get their slots by rank among the pieces of their length. Ranks are counted in salted groups, so a
-length that a third of all pieces have is no single task.
+Pieces get their slots by rank among the pieces of their length. Ranks are counted in groups of about ``GROUP`` pieces of a
+length, so that a length of a third of all pieces becomes as many groups as it needs.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from .tables import materialise, text_of
 SIZES = (512, 1024, 2048, 4096)
 #: What a sequence costs besides its length.
 OVERHEAD = 16
-SALTS = 64
+GROUP = 1 << 16
 #: Rules: a new bin is the least-cost size of those at least so many times its first piece.
 ROOM = (1.0, 1.25, 1.5, 2.0, 3.0, 4.0, 8.0, 1e9)
 
@@ -98,6 +99,12 @@ def plan(histogram: dict[int, int], sizes=SIZES, overhead: int = OVERHEAD) -> li
     return sorted(best[1], key=lambda x: (-x[0], x[1].items, x[1].bins)) if best else []
 
 
+def most_slots(longest: int) -> int:
+    """A bound on the slots of a plan: a length leaves two kinds more than it found at most, besides one it opens, and the
+    distinct lengths of a bin add up to ``longest`` at most."""
+    return 3 * longest * math.isqrt(2 * longest)
+
+
 def pieces(docs: DataFrame, longest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length) of every document: its words and one end mark, cut at ``longest``.
 
@@ -114,14 +121,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes=
 
     No piece is dropped or shortened; the pieces of a bin lie next to each other from offset 0 and
     bin_size is the smallest permitted length that holds them. Rows that repeat are packed each on
-    their own. An empty table gives no rows. Further columns are ignored.
+    their own, and so are those with a null id. An empty table gives no rows. Further columns are ignored.
     """
     spark = docs.sparkSession
     sizes = tuple(sorted(set(sizes)))
-    rows = materialise(pieces(docs, sizes[-1], id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS))), "pieces")
+    rows = materialise(pieces(docs, sizes[-1], id_col, text_col), "pieces")
+    # At most sizes[-1] rows, one for each length: collected, and broadcast as the number of each length's groups.
+    lengths = materialise(rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    histogram = {r["length"]: r["n"] for r in lengths.collect()}
+    groups = F.broadcast(lengths.select("length", (F.col("n") / GROUP).cast("long").alias("more")))
+    salt = F.pmod(F.xxhash64("id", "piece"), F.col("more") + 1).alias("salt")
+    rows = rows.join(groups, "length").select("id", "piece", "start", "length", salt)
     counts = materialise(rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "counts")
-    # At most sizes[-1] rows: one for each length.
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots, ranks, bins = [], {}, 0
     for size, kind in plan(histogram, sizes, overhead):
         offset = 0
@@ -136,7 +147,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes=
     starts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("length", "salt").orderBy("id", "piece")
     ranked = rows.withColumn("k", F.row_number().over(own) - 1).join(starts, ["length", "salt"]).withColumn("rank", F.col("k") + F.col("base"))
-    # The slots' number depends on the permitted lengths alone, not on the input.
+    # A proven bound: ``most_slots`` of the permitted lengths, whatever the input.
     placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop")))
     at = F.col("rank") - F.col("first")
     return placed.select(
