@@ -78,9 +78,8 @@ def subset_keys(s: np.ndarray, percent: int) -> np.ndarray:
     if len(s) > SMALL or math.comb(len(s), spare) > 64:
         return np.zeros(0, np.int64)
     each = mix(s)
-    total = each.sum(dtype=np.uint64)
-    sums = [total - each[list(gone)].sum(dtype=np.uint64) for k in range(spare + 1) for gone in itertools.combinations(range(len(s)), k)]
-    return mix(np.array(sums, np.uint64) ^ np.uint64(0x534D414C4C)).view(np.int64)
+    gone = np.array([each[list(g)].sum(dtype=np.uint64) for k in range(spare + 1) for g in itertools.combinations(range(len(s)), k)], np.uint64)
+    return mix(each.sum(dtype=np.uint64) - gone ^ np.uint64(0x534D414C4C)).view(np.int64)
 
 
 def bucket_keys(s: np.ndarray, percent: int) -> np.ndarray:

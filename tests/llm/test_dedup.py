@@ -67,10 +67,17 @@ def test_exact(spark):
     assert exact_dedup(frame(spark, [])).collect() == []
 
 
+def test_exact_repeated_rows_of_a_heavy_digest(spark):
+    """Copies of a frequent text under one id: one stays, and none goes through the shuffle."""
+    got = exact_dedup(frame(spark, [(5, "hot")] * 400 + [(4, "hot")] * 30 + [(6, "cold")])).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got if r.kept) == [(5, 5, 430, True), (6, 6, 1, True)]
+    assert len(got) == 431
+
+
 def test_exact_heavy_are_verified(spark):
     rows = digest_rows(frame(spark, [(i, "hot" if i < 300 else f"t{i}") for i in range(900)]), "doc_id", "text", None)
     heavy = heavy_digests(rows, share=64).collect()
-    assert [(r.keep_id, r.group_size) for r in heavy] == [(299, 300)]
+    assert [(r.top.id, r.group_size) for r in heavy] == [(299, 300)]
 
 
 def test_exact_normalised(spark):
@@ -92,6 +99,52 @@ def test_near(spark, seed):
     check_near(spark, family_rows(seed))
 
 
+def test_near_recall():
+    """Buckets that linked sets share: exact for small sets, and far above 0.999 at the least similarity for all others."""
+    import numpy as np
+
+    from lexiform.llm.minhash import bucket_keys
+
+    rng = np.random.default_rng(5)
+    missed = tried = 0
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 16, 24, 40, 75, 150, 300):
+        for m in range(n, n * 4 // 3 + 1):
+            both = -(-75 * (n + m) // 175)  # the fewest shared shingles of linked sets
+            if both > n:
+                continue
+            for _ in range(60 if m <= 9 else 1200 // (m - n + 1) // (1 + n // 20)):
+                h = np.unique(rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+                a, b = np.sort(h[rng.permutation(len(h))]), None
+                pick = rng.permutation(len(h))
+                a, b = np.sort(h[pick[:n]]), np.sort(np.r_[h[pick[:both]], h[pick[n:]]])
+                found = len(np.intersect1d(bucket_keys(a, 75), bucket_keys(b, 75))) > 0
+                if n <= 6 and m <= 9:
+                    assert found
+                tried += 1
+                missed += not found
+    assert tried > 5000 and missed <= 2
+
+
+def test_near_rim(spark):
+    """A large family of one text, each with its own changes: members that its centre doesn't link meet in later rounds."""
+    rng = random.Random(11)
+    base = words(rng, 200, 10**6)
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    check_near(spark, rows)
+
+
+def test_near_shared_ids(spark):
+    """Rows of one id are one document with the links of all its texts."""
+    rng = random.Random(12)
+    texts = [" ".join(words(rng, 60, 10**6)) for _ in range(6)]
+    check_near(spark, [(7, texts[0]), (7, texts[1]), (3, texts[0] + " x"), (9, texts[1] + " y"), (4, texts[2]), (4, texts[2]), (2, texts[3])])
+
+
 def test_near_chain(spark):
     """Each text differs from the next by one word in a sliding window, so links form a path."""
     base = [f"c{i}" for i in range(140)]

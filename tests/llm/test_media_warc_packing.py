@@ -34,6 +34,66 @@ def test_ts_faults():
     assert mpegts.demux(mpegts.mux(b"a" * 500) + mpegts.mux(b"b" * 500)).payload() == b"a" * 500 + b"b" * 500
 
 
+def packet(pid, body, counter, start=False):
+    """A packet by the standard's layout; what is not filled is stuffed by an adaptation field."""
+    room = 184 - len(body)
+    extra = b"" if not room else bytes([room - 1]) + (b"\0" + b"\xff" * (room - 2) if room > 1 else b"")
+    return bytes([0x47, 0x40 * start | pid >> 8, pid & 0xFF, (0x30 if room else 0x10) | counter & 15]) + extra + body
+
+
+def section(table, number, body):
+    return mpegts._section(table, number, body)
+
+
+def test_ts_program_tables_decide():
+    """Streams that no program names are left out, and a section may go on in the next packet, before the pointer."""
+    pat = section(0, 1, (7).to_bytes(2, "big") + (0xE000 | 0x30).to_bytes(2, "big"))
+    long = b"".join(bytes([0x06]) + (0xE000 | 0x200 + k).to_bytes(2, "big") + b"\xf0\x28" + bytes(40) for k in range(5))
+    pmt = section(2, 7, (0xE000 | 0x200).to_bytes(2, "big") + b"\xf0\x00" + long)
+    again = section(2, 7, (0xE000 | 0x200).to_bytes(2, "big") + b"\xf0\x00" + bytes([0x1B]) + (0xE000 | 0x300).to_bytes(2, "big") + b"\xf0\x00")
+    assert len(pmt) > 183
+    pes = lambda data: b"\0\0\1\xbd" + (len(data) + 3).to_bytes(2, "big") + b"\x80\0\0" + data
+    tail = pmt[183:]
+    media = b"".join([
+        packet(0, b"\0" + pat, 0, True), packet(0x30, b"\0" + pmt[:183], 0, True), packet(0x30, bytes([len(tail)]) + tail + again, 1, True),
+        packet(0x200, pes(b"named"), 0, True), packet(0x77, pes(b"stray"), 0, True), packet(0x300, pes(b"later"), 0, True), packet(0x77, b"more", 1),
+    ])
+    s = mpegts.demux(media)
+    assert s.programs == {7: 0x30} and s.streams == {**{0x200 + k: 6 for k in range(5)}, 0x300: 0x1B}
+    assert [(u.pid, u.data) for u in s.units] == [(0x200, b"named"), (0x300, b"later")]
+    assert (s.broken, s.gaps, s.other) == (0, 0, 2)
+    assert s.payload() == b"named" and s.payload(0x300) == b"later"
+
+
+def plain_units(media):
+    """(position, pts, random access, data) of the one stream of ``mux``, read packet by packet from the layout alone."""
+    out = []
+    for at in range(376, len(media), 188):
+        p = media[at : at + 188]
+        skip = 4 + (1 + p[4] if p[3] & 0x20 else 0)
+        if p[1] & 0x40:
+            h = int.from_bytes(p[skip + 9 : skip + 14], "big")
+            pts = (h >> 33 & 7) << 30 | (h >> 17 & 0x7FFF) << 15 | h >> 1 & 0x7FFF
+            out.append([at, pts, bool(p[5] & 0x40), b""])
+            skip += 14
+        out[-1][3] += p[skip:]
+    return out
+
+
+def test_ts_columns_against_a_plain_reader(spark):
+    rows = [r for r in odd_rows() if r[0] not in (9,)] + [(None, "null id"), (50, "w" * 120_000)]
+    media = mpegts.mux_column(frame(spark, rows))
+    got = mpegts.demux_column(media).withColumn("feature", mpegts.feature()).collect()
+    by = {(r.doc_id, r.n_bytes): r.media for r in media.collect()}
+    for r in got:
+        m = bytes(by[r.doc_id, r.n_bytes])
+        units = plain_units(m)
+        assert (r.media_bytes, r.media_sha256) == (len(m), hashlib.sha256(m).hexdigest())
+        assert [(u.position, u.pts, u.random_access, u.size) for u in r.units] == [(a, p, x, len(d)) for a, p, x, d in units]
+        assert r.payload_sha256 == hashlib.sha256(b"".join(d for *_, d in units)).hexdigest()
+        assert r.feature == f"programs=1;streams=256:6;units={len(units)};points={sum(x for _, _, x, _ in units)};first=0;last={units[-1][1]};gaps=0;broken=0"
+
+
 def test_ts_columns(spark):
     rows = odd_rows()
     media = mpegts.mux_column(frame(spark, rows))
@@ -90,6 +150,47 @@ def test_warc_file_and_damage(spark):
     assert sorted(r.record_id[-1] for r in got if not r.intact) == ["1", "2", "3", "4"]
 
 
+LOST = {"first": lambda r: r.chunk_no == 0, "middle": lambda r: r.chunk_no == 4, "last": lambda r: r.last, "all but one": lambda r: r.chunk_no != 5}
+
+
+@pytest.mark.parametrize("kind", LOST)
+def test_warc_lost_slices(spark, kind):
+    """Whatever is lost of a record, it is one row, and its neighbours are as they were."""
+    rows = [(i, f"http://h/{i}", f"text{i} " * 3000) for i in range(5)]
+    table = warc.write_table(pages(spark, rows), size=1000).collect()
+    for gone in range(5):
+        left = [r for r in table if r.record_id != f"urn:x-page:{gone}" or not LOST[kind](r)]
+        got = warc.read_table(spark.createDataFrame(left, "record_id string, instance long, chunk_no int, last boolean, data binary, running binary")).collect()
+        assert sorted((r.record_id, r.intact) for r in got) == [(f"urn:x-page:{i}", i != gone) for i in range(5)]
+        assert all(r.payload_digest == warc.base32(hashlib.sha1(rows[int(r.record_id[-1])][2].encode()).digest()) for r in got if r.intact)
+
+
+def test_warc_slices_twice(spark):
+    table = warc.write_table(pages(spark, [(1, "u", "a" * 5000), (2, "u", "b")]), size=1000).collect()
+    twice = table + [r for r in table if r.record_id.endswith("1") and r.chunk_no == 2]
+    got = warc.read_table(spark.createDataFrame(twice, "record_id string, instance long, chunk_no int, last boolean, data binary, running binary")).collect()
+    assert sorted((r.record_id[-1], r.payload_bytes, r.intact) for r in got) == [("1", 5000, False), ("2", 1, True)]
+
+
+def test_packing_slots_are_bounded():
+    """The broadcast table: every length present, whatever the numbers of pieces."""
+    rng = random.Random(4)
+    for longest in (64, 512):
+        sizes = tuple(longest // k for k in (8, 4, 2, 1))
+        for scale in (1, 10, 10**6, 10**12):
+            histogram = {n: rng.randrange(1, scale + 1) for n in range(1, longest + 1)}
+            kinds = packing.plan(histogram, sizes)
+            assert sum(len(k.items) for _, k in kinds) <= packing.most_slots(longest)
+
+
+def test_packing_groups(spark, monkeypatch):
+    """A length of many groups gets every slot once."""
+    monkeypatch.setattr(packing, "GROUP", 7)
+    got = packing.pack(frame(spark, [(i, "w " * (i % 3)) for i in range(300)] + [(None, "x"), (None, "x")]), sizes=(2, 5, 8)).collect()
+    check_bins(got, (2, 5, 8))
+    assert len(got) == 302
+
+
 def check_bins(rows, sizes):
     bins = {}
     for r in rows:

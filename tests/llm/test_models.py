@@ -216,6 +216,46 @@ def test_langid_odd(spark):
     assert langid.predict(empty, m).collect() == []
 
 
+def plain_score(m, text):
+    """A text's logits by the definition: TF-IDF of its hashed 1- to 3-grams of characters, a dictionary and loops."""
+    c = [ord(x) for x in text.lower()]
+    n: Counter = Counter()
+    for size in (1, 2, 3):
+        for at in range(len(c) - size + 1):
+            h = c[at] * 0x9E3779B1
+            for k in range(1, size):
+                h = h * 0x85EBCA6B + c[at + k] * 0xC2B2AE35 + k
+            h &= 0xFFFFFFFF
+            h ^= h >> 15
+            n[(h * 0x2C1B3C6D & 0xFFFFFFFF) >> (32 - langid.BITS)] += 1
+    x = {f: (1 + math.log(k)) * m.idf[f] for f, k in n.items()}
+    norm = math.sqrt(sum(v * v for v in x.values())) or 1.0
+    z = [(sum(v / norm * float(m.weights[f, j]) for f, v in x.items()) + float(m.bias[j])) / m.temperature for j in range(len(m.langs))]
+    e = [math.exp(v - max(z)) for v in z]
+    return [v / sum(e) for v in e]
+
+
+def test_langid_against_a_plain_version(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    m = langid.fit(docs)
+    for r in langid.predict(docs.limit(60), m).collect():
+        p = plain_score(m, r.text)
+        assert r.lang_pred == m.langs[p.index(max(p))] and r.score == pytest.approx(max(p), abs=1e-5)
+
+
+def test_langid_rare_languages_and_clashing_columns(spark):
+    """Each language is in the sample, whatever its share and however often rows or ids repeat; a caller's columns stay."""
+    rows = [(None, "the cat and the dog", "en")] * 3000 + [(7, "der Hund und die Katze", "de")] * 900 + [(i, f"le chat et le chien {i}", "fr") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    m = langid.fit(docs, fit_rows=300)
+    assert m.langs == ["de", "en", "fr"]
+    asked = spark.createDataFrame([("the cat", "mine", 1, "x", 2), ("der Hund", "mine", 1, "x", 2), ("le chat et le chien 9", "mine", 1, "x", 2)], "text string, lang_pred string, _guess int, found string, row int")
+    got = langid.predict(asked, m).collect()
+    assert [r.lang_pred for r in got] == ["en", "de", "fr"]
+    assert all((r._guess, r.found, r.row) == (1, "x", 2) for r in got)
+    assert langid.predict(asked, m).columns == ["text", "_guess", "found", "row", "lang_pred", "score"]
+
+
 def test_counts_long_text_in_spans(monkeypatch):
     rng = random.Random(4)
     text = "".join(rng.choice("abcé ") for _ in range(5000))
