@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import discard, materialise
+from .tables import discard, join_hot, materialise
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,9 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialise(large, "large")
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("low"), F.count(F.lit(1)).alias("m"))
+        low = materialise(low, "low")
+        # A star's centre has as many edges as its component has members: a hot key.
+        up = both.filter(F.col("v") > F.col("u"))
+        large = materialise(join_hot(up, low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct(), "large")
+        discard(low)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()

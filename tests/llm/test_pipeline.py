@@ -73,3 +73,15 @@ def test_language_of_many_or_none(spark, monkeypatch):
     model = langid.Model([f"l{i:02}" for i in range(k)], np.zeros((langid.SPACE, k), np.float32), bias, np.ones(langid.SPACE))
     monkeypatch.setattr(langid, "fit", lambda docs: model)
     assert [r.doc_id for r in pipeline.language(spark, docs, "").collect()] == [1]
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Null ids and values, repeated rows, a missing and a further column with a clashing name; then an empty table."""
+    rows = [(None, "a null id", 1), (None, "a null id", 1), (None, "another null id", 1), (1, "one text", 2), (1, "one text", 2), (2, "one text", 2), (3, None, 3), (4, "12", 4), (5, "w " * 9000, 5)]
+    docs = spark.createDataFrame([(i, t, "en" if t else None, n, "k") for i, t, n in rows], "doc_id long, text string, lang string, n_chars long, key string")
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert sorted(str(r.doc_id) for r in got if r.start == 0) == ["2", "5", "None", "None"]
+    assert sorted(r.length for r in got if r.doc_id is None) == [4, 4]
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/b").collect() == []
