@@ -2,6 +2,11 @@
 
 Each stage takes the documents that the one before it kept, with the columns of ``documents``. The last
 one returns the packed pieces.
+
+A null text has no letter and goes in the first stage. Null ids: each such row is a document of its own, exact copies among
+them fold into one, near copies of them are not sought. A null lang, source or n_chars stays as it is; without any lang there
+is no model, and every document with a letter goes on. A column of ``documents`` that a table lacks counts as null, further
+columns are left out. Repeated rows fold into one. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -76,6 +81,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+    docs = docs.select(*(F.col(c) if c in docs.columns else F.lit(None).cast(kinds[c]).alias(c) for c in COLUMNS))
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
