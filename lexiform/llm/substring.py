@@ -26,13 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packed import BLOCK_BYTES, by_bucket, opened, slices, squeeze, stepped, steps
-from .tables import NULL_ID, batch, bound_batches, buffers, lean, parts, text_of
+from .tables import NULL_ID, batch, bound_batches, buffers, lean, parts, release, text_of
 from .textops import grams, words
 
 #: Words of an anchor.
 ANCHOR = 8
-#: Bytes of texts whose anchors one bucket gets, and windows that a bucket works on at once (one anchor can have more).
-BUCKET_BYTES, TOGETHER = 64 << 20, 1 << 20
+#: Bytes of texts whose anchors one bucket gets, the same for the words around them, and windows that a bucket works on at
+#: once (one anchor can have more).
+ASK_BYTES, BUCKET_BYTES, TOGETHER = 64 << 20, 16 << 20, 1 << 19
 ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
 TOLD = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("body", pa.binary())])
 RUNS = pa.schema([("block", pa.int64()), ("body", pa.binary())])
@@ -133,6 +134,7 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _asker(length: int, buckets: int, bits: int):
     def run(key, table):
+        release()  # what the block before this one held
         x = Block(table, length, bits)
         rows = [(b, key[0].as_py(), squeeze(steps(x.asked[i:j]))) for b, i, j in slices(x.asked, buckets)]
         return pa.Table.from_batches([batch(ASK, list(zip(*rows, strict=True)))] if rows else [], ASK)
@@ -156,16 +158,17 @@ def _answerer(batches):
     yield from by_bucket(batches, answer)
 
 
-def _seeder(length: int, buckets: int, bits: int):
+def _seeder(length: int, asks: int, buckets: int, bits: int):
     """A block's rows for the buckets of its anchors; a negative bucket is a message for the block itself."""
 
     def run(key, table, told):
+        release()
         block, x = key[0].as_py(), Block(table, length, bits)
         if not len(x.doc):
             return ASK.empty_table()
         bits_of = dict(zip(told["bucket"].to_pylist(), told["body"].to_pylist(), strict=True))
         shared = np.zeros(len(x.asked), bool)
-        for b, i, j in slices(x.asked, buckets):
+        for b, i, j in slices(x.asked, asks):
             shared[i:j] = np.unpackbits(opened(bits_of[b], np.uint8)[0], count=j - i).astype(bool)
         again, first = find_repeats(x.mark, x.rank(), x.doc, x.at, x.text, length)
         rows = []
@@ -308,14 +311,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(parts(docs), -(-size // (4 * BLOCK_BYTES)))
     blocks = max(1, -(-size // BLOCK_BYTES))
-    buckets = max(1, -(-size // BUCKET_BYTES), min(n, blocks))
+    asks, buckets = max(1, -(-size // ASK_BYTES), min(n, blocks)), max(1, -(-size // BUCKET_BYTES), min(n, blocks))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "sub"), F.lit(blocks))).repartition(n, "block")
     each = dealt.groupBy("block")
     ask, told = "bucket long, block long, body binary", "block long, bucket long, body binary"
-    asked = each.applyInArrow(_asker(length, buckets, bits), ask).repartition(n, "bucket").sortWithinPartitions("bucket")
+    # Buckets are numbered, so partitions get equally many of them.
+    asked = each.applyInArrow(_asker(length, asks, bits), ask).repartitionById(min(n, asks), F.col("bucket").cast("int")).sortWithinPartitions("bucket")
     answers = asked.mapInArrow(lean(_answerer), told).repartition(n, "block")
-    work = each.cogroup(answers.groupBy("block")).applyInArrow(_seeder(length, buckets, bits), ask)
-    runs = work.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_extender(length, bits)), "block long, body binary").repartition(n, "block")
+    work = each.cogroup(answers.groupBy("block")).applyInArrow(_seeder(length, asks, buckets, bits), ask)
+    work = work.repartitionById(buckets, F.pmod("bucket", F.lit(buckets)).cast("int")).sortWithinPartitions("bucket")
+    runs = work.mapInArrow(lean(_extender(length, bits)), "block long, body binary").repartition(n, "block")
     kind = rows.schema["carry"].dataType.simpleString() if carry else ""
     names = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + (f", carry {kind}" if carry else "")
     out = each.cogroup(runs.groupBy("block")).applyInArrow(_remover(length, with_text, pa.null() if carry else None), names)
