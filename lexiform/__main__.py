@@ -43,7 +43,10 @@ def verify(a) -> dict:
 
 
 def to_json(a) -> dict:
-    body = convert.to_json(_read(a.path), a.scheme)
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.builder.appName("lexiform convert").getOrCreate()
+    body = convert.to_json(convert.rank_frame(spark, _read(a.path)), a.scheme)
     with open(a.out, "w", encoding="utf-8") as f:
         f.write(body)
     return {"out": a.out, "sha256": hashlib.sha256(body.encode()).hexdigest()}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import Row
@@ -12,6 +11,7 @@ from pyspark.sql.types import Row
 from .config import Config
 from .config import load as load_config
 from .errors import SessionRevisionConflict, SessionStateMismatch, UncertifiedTokenizer, UnsupportedConfig
+from .functions import schemes
 from .operators import lookup
 from .operators.pieces import PieceTokenizer
 from .operators.sessions import Session
@@ -111,30 +111,23 @@ class Lexiform:
         return r.groupBy("r.path", "r.reason").agg(F.count(F.lit(1)).alias("n_rows"))
 
     def register(self, prefix: str = "tok") -> None:
-        """SQL functions: PREFIX_encode, PREFIX_decode, PREFIX_count and the table function PREFIX_pieces."""
-        engine = self.columns._engine()
-
-        @F.pandas_udf("array<int>")
-        def encode(t: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None else engine().encode(x) for x in t], dtype=object)
-
-        @F.pandas_udf("string")
-        def decode(rows: pd.Series) -> pd.Series:
-            out = [None if x is None else engine().decode(list(x), True) for x in rows]
-            return pd.Series([x.decode("utf-8", "replace") if isinstance(x, bytes) else x for x in out], dtype=object)
-
-        @F.pandas_udf("long")
-        def count(t: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None else len(engine().encode(x)) for x in t], dtype="Int64")
-
-        for name, f in (("encode", encode), ("decode", decode), ("count", count)):
-            self.spark.udf.register(f"{prefix}_{name}", f)
+        """SQL functions: PREFIX_encode, PREFIX_decode, PREFIX_count and the table function PREFIX_pieces. They are the columns'
+        own functions over whole batches; a byte-level text is split in the JVM, and counting sends no ids."""
+        held = self.columns
+        self.spark.udf.register(f"{prefix}_decode", held.decoder())
+        if isinstance(held, PieceTokenizer):
+            for name, f in (("encode", held.encoder()), ("count", held.counter())):
+                self.spark.udf.register(f"{prefix}_{name}", f)
+        else:
+            for name, f, kind in (("encode", held.encoder(), "ARRAY<INT>"), ("count", held.counter(), "BIGINT")):
+                self.spark.udf.register(f"{prefix}_{name}_pieces", f)
+                plain = held.plain_sql("t")
+                body = f"{prefix}_{name}_pieces(CASE WHEN NOT ({plain}) THEN t END, CASE WHEN {plain} THEN {schemes.pieces_sql('t', held.artifact.scheme)} END)"
+                self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_{name}(t STRING) RETURNS {kind} RETURN {body}")
         scheme = getattr(self.artifact, "scheme", None)
         if scheme:
             from pyspark.sql.functions import udtf
 
-            from .functions import schemes
-
             class Pieces:
                 def eval(self, text: str):
                     for n, p in enumerate(schemes.split(text, scheme) if text is not None else ()):

@@ -69,6 +69,23 @@ def pieces(text: Column, scheme: str) -> Column:
     return out
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def pieces_sql(text: str, scheme: str) -> str:
+    """The same as SQL text over the SQL expression ``text``."""
+    stages = SCHEMES[resolve(scheme)]
+    if len(stages) == 1:
+        return f"regexp_extract_all({text}, {quoted('(?U)' + _jvm(stages[0]))}, 0)"
+    out = f"array({text})"
+    if stages is LAGUNA:
+        out, stages = f"split({text}, {quoted(_RUN_BEGINS)})", stages[1:]
+    for p in stages:
+        out = f"flatten(transform({out}, x -> regexp_extract_all(x, {quoted(f'(?Us)(?:{_jvm(p)})|(?:(?!{_jvm(p)}).)+')}, 0)))"
+    return f"CASE WHEN {text} = '' THEN cast(array() AS array<string>) ELSE {out} END"
+
+
 # A place between an ASCII letter or digit and a space that a letter follows. No scheme has a piece that
 # reaches over it, and none looks past it, so both sides can be split alone. NFC doesn't compose there either.
 _CUT = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z])")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,18 +37,38 @@ def mark_digests(text: Column) -> Column:
 
 
 def blocks(df: DataFrame, id_col: str, text_col: str, size: int = MARK) -> DataFrame:
-    """(id, block, digest) of a text's whole blocks of ``size`` characters, each digest that of the text up to its end."""
-    n = F.floor(F.length(text_col) / size).cast("int")
-    each = F.transform(F.sequence(F.lit(1), n), lambda k: F.sha2(F.substring(F.col(text_col), F.lit(1), k * size).cast("binary"), 256))
-    return df.filter(n > 0).select(id_col, F.posexplode(each).alias("block", "digest"))
+    """(id, block, digest) of a text's whole blocks of ``size`` characters, each digest that of the text up to its end. A text
+    is hashed once, by a running digest."""
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            h, told = hashlib.sha256(), []
+            for at in range(0, len(t) - size + 1 if t else 0, size):
+                h.update(t[at : at + size].encode())
+                told.append(h.copy().hexdigest())
+            out.append(told)
+        return pa.array(out, pa.list_(pa.string()))
+
+    return df.filter(F.length(text_col) >= size).select(id_col, F.posexplode(run(F.col(text_col))).alias("block", "digest"))
 
 
 def chain(df: DataFrame, id_col: str, text_col: str, size: int = MARK) -> DataFrame:
     """(id, block, node): a node is the digest of the node before it and its own block, so that a text is hashed once."""
-    parts = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{{size}}}"), F.lit(0))
-    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))
-    nodes = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(last(acc), x).cast("binary"), 256))))
-    return df.select(id_col, F.posexplode(nodes).alias("block", "node"))
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            node, told = "", []
+            for at in range(0, len(t) - size + 1 if t else 0, size):
+                node = hashlib.sha256((node + t[at : at + size]).encode()).hexdigest()
+                told.append(node)
+            out.append(told)
+        return pa.array(out, pa.list_(pa.string()))
+
+    return df.filter(F.length(text_col) >= size).select(id_col, F.posexplode(run(F.col(text_col))).alias("block", "node"))
 
 
 def chain_prefix(queries: DataFrame, nodes: DataFrame, query_id: str, text_col: str, size: int = MARK) -> DataFrame:
@@ -62,27 +85,55 @@ def _powers(n: Column) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.call_function("shiftleft", F.lit(1), k)), lambda p: p <= n)
 
 
-def longest_prefix(queries: DataFrame, entries: DataFrame, query_id: str, query_text: str, entry_id: str, entry_text: str) -> DataFrame:
+def _digests_at(text: Column, lengths: Column) -> Column:
+    """The digests of a text's beginnings of the given lengths in bytes, which are sorted: one running digest."""
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array, lengths: pa.Array) -> pa.Array:
+        out = []
+        for t, lens in zip(texts.to_pylist(), lengths.to_pylist(), strict=True):
+            if t is None or lens is None:
+                out.append(None)
+                continue
+            data, h, at, told = memoryview(t.encode()), hashlib.sha256(), 0, []
+            for n in lens:
+                h.update(data[at:n])
+                at = n
+                told.append(h.copy().hexdigest())
+            out.append(told)
+        return pa.array(out, pa.list_(pa.string()))
+
+    return run(text, lengths)
+
+
+def longest_prefix(queries: DataFrame, entries: DataFrame, query_id: str, query_text: str, entry_id: str, entry_text: str, bits: int = 256) -> DataFrame:
     """For each query the longest entry that begins it: (query_id, entry_id, matched_bytes), no row for a miss.
 
     Entries are grouped by the digest of their longest beginning of 2**k bytes; a group holds only its distinct
     lengths, so entries that all begin alike cost a query one digest per length, not one row per entry. A query is
-    digested at all powers of two, then at the lengths of the groups it meets, and meets entries by
-    their whole digest. Bytes decide after the join; of equal entries the smallest id is told. Query ids must be unique.
+    digested at all powers of two, then at the lengths of the groups it meets, by a running digest each time, and meets entries
+    by their whole digest. Bytes decide: the longest candidate is compared, and where it isn't the query's beginning all others of
+    that query are. Of equal entries the smallest id is told. Query ids must be unique. ``bits`` of a digest are kept; the
+    result doesn't depend on it.
     """
-    text = F.col(entry_text)
+    text, digits = F.col(entry_text), bits // 4
+    short = lambda c: F.transform(c, lambda d: F.substring(d, 1, digits))
     e = entries.filter(F.octet_length(text) > 0).groupBy(text.alias("_et")).agg(F.min(entry_id).alias("_e"))
-    e = e.withColumn("_n", F.octet_length("_et")).withColumn("_all", content_digest(F.col("_et")))
-    lead = e.select(F.array_max(_powers(F.col("_n"))).alias("_p"), "_et", "_n").select("_p", F.sha2(prefix(F.col("_et"), F.col("_p")), 256).alias("_d"), "_n")
+    e = e.withColumn("_n", F.octet_length("_et")).withColumn("_all", F.substring(content_digest(F.col("_et")), 1, digits))
+    lead = e.select(F.array_max(_powers(F.col("_n"))).alias("_p"), "_et", "_n").select("_p", F.substring(F.sha2(prefix(F.col("_et"), F.col("_p")), 256), 1, digits).alias("_d"), "_n")
     lengths = lead.groupBy("_p", "_d").agg(F.collect_set("_n").alias("_ns"))
     q = queries.select(F.col(query_id).alias("_q"), F.col(query_text).alias("_qt"))
-    keyed = q.select("_q", F.explode(F.transform(_powers(F.octet_length("_qt")), lambda p: F.struct(p.alias("_p"), F.sha2(prefix(F.col("_qt"), p), 256).alias("_d")))).alias("k")).select("_q", "k.*")
-    asked = keyed.join(lengths, ["_p", "_d"]).groupBy("_q").agg(F.flatten(F.collect_list("_ns")).alias("_ns")).join(q, "_q")
-    fits = F.filter("_ns", lambda n: n <= F.octet_length("_qt"))
-    tried = asked.select("_q", F.explode(F.transform(fits, lambda n: F.struct(n.alias("_n"), F.sha2(prefix(F.col("_qt"), n), 256).alias("_all")))).alias("t")).select("_q", "t.*")
-    top = tried.join(e.select("_n", "_all", "_e"), ["_n", "_all"]).groupBy("_q").agg(F.max_by(F.struct("_e", "_n"), "_n").alias("b")).select("_q", "b.*")
-    held = top.join(e.select("_e", "_et"), "_e").join(q, "_q").filter(F.col("_qt").startswith(F.col("_et")))
-    return held.select(F.col("_q").alias(query_id), F.col("_e").alias(entry_id), F.col("_n").alias("matched_bytes"))
+    at = q.select("_q", "_qt", _powers(F.octet_length("_qt")).alias("_ps"))
+    keyed = at.select("_q", F.explode(F.arrays_zip(F.col("_ps").alias("_p"), short(_digests_at(F.col("_qt"), F.col("_ps"))).alias("_d"))).alias("k")).select("_q", "k._p", "k._d")
+    asked = keyed.join(lengths, ["_p", "_d"]).groupBy("_q").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_ns")))).alias("_ns")).join(q, "_q")
+    fits = asked.select("_q", "_qt", F.filter("_ns", lambda n: n <= F.octet_length("_qt")).alias("_ns"))
+    tried = fits.select("_q", F.explode(F.arrays_zip(F.col("_ns").alias("_n"), short(_digests_at(F.col("_qt"), F.col("_ns"))).alias("_all"))).alias("t")).select("_q", "t._n", "t._all")
+    met = tried.join(e.select("_n", "_all", "_e"), ["_n", "_all"]).select("_q", "_e", "_n")
+    true = lambda c: c.join(e.select("_e", "_et"), "_e").join(q, "_q").filter(F.col("_qt").startswith(F.col("_et"))).select("_q", "_e", "_n")
+    best = lambda c: c.groupBy("_q").agg(F.min_by(F.struct("_e", "_n"), F.struct(-F.col("_n"), F.col("_e"))).alias("b")).select("_q", "b.*")
+    held = true(best(met))
+    others = best(true(met.join(held.select("_q"), "_q", "left_anti")))  # none, unless a digest was wrong
+    return held.unionByName(others).select(F.col("_q").alias(query_id), F.col("_e").alias(entry_id), F.col("_n").alias("matched_bytes"))
 
 
 def entries(tok: Tokenizer, df: DataFrame, name: str, text: str, kind: str = "named", used: Column | None = None) -> DataFrame:

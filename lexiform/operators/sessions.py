@@ -180,11 +180,12 @@ def patches(tok: Tokenizer, turns: DataFrame, session: str = "conv_id", order: s
     return _streamed(rows, lambda: Tail(engine()), lambda held, *given: held.take(*given))
 
 
-def transcripts(tok: Tokenizer, states: DataFrame, session: str, order: str, text: str) -> DataFrame:
-    """One patch per whole transcript, in order: hits, appends and overwrites of growing or rewritten sessions."""
+def transcripts(tok: Tokenizer, states: DataFrame, session: str, order: str, text: str, growing: bool = False) -> DataFrame:
+    """One patch per whole transcript, in order: hits, appends and overwrites of growing or rewritten sessions. With ``growing``
+    the column holds what a transcript has more than the one before it, so that no table of whole transcripts is made."""
     engine = tok._engine()
     rows = states.select(F.col(session).alias("session"), F.col(order).alias("turn"), F.coalesce(text, F.lit("")).alias("body"))
-    return _streamed(rows, lambda: Session(engine()), lambda held, body: held.transcript(body))
+    return _streamed(rows, lambda: Session(engine()), lambda held, body: held.transcript(held.text + body if growing else body))
 
 
 def forked(turns: DataFrame, forks: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -195,11 +196,29 @@ def forked(turns: DataFrame, forks: DataFrame, session: str = "conv_id", order:
 
 
 def fold(patches_: DataFrame) -> DataFrame:
-    """(session, revision, ids) after the last patch: the patches of one session spliced in order."""
+    """(session, revision, ids) after the last patch: a session's patches spliced in the order of their revisions, one session at
+    a time. Patches of a session that was deleted and begun again have no single order and must not be folded together."""
+    kind = patches_.schema["session"].dataType.simpleString()
+    rows = patches_.select("session", "revision", "replace_from", "replacement_ids", "path").filter(~F.col("path").isin("revision_conflict", "unknown_session"))
 
-    def splice(acc, p):
-        kept = F.when(p["replace_from"] > 0, F.slice(acc, F.lit(1), p["replace_from"])).otherwise(F.array().cast("array<int>"))
-        return F.when(p["path"].isin(*KEEPS), acc).otherwise(F.concat(kept, p["replacement_ids"]))
+    def run(batches):
+        current, revision, ids, begun = None, None, [], False
+        own = None
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([current], own), pa.array([revision], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], ["session", "revision", "ids"])
 
-    one = patches_.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("revision", "replace_from", "replacement_ids", "path"))).alias("p"))
-    return one.select("session", F.array_max(F.transform("p", lambda x: x["revision"])).alias("revision"), F.aggregate("p", F.array().cast("array<int>"), splice).alias("ids"))
+        for b in batches:
+            own = b.schema.field(0).type
+            for s, v, at, new, path in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not begun or s != current:
+                    if begun:
+                        yield out()
+                    current, ids, begun = s, [], True
+                revision = v
+                if path not in KEEPS:
+                    ids[at:] = new
+        if begun:
+            yield out()
+
+    return rows.repartition("session").sortWithinPartitions("session", "revision").mapInArrow(run, f"session {kind}, revision long, ids array<int>")

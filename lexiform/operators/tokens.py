@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import schemes
@@ -25,6 +25,7 @@ from ..session import bound_batches
 from ..sources.artifact import Artifact, Splitter
 
 MEMO = 200_000
+NOT_ASCII = r"[^\x00-\x7F]"
 
 
 class Engine:
@@ -103,7 +104,7 @@ class Engine:
         return (char[ends - lens], char[ends - 1] + 1) if len(ends) else (ends, ends)
 
 
-def _gather(values: np.ndarray, lens: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gather(values: np.ndarray, lens: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries ``idx`` of a ragged table one after the other, and where each ends up (one offset more)."""
     take = lens[idx]
     offs = np.append(0, np.cumsum(take))
@@ -130,11 +131,11 @@ def _looked_up(e: Engine, texts: pa.Array, pieces: pa.Array) -> tuple[list, np.n
     return ids, idx, counts, bare
 
 
-def _lists(values: np.ndarray, offs: np.ndarray, none: np.ndarray) -> pa.Array:
+def lists(values: np.ndarray, offs: np.ndarray, none: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(values.astype(np.int32)), mask=pa.array(none))
 
 
-def _flat(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def flat(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values, one offset more than rows, null rows) of a list column."""
     counts = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     return rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(counts)), np.asarray(rows.is_null())
@@ -167,11 +168,18 @@ class Tokenizer:
         a = self.artifact
         ok = ~may_hold(text, a.literals())
         if a.nfc:
-            ok &= ~text.rlike(r"[^\x00-\x7F]")
+            ok &= ~text.rlike(NOT_ASCII)
         return ok & F.lit(not a.prefix_space)
 
-    def encode(self, text: Column, add_special_tokens: bool = False) -> Column:
-        """array<int> of a text's ids; null stays null. Equal to a from-scratch encode on either path."""
+    def plain_sql(self, text: str) -> str:
+        """The same as SQL text."""
+        a, quoted = self.artifact, schemes.quoted
+        tests = [f"NOT contains({text}, {quoted(x)})" for x in a.literals()]
+        tests += [f"NOT {text} RLIKE {quoted(NOT_ASCII)}"] * a.nfc + ["false"] * a.prefix_space
+        return " AND ".join(tests) or "true"
+
+    def encoder(self):
+        """A function of a text column and one of its pieces, of which one is null."""
         engine = self._engine()
 
         @F.arrow_udf("array<int>")
@@ -179,17 +187,21 @@ class Tokenizer:
             ids, idx, counts, none = _looked_up(engine(), texts, pieces)
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
             values = np.fromiter(itertools.chain.from_iterable(ids), np.int64, lens.sum())
-            out, offs = _gather(values, lens, idx)
-            return _lists(out, offs[np.append(0, np.cumsum(counts))], none)
+            out, offs = gather(values, lens, idx)
+            return lists(out, offs[np.append(0, np.cumsum(counts))], none)
+
+        return run
 
+    def encode(self, text: Column, add_special_tokens: bool = False) -> Column:
+        """array<int> of a text's ids; null stays null. Equal to a from-scratch encode on either path."""
         plain = self.plain(text)
-        ids = run(F.when(~plain, text), F.when(plain, self.pieces(text)))
+        ids = self.encoder()(F.when(~plain, text), F.when(plain, self.pieces(text)))
         if add_special_tokens:
             ids = F.concat(F.array(*map(F.lit, self.artifact.bos)).cast("array<int>"), ids, F.array(*map(F.lit, self.artifact.eos)).cast("array<int>"))
         return ids
 
-    def count(self, text: Column) -> Column:
-        """The number of a text's ids, without sending the ids; null stays null."""
+    def counter(self):
+        """The same with the number of ids, which are not sent; null stays null."""
         engine = self._engine()
 
         @F.arrow_udf("long")
@@ -200,8 +212,11 @@ class Tokenizer:
             at = np.append(0, np.cumsum(counts))
             return pa.array(sums[at[1:]] - sums[at[:-1]], mask=none)
 
+        return run
+
+    def count(self, text: Column) -> Column:
         plain = self.plain(text)
-        return run(F.when(~plain, text), F.when(plain, self.pieces(text)))
+        return self.counter()(F.when(~plain, text), F.when(plain, self.pieces(text)))
 
     def encode_distinct(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """The relational way: each distinct piece is merged once, and documents are put together again.
@@ -229,24 +244,28 @@ class Tokenizer:
         put = each.select(id_col, "pos", self.encode(F.col("part")).alias("ids")).groupBy(id_col).agg(F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))).alias("parts"))
         return put.select(id_col, F.when(F.size("parts") > 0, F.flatten(F.transform("parts", lambda x: x["ids"]))).alias("ids"))
 
-    def decode(self, ids: Column, skip_special_tokens: bool = True) -> Column:
+    def decoder(self, skip_special_tokens: bool = True):
+        """A function of an id column."""
         engine = self._engine()
 
         @F.arrow_udf("string")
         def run(rows: pa.Array) -> pa.Array:
             e = engine()
-            ids, at, none = _flat(rows)
+            ids, at, none = flat(rows)
             values, lens = e.table(skip_special_tokens)
             if len(ids) and not (0 <= ids.min() and ids.max() < len(lens) and (lens[ids] >= 0).all()):
                 raise KeyError("an id that the vocabulary lacks")
-            data, offs = _gather(values, np.maximum(lens, 0), ids)
+            data, offs = gather(values, np.maximum(lens, 0), ids)
             ends = offs[at]
             try:
                 return pa.array([None if n else data[a:b].tobytes().decode() for a, b, n in zip(ends[:-1], ends[1:], none, strict=True)], pa.string())
             except UnicodeDecodeError:
                 return pa.array([None if n else data[a:b].tobytes().decode("utf-8", "replace") for a, b, n in zip(ends[:-1], ends[1:], none, strict=True)], pa.string())
 
-        return run(ids)
+        return run
+
+    def decode(self, ids: Column, skip_special_tokens: bool = True) -> Column:
+        return self.decoder(skip_special_tokens)(ids)
 
     def spans(self, text: Column, ids: Column) -> Column:
         """struct<starts, ends> in characters, or null where the ids do not close over the text."""
@@ -255,11 +274,11 @@ class Tokenizer:
         @F.arrow_udf("struct<starts: array<int>, ends: array<int>>")
         def run(texts: pa.Array, rows: pa.Array) -> pa.Array:
             e = engine()
-            flat, at, none = _flat(rows)
+            every, at, none = flat(rows)
             starts, ends = [], []
             for k, t in enumerate(texts.to_pylist()):
                 try:
-                    a, b = e.spans(t, flat[at[k] : at[k + 1]]) if t is not None and not none[k] else (None, None)
+                    a, b = e.spans(t, every[at[k] : at[k + 1]]) if t is not None and not none[k] else (None, None)
                 except ValueError:
                     a, b = None, None
                 starts.append(a)
@@ -267,7 +286,7 @@ class Tokenizer:
             lost = np.array([a is None for a in starts], bool)
             offs = np.append(0, np.cumsum([0 if a is None else len(a) for a in starts])).astype(np.int64)
             join = lambda x: np.concatenate([np.zeros(0, np.int64), *(y for y in x if y is not None)])
-            return pa.StructArray.from_arrays([_lists(join(starts), offs, lost), _lists(join(ends), offs, lost)], ["starts", "ends"])
+            return pa.StructArray.from_arrays([lists(join(starts), offs, lost), lists(join(ends), offs, lost)], ["starts", "ends"])
 
         return run(text, ids)
 
@@ -275,3 +294,20 @@ class Tokenizer:
 def ragged(df: DataFrame, id_col: str, ids_col: str) -> DataFrame:
     """The long form of an id column: (id, pos, token)."""
     return df.select(id_col, F.posexplode(ids_col).alias("pos", "token"))
+
+
+def offsets(df: DataFrame, group: str, order: str, n: str, parts: int) -> DataFrame:
+    """``df`` with the place of each row's ``n`` ids in one long column of its group in ``order``: a running sum in two levels.
+
+    Groups are cut at quantiles of ``order`` into ``parts`` at most, so that a group of most rows is no single task; what is summed
+    one after another are the parts' sums.
+    """
+    bounds = df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.5 / parts) if parts > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted({int(b) for b in bounds}))), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    rows = df.withColumn("_part", part)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(group, "_part").agg(F.sum(n).alias("_n"))
+    base = sums.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before(Window.partitionBy(group).orderBy("_part"))), F.lit(0)).alias("_base"))
+    own = F.coalesce(F.sum(n).over(before(Window.partitionBy(group, "_part").orderBy(order))), F.lit(0))
+    placed = rows.withColumn("_own", own).join(base, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return placed.withColumn("offset", (F.col("_base") + F.col("_own")).cast("long")).drop("_part", "_own", "_g", "_p", "_base")

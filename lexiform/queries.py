@@ -8,9 +8,10 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions import schemes, text
 from .operators import lookup, sessions
-from .operators.tokens import Tokenizer
+from .operators.tokens import Tokenizer, offsets
 from .plans import routing
 from .session import spread
 from .sources import convert, records
@@ -41,14 +42,22 @@ def _real(spark: SparkSession) -> Tokenizer:
 
 def token_count_by(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _dealt(spark, sf_dir, key, "text")
-    counted = docs.select(key, _bytes(spark).count(F.col("text")).alias("n"))
+    counted = docs.select(key, _real(spark).count(F.col("text")).alias("n"))
     return counted.groupBy(key).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").cast("long").alias("n_tokens"))
 
 
+def _sum(ids) -> F.Column:
+    return F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _digest(ids) -> F.Column:
+    """A digest of ids that SQL can repeat."""
+    return F.sha2(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), 256)
+
+
 def encode_bytes_ids(spark, sf_dir):
     ids = _dealt(spark, sf_dir, "doc_id", "text").select("doc_id", _bytes(spark).encode(F.col("text")).alias("ids"))
-    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), total.alias("sum_ids"), F.element_at("ids", -1).cast("long").alias("last_id"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sum("ids").alias("sum_ids"), F.element_at("ids", -1).cast("long").alias("last_id"))
 
 
 def decode_roundtrip(spark, sf_dir):
@@ -59,23 +68,25 @@ def decode_roundtrip(spark, sf_dir):
 
 def encode_bpe(spark, sf_dir):
     ids = _dealt(spark, sf_dir, "doc_id", "text").select("doc_id", _real(spark).encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sum("ids").alias("sum_ids"), _digest("ids").alias("ids_sha256"))
 
 
 def spans_tile(spark, sf_dir):
     tok = _real(spark)
     rows = _dealt(spark, sf_dir, "doc_id", "text").select("doc_id", "text", tok.encode(F.col("text")).alias("ids"))
     s = rows.select("doc_id", tok.spans(F.col("text"), F.col("ids")).alias("s")).select("doc_id", "s.*")
-    nexts = F.zip_with(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda a, b: a <= b)
-    return s.select("doc_id", F.array_min("starts").cast("long").alias("first_char"), F.array_max("ends").cast("long").alias("end_char"), F.forall(nexts, lambda x: x).alias("no_gap"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return s.select("doc_id", F.size("starts").cast("long").alias("n_spans"), total("starts").alias("sum_starts"), total("ends").alias("sum_ends"))
 
 
 def pieces_by_scheme(spark, sf_dir):
     docs = _dealt(spark, sf_dir, "text")
-    told = lambda p: F.struct(F.size(p).alias("n"), (F.array_join(p, "") == F.col("text")).alias("whole"))
+    # The sum of the pieces' places times their lengths changes with any cut that moves.
+    weight = lambda p: F.aggregate(F.transform(p, lambda x, i: (i + 1).cast("long") * F.length(x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    told = lambda p: F.struct(F.size(p).alias("n"), weight(p).alias("weight"))
     each = docs.select(F.posexplode(F.transform(F.array(*[schemes.pieces(F.col("text"), s) for s in schemes.SCHEMES]), told)).alias("k", "r"))
     name = F.element_at(F.array(*map(F.lit, schemes.SCHEMES)), F.col("k") + 1)
-    return each.groupBy(name.alias("scheme")).agg(F.sum("r.n").cast("long").alias("n_pieces"), F.min("r.whole").alias("whole"))
+    return each.groupBy(name.alias("scheme")).agg(F.sum("r.n").cast("long").alias("n_pieces"), F.sum("r.weight").cast("long").alias("weight"))
 
 
 def memo_reuse_ratio(spark, sf_dir):
@@ -104,12 +115,12 @@ def size_threshold_route(spark, sf_dir):
 
 
 def session_patch(spark, sf_dir):
-    p = sessions.patches(_bytes(spark), _table(spark, sf_dir, "conversations"))
-    return p.select(F.col("session").alias("conv_id"), "revision", F.col("replace_from").cast("long").alias("replace_from"), F.size("replacement_ids").cast("long").alias("n_replaced"), F.col("token_count").cast("long").alias("token_count"), "path")
+    p = sessions.patches(_real(spark), _table(spark, sf_dir, "conversations"))
+    return p.select(F.col("session").alias("conv_id"), "revision", F.col("replace_from").cast("long").alias("replace_from"), F.size("replacement_ids").cast("long").alias("n_replaced"), _sum("replacement_ids").alias("sum_replaced"), F.col("token_count").cast("long").alias("token_count"), "path")
 
 
 def session_final_length(spark, sf_dir):
-    p = sessions.patches(_bytes(spark), _table(spark, sf_dir, "conversations"))
+    p = sessions.patches(_real(spark), _table(spark, sf_dir, "conversations"))
     return p.groupBy(F.col("session").alias("conv_id")).agg(F.max("revision").alias("revision"), F.max_by("token_count", "revision").cast("long").alias("token_count"))
 
 
@@ -149,75 +160,75 @@ def block_chain(spark, sf_dir):
 
 
 def chain_prefix_blocks(spark, sf_dir):
-    """Blocks of each document that a store of the documents with even ids holds from the start on."""
-    d = _table(spark, sf_dir, "documents")
-    return lookup.chain_prefix(d, lookup.chain(d.filter("doc_id % 2 = 0"), "doc_id", "text"), "doc_id", "text")
+    """How many blocks of each conversation from the start on a store of all first turns holds."""
+    t = _transcripts(spark, sf_dir)
+    return lookup.chain_prefix(t, lookup.chain(t, "conv_id", "head", 16), "conv_id", "body", 16)
 
 
 def serve_paths(spark, sf_dir):
     """Whole conversations served from a store of their first turns."""
-    t, tok = _transcripts(spark, sf_dir), _bytes(spark)
+    t, tok = _transcripts(spark, sf_dir), _real(spark)
     store = lookup.entries(tok, t.filter("head <> ''"), "conv_id", "head")
-    return lookup.serve(tok, t, store, "conv_id", "body").select("conv_id", "path", F.size("ids").cast("long").alias("n_tokens"))
+    return lookup.serve(tok, t, store, "conv_id", "body").select("conv_id", "path", F.size("ids").cast("long").alias("n_tokens"), _digest("ids").alias("ids_sha256"))
 
 
 def store_keep(spark, sf_dir):
     """What a store keeps of all documents as unnamed entries, the newest being those of the largest id."""
     d = _table(spark, sf_dir, "documents")
-    store = lookup.entries(_bytes(spark), d, "doc_id", "text", "auto", F.col("doc_id"))
-    return lookup.keep(store, budget=1 << 20).select(F.col("name").alias("doc_id"), "byte_length")
+    store = lookup.entries(_real(spark), d, "doc_id", "text", "auto", F.col("doc_id"))
+    return lookup.keep(store).select(F.col("name").alias("doc_id"), "byte_length")
+
+
+def _records(spark, sf_dir) -> tuple[DataFrame, bytes]:
+    tok = _real(spark)
+    key = bytes.fromhex(tok.artifact.fingerprint())
+    d = _dealt(spark, sf_dir, "doc_id", "text")
+    return records.write(d.select(F.col("doc_id").alias("session"), F.lit(0).alias("revision"), "text", tok.encode(F.col("text")).alias("ids")), key), key
 
 
 def record_store(spark, sf_dir):
     """Every document as a record, read back and verified."""
-    d = _dealt(spark, sf_dir, "doc_id", "text")
-    tok, key = _bytes(spark), bytes.fromhex(byte_artifact().fingerprint())
-    states = d.select(F.col("doc_id").alias("session"), F.lit(0).alias("revision"), "text", tok.encode(F.col("text")).alias("ids"))
-    held = records.write(states, key)
+    held, key = _records(spark, sf_dir)
     checked = held.select("session", F.length("record").cast("long").alias("n_bytes"), records.verify(F.col("record"), key).alias("v"))
-    return checked.select(F.col("session").alias("doc_id"), "n_bytes", "v.ok", F.sha2(F.col("v.text").cast("binary"), 256).alias("text_sha256"), F.size("v.ids").cast("long").alias("n_tokens"))
+    ids = F.transform("v.ids", lambda x: x)
+    return checked.select(F.col("session").alias("doc_id"), "n_bytes", "v.ok", F.sha2(F.col("v.text").cast("binary"), 256).alias("text_sha256"), F.size("v.ids").cast("long").alias("n_tokens"), _digest(ids).alias("ids_sha256"))
 
 
 def record_damage(spark, sf_dir):
-    """Records with one byte changed, at a place that the id chooses: none is accepted."""
-    d = _dealt(spark, sf_dir, "doc_id", "text")
-    tok, key = _bytes(spark), bytes.fromhex(byte_artifact().fingerprint())
-    held = records.write(d.select(F.col("doc_id").alias("session"), F.lit(0).alias("revision"), "text", tok.encode(F.col("text")).alias("ids")), key)
+    """Every record as it is and with one byte changed, at a place that the id chooses: only the former are accepted."""
+    held, key = _records(spark, sf_dir)
     at = F.pmod(F.col("session") * 7919, F.length("record")).cast("int")
     byte = F.substring(F.col("record"), at + 1, F.lit(1))
     other = F.unhex(F.when(byte == F.lit(b"\xff"), "00").otherwise("FF"))
     bad = F.concat(F.substring(F.col("record"), F.lit(1), at), other, F.substring(F.col("record"), at + 2, F.length("record")))
-    v = held.select(records.verify(bad, key).alias("v"))
-    return v.groupBy(F.col("v.ok").alias("ok")).agg(F.count(F.lit(1)).alias("n_records"))
+    both = held.select(F.explode(F.array(F.struct(F.lit(False).alias("damaged"), F.col("record")), F.struct(F.lit(True).alias("damaged"), bad.alias("record")))).alias("r"))
+    v = both.select("r.damaged", records.verify(F.col("r.record"), key).alias("v"))
+    return v.groupBy("damaged", F.col("v.ok").alias("ok")).agg(F.count(F.lit(1)).alias("n_records"), F.coalesce(F.sum(F.size("v.ids")), F.lit(0)).cast("long").alias("n_tokens"))
 
 
 def session_transcript(spark, sf_dir):
     """Patches of whole growing transcripts, as a caller sends them turn by turn."""
-    turns = _table(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    grown = turns.select("conv_id", "turn", F.array_join(F.collect_list("text").over(w), "").alias("body"))
-    p = sessions.transcripts(_bytes(spark), grown, "conv_id", "turn", "body")
-    return p.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("replacement_ids")).cast("long").alias("n_replaced"))
+    p = sessions.transcripts(_real(spark), _table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", growing=True)
+    return p.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("replacement_ids")).cast("long").alias("n_replaced"), F.sum(_sum("replacement_ids")).cast("long").alias("sum_replaced"))
 
 
 def session_fold(spark, sf_dir):
     """A session's ids, put together from its patches."""
-    ids = sessions.fold(sessions.patches(_bytes(spark), _table(spark, sf_dir, "conversations")))
-    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
-    return ids.select(F.col("session").alias("conv_id"), "revision", F.size("ids").cast("long").alias("n_tokens"), total.alias("sum_ids"))
+    ids = sessions.fold(sessions.patches(_real(spark), _table(spark, sf_dir, "conversations")))
+    return ids.select(F.col("session").alias("conv_id"), "revision", F.size("ids").cast("long").alias("n_tokens"), _digest("ids").alias("ids_sha256"))
 
 
 def encode_spread(spark, sf_dir):
     """Counts with long documents cut at safe places and dealt out to tasks."""
-    ids = _bytes(spark).encode_spread(_table(spark, sf_dir, "documents"), "doc_id", "text", 4096)
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"))
+    ids = _real(spark).encode_spread(_table(spark, sf_dir, "documents"), "doc_id", "text", 4096)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _digest("ids").alias("ids_sha256"))
 
 
 def ragged_offsets(spark, sf_dir):
     """The place of each document's ids in one long column of all, in the order of the ids of documents, by language."""
-    n = _dealt(spark, sf_dir, "lang", "doc_id", "text").select("lang", "doc_id", _bytes(spark).count(F.col("text")).alias("n"))
-    w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return n.select("lang", "doc_id", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long").alias("offset"), "n")
+    n = _dealt(spark, sf_dir, "lang", "doc_id", "text").select("lang", "doc_id", _real(spark).count(F.col("text")).alias("n"))
+    parts = max(1, _table(spark, sf_dir, "documents").rdd.getNumPartitions())
+    return offsets(n, "lang", "doc_id", "n", parts).select("lang", "doc_id", "offset", "n")
 
 
 def mark_positions(spark, sf_dir):
@@ -274,41 +285,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-_COUNT = "SELECT {0}, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS n_tokens FROM documents GROUP BY {0}"
-_RUN = "SELECT conv_id, row_number() OVER s - 1 AS revision, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS replace_from, CAST(strlen(text) AS BIGINT) AS n_replaced, CAST(sum(strlen(text)) OVER s AS BIGINT) AS token_count FROM conversations WINDOW s AS (PARTITION BY conv_id ORDER BY turn)"
+_DOCS = oracles.merged(RANKS, "SELECT doc_id, text FROM documents")
+#: (doc_id, text, ids) of whole documents.
+_IDS = _DOCS + ", d AS (SELECT t.doc_id, t.text, coalesce(i.ids, []) AS ids FROM t LEFT JOIN (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS ids FROM p JOIN b USING (piece) GROUP BY doc_id) i USING (doc_id)) "
+_SHA = "sha256(array_to_string({0}, ','))"
+#: Every conversation after every turn: its whole text is split and merged anew, and compared with what it was before.
+_GROWN = (
+    oracles.merged(RANKS, "SELECT conv_id || ':' || turn AS k, string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS text FROM conversations", key="k")
+    + ", i AS (SELECT k, flatten(list(ids ORDER BY pos)) AS ids FROM p JOIN b USING (piece) GROUP BY k)"
+    + ", c AS (SELECT conv_id, turn, c.text AS delta, coalesce(i.ids, []) AS ids, coalesce(lag(i.ids) OVER s, []) AS old, row_number() OVER s - 1 AS revision, row_number() OVER s AS nth, count(*) OVER (PARTITION BY conv_id) AS turns FROM conversations c LEFT JOIN i ON i.k = conv_id || ':' || turn WINDOW s AS (PARTITION BY conv_id ORDER BY turn))"
+    + ", e AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(ids), len(old)) + 1), lambda x: ids[x] = old[x]), false) - 1, least(len(ids), len(old))) AS same FROM c)"
+    + ", s AS (SELECT conv_id, revision, nth, turns, ids, CAST(same AS BIGINT) AS replace_from, ids[same + 1 :] AS new, CAST(len(ids) AS BIGINT) AS token_count, delta, old FROM e) "
+)
 
 
 def oracle_sql() -> dict[str, str]:
     held = " OR ".join(f"contains({{0}}, '{x}')" for x in ADDED)
     return {
-        "token_count_by_lang": _COUNT.format("lang"),
-        "token_count_by_source": _COUNT.format("source"),
+        "token_count_by_lang": _IDS + "SELECT lang, count(*) AS n_docs, CAST(sum(len(ids)) AS BIGINT) AS n_tokens FROM d JOIN documents USING (doc_id) GROUP BY lang",
+        "token_count_by_source": _IDS + "SELECT source, count(*) AS n_docs, CAST(sum(len(ids)) AS BIGINT) AS n_tokens FROM d JOIN documents USING (doc_id) GROUP BY source",
         "encode_bytes_ids": "WITH h AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents), b AS (SELECT doc_id, n, list_transform(range(0, n), lambda i: 16 * (strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1) AS ids FROM h) SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, CAST(list_sum(ids) AS BIGINT) AS sum_ids, CAST(ids[-1] AS BIGINT) AS last_id FROM b",
+        "encode_bpe": _IDS + f"SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS sum_ids, {_SHA.format('ids')} AS ids_sha256 FROM d",
+        "pieces_by_scheme": " UNION ALL ".join(f"SELECT '{s}' AS scheme, CAST(sum(len(x)) AS BIGINT) AS n_pieces, CAST(sum(list_sum(list_transform(range(1, len(x) + 1), lambda i: i * length(x[i])))) AS BIGINT) AS weight FROM (SELECT {oracles.pieces(s)} AS x FROM documents)" for s in schemes.SCHEMES),
+        "memo_reuse_ratio": f"SELECT CAST(sum(n) AS BIGINT) AS n_pieces, count(*) AS n_distinct FROM (SELECT piece, count(*) AS n FROM (SELECT unnest({oracles.pieces('gpt2')}) AS piece FROM documents) GROUP BY piece)",
         "decode_roundtrip": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
-        "spans_tile": "SELECT doc_id, CAST(0 AS BIGINT) AS first_char, CAST(length(text) AS BIGINT) AS end_char, true AS no_gap FROM documents",
+        "spans_tile": _DOCS
+        + """, g AS (SELECT piece, list_transform(range(1, len(piece) + 1), lambda i: strlen(piece[1:i])) AS ends, list_transform(range(0, len(sizes)), lambda i: list_sum(sizes[1:i])) AS begin, sizes FROM b),
+h AS (SELECT piece, CAST(len(sizes) AS BIGINT) AS n, list_sum(list_transform(range(1, len(sizes) + 1), lambda i: len(list_filter(ends, lambda e: e <= coalesce(begin[i], 0))))) AS starts, list_sum(list_transform(range(1, len(sizes) + 1), lambda i: 1 + len(list_filter(ends, lambda e: e < coalesce(begin[i], 0) + sizes[i])))) AS stops FROM g),
+o AS (SELECT doc_id, piece, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM p)
+SELECT t.doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_spans, CAST(coalesce(sum(base * n + starts), 0) AS BIGINT) AS sum_starts, CAST(coalesce(sum(base * n + stops), 0) AS BIGINT) AS sum_ends FROM t LEFT JOIN o USING (doc_id) LEFT JOIN h USING (piece) GROUP BY t.doc_id""",
         "norm_collapse_spaces": "SELECT page_id, sha256(regexp_replace(html, ' {2,}', ' ', 'g')) AS sha256 FROM pages",
         "norm_strip": r"SELECT page_id, sha256(regexp_replace(html, '^[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+$', '', 'g')) AS sha256 FROM pages",
         "metaspace": "SELECT page_id, sha256(CASE WHEN html = '' OR starts_with(replace(html, ' ', '▁'), '▁') THEN replace(html, ' ', '▁') ELSE '▁' || replace(html, ' ', '▁') END) AS sha256 FROM pages",
         "added_token_prefilter": f"SELECT page_id, ({held.format('html')}) AS may_hold FROM pages",
         "route_reason_counts": f"SELECT path, reason, count(*) AS n_rows FROM (SELECT CASE WHEN {held.format('text')} THEN 'reference' WHEN strlen(text) < 8192 THEN 'fast' ELSE 'split' END AS path, CASE WHEN {held.format('text')} THEN 'R_INPUT_ADDED_TOKEN' WHEN strlen(text) < 8192 THEN 'R_INPUT_BELOW_GPU_THRESHOLD' END AS reason FROM documents) GROUP BY path, reason",
         "size_threshold_route": "SELECT doc_id, strlen(text) >= 8192 AS over FROM documents",
-        "session_patch": f"SELECT *, CASE WHEN n_replaced = 0 THEN 'noop' WHEN replace_from = 0 THEN 'seed' ELSE 'append' END AS path FROM ({_RUN})",
-        "session_final_length": "SELECT conv_id, count(*) - 1 AS revision, CAST(sum(strlen(text)) AS BIGINT) AS token_count FROM conversations GROUP BY conv_id",
+        "session_patch": _GROWN + "SELECT conv_id, revision, replace_from, CAST(len(new) AS BIGINT) AS n_replaced, CAST(coalesce(list_sum(new), 0) AS BIGINT) AS sum_replaced, token_count, CASE WHEN delta = '' THEN 'noop' WHEN len(old) = 0 THEN 'seed' ELSE 'append' END AS path FROM s",
+        "session_final_length": _GROWN + "SELECT conv_id, revision, token_count FROM s WHERE nth = turns",
         "prefix_lookup_longest": "WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS body, first(text ORDER BY turn) AS head FROM conversations GROUP BY conv_id), c AS (SELECT q.conv_id, e.conv_id AS entry_id, CAST(strlen(e.head) AS BIGINT) AS matched_bytes, row_number() OVER (PARTITION BY q.conv_id ORDER BY strlen(e.head) DESC, e.conv_id) AS k FROM t q JOIN t e ON starts_with(q.body, e.head) AND e.head <> '') SELECT conv_id, entry_id, matched_bytes FROM c WHERE k = 1",
         "content_digest": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS byte_length, sha256(text) AS end_digest, CAST(len(list_filter(range(0, 19), lambda k: 4096 * (1::BIGINT << k) < strlen(text))) AS BIGINT) AS n_marks FROM documents",
         "vocab_byte_lengths": f"SELECT CAST(length(k) AS BIGINT) AS n_bytes, count(*) AS n_tokens FROM (SELECT unnest(json_keys(content, '$.model.vocab')) AS k FROM read_text('{VOCABULARY}') UNION SELECT unnest(json_extract_string(content, '$.added_tokens[*].content')) FROM read_text('{VOCABULARY}')) GROUP BY 1",
         "unsafe_merges": f"WITH l AS (SELECT from_json(json_extract(content, '$.model.merges'), '[\"json\"]') AS ms FROM read_text('{VOCABULARY}')), m AS (SELECT unnest(range(1, len(ms) + 1)) AS rank, unnest(ms) AS x FROM l), p AS (SELECT rank, CASE WHEN json_type(x) = 'ARRAY' THEN x ->> 0 ELSE split_part(x ->> '$', ' ', 1) END AS a, CASE WHEN json_type(x) = 'ARRAY' THEN x ->> 1 ELSE split_part(x ->> '$', ' ', 2) END AS b FROM m), made AS (SELECT a || b AS t, min(rank) AS made FROM p GROUP BY 1) SELECT count(*) AS n_merges FROM p LEFT JOIN made l ON l.t = p.a LEFT JOIN made r ON r.t = p.b WHERE l.made > p.rank OR r.made > p.rank",
         "conversion_splits": f"WITH r AS (SELECT hex(from_base64(token)) AS h, rank FROM read_csv('{RANKS}', delim=' ', header=false, quote='', escape='', columns={{'token': 'VARCHAR', 'rank': 'BIGINT'}})), s AS (SELECT h, unnest(range(1, length(h) // 2)) AS k FROM r) SELECT CAST(length(s.h) // 2 AS BIGINT) AS n_bytes, count(*) AS n_splits, CAST(sum(a.rank) AS BIGINT) AS sum_left, CAST(sum(b.rank) AS BIGINT) AS sum_right FROM s JOIN r a ON a.h = substr(s.h, 1, 2 * k) JOIN r b ON b.h = substr(s.h, 2 * k + 1) GROUP BY 1",
         "block_chain": "WITH b AS (SELECT doc_id, text, list_transform(range(0, length(text) // 4096), lambda i: substr(text, 4096 * i + 1, 4096)) AS bs FROM documents), k AS (SELECT doc_id, bs, unnest(range(1, len(bs) + 1)) AS k FROM b) SELECT doc_id, k - 1 AS block, list_reduce([''] || bs[1:k], lambda a, x: sha256(a || x)) AS node FROM k",
-        "chain_prefix_blocks": "WITH p AS (SELECT doc_id, substr(text, 1, 4096 * k) AS p, k FROM (SELECT doc_id, text, unnest(range(1, length(text) // 4096 + 1)) AS k FROM documents)), h AS (SELECT DISTINCT p FROM p WHERE doc_id % 2 = 0) SELECT d.doc_id, count(h.p) AS n_blocks FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN h ON h.p = p.p GROUP BY d.doc_id",
-        "serve_paths": "WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS body, first(text ORDER BY turn) AS head FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN head = '' AND NOT any_hit THEN 'miss' WHEN same THEN 'exact' ELSE 'extension' END AS path, CASE WHEN any_hit THEN CAST(strlen(body) AS BIGINT) END AS n_tokens FROM (SELECT conv_id, body, head, EXISTS (SELECT 1 FROM t e WHERE e.head <> '' AND starts_with(t.body, e.head)) AS any_hit, EXISTS (SELECT 1 FROM t e WHERE e.head <> '' AND e.head = t.body) AS same FROM t)",
-        "store_keep": "SELECT doc_id, n AS byte_length FROM (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id DESC) AS s FROM (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents WHERE strlen(text) >= 4096 ORDER BY doc_id DESC LIMIT 1024)) WHERE s <= 1048576",
-        "record_store": "SELECT doc_id, CAST(200 + 5 * strlen(text) AS BIGINT) AS n_bytes, true AS ok, sha256(text) AS text_sha256, CAST(strlen(text) AS BIGINT) AS n_tokens FROM documents",
-        "record_damage": "SELECT false AS ok, count(*) AS n_records FROM documents",
-        "session_transcript": f"SELECT CASE WHEN n_replaced = 0 THEN 'hit' WHEN replace_from = 0 THEN 'seed' ELSE 'append' END AS path, count(*) AS n_rows, CAST(sum(n_replaced) AS BIGINT) AS n_replaced FROM ({_RUN}) GROUP BY 1",
-        "session_fold": "WITH t AS (SELECT conv_id, count(*) - 1 AS revision, string_agg(text, '' ORDER BY turn) AS body FROM conversations GROUP BY conv_id), h AS (SELECT conv_id, revision, hex(encode(body)) AS h, strlen(body) AS n FROM t) SELECT conv_id, revision, CAST(n AS BIGINT) AS n_tokens, CAST(list_sum(list_transform(range(0, n), lambda i: 16 * (strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1)) AS BIGINT) AS sum_ids FROM h",
-        "encode_spread": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_tokens FROM documents",
-        "ragged_offsets": "SELECT lang, doc_id, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset, CAST(strlen(text) AS BIGINT) AS n FROM documents",
+        "chain_prefix_blocks": "WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS body, first(text ORDER BY turn) AS head FROM conversations GROUP BY conv_id), h AS (SELECT DISTINCT substr(head, 1, 16 * k) AS p FROM (SELECT head, unnest(range(1, length(head) // 16 + 1)) AS k FROM t)), p AS (SELECT conv_id, substr(body, 1, 16 * k) AS p FROM (SELECT conv_id, body, unnest(range(1, length(body) // 16 + 1)) AS k FROM t)) SELECT t.conv_id, count(h.p) AS n_blocks FROM t LEFT JOIN p USING (conv_id) LEFT JOIN h USING (p) GROUP BY t.conv_id",
+        "serve_paths": oracles.merged(RANKS, "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id", key="conv_id")
+        + ", i AS (SELECT conv_id, flatten(list(ids ORDER BY pos)) AS ids FROM p JOIN b USING (piece) GROUP BY conv_id), h AS (SELECT conv_id, first(text ORDER BY turn) AS head FROM conversations GROUP BY conv_id), x AS (SELECT t.conv_id, max(strlen(head)) AS n, any_value(strlen(t.text)) AS size FROM t JOIN h ON head <> '' AND starts_with(t.text, head) GROUP BY t.conv_id) "
+        + f"SELECT t.conv_id, CASE WHEN x.n IS NULL THEN 'miss' WHEN x.n = x.size THEN 'exact' ELSE 'extension' END AS path, CASE WHEN x.n IS NOT NULL THEN CAST(len(ids) AS BIGINT) END AS n_tokens, CASE WHEN x.n IS NOT NULL THEN {_SHA.format('ids')} END AS ids_sha256 FROM t LEFT JOIN x USING (conv_id) LEFT JOIN i USING (conv_id)",
+        "store_keep": "SELECT doc_id, n AS byte_length FROM (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id DESC) AS s FROM (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n FROM documents WHERE strlen(text) >= 4096 ORDER BY doc_id DESC LIMIT 1024)) WHERE s <= 134217728",
+        "record_store": _IDS + f"SELECT doc_id, CAST(200 + 4 * len(ids) + strlen(text) AS BIGINT) AS n_bytes, true AS ok, sha256(text) AS text_sha256, CAST(len(ids) AS BIGINT) AS n_tokens, {_SHA.format('ids')} AS ids_sha256 FROM d",
+        "record_damage": _IDS + "SELECT damaged, NOT damaged AS ok, count(*) AS n_records, CAST(sum(CASE WHEN damaged THEN 0 ELSE len(ids) END) AS BIGINT) AS n_tokens FROM d, (VALUES (true), (false)) x(damaged) GROUP BY damaged",
+        "session_transcript": _GROWN + "SELECT CASE WHEN delta = '' THEN 'hit' WHEN len(old) = 0 THEN 'seed' ELSE 'append' END AS path, count(*) AS n_rows, CAST(sum(len(new)) AS BIGINT) AS n_replaced, CAST(sum(coalesce(list_sum(new), 0)) AS BIGINT) AS sum_replaced FROM s GROUP BY 1",
+        "session_fold": _GROWN + f"SELECT conv_id, revision, token_count AS n_tokens, {_SHA.format('ids')} AS ids_sha256 FROM s WHERE nth = turns",
+        "encode_spread": _IDS + f"SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, {_SHA.format('ids')} AS ids_sha256 FROM d",
+        "ragged_offsets": _IDS + "SELECT lang, doc_id, CAST(coalesce(sum(len(ids)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", CAST(len(ids) AS BIGINT) AS n FROM d JOIN documents USING (doc_id)",
         "mark_positions": "SELECT doc_id, k, pos, sha256(array_slice(encode(text), 1, pos)) AS digest FROM (SELECT doc_id, text, k, 4096 * (1::BIGINT << k) AS pos FROM (SELECT doc_id, text, unnest(range(0, 19)) AS k FROM documents)) WHERE pos < strlen(text)",
         "letter_runs_topk": r"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS piece FROM documents) GROUP BY piece ORDER BY n DESC, piece LIMIT 100",
         "block_slices": "SELECT doc_id, k - 1 AS block, sha256(substr(text, 1, k * 4096)) AS digest FROM (SELECT doc_id, text, unnest(range(1, length(text) // 4096 + 1)) AS k FROM documents)",

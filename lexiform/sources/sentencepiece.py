@@ -13,6 +13,8 @@ from ..functions.charsmap import CharsMap
 from ..functions.text import MARK
 from .artifact import Added, Splitter, template
 
+#: Distinct units whose ids are kept.
+MEMO = 200_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 
 
@@ -38,9 +40,13 @@ class PieceArtifact:
     def __post_init__(self):
         self.raw_added = Splitter([a for a in self.added if not a.normalized])
         self.late_added = Splitter([Added(**vars(a) | {"content": self._plain(a.content)}) for a in self.added if a.normalized])
-        self.names = {i: t for t, i in self.vocab.items()}
+        self.names: dict[int, str] = {i: t for t, i in self.vocab.items()}
         self.byte = {int(m[1], 16): i for t, i in self.vocab.items() if (m := _BYTE.match(t))}
         self.raw = {i: b for b, i in self.byte.items()}
+        self.special = {a.id for a in self.added if a.special}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        plain = {i: t.replace(MARK, " ").encode() for i, t in self.names.items()} | {i: bytes([b]) for i, b in self.raw.items()}
+        self.surface = plain | {a.id: a.content.replace(MARK, " ").encode() for a in self.added if a.id not in self.raw}
         # A text can be cut before a mark if no merge joins a mark to what stands before it.
         self.cuts = not any(MARK in t.lstrip(MARK) for t in self.vocab if not _BYTE.match(t))
 
@@ -74,7 +80,15 @@ class PieceArtifact:
         """Parts of a normalized text that can be encoded alone; the whole text where that isn't certain."""
         return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text) if self.cuts else [text] if text else []
 
-    def unit(self, unit: str) -> list[int]:
+    def unit(self, unit: str) -> tuple[int, ...]:
+        ids = self.memo.get(unit)
+        if ids is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            ids = self.memo[unit] = tuple(self._unit(unit))
+        return ids
+
+    def _unit(self, unit: str) -> list[int]:
         if self.ignore_merges and unit in self.vocab:
             return [self.vocab[unit]]
         ids: list[int] = []
@@ -106,14 +120,15 @@ class PieceArtifact:
         """Normalizers may look over any place, so that a session's text is never cut."""
         return 0
 
-    def decode(self, ids: list[int], skip_special: bool = False) -> str:
-        names = self.names | {a.id: a.content for a in self.added}
-        special = {a.id for a in self.added if a.special} if skip_special else ()
-        data = b"".join(bytes([self.raw[i]]) if i in self.raw else names[i].replace(MARK, " ").encode() for i in ids if i not in special)
+    def told(self, data: bytes) -> str:
+        """Text of decoded bytes, without the space that encoding put in front."""
         text = data.decode("utf-8", "replace")
         added = self.prepend != "never" or any(k == "prepend" for k, *_ in self.steps)
         return text[1:] if added and text.startswith(" ") else text
 
+    def decode(self, ids: list[int], skip_special: bool = False) -> str:
+        return self.told(b"".join(self.surface[i] for i in ids if not (skip_special and i in self.special)))
+
 
 def from_json(data: bytes | str) -> PieceArtifact:
     j = json.loads(data)

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import json
 
@@ -11,7 +12,7 @@ from lexiform.functions import schemes
 from lexiform.operators.tokens import Engine
 from lexiform.plans.routing import Policy
 from lexiform.sources import convert, manifest
-from lexiform.sources.artifact import from_json, from_ranks, unsafe_frame
+from lexiform.sources.artifact import Added, byte_artifact, from_json, from_ranks, unsafe_frame
 
 public = pytest.importorskip("public_tokenizers")
 hf = pytest.importorskip("tokenizers")  # the oracle only
@@ -81,9 +82,9 @@ def test_byte_fallback_front_door(spark, tmp_path):
 
 
 @pytest.mark.parametrize("scheme", ["gpt2", "kimi", "deepseek_v3"])
-def test_converted_ranks(scheme):
+def test_converted_ranks(spark, scheme):
     data = read("byte_bpe_50k.tiktoken")
-    body = convert.to_json(data, scheme, {"<|end|>": 50256})
+    body = convert.to_json(convert.rank_frame(spark, data), scheme, {"<|end|>": 50256})
     a, b = Engine(from_json(body)), Engine(from_ranks(data, scheme))
     assert all(a.encode(t) == b.encode(t) for t in TEXTS) and a.encode("<|end|>") == [50256]
     if scheme == "gpt2":
@@ -95,12 +96,37 @@ def test_converted_ranks(scheme):
 def test_splits_table_equals_merges(spark):
     data = read("byte_bpe_50k.tiktoken")
     table = convert.splits(convert.rank_frame(spark, data).filter("length(token) <= 4 and rank < 3000"))
-    ranks = {t: r for t, r in convert.parse(data).items() if len(t) <= 4 and r < 3000}
+    every = {base64.b64decode(t): int(r) for t, r in map(bytes.split, data.splitlines())}
+    ranks = {t: r for t, r in every.items() if len(t) <= 4 and r < 3000}
     want = {(r, k, ranks[t[:k]], ranks[t[k:]]) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
     assert {tuple(r) for r in table.collect()} == want
-    for bad in (b"eA== x", b"YQ== 1", b"YQ== 0"):
-        with pytest.raises(RegistryInvalid):
-            convert.parse(bad)
+    assert {bytes(r.token): r.rank for r in convert.rank_frame(spark, data).collect()} == every
+    lines = data.splitlines()
+    for bad, why in (([b"eA== x"], "no token and rank"), ([*lines, b"one"], "no token and rank"), ([*lines, lines[0]], "more than once"), (lines[:-2] + lines[-1:], "dense"), ([b"YWI= 0"], "every byte")):
+        with pytest.raises(RegistryInvalid, match=why):
+            convert.rank_frame(spark, b"\n".join(bad))
+    long = convert.rank_frame(spark, data).filter("rank < 256").unionByName(spark.createDataFrame([(bytearray(b"abcd"), 256)], "token binary, rank int"))
+    with pytest.raises(RegistryInvalid, match="no two tokens"):
+        convert.to_json(long, "gpt2")
+
+
+def test_sql_functions_equal_columns(spark):
+    """The SQL functions split in the JVM where they can, and give what the columns give."""
+    from lexiform.operators.tokens import Tokenizer
+
+    for scheme in ("gpt2", "deepseek_v3", "laguna"):
+        for nfc, added in ((False, []), (True, [Added(300, "it's"), Added(301, "\\d")])):
+            a = byte_artifact(scheme, added)
+            a.nfc = nfc
+            one = api.Lexiform(spark, a, config.Config())
+            one.register("x")
+            df = spark.createDataFrame([(t,) for t in [*TEXTS, "it's \\d 12345", "a\r\n\nb", None]], "t string")
+            df.createOrReplaceTempView("sql_texts")
+            got = spark.sql("select t, x_encode(t) as e, x_count(t) as n, x_decode(x_encode(t)) as d from sql_texts").collect()
+            want = {r.t: r.e for r in df.select("t", Tokenizer(spark, a).encode(F.col("t")).alias("e")).collect()}
+            for r in got:
+                assert r.e == want[r.t] and r.n == (None if r.t is None else len(r.e))
+                assert r.d == r.t or nfc
 
 
 def test_unsafe_ranks(spark):
