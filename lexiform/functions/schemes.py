@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,26 +87,47 @@ def pieces_sql(text: str, scheme: str) -> str:
     return f"CASE WHEN {text} = '' THEN cast(array() AS array<string>) ELSE {out} END"
 
 
-# A place between an ASCII letter or digit and a space that a letter follows. No scheme has a piece that
-# reaches over it, and none looks past it, so both sides can be split alone. NFC doesn't compose there either.
-_CUT = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z])")
+# Places that no scheme's piece reaches over and none looks past, so that both sides can be split alone: between a letter
+# or digit and a space that a letter follows, and between a letter and a mark below or a line end. Letters are those of any
+# script. No scheme continues a run of letters over these marks; apostrophes do, and some marks of the kana blocks count as
+# letters in one scheme, so they are not among them. NFC doesn't compose there either: no mark combines with what is before it.
+STOPS = "\n,.;:!?()[]{}<>=+*/%&|^~@#$\"\\、。，；：！？（）"
+_STOP = "[" + re.escape(STOPS) + "]"
+AT_SPACE = r"(?<=[\p{L}\p{N}])(?= \p{L})"
+CUT = rf"(?:{AT_SPACE}|(?<=\p{{L}})(?={_STOP}))"
+#: What a text that reaches over such a place holds.
+OVER = rf"[\p{{L}}\p{{N}}] |\p{{L}}{_STOP}"
 
 
-def last_cut(text: str, window: int = 512) -> int:
-    """The last place of ``text`` at which it can be cut, 0 where there is none. Looks back by doubling windows."""
+@cache
+def _rule(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
+
+
+def reaches_over(text: str) -> bool:
+    """Whether a place at which texts are cut can lie inside ``text``."""
+    return _rule(OVER).search(text) is not None
+
+
+def last_cut(text: str, window: int = 512, at_space: bool = False) -> int:
+    """The last place of ``text`` at which it can be cut, 0 where there is none. Looks back by doubling windows. With ``at_space``
+    only places before a space, for vocabularies that put a space before what doesn't begin with one."""
+    rule = _rule(AT_SPACE if at_space else CUT)
     while True:
         low = max(0, len(text) - window)
         at = 0
-        for m in _CUT.finditer(text, low):
+        for m in rule.finditer(text, low):
             at = m.start()
         if at or not low:
             return at
         window *= 2
 
 
-def ranges(text: Column, size: int) -> Column:
+def ranges(text: Column, size: int, at_space: bool = False) -> Column:
     """array<string> of parts that can be split alone, each of ``size`` characters or somewhat more."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{size},}}?(?:(?<=[A-Za-z0-9])(?= [A-Za-z])|\z)|.+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{size},}}?(?:{AT_SPACE if at_space else CUT}|\z)|.+"), F.lit(0))
 
 
 def _stage(pattern: str):

@@ -65,12 +65,21 @@ class Engine:
         return out
 
     def _cuttable(self) -> bool:
-        """No added token can reach over a cut of text, nor take or leave the space behind it."""
-        return not any(re.search("[A-Za-z0-9] ", t.content) or (t.rstrip and re.search("[A-Za-z0-9]\\Z", t.content)) for t in self.added.by_text.values())
+        """No added token can reach over a cut of text, take or leave the space behind it, or ask what stands before it."""
+
+        def harmless(t) -> bool:
+            own = t.content
+            if schemes.reaches_over(own):
+                return False
+            if t.rstrip and schemes.reaches_over(own[-1:] + " "):
+                return False
+            return not (t.single_word and (own[:1] == " " or own[:1] in schemes.STOPS))
+
+        return all(harmless(t) for t in self.added.by_text.values())
 
     def cut(self, text: str) -> int:
         """The last place at which both sides of a text encode alone, whatever is appended; 0 for none."""
-        return schemes.last_cut(text) if self.cuttable else 0
+        return schemes.last_cut(text, at_space=self.a.prefix_space) if self.cuttable else 0
 
     def pieces(self, pieces) -> list[int]:
         out: list[int] = []
@@ -238,7 +247,7 @@ class Tokenizer:
         """(id, ids) with long texts cut at safe places and dealt out, so that one huge text isn't one task.
         Ids must be unique. Where an added token could reach over a cut, texts stay whole."""
         text = F.col(text_col)
-        cut = schemes.ranges(text, size) if self.local.cuttable else F.array(text)
+        cut = schemes.ranges(text, size, self.artifact.prefix_space) if self.local.cuttable else F.array(text)
         each = df.select(id_col, F.posexplode_outer(F.when(F.length(text) > size, cut).otherwise(F.array(text))).alias("pos", "part"))
         each = each.repartition(partitions, id_col, "pos") if partitions else each.repartition(id_col, "pos")
         put = each.select(id_col, "pos", self.encode(F.col("part")).alias("ids")).groupBy(id_col).agg(F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))).alias("parts"))

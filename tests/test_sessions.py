@@ -10,7 +10,7 @@ from lexiform.operators.sessions import Session, Tail
 from lexiform.operators.tokens import Engine, Tokenizer
 from lexiform.sources.artifact import Added, byte_artifact
 
-PARTS = ["a", "B ", " c", "the cat", " 1234 x", "é", "中", " 中", "🙂", "̈", " ̈a", " ", "  ", "\n", "\r\n", "\r", "'s", " 'LL", "!", "/ x", "_", "<t>", "<t", "> y"]
+PARTS = ["a", "B ", " c", "the cat", " 1234 x", "é", "中", " 中", "🙂", "̈", " ̈a", " ", "  ", "\n", "\r\n", "\r", "'s", " 'LL", "!", "/ x", "_", "<t>", "<t", "> y", "，", "。中文", "привет", " мир", ", ", ".", "?", "(x)", "=y", "・", "カ", "’s", "ǅ", "ʰ", "٣", "한", "e\u0301", ";\n"]
 
 
 def words(rng, n):
@@ -28,7 +28,18 @@ def test_a_cut_changes_no_piece(scheme):
     assert seen > 300
 
 
-@pytest.mark.parametrize("added", [[], [Added(300, "<t>", lstrip=True)], [Added(300, "<t>", rstrip=True)], [Added(300, "the "), Added(301, "x")], [Added(300, "cat", single_word=True)], [Added(300, "cat", rstrip=True)]])
+def test_sessions_of_every_script_seal():
+    """What an append encodes again stays short where words are never ASCII, or stand without spaces."""
+    e = Engine(byte_artifact())
+    for more in ("今天天气很好，我们去公园。", " привет мир снова", "x=f(y);\nif(a){b}\n", "오늘은 날씨가 좋다. "):
+        tail = Tail(e)
+        for _ in range(200):
+            tail.append(more)
+            assert len(tail.text) < 64
+        assert tail.count == 200 * len(more.encode())
+
+
+@pytest.mark.parametrize("added", [[], [Added(300, "<t>", lstrip=True)], [Added(300, "<t>", rstrip=True)], [Added(300, "the "), Added(301, "x")], [Added(300, "cat", single_word=True)], [Added(300, "cat", rstrip=True)], [Added(300, ".", single_word=True)], [Added(300, "中，")], [Added(300, "(x)", lstrip=True), Added(301, " мир", single_word=True)], [Added(300, "?", rstrip=True)]])
 def test_tail_equals_a_full_encode(added):
     rng = random.Random(4)
     for prefix_space in (False, True):
