@@ -9,7 +9,8 @@ A piece never holds a space mark behind another character, so a text is cut at s
 encoded on their own; with dropout each occurrence of a unit has a key of its own, from the seed, the text's digest and its
 place in the text. The distinct units of a batch of texts are encoded together: each step carries out the next
 merge of every unit's agenda at once. Units that occur more than once are first encoded without dropout, and an occurrence
-whose key skips none of the merges carried out has that result; all others are encoded with their own keys.
+whose key skips none of the merges carried out has that result; all others are encoded with their own keys. Units of more than
+``WIDE`` characters are cut where no piece has both neighbours; what is longer even then goes through a heap alone.
 """
 
 from __future__ import annotations
@@ -95,6 +96,27 @@ class Pieces:
         rank[:] = np.unique(score, return_inverse=True)[1]
         return char, keys, np.array([pairs[k] for k in keys.tolist()], np.int32), rank
 
+    @cached_property
+    def neighbours(self) -> np.ndarray:
+        """Sorted pairs of characters that stand next to each other in some piece. No merge reaches over any other pair."""
+        pairs = {ord(a) << 21 | ord(b) for p in self.merge for a, b in zip(p, p[1:], strict=False)}
+        return np.array(sorted(pairs), np.int64)
+
+    def _segments(self, points: np.ndarray, first: np.ndarray, size: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, first, size) of the parts of units that can be encoded alone; only units with ``cut`` have more than one."""
+        ends = np.cumsum(size)
+        at = np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        code = points[at].astype(np.int64)
+        code = np.where(code == ord(" "), ord(MARK), np.where(code == ord(MARK), (1 << 21) - 1, code))
+        pair = code[:-1] << 21 | code[1:]
+        known = self.neighbours
+        apart = known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] != pair if len(known) else np.ones(len(pair), bool)
+        begins = np.zeros(len(at), bool)
+        begins[1:] = apart & np.repeat(cut, size)[1:]
+        begins[ends - size] = True
+        where = np.flatnonzero(begins)
+        return np.searchsorted(ends, where, "right"), at[where], np.diff(where, append=len(at))
+
     def _unit(self, unit: str, rate: int, base: int, merges: list[tuple[int, int]] | None = None) -> list[int]:
         """Ids of one unit by a heap. rate: of 2**32; base: of the dropout; merges takes (place, id) of those carried out."""
         merge = self.merge
@@ -236,37 +258,51 @@ class Pieces:
             unknown = np.minimum.reduceat(sym, first) < 0
         first, size, unknown = first[which], size[which], unknown[which]
         base = np.zeros(len(which), np.uint64) if base is None else base
-        out: list = [None] * len(which)
-        counts, rows = np.zeros(len(which), np.int64), []
-        alone = np.flatnonzero(unknown | (size > WIDE))
+        # Long units and those with an unknown character are cut where no piece has both neighbours: texts without spaces too
+        # become short parts. A part keeps its place in the unit, which is part of its dropout keys.
+        owner, begin, span = self._segments(points, first, size, unknown | (size > WIDE))
+        inner = begin - first[owner]
+        key = base[owner] + inner.astype(np.uint64) * U(0x9E3779B97F4A7C15)
+        strange = self._strange(sym, begin, span)
+        out: list = [None] * len(owner)
+        counts, rows = np.zeros(len(owner), np.int64), []
+        alone = np.flatnonzero(strange | (span > WIDE))
         for i in alone.tolist():
             done: list | None = None if merges is None else []
-            out[i] = np.array(self._unit(names[which[i]], cut, int(base[i]), done), np.int32)
+            text = points[begin[i] : begin[i] + span[i]].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            out[i] = np.array(self._unit(text, cut, int(key[i]), done), np.int32)
             counts[i] = len(out[i])
             if done:
-                merges.append((np.full(len(done), i), *np.array(done, np.int64).T))
-        together = np.flatnonzero(~(unknown | (size > WIDE)))
-        together = together[np.argsort(size[together], kind="stable")]  # units of like length share a step
+                place, to = np.array(done, np.int64).T
+                merges.append((np.full(len(done), owner[i]), place + inner[i], to))
+        together = np.flatnonzero(~(strange | (span > WIDE)))
+        together = together[np.argsort(span[together], kind="stable")]  # parts of like length share a step
         for a in range(0, len(together), TOGETHER):
             part = together[a : a + TOGETHER]
-            wide = int(size[part].max())
+            wide = int(span[part].max())
             grid = np.full((len(part), wide), -1, np.int32)
-            real = np.arange(wide)[None, :] < size[part][:, None]
-            grid[real] = sym[np.repeat(first[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(size[part].sum())]
+            real = np.arange(wide)[None, :] < span[part][:, None]
+            grid[real] = sym[np.repeat(begin[part] - (np.cumsum(span[part]) - span[part]), span[part]) + np.arange(span[part].sum())]
             steps: list | None = None if merges is None else []
-            ids = self._together(grid, cut, base[part], steps)
+            ids = self._together(grid, cut, key[part], steps)
             if steps:
-                merges += [(part[row], place, to) for row, place, to in steps]
+                merges += [(owner[part[row]], place + inner[part[row]], to) for row, place, to in steps]
             counts[part] = (ids >= 0).sum(axis=1)
             rows.append((part, ids[ids >= 0]))
-        at = np.append(0, np.cumsum(counts))
-        flat = np.zeros(int(at[-1]), np.int32)
+        stop = np.append(0, np.cumsum(counts))
+        flat = np.zeros(int(stop[-1]), np.int32)
         for part, ids in rows:
             n = counts[part]
-            flat[np.repeat(at[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = ids
+            flat[np.repeat(stop[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = ids
         for i in alone.tolist():
-            flat[at[i] : at[i + 1]] = out[i]
-        return flat, at
+            flat[stop[i] : stop[i + 1]] = out[i]
+        return flat, stop[np.searchsorted(owner, np.arange(len(which) + 1))]
+
+    @staticmethod
+    def _strange(sym: np.ndarray, begin: np.ndarray, span: np.ndarray) -> np.ndarray:
+        """Whether a part has a character that is no piece."""
+        total = np.append(0, np.cumsum(sym < 0))
+        return total[begin + span] > total[begin]
 
     def encode(self, text: str, rate: float = 0.0, seed: int = 0) -> list[int]:
         return self.encode_many([text], rate, seed)[0].tolist()
@@ -301,7 +337,9 @@ def _skips(unit: np.ndarray, base: np.ndarray, merges: list, cut: int, n_units:
 
 
 def encode_column(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, seed: int = 0) -> DataFrame:
-    """(id, ids) of every row; a null or empty text has no ids. Rows are independent and nothing is shuffled."""
+    """(id, ids) of every row; a null or empty text has no ids. Rows are independent and nothing is shuffled: repeated ones give
+    the same each, a null id stays null, a text of any length is worked on whole, an empty table gives no rows, further columns
+    are ignored. Ids must be integers."""
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(pieces)  # as large as the vocabulary

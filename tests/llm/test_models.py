@@ -70,6 +70,52 @@ def test_pieces_heap_equals_steps(model, monkeypatch):
     assert [model.encode(t, r, s) for t in texts for r in (0.0, 0.2) for s in (1, 2)] == want
 
 
+def plain_dropout(model, text, rate, seed):
+    """Merge-dropout by its definition: the best merge that isn't skipped, leftmost of equals, one after another in each unit."""
+    mask, cut, out = (1 << 64) - 1, round(rate * 2**32), []
+    key = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
+    for place, unit in enumerate(re.findall(" *[^ ]+| +", " " + text) if text else []):
+        base = (place * 0x9E3779B97F4A7C15 & mask ^ key) * 0xD6E8FEB86659FD93 & mask
+        base = ((base ^ base >> 32) * 0xA0761D6478BD642F + seed * 0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1D) & mask
+
+        def skipped(at, i):
+            h = (base + at * 0x9E3779B97F4A7C15 + i * 0xC2B2AE3D27D4EB4F) & mask
+            h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & mask
+            h = (h ^ h >> 32) * 0x94D049BB133111EB & mask
+            return h >> 32 < cut
+
+        parts = [(at, {" ": pieces.MARK, pieces.MARK: pieces.LITERAL}.get(c, c)) for at, c in enumerate(unit)]
+        while True:
+            found = [(-model.merge[a + b][1], at, k) for k, ((at, a), (_, b)) in enumerate(zip(parts, parts[1:])) if a + b in model.merge and not skipped(at, model.merge[a + b][0])]
+            if not found:
+                break
+            k = min(found)[2]
+            parts[k : k + 2] = [(parts[k][0], parts[k][1] + parts[k + 1][1])]
+        for _, p in parts:
+            out += [model.merge[p][0]] if p in model.merge else [model.byte[b] for b in p.replace(pieces.LITERAL, pieces.MARK).encode()]
+    return out
+
+
+def test_pieces_dropout_against_a_plain_version(model, spark, small):
+    rng = random.Random(3)
+    unspaced = ["".join(rng.choice("日本語中文的一是ab1é▁🙂") for _ in range(400)), "QUJDRGVmZ2hpamtsbW5vcA" * 12, "aaaaaaaa" * 9, "abcdefghijklmnopqrstuvwxyz" * 4 + "語" + "the" * 20]
+    texts = TEXTS + unspaced + [r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(25).collect() if len(r.text) <= 3000]
+    for rate, seed in ((0.0, 0), (0.1, 17), (0.4, 3)):
+        got, at = model.encode_many(texts, rate, seed)
+        for k, t in enumerate(texts):
+            assert got[at[k] : at[k + 1]].tolist() == plain_dropout(model, t, rate, seed), t
+
+
+def test_pieces_unspaced_texts_become_short_parts(model, monkeypatch):
+    """A long text without a space is no single heap: few of its characters are in parts longer than a step takes."""
+    rng = random.Random(4)
+    text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(50_000))
+    seen = []
+    monkeypatch.setattr(pieces.Pieces, "_unit", lambda self, unit, *a, f=pieces.Pieces._unit: seen.append(len(unit)) or f(self, unit, *a))
+    assert model.decode(model.encode(text, 0.1, 1)) == text
+    assert max(seen, default=0) <= 64
+
+
 def test_pieces_columns(model, spark):
     rows = odd_rows()
     got = pieces.decode_column(pieces.encode_column(frame(spark, rows), model, rate=0.2, seed=3), model, with_text=True).collect()
