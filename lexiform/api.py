@@ -40,10 +40,19 @@ class Lexiform:
             raise UncertifiedTokenizer("the policy needs a certified vocabulary", artifact_sha256=a.sha256) from None
         self.columns = (PieceTokenizer if isinstance(a, PieceArtifact) else Tokenizer)(spark, a, config.batch_bytes)
         self.sessions: dict[str, Session] = {}
-        self.counts = {"encode": 0, "hit": 0, "append": 0, "overwrite": 0, "seed": 0, "noop": 0, "degraded_full_reencode": 0}
-
-    def encode(self, text: str, *, session: str | None = None, add_special_tokens: bool = False, offsets: bool = False) -> Encoding:
-        """Ids of one text. With a session, the text is its whole transcript. Special tokens go with neither."""
+        self.counts = {"encode": 0, "hit": 0, "append": 0, "overwrite": 0, "seed": 0, "noop": 0, "degraded_full_reencode": 0, "lookup_hit": 0, "lookup_miss": 0, "revision_conflict": 0}
+
+    def encode(self, text: str, *, session: str | None = None, add_special_tokens: bool = False, offsets: bool = False, lookup: DataFrame | None = None) -> Encoding | None:
+        """Ids of one text. With a session, the text is its whole transcript. Special tokens go with neither. With ``lookup``, a
+        table of stored entries, the ids come from the longest one that begins the text, completed behind its last safe cut
+        and kept nowhere; None where there is none, and then nothing is encoded."""
+        if lookup is not None:
+            if session is not None or add_special_tokens or offsets:
+                raise UnsupportedConfig("a lookup goes with no other option", option="lookup", value=True, reason="entries hold core ids")
+            one = self.spark.createDataFrame([(0, text)], "q long, t string")
+            served = self.lookup(one, lookup, "q", "t").first()
+            self.counts["lookup_miss" if served["path"] == "miss" else "lookup_hit"] += 1
+            return None if served["path"] == "miss" else Encoding(tuple(served["ids"]))
         if add_special_tokens and (session is not None or offsets):
             raise UnsupportedConfig("special tokens are added to plain encodes only", option="add_special_tokens", value=True, reason="sessions and offsets hold core ids")
         if session is not None:
@@ -73,6 +82,7 @@ class Lexiform:
             raise SessionStateMismatch("no such session", session=session)
         patch = held.append(delta, expected_revision)
         if patch[4] == "revision_conflict":
+            self.counts[patch[4]] += 1
             raise SessionRevisionConflict("another revision is stored", expected_revision=expected_revision, stored_revision=held.revision)
         self.counts[patch[4]] += 1
         return patch

@@ -92,11 +92,13 @@ def pieces_sql(text: str, scheme: str) -> str:
 # script. No scheme continues a run of letters over these marks; apostrophes do, and some marks of the kana blocks count as
 # letters in one scheme, so they are not among them. NFC doesn't compose there either: no mark combines with what is before it.
 STOPS = "\n,.;:!?()[]{}<>=+*/%&|^~@#$\"\\、。，；：！？（）"
-_STOP = "[" + re.escape(STOPS) + "]"
-AT_SPACE = r"(?<=[\p{L}\p{N}])(?= \p{L})"
-CUT = rf"(?:{AT_SPACE}|(?<=\p{{L}})(?={_STOP}))"
-#: What a text that reaches over such a place holds.
-OVER = rf"[\p{{L}}\p{{N}}] |\p{{L}}{_STOP}"
+_SPACE = r"(?<=[\p{L}\p{N}])(?= \p{L})"
+
+
+def cuts(stops: str = STOPS, spaces: bool = True) -> str:
+    """The pattern of such places before the marks ``stops`` and, if wanted, before spaces; the empty string for none."""
+    marks = [rf"(?<=\p{{L}})(?=[{re.escape(stops)}])"] * bool(stops)
+    return "|".join([_SPACE] * spaces + marks)
 
 
 @cache
@@ -106,15 +108,23 @@ def _rule(pattern: str):
     return regex.compile(pattern)
 
 
-def reaches_over(text: str) -> bool:
-    """Whether a place at which texts are cut can lie inside ``text``."""
-    return _rule(OVER).search(text) is not None
+def free_cuts(tokens) -> str:
+    """The pattern of the places that no added token can reach over, strip the space behind, or look past. ``tokens`` have
+    content, rstrip and single_word."""
+
+    def free(left: str, c: str) -> bool:
+        place = _rule(left + re.escape(c))
+        return not any(place.search(t.content) or (t.rstrip and c.isspace() and place.search(t.content[-1:] + c)) or (t.single_word and t.content[:1] == c) for t in tokens)
+
+    return cuts("".join(c for c in STOPS if free(r"\p{L}", c)), free(r"[\p{L}\p{N}]", " "))
 
 
-def last_cut(text: str, window: int = 512, at_space: bool = False) -> int:
-    """The last place of ``text`` at which it can be cut, 0 where there is none. Looks back by doubling windows. With ``at_space``
-    only places before a space, for vocabularies that put a space before what doesn't begin with one."""
-    rule = _rule(AT_SPACE if at_space else CUT)
+def last_cut(text: str, window: int = 512, pattern: str | None = None) -> int:
+    """The last place of ``text`` at which it can be cut, 0 where there is none. Looks back by doubling windows."""
+    pattern = cuts() if pattern is None else pattern
+    if not pattern:
+        return 0
+    rule = _rule(pattern)
     while True:
         low = max(0, len(text) - window)
         at = 0
@@ -125,9 +135,10 @@ def last_cut(text: str, window: int = 512, at_space: bool = False) -> int:
         window *= 2
 
 
-def ranges(text: Column, size: int, at_space: bool = False) -> Column:
+def ranges(text: Column, size: int, pattern: str | None = None) -> Column:
     """array<string> of parts that can be split alone, each of ``size`` characters or somewhat more."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{size},}}?(?:{AT_SPACE if at_space else CUT}|\z)|.+"), F.lit(0))
+    pattern = cuts() if pattern is None else pattern
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{size},}}?(?:{pattern}|\z)|.+"), F.lit(0)) if pattern else F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(text))
 
 
 def _stage(pattern: str):

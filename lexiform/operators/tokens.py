@@ -36,7 +36,10 @@ class Engine:
         self.surface = artifact.surface()
         self.special = {t.id for t in artifact.added if t.special}
         self.added = Splitter(artifact.added)
-        self.cuttable = self._cuttable()
+        self.cuts = schemes.free_cuts(self.added.by_text.values())
+        if artifact.prefix_space:  # what doesn't begin with a space would get one
+            self.cuts = schemes.cuts("") if self.cuts.startswith(schemes.cuts("")) else ""
+        self.cuttable = bool(self.cuts)
 
     def piece(self, piece: str) -> tuple[int, ...]:
         ids = self.memo.get(piece)
@@ -64,22 +67,9 @@ class Engine:
                     out += self.piece(p)
         return out
 
-    def _cuttable(self) -> bool:
-        """No added token can reach over a cut of text, take or leave the space behind it, or ask what stands before it."""
-
-        def harmless(t) -> bool:
-            own = t.content
-            if schemes.reaches_over(own):
-                return False
-            if t.rstrip and schemes.reaches_over(own[-1:] + " "):
-                return False
-            return not (t.single_word and (own[:1] == " " or own[:1] in schemes.STOPS))
-
-        return all(harmless(t) for t in self.added.by_text.values())
-
     def cut(self, text: str) -> int:
         """The last place at which both sides of a text encode alone, whatever is appended; 0 for none."""
-        return schemes.last_cut(text, at_space=self.a.prefix_space) if self.cuttable else 0
+        return schemes.last_cut(text, pattern=self.cuts)
 
     def pieces(self, pieces) -> list[int]:
         out: list[int] = []
@@ -223,6 +213,20 @@ class Tokenizer:
 
         return run
 
+    def encode_alone(self, text: Column) -> Column:
+        """The reference path: each text by the plain definition, its pieces split in Python and merged anew."""
+        engine = self._engine()
+
+        @F.arrow_udf("array<int>")
+        def run(texts: pa.Array) -> pa.Array:
+            e, out = Engine(engine().a), []
+            for t in texts.to_pylist():
+                e.memo.clear()
+                out.append(None if t is None else e.encode(t))
+            return pa.array(out, pa.list_(pa.int32()))
+
+        return run(text)
+
     def count(self, text: Column) -> Column:
         plain = self.plain(text)
         return self.counter()(F.when(~plain, text), F.when(plain, self.pieces(text)))
@@ -247,7 +251,7 @@ class Tokenizer:
         """(id, ids) with long texts cut at safe places and dealt out, so that one huge text isn't one task.
         Ids must be unique. Where an added token could reach over a cut, texts stay whole."""
         text = F.col(text_col)
-        cut = schemes.ranges(text, size, self.artifact.prefix_space) if self.local.cuttable else F.array(text)
+        cut = schemes.ranges(text, size, self.local.cuts)
         each = df.select(id_col, F.posexplode_outer(F.when(F.length(text) > size, cut).otherwise(F.array(text))).alias("pos", "part"))
         each = each.repartition(partitions, id_col, "pos") if partitions else each.repartition(id_col, "pos")
         put = each.select(id_col, "pos", self.encode(F.col("part")).alias("ids")).groupBy(id_col).agg(F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))).alias("parts"))
@@ -276,6 +280,34 @@ class Tokenizer:
     def decode(self, ids: Column, skip_special_tokens: bool = True) -> Column:
         return self.decoder(skip_special_tokens)(ids)
 
+    def window(self, text: Column, ids: Column, marks: Column, first: int, last: int) -> Column:
+        """struct<starts, ends> of the tokens from ``first`` up to ``last``, told from the checkpoint before them: only the text
+        behind that is looked at. The marks' distance is that of their tokens."""
+        engine = self._engine()
+
+        @F.arrow_udf("struct<starts: array<int>, ends: array<int>>")
+        def run(texts: pa.Array, rows: pa.Array, marks: pa.Array) -> pa.Array:
+            lens = engine().table(False)[1]
+            every, at, none = flat(rows)
+            out = []
+            for k, (t, told) in enumerate(zip(texts.to_pylist(), marks.to_pylist(), strict=True)):
+                if t is None or none[k] or told is None:
+                    out.append(None)
+                    continue
+                own = every[at[k] : at[k + 1]][:last]
+                mark = max((m for m in told if m["token"] <= first), key=lambda m: m["token"], default={"token": 0, "char": 0})
+                # The checkpoint's token can begin inside a character; bytes are counted from the text's own.
+                size = lens[own[mark["token"] :]]
+                skip = int(lens[own[: mark["token"]]].sum()) - len(t[: mark["char"]].encode())
+                data = np.frombuffer(t[mark["char"] :].encode()[: skip + int(size.sum()) + 4], np.uint8)
+                char = np.cumsum((data & 0xC0) != 0x80) - 1 + mark["char"]
+                ends = skip + np.cumsum(size)
+                cut = first - mark["token"]
+                out.append({"starts": char[ends - size][cut:].tolist(), "ends": (char[ends - 1] + 1)[cut:].tolist()} if len(size) else {"starts": [], "ends": []})
+            return pa.array(out, pa.struct([("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]))
+
+        return run(text, ids, marks)
+
     def spans(self, text: Column, ids: Column) -> Column:
         """struct<starts, ends> in characters, or null where the ids do not close over the text."""
         engine = self._engine()
@@ -300,6 +332,39 @@ class Tokenizer:
         return run(text, ids)
 
 
+def byte_spans(pieces: Column) -> Column:
+    """struct<starts, ends>: where each piece of a text lies in its UTF-8 bytes."""
+
+    @F.arrow_udf("struct<starts: array<int>, ends: array<int>>")
+    def run(rows: pa.Array) -> pa.Array:
+        none = np.asarray(rows.is_null())
+        counts = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.append(0, np.cumsum(counts))
+        total = np.append(0, np.cumsum(pc.binary_length(rows.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)))
+        base = np.repeat(total[at[:-1]], counts)
+        return pa.StructArray.from_arrays([lists(total[:-1] - base, at, none), lists(total[1:] - base, at, none)], ["starts", "ends"])
+
+    return run(pieces)
+
+
+def checkpoints(spans: Column, stride: int = 1024) -> Column:
+    """array<struct<token, char>>: where every ``stride``-th token of a text begins, from its spans."""
+
+    @F.arrow_udf("array<struct<token: int, char: int>>")
+    def run(rows: pa.Array) -> pa.Array:
+        out = []
+        for r in rows:
+            starts = r["starts"] if r.is_valid else None
+            if starts is None or not starts.is_valid:
+                out.append(None)
+                continue
+            at = starts.values.to_numpy()
+            out.append([{"token": k, "char": int(at[k])} for k in range(0, len(at), stride)])
+        return pa.array(out, pa.list_(pa.struct([("token", pa.int32()), ("char", pa.int32())])))
+
+    return run(spans)
+
+
 def ragged(df: DataFrame, id_col: str, ids_col: str) -> DataFrame:
     """The long form of an id column: (id, pos, token)."""
     return df.select(id_col, F.posexplode(ids_col).alias("pos", "token"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import may_hold
@@ -50,3 +50,29 @@ def route(p: RoutePlan, text: Column, literals: list[str]) -> Column:
         return row("reference", p.reasons[0])
     held = F.when(may_hold(text, literals), row("reference", "R_INPUT_ADDED_TOKEN"))
     return held.when(F.octet_length(text) < p.threshold, row("fast", "R_INPUT_BELOW_GPU_THRESHOLD")).otherwise(row("split", None))
+
+
+def execute(p: RoutePlan, tok, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, path, reason, ids) of a table with unique ids, each row by its path: ``reference`` encodes a text alone without a
+    memo of pieces, ``fast`` whole batches, ``split`` cuts long texts and deals them out. All give the same ids. A row that its
+    path can't take goes down the chain: a text that has no place to be cut is one of ``fast``, with a reason of its own.
+    """
+    text = F.col(text_col)
+    rows = df.select(id_col, text_col, route(p, text, tok.artifact.literals()).alias("r")).select(id_col, text_col, "r.path", "r.reason")
+    if "split" in p.chain and not tok.local.cuttable:
+        rows = rows.withColumn("reason", F.when(F.col("path") == "split", "R_NO_SAFE_CUT").otherwise(F.col("reason"))).withColumn("path", F.when(F.col("path") == "split", "fast").otherwise(F.col("path")))
+    of = lambda path: rows.filter(F.col("path") == path)
+    parts = [of("reference").withColumn("ids", tok.encode_alone(text)), of("fast").withColumn("ids", tok.encode(text))]
+    parts = [x.select(id_col, "path", "reason", "ids") for x in parts]
+    if "split" in p.chain:
+        long = of("split")
+        parts.append(long.select(id_col, "path", "reason").join(tok.encode_spread(long, id_col, text_col, max(1, p.threshold // 4)), id_col))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def counters(executed: DataFrame) -> DataFrame:
+    """(path, reason, n_rows, n_tokens) of executed rows."""
+    return executed.groupBy("path", "reason").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("ids")).cast("long").alias("n_tokens"))

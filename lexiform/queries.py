@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .functions import schemes, text
-from .operators import lookup, sessions
-from .operators.tokens import Tokenizer, offsets
+from .operators import lookup, sessions, store
+from .operators.tokens import Tokenizer, byte_spans, checkpoints, offsets
 from .plans import routing
 from .session import spread
 from .sources import convert, records
@@ -241,6 +241,71 @@ def letter_runs_topk(spark, sf_dir):
     return runs.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "piece").limit(100)
 
 
+def node_sharing(spark, sf_dir):
+    """Blocks of all documents as nodes that documents with a common past share, put together again."""
+    nodes, heads = store.export(_table(spark, sf_dir, "documents"), "doc_id", "text", 512)
+    back = store.restore(nodes, heads)
+    return back.select(F.col("session").alias("doc_id"), F.col("n_blocks").cast("long").alias("n_blocks"), "whole", F.sha2("text", 256).alias("text_sha256"))
+
+
+def node_counts(spark, sf_dir):
+    """How many blocks all documents have at each place, and how many nodes are written for them."""
+    d = _table(spark, sf_dir, "documents")
+    nodes, heads = store.export(d, "doc_id", "text", 512)
+    held = store.checked(nodes).groupBy("block").agg(F.count(F.lit(1)).alias("n_nodes"), F.min("ok").alias("ok"))
+    every = heads.filter("n_blocks > 0").select(F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    n = every.groupBy("block").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return n.join(held, "block").select(F.col("block").cast("long").alias("block"), "n_blocks", "n_nodes", "ok")
+
+
+def index_rebuild(spark, sf_dir):
+    """The digest index of all records where the sidecar is of other records for ids that five divides: those are made anew."""
+    held, _ = _records(spark, sf_dir)
+    sidecar = store.bind(held).withColumn("bound", F.when(F.col("session") % 5 == 0, F.lit("of another")).otherwise(F.col("bound")))
+    i = store.index(held, sidecar)
+    return i.select(F.col("session").alias("doc_id"), "rebuilt", "byte_length", "end_digest", F.size("marks").cast("long").alias("n_marks"))
+
+
+def record_chain(spark, sf_dir):
+    """Every conversation after every turn as chained records, verified from the first on, with the shape of its appends."""
+    tok = _real(spark)
+    key = bytes.fromhex(tok.artifact.fingerprint())
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    grown = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), (F.row_number().over(w) - 1).cast("long").alias("revision"), F.array_join(F.collect_list("text").over(w.rowsBetween(Window.unboundedPreceding, 0)), "").alias("text"))
+    states = grown.withColumn("ids", tok.encode(F.col("text")))
+    held = records.chain(records.write(states, key), key).select("session", "revision", "ok", F.size("ids").cast("long").alias("n_tokens"))
+    shape = records.appended(states)
+    return held.join(shape, ["session", "revision"]).select(F.col("session").alias("conv_id"), "revision", "ok", "kept", "n_tokens", F.col("replace_from").cast("long").alias("replace_from"))
+
+
+def route_execute(spark, sf_dir):
+    """Every document by the path that its size and content give it, with the ids of that path."""
+    tok = _real(spark)
+    done = routing.execute(routing.plan(threshold=8192), tok, _dealt(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
+    return done.select("doc_id", "path", "reason", F.size("ids").cast("long").alias("n_tokens"), _digest("ids").alias("ids_sha256"))
+
+
+def piece_spans(spark, sf_dir):
+    """Where pieces lie in the bytes of each document."""
+    s = _dealt(spark, sf_dir, "doc_id", "text").select("doc_id", byte_spans(schemes.pieces(F.col("text"), "o200k")).alias("s"))
+    return s.select("doc_id", F.size("s.starts").cast("long").alias("n_pieces"), _sum("s.starts").alias("sum_starts"), _sum("s.ends").alias("sum_ends"))
+
+
+def span_checkpoints(spark, sf_dir):
+    """Spans of 64 tokens from the 200th on, told from checkpoints that lie 128 tokens apart."""
+    tok = _real(spark)
+    rows = _dealt(spark, sf_dir, "doc_id", "text").select("doc_id", "text", tok.encode(F.col("text")).alias("ids"))
+    rows = rows.select("doc_id", "text", "ids", checkpoints(tok.spans(F.col("text"), F.col("ids")), 128).alias("marks"))
+    w = rows.select("doc_id", F.size("marks").cast("long").alias("n_marks"), tok.window(F.col("text"), F.col("ids"), F.col("marks"), 200, 264).alias("w"))
+    return w.select("doc_id", "n_marks", F.size("w.starts").cast("long").alias("n_spans"), _sum("w.starts").alias("sum_starts"), _sum("w.ends").alias("sum_ends"))
+
+
+def safe_cuts(spark, sf_dir):
+    """At how many places each document can be cut, and its longest part between two of them."""
+    parts = _table(spark, sf_dir, "documents").select("doc_id", schemes.ranges(F.col("text"), 1).alias("p"))
+    return parts.select("doc_id", F.size("p").cast("long").alias("n_parts"), F.coalesce(F.array_max(F.transform("p", F.length)), F.lit(0)).cast("long").alias("longest"))
+
+
 def vocab_byte_lengths(spark, sf_dir):
     v = load(spark, f"file://{VOCABULARY}").vocab_frame(spark)
     return v.groupBy(F.octet_length("bytes").cast("long").alias("n_bytes")).agg(F.count(F.lit(1)).alias("n_tokens"))
@@ -282,6 +347,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ragged_offsets": ragged_offsets,
         "mark_positions": mark_positions,
         "letter_runs_topk": letter_runs_topk,
+        "node_sharing": node_sharing,
+        "node_counts": node_counts,
+        "index_rebuild": index_rebuild,
+        "record_chain": record_chain,
+        "route_execute": route_execute,
+        "piece_spans": piece_spans,
+        "span_checkpoints": span_checkpoints,
+        "safe_cuts": safe_cuts,
     }
 
 
@@ -308,6 +381,20 @@ def oracle_sql() -> dict[str, str]:
         "encode_bpe": _IDS + f"SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS sum_ids, {_SHA.format('ids')} AS ids_sha256 FROM d",
         "pieces_by_scheme": " UNION ALL ".join(f"SELECT '{s}' AS scheme, CAST(sum(len(x)) AS BIGINT) AS n_pieces, CAST(sum(list_sum(list_transform(range(1, len(x) + 1), lambda i: i * length(x[i])))) AS BIGINT) AS weight FROM (SELECT {oracles.pieces(s)} AS x FROM documents)" for s in schemes.SCHEMES),
         "memo_reuse_ratio": f"SELECT CAST(sum(n) AS BIGINT) AS n_pieces, count(*) AS n_distinct FROM (SELECT piece, count(*) AS n FROM (SELECT unnest({oracles.pieces('gpt2')}) AS piece FROM documents) GROUP BY piece)",
+        "node_sharing": "SELECT doc_id, CAST(length(coalesce(text, '')) // 512 AS BIGINT) AS n_blocks, true AS whole, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+        "node_counts": "SELECT k - 1 AS block, count(*) AS n_blocks, count(DISTINCT substr(text, 1, 512 * k)) AS n_nodes, true AS ok FROM (SELECT text, unnest(range(1, length(text) // 512 + 1)) AS k FROM documents) GROUP BY k",
+        "index_rebuild": "SELECT doc_id, doc_id % 5 = 0 AS rebuilt, CAST(strlen(text) AS BIGINT) AS byte_length, sha256(text) AS end_digest, CAST(len(list_filter(range(0, 19), lambda k: 4096 * (1::BIGINT << k) < strlen(text))) AS BIGINT) AS n_marks FROM documents",
+        "record_chain": _GROWN + "SELECT conv_id, revision, true AS ok, true AS kept, token_count AS n_tokens, replace_from FROM s",
+        "route_execute": _IDS + f"SELECT doc_id, CASE WHEN contains(text, '<|endoftext|>') THEN 'reference' WHEN strlen(text) < 8192 THEN 'fast' ELSE 'split' END AS path, CASE WHEN contains(text, '<|endoftext|>') THEN 'R_INPUT_ADDED_TOKEN' WHEN strlen(text) < 8192 THEN 'R_INPUT_BELOW_GPU_THRESHOLD' END AS reason, CAST(len(ids) AS BIGINT) AS n_tokens, {_SHA.format('ids')} AS ids_sha256 FROM d",
+        "piece_spans": f"WITH q AS (SELECT doc_id, {oracles.pieces('o200k')} AS x FROM documents), p AS (SELECT doc_id, unnest(range(0, len(x))) AS pos, unnest(x) AS piece FROM q), o AS (SELECT doc_id, sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY pos) AS e, strlen(piece) AS n FROM p) SELECT doc_id, count(e) AS n_pieces, CAST(coalesce(sum(e - n), 0) AS BIGINT) AS sum_starts, CAST(coalesce(sum(e), 0) AS BIGINT) AS sum_ends FROM documents LEFT JOIN o USING (doc_id) GROUP BY doc_id",
+        "span_checkpoints": _DOCS
+        + """, g AS (SELECT piece, list_transform(range(1, len(piece) + 1), lambda i: strlen(piece[1:i])) AS ends, list_transform(range(0, len(sizes)), lambda i: coalesce(list_sum(sizes[1:i]), 0)) AS begin, sizes FROM b),
+h AS (SELECT piece, list_transform(range(1, len(sizes) + 1), lambda i: len(list_filter(ends, lambda e: e <= begin[i]))) AS starts, list_transform(range(1, len(sizes) + 1), lambda i: 1 + len(list_filter(ends, lambda e: e < begin[i] + sizes[i]))) AS stops FROM g),
+o AS (SELECT doc_id, pos, piece, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM p),
+w AS (SELECT doc_id, pos, base + unnest(starts) AS a, base + unnest(stops) AS z, unnest(range(0, len(starts))) AS k FROM o JOIN h USING (piece)),
+y AS (SELECT doc_id, a, z, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) - 1 AS n FROM w)
+SELECT t.doc_id, count(CASE WHEN n % 128 = 0 THEN 1 END) AS n_marks, count(CASE WHEN n BETWEEN 200 AND 263 THEN 1 END) AS n_spans, CAST(coalesce(sum(CASE WHEN n BETWEEN 200 AND 263 THEN a END), 0) AS BIGINT) AS sum_starts, CAST(coalesce(sum(CASE WHEN n BETWEEN 200 AND 263 THEN z END), 0) AS BIGINT) AS sum_ends FROM t LEFT JOIN y USING (doc_id) GROUP BY t.doc_id""",
+        "safe_cuts": r"WITH c AS (SELECT doc_id, text, list_filter(range(2, length(text) + 1), lambda i: regexp_matches(substr(text, i - 1, 3), '^(?:[\p{L}\p{N}] \p{L}|\p{L}[\n,.;:!?()\[\]{}<>=+*/%&|^~@#$\x22\\、。，；：！？（）])')) AS cuts FROM documents), e AS (SELECT doc_id, [1] || cuts || [length(text) + 1] AS b, length(text) AS n FROM c) SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE CAST(len(b) - 1 AS BIGINT) END AS n_parts, CAST(coalesce(list_max(list_transform(range(1, len(b)), lambda i: b[i + 1] - b[i])), 0) AS BIGINT) AS longest FROM e",
         "decode_roundtrip": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
         "spans_tile": _DOCS
         + """, g AS (SELECT piece, list_transform(range(1, len(piece) + 1), lambda i: strlen(piece[1:i])) AS ends, list_transform(range(0, len(sizes)), lambda i: list_sum(sizes[1:i])) AS begin, sizes FROM b),

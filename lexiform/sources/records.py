@@ -80,8 +80,9 @@ def _extension(data: bytes) -> None:
         _need(at <= len(data), "extension")
 
 
-def decode(data: bytes, fingerprint: bytes | None = None, after: Record | None = None, magic: bytes = MAGIC, tag: bytes = TAG) -> Record:
-    """Checks in a fixed order: bounds, fields, size, digests, chain, meaning. No value of a record that fails is told."""
+def decode(data: bytes, fingerprint: bytes | None = None, after: Record | None = None, magic: bytes = MAGIC, tag: bytes = TAG, engine: int | None = None) -> Record:
+    """Checks in a fixed order: bounds, fields, size, digests, chain, meaning. No value of a record that fails is told. ``engine``
+    is the witness class of the caller's engine, which must be the record's where that has one."""
     _need(len(data) >= HEADER.size, "size")
     (own, version, head, flags, endian, r0, witness, r1, key, revision, previous, link, full, stable, tail, count, at, check) = HEADER.unpack_from(data)
     _need(own == magic, "magic")
@@ -108,6 +109,7 @@ def decode(data: bytes, fingerprint: bytes | None = None, after: Record | None =
         text = body[4 * count :].decode()
     except UnicodeDecodeError:
         raise StoreCorrupt("utf8", failure="utf8") from None
+    _need(engine is None or witness in (0, engine), "witness_mismatch", SessionStateMismatch)
     if fingerprint is not None and fingerprint != key:
         raise SessionStateMismatch("fingerprint", failure="fingerprint")
     return replace(bare, ids=tuple(np.frombuffer(body[: 4 * count], "<u4").tolist()), tail=text, link=link)
@@ -180,3 +182,25 @@ def save(records: DataFrame, path: str) -> None:
 
 def load(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).select("session", "revision", "record")
+
+
+def appended(states: DataFrame) -> DataFrame:
+    """(session, revision, replace_from, kept): of revisions (session, revision, text, ids) in order, how many ids stay from
+    the one before, and whether the text before is the beginning of this one and those ids stand in it: the shape of an append."""
+    w = Window.partitionBy("session").orderBy("revision")
+    rows = states.select("session", "revision", "text", "ids", F.lag("text").over(w).alias("old"), F.lag("ids").over(w).alias("before"))
+
+    @F.arrow_udf("int")
+    def common(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for k in range(len(a)):
+            if not (a[k].is_valid and b[k].is_valid):
+                out.append(0)
+                continue
+            x, y = a[k].values.to_numpy(), b[k].values.to_numpy()
+            n = min(len(x), len(y))
+            other = np.flatnonzero(x[:n] != y[:n])
+            out.append(int(other[0]) if len(other) else n)
+        return pa.array(out, pa.int32())
+
+    return rows.select("session", "revision", common("before", "ids").alias("replace_from"), F.coalesce(F.col("text").startswith(F.col("old")), F.col("old").isNull()).alias("kept"))
