@@ -16,8 +16,8 @@ import zstandard
 BLOCK_BYTES = 6 << 20
 
 
-def squeeze(*arrays: np.ndarray) -> bytes:
-    parts = [zstandard.compress(np.ascontiguousarray(a).tobytes(), 1) for a in arrays]
+def squeeze(*arrays: np.ndarray, level: int = 1) -> bytes:
+    parts = [zstandard.compress(np.ascontiguousarray(a).tobytes(), level) for a in arrays]
     return struct.pack(f"<{len(parts)}I", *map(len, parts)) + b"".join(parts)
 
 
