@@ -109,12 +109,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], langs: list[str], idf:
     return model
 
 
+def _map(values: dict[str, int]) -> Column:
+    return F.create_map(*(F.lit(x).cast("long") if isinstance(x, int) else F.lit(x) for kv in values.items() for x in kv))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, fit_rows: int = FIT_ROWS, max_langs: int = 1024) -> Model | None:
     """A model of the rows of ``docs`` where ``learn`` holds and text and language are not null; None without such rows.
 
     Document frequencies cover all these rows. The classifier is fitted on ``fit_rows`` of them, languages by their shares and
-    each with ``LEAST`` rows where it has so many: a bounded sample, chosen by hash. Over ``max_langs`` distinct values of
-    ``lang_col`` are an error. Rows that repeat count each; long texts are read whole; further columns are ignored.
+    each with ``LEAST`` rows where it has so many: a bounded sample, chosen by hash, of rows that differ. Over ``max_langs`` distinct values of
+    ``lang_col`` are an error. In the frequencies rows that repeat count each; long texts are read whole; further columns are ignored.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -150,16 +154,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             fx = [counts(t) for t in b.column(0).to_pylist()]
             yield batch(schema, [b.column(2), b.column(1), [f.astype(np.uint16).tobytes() for f, _ in fx], [n.astype(np.int32).tobytes() for _, n in fx]])
 
-    # Each language's learning rows of the smallest hashes of id and text: its share of ``fit_rows``, ``LEAST`` at least. Hashes
-    # alone are ordered first; texts are read again for the rows up to each language's last hash only.
+    # Each language's learning rows of the smallest hashes of id and text: its share of ``fit_rows``, ``LEAST`` at least, each text
+    # of an id once. Hashes are even, so that thrice the wanted share of them is enough unless rows repeat; for languages where
+    # it isn't the share is widened until it is, or all rows are in.
     quota = {r["lang"]: max(LEAST, round(fit_rows * r["n"] / total)) for r in sizes}
-    told = F.create_map(*(F.lit(x) for kv in quota.items() for x in kv))
-    order = Window.partitionBy("lang").orderBy("order")
-    some = (F.col("k") <= max(quota.values())) & (F.col("k") <= told[F.col("lang")])  # the first bound limits tasks before the shuffle
-    last = rows.select("lang", "order").withColumn("k", F.row_number().over(order)).filter(some).groupBy("lang").agg(F.max("order").alias("last"))
-    ends = F.create_map(*(F.lit(x) for r in last.collect() for x in (r["lang"], r["last"])))
-    near = rows.filter(F.col("order") <= ends[F.col("lang")]).withColumn("k", F.row_number().over(order))
-    chosen = near.filter(some)
+    share = {r["lang"]: min(1.0, 3 * quota[r["lang"]] / r["n"]) for r in sizes}
+    lacking, last = langs, {}
+    while lacking:
+        ends = _map({lang: min(int(share[lang] * 2**64), 2**64 - 1) - 2**63 for lang in lacking})
+        few = rows.filter(F.col("order") <= ends[F.col("lang")]).select("lang", "order").distinct()
+        ranked = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("k") <= _map(quota)[F.col("lang")])
+        found = {r["lang"]: r for r in ranked.groupBy("lang").agg(F.max("order").alias("last"), F.max("k").alias("k")).collect()}
+        enough = [lang for lang in lacking if share[lang] >= 1 or (lang in found and found[lang]["k"] >= quota[lang])]
+        last |= {lang: found[lang]["last"] for lang in enough}
+        lacking = [lang for lang in lacking if lang not in enough]
+        share |= {lang: min(1.0, 8 * share[lang]) for lang in lacking}
+    chosen = rows.filter(F.col("order") <= _map(last)[F.col("lang")]).dropDuplicates(["lang", "order"])
     got = chosen.select("text", "lang", "order").mapInArrow(lean(vectors), "order long, lang string, f binary, x binary").collect()
     index = {lang: i for i, lang in enumerate(langs)}
     model = Model(langs, np.zeros((SPACE, len(langs)), np.float32), np.zeros(len(langs)), idf)
