@@ -43,7 +43,7 @@ CENTRES, SHINGLES = 4096, 4_000_000
 #: Documents compared with one copy of a centre's text.
 CHUNK = 64
 #: Members of a bucket that meet one copy of its new centres.
-PART = 2048
+PART = 1000
 
 
 @cache
