@@ -150,12 +150,14 @@ class Tokenizer:
         self.local = Engine(artifact)
 
     def _engine(self):
-        shared, held = self.shared, []
+        shared = self.shared
 
         def engine() -> Engine:
-            if not held:
-                held.append(Engine(shared.value))
-            return held[0]
+            """The worker's own, kept beside the broadcast vocabulary: its memo outlives a task."""
+            a = shared.value
+            if "engine" not in a.held:
+                a.held["engine"] = Engine(a)
+            return a.held["engine"]
 
         return engine
 

@@ -36,8 +36,15 @@ def _bytes(spark: SparkSession) -> Tokenizer:
     return Tokenizer(spark, byte_artifact())
 
 
+_loaded: dict[str, Tokenizer] = {}
+
+
 def _real(spark: SparkSession) -> Tokenizer:
-    return Tokenizer(spark, load(spark, f"file://{VOCABULARY}"))
+    """The vocabulary, loaded and sent out once in a session."""
+    app = spark.sparkContext.applicationId
+    if app not in _loaded:
+        _loaded[app] = Tokenizer(spark, load(spark, f"file://{VOCABULARY}"))
+    return _loaded[app]
 
 
 def token_count_by(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,7 @@ class Artifact:
         for i in sorted(self.vocab):
             first.setdefault(self.vocab[i], i)
         self.whole = first
+        self.held: dict = {}  # what a worker keeps beside it
         self.bytes = [first.get(bytes([b]), -1) for b in range(256)]
 
     def literals(self) -> list[str]:
