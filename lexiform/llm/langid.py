@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import batch, bound_batches, lean, text_of
+from .tables import batch, bound_batches, lean
 
 BITS = 15
 SPACE = 1 << BITS

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .packed import BLOCK_BYTES, by_bucket, opened, slices, squeeze, stepped, steps
 from .tables import NULL_ID, batch, bound_batches, buffers, lean, parts, release, text_of
-from .textops import grams, words
+from .textops import grams, mix, words
 
 #: Words of an anchor.
 ANCHOR = 8
@@ -109,7 +109,8 @@ class Block:
                 low, width = np.minimum(low[:-width], low[width:]), width * 2
             if width < span:
                 low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-            self.anchor, self.mark = low[whole], grams(h, length)[whole] >> np.uint64(64 - bits)
+            # The least of several fingerprints is a low number: mixed, anchors are even over the range that buckets share.
+            self.anchor, self.mark = mix(low[whole]), grams(h, length)[whole] >> np.uint64(64 - bits)
         self.asked = np.unique(self.anchor)
         self.held: dict[int, Text] = {}
 
