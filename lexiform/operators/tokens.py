@@ -8,7 +8,6 @@ piece once and the ids are gathered by whole arrays. Rows are independent, so no
 from __future__ import annotations
 
 import itertools
-import re
 import unicodedata
 
 import numpy as np
