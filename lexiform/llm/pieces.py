@@ -104,6 +104,13 @@ class Pieces:
 
     def _segments(self, points: np.ndarray, first: np.ndarray, size: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit, first, size) of the parts of units that can be encoded alone; only units with ``cut`` have more than one."""
+        long = np.flatnonzero(cut)
+        if len(long) < len(first):  # the others are parts of their own
+            owner, begin, span = self._segments(points, first[long], size[long], cut[long]) if len(long) else (long, long, long)
+            rest = np.flatnonzero(~cut)
+            owner, begin, span = (np.concatenate(x) for x in ((long[owner], rest), (begin, first[rest]), (span, size[rest])))
+            order = np.argsort(owner, kind="stable")
+            return owner[order], begin[order], span[order]
         ends = np.cumsum(size)
         at = np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
         code = points[at].astype(np.int64)
@@ -112,7 +119,7 @@ class Pieces:
         known = self.neighbours
         apart = known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] != pair if len(known) else np.ones(len(pair), bool)
         begins = np.zeros(len(at), bool)
-        begins[1:] = apart & np.repeat(cut, size)[1:]
+        begins[1:] = apart
         begins[ends - size] = True
         where = np.flatnonzero(begins)
         return np.searchsorted(ends, where, "right"), at[where], np.diff(where, append=len(at))
