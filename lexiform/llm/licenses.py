@@ -230,7 +230,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     license is the template with the most aligned words (ties: the first by name) of those whose coverage is
     at least COVERAGE, null where there is none; n_found counts them all. Null and empty texts
-    have none. Templates of one's own have no deciding words. Whole texts are scanned. Rows are independent, so nothing is shuffled.
+    have none. Templates of one's own have no deciding words. Whole texts are scanned. Rows are independent, so nothing is shuffled:
+    repeated ones have the same result each, a null id stays null, an empty table gives no rows. Ids must be integers; further
+    columns are ignored.
     """
     bound_batches(docs.sparkSession)
     chosen = {name: (text, "") for name, text in templates.items()} if templates else notices()
