@@ -8,17 +8,19 @@ the backoff weight. The root has an arc for every word and one for the unknown w
     P(w)    = c(w) / (N + V), or V / (N + V) for an unknown word
     P(w|h)  = (c(hw) + T(h) * P(w|h')) / (c(h) + T(h)),  backoff weight T(h) / (c(h) + T(h))
 
-c counts in all learning texts, h' is h without its first word. T(h) counts the continuations of h: its distinct next words, once
-in each block of documents that has them. A traversal reads a text from left to right: in a state it takes the
+c counts in all learning texts, h' is h without its first word. T(h) counts the continuations of h: its distinct next words in all
+learning texts. A traversal reads a text from left to right: in a state it takes the
 word's arc, or follows failure arcs until there is one, adds up the weights, and goes on in the state of the
 longest suffix of what it has read.
 
 Scale: the model is as large as the corpus, so it is never gathered in one place or broadcast. Documents are
-dealt into blocks. A block asks for the n-grams that it holds, together with how often its learning documents hold them
-and how many continuations they have there: requests and counts are the same packed rows, sorted by n-gram key. Each bucket of
-keys adds up what all blocks say and answers each block in the order of its request. The block then builds the part of the
-automaton that its texts can reach and traverses them. Texts are shuffled once: requests and scoring read the same exchange.
-The number of buckets follows the volume of the keys, that of blocks the volume of the texts; a row holds what one block
+dealt into blocks. A block asks for the n-grams that it holds, together with how often its learning documents hold them:
+requests and counts are the same packed rows, sorted by n-gram key. Each bucket of keys adds up what all blocks say, names for
+each n-gram one block, of those that learn from it, as its owner, and answers each block in the order of its request. A block then
+counts for each history the continuations that it owns; the buckets of the histories, which read the requests' exchange again for
+the keys, add these up: every n-gram has one owner, so that T(h) is exact, however documents are dealt. With both answers the
+block builds the part of the automaton that its texts can reach and traverses them. Texts are shuffled once: all steps read the
+same exchange. The number of buckets follows the volume of the keys, that of blocks the volume of the texts; a row holds what one block
 has for one bucket, so there are never more rows than n-grams.
 """
 
@@ -45,7 +47,8 @@ END, START = np.uint64(0x454E44), np.uint64(0x5354415254)
 #: Keys of two words or more keep this many bits: two of 10**12 n-grams share a key with a chance of 1 in 70,000 each.
 KEY_BITS = 56
 PACK = pa.schema([("block", pa.int64()), ("body", pa.binary())])
-ASK = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("body", pa.binary())])
+ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("body", pa.binary())])
+ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary())])
 STATS = ("tokens", "types")
 
 
@@ -151,15 +154,17 @@ class Block:
                 before[self.first] = start
             each.append(longer_key(before, token))
         there = [place >= k - 1 for k in range(order)]
-        # Keys of one word lie in front: they have buckets of their own.
+        # Keys of one word lie in front, those of the longest n-grams, which are no histories, at the end: each have buckets of their own.
         one, back = np.unique(each[0], return_inverse=True)
-        more, back_more = np.unique(np.concatenate([start, *(e[t] for e, t in zip(each[1:], there[1:], strict=True))]), return_inverse=True)
-        self.one, self.more, self.start = one, more, len(one) + back_more[0]
+        mid, back_mid = np.unique(np.concatenate([start, *(e[t] for e, t in zip(each[1:-1], there[1:-1], strict=True))]), return_inverse=True)
+        top, back_top = np.unique(each[-1][there[-1]], return_inverse=True)
+        self.kinds, self.start = (one, mid, top), len(one) + back_mid[0]
+        back_more = np.concatenate([len(one) + back_mid, len(one) + len(mid) + back_top])
         self.gram, at_ = [back.astype(np.int32)], 1  # a block has far fewer than 2**31 n-grams
         for t in there[1:]:
             g = np.full(n, -1, np.int32)
             m = int(t.sum())
-            g[t] = len(one) + back_more[at_ : at_ + m]
+            g[t] = back_more[at_ : at_ + m]
             at_ += m
             self.gram.append(g)
 
@@ -170,26 +175,38 @@ class Block:
         out[self.first] = self.start if k == 1 else -1
         return out
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """How often the learning documents hold each key, and how many distinct words follow it there."""
+    def often(self) -> np.ndarray:
+        """How often the learning documents hold each key."""
         learn = np.repeat(self.learn, self.lens)
-        size = len(self.one) + len(self.more)
-        n, follow = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        n = np.zeros(sum(map(len, self.kinds)), np.int64)
         n[self.start] = self.learn.sum()
-        for k, g in enumerate(self.gram):
-            ok = learn & (g >= 0)
-            n += np.bincount(g[ok], minlength=size)
-            if k:
-                seen, where = np.unique(g[ok], return_index=True)
-                follow += np.bincount(self.history(k)[ok][where], minlength=size)
-        return n.astype(np.int32), follow.astype(np.int32)
-
-    def rows(self, n_one: int, n_more: int) -> Iterator[tuple[int, slice]]:
-        """(bucket, keys) in the order of the keys."""
-        for b, i, j in slices(self.one, n_one):
-            yield b, slice(i, j)
-        for b, i, j in slices(self.more, n_more):
-            yield n_one + b, slice(len(self.one) + i, len(self.one) + j)
+        for g in self.gram:
+            n += np.bincount(g[learn & (g >= 0)], minlength=len(n))
+        return n.astype(np.int32)
+
+    def follow(self, own: np.ndarray) -> np.ndarray:
+        """How many distinct words follow each key in the learning documents, of the n-grams that ``own`` marks."""
+        learn = np.repeat(self.learn, self.lens)
+        out = np.zeros(len(own), np.int64)
+        for k, g in enumerate(self.gram[1:], 1):
+            place = np.full(len(own), -1, np.int32)  # of one occurrence: all have the same history
+            ok = np.flatnonzero(learn & (g >= 0))
+            place[g[ok]] = ok
+            out += np.bincount(self.history(k)[place[own & (place >= 0)]], minlength=len(own))
+        return out.astype(np.int32)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often the learning documents hold each key, and how many distinct words follow it there."""
+        n = self.often()
+        return n, self.follow(n > 0)
+
+    def rows(self, buckets: tuple[int, ...]) -> Iterator[tuple[int, slice]]:
+        """(bucket, keys) in the order of the keys, for so many buckets of each kind of keys."""
+        before = at = 0
+        for keys, m in zip(self.kinds, buckets, strict=True):
+            for b, i, j in slices(keys, m):
+                yield before + b, slice(at + i, at + j)
+            before, at = before + m, at + len(keys)
 
     def score(self, c: np.ndarray, follow: np.ndarray, tokens: int, types: int):
         """(n_known, base, score) per document from the counts and continuations of the keys in all learning documents."""
@@ -242,7 +259,7 @@ def traverse(arc, fail, histories, c, first) -> np.ndarray:
     return step
 
 
-def _asker(order: int, n_one: int, n_more: int):
+def _asker(order: int, buckets: tuple[int, ...]):
     """Streams over packed rows sorted by block; a request per block and bucket."""
 
     def run(batches):
@@ -250,9 +267,8 @@ def _asker(order: int, n_one: int, n_more: int):
 
         def out():
             x = Block(bodies, order)
-            n, follow = x.counts()
-            keys = np.concatenate([x.one, x.more])
-            rows = [(i, block, squeeze(steps(keys[s]), planes(n[s]), planes(follow[s]))) for i, s in x.rows(n_one, n_more)]
+            n, keys = x.often(), np.concatenate(x.kinds)
+            rows = [(i, block, squeeze(steps(keys[s]), planes(n[s]))) for i, s in x.rows(buckets)]
             return batch(ASK, list(zip(*rows, strict=True)))
 
         for b in batches:
@@ -268,28 +284,99 @@ def _asker(order: int, n_one: int, n_more: int):
     return run
 
 
+def _grouped(keys: np.ndarray):
+    """(order, begin and size of each group in it) of equal keys; equal ones stay in their order."""
+    order = np.argsort(keys, kind="stable")
+    in_order = keys[order]
+    new = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
+    return order, new, np.diff(new, append=len(keys))
+
+
+def _total(n: np.ndarray, order, new, size) -> np.ndarray:
+    """For each entry the sum of its group."""
+    out = np.empty(len(n), np.int64)
+    out[order] = np.repeat(np.add.reduceat(n[order].astype(np.int64), new), size)
+    return out
+
+
 def _answerer(batches):
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("body", pa.binary())])
+    """Counts in all blocks, and owners. Rows come sorted by bucket and block, so that a retried task names the same owners."""
 
     def answer(bucket, blocks, bodies):
-        got = [opened(b, np.uint8, np.uint8, np.uint8) for b in bodies]
-        keys = [stepped(k) for k, _, _ in got]
-        every, n, follow = (np.concatenate(x) for x in (keys, [joined(g[1], np.int32) for g in got], [joined(g[2], np.int32) for g in got]))
+        got = [opened(b, np.uint8, np.uint8) for b in bodies]
+        keys, n = [stepped(k) for k, _ in got], np.concatenate([joined(c, np.int32) for _, c in got])
         del got
-        order = np.argsort(every, kind="stable")
-        new = np.flatnonzero(np.r_[True, every[order][1:] != every[order][:-1]])
-        keys_, n, follow = every[order][new], np.add.reduceat(n[order].astype(np.int64), new), np.add.reduceat(follow[order].astype(np.int64), new)
-        del every, order
+        stops = np.cumsum([len(k) for k in keys])
+        order, new, size = _grouped(np.concatenate(keys))
+        del keys
+        total = _total(n, order, new, size)
+        # The owner is the first block that learns from the n-gram. One that alone does so needs no mark.
+        learnt = np.flatnonzero(n[order] > 0)
+        group = np.repeat(np.arange(len(new), dtype=np.int32), size)[learnt]
+        own = np.zeros(len(n), bool)
+        own[order[learnt[np.flatnonzero(np.diff(group, prepend=np.int32(-1)))]]] = True
         told = []
-        for k in keys:
-            at = np.searchsorted(keys_, k)
-            told.append(squeeze(planes(n[at]), planes(follow[at])))
-        return batch(schema, [blocks, [bucket] * len(blocks), told])
+        for s in map(slice, np.append(0, stops[:-1]), stops):
+            told.append(squeeze(planes(total[s]), np.packbits(own[s][_shared(n[s], total[s])])))
+        return batch(ANSWER, [blocks, [bucket] * len(blocks), told])
 
     yield from by_bucket(batches, answer)
 
 
-def _scorer(order: int, stats: dict[str, int]):
+def _shared(n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """N-grams that this block learns from and others too."""
+    return (n > 0) & (n < total)
+
+
+def _rows_of(t: pa.Table, by: str) -> list[tuple[int, bytes]]:
+    return sorted(zip(t.column(by).to_pylist(), t.column("body").to_pylist(), strict=True))
+
+
+def _follower(order: int, buckets: tuple[int, ...]):
+    """A block's own continuations of each history, by bucket, from its texts and the first answers."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        release()  # what the block before this one held
+        if not texts.num_rows:
+            return ASK.empty_table()
+        x = Block(texts.column("body").to_pylist(), order)
+        n = x.often()
+        own = n > 0
+        rows = list(x.rows(buckets))
+        for (_, s), (_, body) in zip(rows, _rows_of(answers, "bucket"), strict=True):
+            total, marks = opened(body, np.uint8, np.uint8)
+            some = _shared(n[s], joined(total, np.int64))
+            own[s][some] = np.unpackbits(marks, count=int(some.sum())).astype(bool)
+        follow, block = x.follow(own), texts.column("block")[0].as_py()
+        out = [(i, block, squeeze(planes(follow[s]))) for i, s in rows if i < sum(buckets[:-1])]
+        return pa.Table.from_batches([batch(ASK, list(zip(*out, strict=True)))])
+
+    return run
+
+
+def _follow_answerer(buckets: tuple[int, ...]):
+    """Continuations in all blocks, for the histories' buckets: the keys are those of the requests. The answers' buckets are numbered
+    behind those of the first answers."""
+
+    def run(asked: pa.Table, told: pa.Table) -> pa.Table:
+        if not told.num_rows:
+            return ANSWER.empty_table()
+        release()
+        asked_, told_ = _rows_of(asked, "block"), _rows_of(told, "block")
+        blocks = [k for k, _ in told_]
+        if blocks != [k for k, _ in asked_]:
+            raise ValueError("a block's continuations and its request differ")
+        keys = [stepped(opened(body, np.uint8, np.uint8)[0]) for _, body in asked_]
+        stops = np.cumsum([len(k) for k in keys])
+        total = _total(np.concatenate([joined(*opened(body, np.uint8), np.int32) for _, body in told_]), *_grouped(np.concatenate(keys)))
+        out = [squeeze(planes(total[s])) for s in map(slice, np.append(0, stops[:-1]), stops)]
+        bucket = sum(buckets) + told.column("bucket")[0].as_py()
+        return pa.Table.from_batches([batch(ANSWER, [blocks, [bucket] * len(blocks), out])])
+
+    return run
+
+
+def _scorer(order: int, buckets: tuple[int, ...], stats: dict[str, int]):
     schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -297,8 +384,11 @@ def _scorer(order: int, stats: dict[str, int]):
         if not texts.num_rows:
             return schema.empty_table()
         x = Block(texts.column("body").to_pylist(), order)
-        told = [[joined(x, np.int64) for x in opened(body, np.uint8, np.uint8)] for _, body in sorted(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist(), strict=True))]
-        c, follow = (np.concatenate([t[k] for t in told]) for k in (0, 1))
+        told = _rows_of(answers, "bucket")
+        c = np.concatenate([joined(opened(body, np.uint8, np.uint8)[0], np.int64) for i, body in told if i < sum(buckets)])
+        follow = np.zeros_like(c)  # the longest n-grams are no histories
+        some = np.concatenate([joined(*opened(body, np.uint8), np.int64) for i, body in told if i >= sum(buckets)])
+        follow[: len(some)] = some
         known, base, score = x.score(c, follow, *(stats[s] for s in STATS))
         cols = [x.ids, ~x.learn, x.lens, known, np.full(len(x.ids), stats["tokens"]), base, score]
         return pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(cols, schema, strict=True)], schema=schema)
@@ -321,7 +411,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     bound_batches(docs.sparkSession)
     n = parts(docs)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), (remainder(id_col, modulus) != 0).alias("learn"), text_of(text_col).cast("binary").alias("text"))
-    ask = "bucket long, block long, body binary"
+    ask, answer = "bucket int, block long, body binary", "block long, bucket int, body binary"
     counted = rows.select("learn", "text").mapInArrow(lean(_word_counter(n)), ask).repartition(n, "bucket").sortWithinPartitions("bucket")
     found = counted.mapInArrow(lean(_word_stats), "all long, " + ", ".join(f"{s} long" for s in STATS))
     totals = found.agg(F.sum("all").alias("all"), *(F.sum(s).alias(s) for s in STATS)).first()
@@ -329,12 +419,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     every = int(totals["all"] or 0)
     blocks = max(1, -(-every // BLOCK))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).select("block", "id", "learn", "text")
-    n_one, n_more = max(1, -(-every // (4 * BUCKET))), max(1, -(-every * (order - 1) // BUCKET))
+    buckets = tuple(max(1, -(-every * m // (4 * BUCKET))) for m in (1, 4 * (order - 2), 4))
     n = max(n, blocks)
     packed = dealt.mapInArrow(lean(_packer), "block long, body binary").repartition(n, "block")
-    asked = packed.sortWithinPartitions("block").mapInArrow(lean(_asker(order, n_one, n_more)), ask)
-    asked = asked.repartitionById(n_one + n_more, F.col("bucket").cast("int")).sortWithinPartitions("bucket")  # a bucket each
-    answers = asked.mapInArrow(lean(_answerer), "block long, bucket long, body binary")
+    asked = packed.sortWithinPartitions("block").mapInArrow(lean(_asker(order, buckets)), ask).repartitionById(sum(buckets), "bucket")  # a bucket each
+    first = asked.sortWithinPartitions("bucket", "block").mapInArrow(lean(_answerer), answer).repartition(n, "block")
+    own = packed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_follower(order, buckets), ask).repartitionById(sum(buckets), "bucket")
+    second = asked.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(_follow_answerer(buckets), answer).repartition(n, "block")
     names = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = packed.groupBy("block").cogroup(answers.repartition(n, "block").groupBy("block")).applyInArrow(_scorer(order, stats), names)
+    out = packed.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(_scorer(order, buckets, stats), names)
     return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

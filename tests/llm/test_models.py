@@ -196,6 +196,20 @@ def test_lm_documents(spark, small, monkeypatch):
     check_lm(spark, rows, block_of=lambda i, t: home[i])
 
 
+def test_lm_continuations_are_distinct_in_all_blocks(spark, small, monkeypatch):
+    """However many blocks and buckets the size of the input makes, T(h) counts a continuation once."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    odd = odd_rows() + [(None, "a b"), (None, None)] + [(1000 + i, "the same few words in many blocks the same") for i in range(40)]
+    monkeypatch.setattr(lm, "BLOCK", 7_000)
+    monkeypatch.setattr(lm, "BUCKET", 30_000)
+    check_lm(spark, rows)
+    monkeypatch.setattr(lm, "BLOCK", 60)  # most blocks hold a few texts
+    monkeypatch.setattr(lm, "BUCKET", 500)
+    for order in (2, 4):
+        check_lm(spark, odd, order=order)
+    check_lm(spark, [])
+
+
 def test_lm_is_a_distribution():
     """The probabilities of all words and the unknown one add up to one after every history."""
     rng = random.Random(1)
