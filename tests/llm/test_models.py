@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -116,6 +117,48 @@ def test_pieces_unspaced_texts_become_short_parts(model, monkeypatch):
     assert max(seen, default=0) <= 64
 
 
+def test_pieces_work_in_python_does_not_follow_units_or_ids(model):
+    """Units are told apart, encoded and decoded as whole arrays: many times the text makes about the same number of Python calls."""
+
+    def calls(work):
+        seen = [0]
+        sys.setprofile(lambda _, event, __: seen.__setitem__(0, seen[0] + (event in ("call", "c_call"))))
+        try:
+            got = work()
+        finally:
+            sys.setprofile(None)
+        return got, seen[0]
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("theanionrsdé語🙂") for _ in range(rng.randrange(1, 14))) for _ in range(8000)]
+    text = " ".join(words)
+    model.encode(text, 0.1, 17)  # tables are made once
+    (ids, stops), n_encode = calls(lambda: model.encode_many([text], 0.1, 17))
+    back, n_decode = calls(lambda: model.decode(ids))
+    assert back == text and stops.tolist() == [0, len(ids)]
+    assert n_encode < len(words) / 2 and n_decode < len(words) / 2
+
+
+def test_pieces_pairs_are_found_without_a_search():
+    """Every pair and no other is found, also where few left ids have very many right ones; scores that tie go to the left."""
+    rng = np.random.default_rng(2)
+    for keys in (np.zeros(0, np.int64), np.arange(3) << 24 | 5, np.unique(rng.integers(0, 60, 20_000) << 24 | rng.integers(0, 30_000, 20_000))):
+        found = pieces._Pairs(keys, np.arange(len(keys), dtype=np.int32))
+        to, ok = found.find((keys >> 24).astype(np.int32), (keys & 0xFFFFFF).astype(np.int32))
+        assert ok.all() and to.tolist() == list(range(len(keys)))
+        left, right = rng.integers(-1, 70, 50_000).astype(np.int32), rng.integers(-1, 31_000, 50_000).astype(np.int32)
+        known = set(keys.tolist())
+        assert found.find(left, right)[1].tolist() == [a >= 0 and b >= 0 and a << 24 | b in known for a, b in zip(left.tolist(), right.tolist())]
+    names = ["a", "b", "c", pieces.MARK, "ab", "bc", "ca", "aa", "abc", "bca", pieces.MARK + "a", "aab", "caa"]
+    small = pieces.Pieces({p: (256 + i, -float(i // 4)) for i, p in enumerate(names)}, list(range(256)), [bytes([i]) for i in range(256)] + [p.replace(pieces.MARK, " ").encode() for p in names], frozenset())
+    spell = random.Random(5)
+    for _ in range(200):
+        text = "".join(spell.choice("aabbcc é") for _ in range(40))
+        for rate in (0.0, 0.3):
+            ids = small.encode(text, rate, 1)
+            assert ids == plain_dropout(small, text, rate, 1) and small.decode(ids) == text
+
+
 def test_pieces_columns(model, spark):
     rows = odd_rows()
     got = pieces.decode_column(pieces.encode_column(frame(spark, rows), model, rate=0.2, seed=3), model, with_text=True).collect()
