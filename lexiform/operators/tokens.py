@@ -186,9 +186,11 @@ class Tokenizer:
         def run(texts: pa.Array, pieces: pa.Array) -> pa.Array:
             ids, idx, counts, none = _looked_up(engine(), texts, pieces)
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            values = np.fromiter(itertools.chain.from_iterable(ids), np.int64, lens.sum())
-            out, offs = gather(values, lens, idx)
-            return lists(out, offs[np.append(0, np.cumsum(counts))], none)
+            values = np.fromiter(itertools.chain.from_iterable(ids), np.int32, lens.sum())
+            offs = np.append(0, np.cumsum(lens[idx]))[np.append(0, np.cumsum(counts))]
+            known = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lens)).astype(np.int32)), pa.array(values))
+            # Taken by Arrow, ids need no indices of their own: a byte vocabulary has one for each byte.
+            return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), known.take(pa.array(idx)).flatten(), mask=pa.array(none))
 
         return run
 

@@ -64,7 +64,8 @@ def _digest(ids) -> F.Column:
 
 def encode_bytes_ids(spark, sf_dir):
     ids = _dealt(spark, sf_dir, "doc_id", "text").select("doc_id", _bytes(spark).encode(F.col("text")).alias("ids"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sum("ids").alias("sum_ids"), F.element_at("ids", -1).cast("long").alias("last_id"))
+    # A text without bytes has no sum and no last id, which SQL tells by null.
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.when(F.size("ids") > 0, _sum("ids")).alias("sum_ids"), F.try_element_at("ids", F.lit(-1)).cast("long").alias("last_id"))
 
 
 def decode_roundtrip(spark, sf_dir):
