@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import SessionStateMismatch
+from ..errors import LexiformError, SessionStateMismatch
+from ..sources import records
 from .tokens import Tokenizer
 
 PATCH = pa.schema([("revision", pa.int64()), ("replace_from", pa.int32()), ("replacement_ids", pa.list_(pa.int32())), ("token_count", pa.int32()), ("path", pa.string())])
@@ -222,3 +224,46 @@ def fold(patches_: DataFrame) -> DataFrame:
             yield out()
 
     return rows.repartition("session").sortWithinPartitions("session", "revision").mapInArrow(run, f"session {kind}, revision long, ids array<int>")
+
+
+def recorded(tok: Tokenizer, turns: DataFrame, session: str, turn: str, delta: str, fingerprint: bytes) -> DataFrame:
+    """(session, revision, ok, kept, n_tokens, replace_from) of sessions to which every turn appends its text: what ``records.write``,
+    ``records.chain`` and ``records.appended`` tell of them.
+
+    A revision's record holds the whole session, so that a session's records grow with the square of its turns. Here each is
+    written, read back and checked behind the one before it and then dropped: what is moved and held is the session's text.
+    """
+    rows = turns.select(F.col(session).alias("session"), F.col(turn).alias("turn"), F.coalesce(F.col(delta), F.lit("")).alias("text"))
+    kind, engine = rows.schema["session"].dataType.simpleString(), tok._engine()
+
+    def run(batches):
+        e, current, begun = engine(), None, False
+        for b in batches:
+            out = []
+            for s, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if not begun or s != current:
+                    current, begun, ok, link, after, text = s, True, True, records.ZERO, None, b""
+                    tail, ids, own, old = Tail(e), np.zeros(64, np.uint32), np.zeros(0, np.uint32), None
+                revision, at, new, n, _ = tail.append(t)
+                if n > len(ids):
+                    ids = np.concatenate([ids[:at], np.zeros(2 * n - at, np.uint32)])
+                ids[at:n] = new
+                text += t.encode()
+                data = records.encode(records.Record(fingerprint, revision, ids[:n], text, previous=link))
+                link = records.link_of(data)
+                try:  # what follows a record that fails fails too
+                    after, now, read = records.unpack(data, fingerprint, after) if ok else (None, None, None)
+                except LexiformError:
+                    ok = False
+                if not ok:
+                    out.append((revision, False, None, None, None))
+                    continue
+                least = min(len(own), len(now))
+                other = np.flatnonzero(own[:least] != now[:least])
+                out.append((revision, True, old is None or read.startswith(old), len(now), int(other[0]) if len(other) else least))
+                own, old = now, read
+            kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+            told = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *told], ["session", "revision", "ok", "kept", "n_tokens", "replace_from"])
+
+    return rows.repartition("session").sortWithinPartitions("session", "turn").mapInArrow(run, f"session {kind}, revision long, ok boolean, kept boolean, n_tokens long, replace_from long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
@@ -191,7 +191,7 @@ def _records(spark, sf_dir) -> tuple[DataFrame, bytes]:
     tok = _real(spark)
     key = bytes.fromhex(tok.artifact.fingerprint())
     d = _dealt(spark, sf_dir, "doc_id", "text")
-    return records.write(d.select(F.col("doc_id").alias("session"), F.lit(0).alias("revision"), "text", tok.encode(F.col("text")).alias("ids")), key), key
+    return records.write(d.select(F.col("doc_id").alias("session"), F.lit(0).alias("revision"), "text", tok.encode(F.col("text")).alias("ids")), key, single=True), key
 
 
 def record_store(spark, sf_dir):
@@ -277,13 +277,8 @@ def index_rebuild(spark, sf_dir):
 def record_chain(spark, sf_dir):
     """Every conversation after every turn as chained records, verified from the first on, with the shape of its appends."""
     tok = _real(spark)
-    key = bytes.fromhex(tok.artifact.fingerprint())
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    grown = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), (F.row_number().over(w) - 1).cast("long").alias("revision"), F.array_join(F.collect_list("text").over(w.rowsBetween(Window.unboundedPreceding, 0)), "").alias("text"))
-    states = grown.withColumn("ids", tok.encode(F.col("text")))
-    held = records.chain(records.write(states, key), key).select("session", "revision", "ok", F.size("ids").cast("long").alias("n_tokens"))
-    shape = records.appended(states)
-    return held.join(shape, ["session", "revision"]).select(F.col("session").alias("conv_id"), "revision", "ok", "kept", "n_tokens", F.col("replace_from").cast("long").alias("replace_from"))
+    told = sessions.recorded(tok, _table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", bytes.fromhex(tok.artifact.fingerprint()))
+    return told.withColumnRenamed("session", "conv_id").select("conv_id", "revision", "ok", "kept", "n_tokens", "replace_from")
 
 
 def route_execute(spark, sf_dir):

@@ -11,3 +11,30 @@ def test_bytes_of_empty_and_null_texts(spark, tmp_path):
     got = {r.doc_id: tuple(r)[1:] for r in queries.encode_bytes_ids(spark, str(tmp_path)).collect()}
     want = {i: (len(b), sum(b) if b else None, b[-1] if b else None) for i, t in rows if t is not None for b in [t.encode()]}
     assert got == want | {3: (None, None, None)}
+
+
+def test_recorded_sessions_are_those_written_and_chained(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from lexiform.operators import sessions
+    from lexiform.operators.tokens import Tokenizer
+    from lexiform.sources import records
+    from lexiform.sources.artifact import byte_artifact
+
+    rng = random.Random(5)
+    rows = [(s, t, rng.choice(["", None, " mañana", "a b", "\n\n", "x" * 50, " 한 é", "word, word"])) for s in (1, 2, None) for t in range(1, 41)]
+    turns = spark.createDataFrame(rows, "s long, t long, x string").repartition(5)
+    tok, key = Tokenizer(spark, byte_artifact()), bytes(range(32))
+    w = Window.partitionBy("s").orderBy("t")
+    states = turns.select(F.col("s").alias("session"), (F.row_number().over(w) - 1).cast("long").alias("revision"), F.array_join(F.collect_list("x").over(w.rowsBetween(Window.unboundedPreceding, 0)), "").alias("text"))
+    states = states.withColumn("ids", tok.encode(F.col("text")))
+    held = {(r.session, r.revision): (r.ok, len(r.ids)) for r in records.chain(records.write(states, key), key).collect()}
+    shape = {(r.session, r.revision): (r.kept, r.replace_from) for r in records.appended(states).collect()}
+    got = {(r.session, r.revision): (r.ok, r.n_tokens, r.kept, r.replace_from) for r in sessions.recorded(tok, turns, "s", "t", "x", key).collect()}
+    assert len(got) == len(rows) and got == {k: (*held[k], *shape[k]) for k in held}
+    # Only the turns' texts are moved: no row holds what all turns before it have said.
+    plan = sessions.recorded(tok, turns, "s", "t", "x", key)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan
