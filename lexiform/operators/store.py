@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
 from ..sources import records
 from .lookup import MARK, content_digest, mark_digests
 
@@ -44,33 +45,38 @@ def prefix_digest(text: Column, person: bytes = PERSON) -> Column:
 
 
 def _cut(df: DataFrame, session: str, text: str, size: int) -> DataFrame:
-    """(session, nodes, bodies, tail): a text's whole blocks with their chained digests, in one pass."""
+    """(session, n_blocks, nodes, parents, bodies, tail): a text's whole blocks with their chained digests, in one pass."""
+    bound_batches(df.sparkSession, 4 << 20)
 
-    @F.arrow_udf("struct<nodes: array<string>, bodies: array<string>, tail: string>")
+    @F.arrow_udf("struct<nodes: array<string>, parents: array<string>, bodies: array<string>, tail: string>")
     def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            t = t or ""
-            node, nodes, bodies = "", [], []
-            for at in range(0, len(t) - size + 1, size):
-                body = t[at : at + size]
-                node = hashlib.sha256((node + body).encode()).hexdigest()
+        ends, nodes, parents, bodies, tails = [0], [], [], [], []
+        for x in texts:
+            t = x.as_py() or ""
+            node, whole = "", len(t) - len(t) % size
+            for at in range(0, whole, size):
+                parents.append(node)
+                bodies.append(t[at : at + size])
+                node = hashlib.sha256((node + bodies[-1]).encode()).hexdigest()
                 nodes.append(node)
-                bodies.append(body)
-            out.append({"nodes": nodes, "bodies": bodies, "tail": t[len(nodes) * size :]})
-        return pa.array(out, pa.struct([("nodes", pa.list_(pa.string())), ("bodies", pa.list_(pa.string())), ("tail", pa.string())]))
+            ends.append(len(nodes))
+            tails.append(t[whole:])
+        offs = pa.array(ends, pa.int32())
+        rows = [pa.ListArray.from_arrays(offs, pa.array(c, pa.string())) for c in (nodes, parents, bodies)]
+        return pa.StructArray.from_arrays([*rows, pa.array(tails, pa.string())], ["nodes", "parents", "bodies", "tail"])
 
-    return df.select(F.col(session).alias("session"), run(F.col(text)).alias("c")).select("session", "c.*")
+    # The number of blocks needs no digest: who asks for no more than that doesn't pay for one.
+    n = F.floor(F.coalesce(F.length(text), F.lit(0)) / F.lit(size)).cast("int")
+    return df.select(F.col(session).alias("session"), n.alias("n_blocks"), run(F.col(text)).alias("c")).select("session", "n_blocks", "c.*")
 
 
 def export(df: DataFrame, session: str, text: str, size: int = MARK) -> tuple[DataFrame, DataFrame]:
     """(nodes, sessions). nodes: (node, parent, block, body), each node once; sessions: (session, head, n_blocks, tail)."""
     cut = _cut(df, session, text, size)
-    each = cut.select(F.posexplode(F.arrays_zip(F.col("nodes").alias("node"), F.col("bodies").alias("body"))).alias("block", "n"), "nodes")
-    parent = F.when(F.col("block") > 0, F.element_at("nodes", F.col("block"))).otherwise(F.lit(""))
-    nodes = each.select(F.col("n.node").alias("node"), parent.alias("parent"), "block", F.col("n.body").alias("body"))
+    each = cut.select(F.posexplode(F.arrays_zip(F.col("nodes").alias("node"), F.col("parents").alias("parent"), F.col("bodies").alias("body"))).alias("block", "n"))
+    nodes = each.select("n.node", "n.parent", "block", "n.body")
     nodes = nodes.groupBy("node").agg(F.any_value("parent").alias("parent"), F.any_value("block").alias("block"), F.any_value("body").alias("body"))
-    return nodes, cut.select("session", F.try_element_at("nodes", F.lit(-1)).alias("head"), F.size("nodes").alias("n_blocks"), "tail", "nodes")
+    return nodes, cut.select("session", F.try_element_at("nodes", F.lit(-1)).alias("head"), "n_blocks", "tail", "nodes")
 
 
 def checked(nodes: DataFrame) -> DataFrame:

@@ -38,3 +38,24 @@ def test_recorded_sessions_are_those_written_and_chained(spark):
     # Only the turns' texts are moved: no row holds what all turns before it have said.
     plan = sessions.recorded(tok, turns, "s", "t", "x", key)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "Window" not in plan
+
+
+def test_nodes_come_in_bounded_batches_without_each_others_names(spark):
+    from pyspark.sql import functions as F
+
+    from lexiform.operators import store
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        rows = [(i, "añb " * (i % 50)) for i in range(120)] + [(120, None), (121, "x" * 32)]
+        nodes, heads = store.export(spark.createDataFrame(rows, "s long, t string"), "s", "t", 16)
+        assert int(spark.conf.get(key).rstrip("b")) <= 4 << 20
+        assert {r.session: r.n_blocks for r in heads.collect()} == {i: len(t or "") // 16 for i, t in rows}
+        assert store.checked(nodes).agg(F.min("ok")).first()[0]
+        plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+        assert "EvalPython" not in plan(heads.select("n_blocks"))
+        assert "nodes#" not in plan(nodes).split("Generate")[0]
+    finally:
+        spark.conf.set(key, before)
