@@ -142,7 +142,7 @@ def flat(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Tokenizer:
     """An artifact bound to a session."""
 
-    def __init__(self, spark: SparkSession, artifact: Artifact, batch_bytes: int = 16 << 20) -> None:
+    def __init__(self, spark: SparkSession, artifact: Artifact, batch_bytes: int = 4 << 20) -> None:
         self.spark, self.artifact = spark, artifact
         bound_batches(spark, batch_bytes)
         self.shared = spark.sparkContext.broadcast(artifact)  # as large as the vocabulary

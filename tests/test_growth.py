@@ -59,3 +59,31 @@ def test_nodes_come_in_bounded_batches_without_each_others_names(spark):
         assert "nodes#" not in plan(nodes).split("Generate")[0]
     finally:
         spark.conf.set(key, before)
+
+
+def test_verified_records_stay_arrays(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lexiform.sources import records
+
+    assert not hasattr(records, "pd")  # rows went through a frame of Python numbers
+    key = bytes(32)
+    data = records.encode(records.Record(key, 0, (1, 2**32 - 1), "é"))
+    monkeypatch.setattr(records, "decode", None)  # which makes a tuple of numbers
+    empty = records.encode(records.Record(key, 0, (), ""))
+    bad = data[:-1] + b"x"
+    run = records.F.arrow_udf
+    held = {}
+    monkeypatch.setattr(records.F, "arrow_udf", lambda kind: lambda f: held.setdefault("f", f) and run(kind)(f))
+    records.verify(records.F.lit(b""), key)
+    got = held["f"](pa.array([data, None, bad, empty], pa.binary())).to_pylist()
+    assert [(r["ok"], r["failure"], r["text"], r["ids"]) for r in got] == [(True, None, "é", [1, 2**32 - 1]), (False, None, None, None), (False, "checksum", None, None), (True, None, "", [])]
+
+
+def test_rows_of_one_revision_are_not_moved_or_linked(spark):
+    from lexiform.sources import records
+
+    rows = spark.createDataFrame([(7, 0, "a", [1]), (7, 0, "b", [2])], "session long, revision long, text string, ids array<int>")
+    held = records.write(rows, bytes(32), single=True)
+    assert "Repartition" not in held._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.v.ok for r in held.select(records.verify(records.F.col("record"), bytes(32)).alias("v")).collect()] == [True, True]
