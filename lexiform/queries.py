@@ -238,6 +238,7 @@ def ragged_offsets(spark, sf_dir):
     parts = max(1, _table(spark, sf_dir, "documents").rdd.getNumPartitions())
     return offsets(n, "lang", "doc_id", "n", parts).select("lang", "doc_id", "offset", "n")
 
+    n = n.persist()  # three numbers a document, asked for quantiles, sums and places: texts are encoded once
 
 def mark_positions(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lookup.mark_digests(F.col("text"))).alias("k", "m")).select("doc_id", F.col("k").cast("long").alias("k"), F.col("m.pos").alias("pos"), F.col("m.digest").alias("digest"))

@@ -87,3 +87,8 @@ def test_rows_of_one_revision_are_not_moved_or_linked(spark):
     held = records.write(rows, bytes(32), single=True)
     assert "Repartition" not in held._jdf.queryExecution().optimizedPlan().toString()
     assert [r.v.ok for r in held.select(records.verify(records.F.col("record"), bytes(32)).alias("v")).collect()] == [True, True]
+
+
+def test_offsets_encode_texts_once(spark, small):
+    plan = queries.ragged_offsets(spark, small)._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in plan
