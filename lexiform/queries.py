@@ -89,12 +89,14 @@ def spans_tile(spark, sf_dir):
 
 def pieces_by_scheme(spark, sf_dir):
     docs = _dealt(spark, sf_dir, "text")
-    # The sum of the pieces' places times their lengths changes with any cut that moves.
-    weight = lambda p: F.aggregate(F.transform(p, lambda x, i: (i + 1).cast("long") * F.length(x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    told = lambda p: F.struct(F.size(p).alias("n"), weight(p).alias("weight"))
-    each = docs.select(F.posexplode(F.transform(F.array(*[schemes.pieces(F.col("text"), s) for s in schemes.SCHEMES]), told)).alias("k", "r"))
     name = F.element_at(F.array(*map(F.lit, schemes.SCHEMES)), F.col("k") + 1)
-    return each.groupBy(name.alias("scheme")).agg(F.sum("r.n").cast("long").alias("n_pieces"), F.sum("r.weight").cast("long").alias("weight"))
+    each = docs.select(F.posexplode(F.array(*[schemes.pieces(F.col("text"), s) for s in schemes.SCHEMES])).alias("k", "p"))
+    # Exploded, pieces are counted by compiled code; a text without pieces is a row of its own.
+    each = each.select("k", F.size("p").alias("n"), F.posexplode_outer("p").alias("i", "piece"))
+    n = F.when(F.coalesce("i", F.lit(0)) == 0, F.col("n"))
+    # The sum of the pieces' places times their lengths changes with any cut that moves.
+    weight = (F.col("i") + 1).cast("long") * F.length("piece")
+    return each.groupBy(name.alias("scheme")).agg(F.sum(n).cast("long").alias("n_pieces"), F.sum(weight).cast("long").alias("weight"))
 
 
 def memo_reuse_ratio(spark, sf_dir):

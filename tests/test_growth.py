@@ -97,3 +97,14 @@ def test_offsets_encode_texts_once(spark, small):
 def test_routes_read_whole_rows_once_and_join_nothing(spark, small):
     plan = queries.route_execute(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Relation") == 3  # whole, short and long ones
+
+
+def test_pieces_are_weighed_by_compiled_code(spark, tmp_path):
+    rows = [(1, "it's 12 a\n\nb"), (2, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = queries.pieces_by_scheme(spark, str(tmp_path))
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.scheme: (r.n_pieces, r.weight) for r in df.collect()}
+    for name in queries.schemes.SCHEMES:
+        p = queries.schemes.split(rows[0][1], name)
+        assert got[name] == (len(p), sum(k * len(x) for k, x in enumerate(p, 1)))
