@@ -7,6 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from . import oracles
 from .functions import schemes, text
@@ -271,7 +272,8 @@ def node_counts(spark, sf_dir):
 
 def index_rebuild(spark, sf_dir):
     """The digest index of all records where the sidecar is of other records for ids that five divides: those are made anew."""
-    held, _ = _records(spark, sf_dir)
+    # The store, read for its hashes, for the sidecar and for what is made anew: its records are made once.
+    held = _records(spark, sf_dir)[0].persist(StorageLevel.DISK_ONLY)
     sidecar = store.bind(held).withColumn("bound", F.when(F.col("session") % 5 == 0, F.lit("of another")).otherwise(F.col("bound")))
     i = store.index(held, sidecar)
     return i.select(F.col("session").alias("doc_id"), "rebuilt", "byte_length", "end_digest", F.size("marks").cast("long").alias("n_marks"))

@@ -108,3 +108,25 @@ def test_pieces_are_weighed_by_compiled_code(spark, tmp_path):
     for name in queries.schemes.SCHEMES:
         p = queries.schemes.split(rows[0][1], name)
         assert got[name] == (len(p), sum(k * len(x) for k, x in enumerate(p, 1)))
+
+
+def test_index_makes_records_once(spark, small):
+    plan = queries.index_rebuild(spark, small)._jdf.queryExecution().withCachedData().toString()
+    assert plan.count("InMemoryRelation") >= 3
+
+
+def test_spread_keeps_short_rows_and_checkpoints_need_no_spans(spark):
+    from pyspark.sql import functions as F
+
+    from lexiform.operators.tokens import Tokenizer, checkpoints
+    from lexiform.sources.artifact import byte_artifact
+
+    tok = Tokenizer(spark, byte_artifact())
+    rows = [(1, "añ b " * 9), (2, ""), (3, None), (4, "short")]
+    df = spark.createDataFrame(rows, "i long, t string")
+    spread = tok.encode_spread(df, "i", "t", 8)
+    assert {r.i: r.ids for r in spread.collect()} == {i: None if t is None else list(t.encode()) for i, t in rows}
+    assert "Union" in spread._jdf.queryExecution().optimizedPlan().toString()
+    with_ids = df.withColumn("ids", F.when(F.col("i") == 4, F.array(F.lit(1))).otherwise(tok.encode(F.col("t"))))
+    for r in with_ids.select(tok.checkpoints(F.col("t"), F.col("ids"), 4).alias("a"), checkpoints(tok.spans(F.col("t"), F.col("ids")), 4).alias("b")).collect():
+        assert r.a == r.b
