@@ -312,6 +312,29 @@ class Tokenizer:
         return run(text, ids, marks)
 
     def spans(self, text: Column, ids: Column) -> Column:
+    def checkpoints(self, text: Column, ids: Column, stride: int = 1024) -> Column:
+        """The checkpoints of a text's spans, which are not sent; null where the ids do not close over the text."""
+        engine = self._engine()
+
+        @F.arrow_udf("array<struct<token: int, char: int>>")
+        def run(texts: pa.Array, rows: pa.Array) -> pa.Array:
+            e, (every, at, none) = engine(), flat(rows)
+            lens, token, char = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k, t in enumerate(texts):
+                try:
+                    own = e.spans(t.as_py(), every[at[k] : at[k + 1]])[0] if t.is_valid and not none[k] else None
+                except ValueError:
+                    own = None
+                lens.append(-1 if own is None else -(-len(own) // stride))
+                if own is not None:
+                    token.append(np.arange(0, len(own), stride))
+                    char.append(own[::stride])
+            n = np.array(lens, np.int64)
+            told = pa.StructArray.from_arrays([pa.array(np.concatenate(c).astype(np.int32)) for c in (token, char)], ["token", "char"])
+            return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.maximum(n, 0))).astype(np.int32)), told, mask=pa.array(n < 0))
+
+        return run(text, ids)
+
         """struct<starts, ends> in characters, or null where the ids do not close over the text."""
         engine = self._engine()
 

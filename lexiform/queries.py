@@ -12,7 +12,7 @@ from pyspark.storagelevel import StorageLevel
 from . import oracles
 from .functions import schemes, text
 from .operators import lookup, sessions, store
-from .operators.tokens import Tokenizer, byte_spans, checkpoints, offsets
+from .operators.tokens import Tokenizer, byte_spans, offsets
 from .plans import routing
 from .session import spread
 from .sources import convert, records
@@ -303,7 +303,7 @@ def span_checkpoints(spark, sf_dir):
     """Spans of 64 tokens from the 200th on, told from checkpoints that lie 128 tokens apart."""
     tok = _real(spark)
     rows = _dealt(spark, sf_dir, "doc_id", "text").select("doc_id", "text", tok.encode(F.col("text")).alias("ids"))
-    rows = rows.select("doc_id", "text", "ids", checkpoints(tok.spans(F.col("text"), F.col("ids")), 128).alias("marks"))
+    rows = rows.select("doc_id", "text", "ids", tok.checkpoints(F.col("text"), F.col("ids"), 128).alias("marks"))
     w = rows.select("doc_id", F.size("marks").cast("long").alias("n_marks"), tok.window(F.col("text"), F.col("ids"), F.col("marks"), 200, 264).alias("w"))
     return w.select("doc_id", "n_marks", F.size("w.starts").cast("long").alias("n_spans"), _sum("w.starts").alias("sum_starts"), _sum("w.ends").alias("sum_ends"))
 
