@@ -254,11 +254,12 @@ class Tokenizer:
         """(id, ids) with long texts cut at safe places and dealt out, so that one huge text isn't one task.
         Ids must be unique. Where an added token could reach over a cut, texts stay whole."""
         text = F.col(text_col)
-        cut = schemes.ranges(text, size, self.local.cuts)
-        each = df.select(id_col, F.posexplode_outer(F.when(F.length(text) > size, cut).otherwise(F.array(text))).alias("pos", "part"))
+        # What is short enough stays where it is; only parts of long texts and their ids are moved.
+        short = df.filter(F.coalesce(F.length(text) <= size, F.lit(True))).select(id_col, self.encode(text).alias("ids"))
+        each = df.filter(F.length(text) > size).select(id_col, F.posexplode(schemes.ranges(text, size, self.local.cuts)).alias("pos", "part"))
         each = each.repartition(partitions, id_col, "pos") if partitions else each.repartition(id_col, "pos")
-        put = each.select(id_col, "pos", self.encode(F.col("part")).alias("ids")).groupBy(id_col).agg(F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))).alias("parts"))
-        return put.select(id_col, F.when(F.size("parts") > 0, F.flatten(F.transform("parts", lambda x: x["ids"]))).alias("ids"))
+        put = each.select(id_col, "pos", self.encode(F.col("part")).alias("ids")).groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+        return short.unionByName(put.select(id_col, F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids")))
 
     def decoder(self, skip_special_tokens: bool = True):
         """A function of an id column."""

@@ -231,7 +231,7 @@ def session_fold(spark, sf_dir):
 
 def encode_spread(spark, sf_dir):
     """Counts with long documents cut at safe places and dealt out to tasks."""
-    ids = _real(spark).encode_spread(_table(spark, sf_dir, "documents"), "doc_id", "text", 4096)
+    ids = _real(spark).encode_spread(_dealt(spark, sf_dir, "doc_id", "text"), "doc_id", "text", 4096)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _digest("ids").alias("ids_sha256"))
 
 
