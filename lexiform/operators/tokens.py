@@ -136,7 +136,7 @@ def lists(values: np.ndarray, offs: np.ndarray, none: np.ndarray) -> pa.Array:
 def flat(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values, one offset more than rows, null rows) of a list column."""
     counts = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(counts)), np.asarray(rows.is_null())
+    return rows.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(counts)), np.asarray(rows.is_null())
 
 
 class Tokenizer:
@@ -312,7 +312,6 @@ class Tokenizer:
 
         return run(text, ids, marks)
 
-    def spans(self, text: Column, ids: Column) -> Column:
     def checkpoints(self, text: Column, ids: Column, stride: int = 1024) -> Column:
         """The checkpoints of a text's spans, which are not sent; null where the ids do not close over the text."""
         engine = self._engine()
@@ -336,6 +335,7 @@ class Tokenizer:
 
         return run(text, ids)
 
+    def spans(self, text: Column, ids: Column) -> Column:
         """struct<starts, ends> in characters, or null where the ids do not close over the text."""
         engine = self._engine()
 
@@ -343,18 +343,20 @@ class Tokenizer:
         def run(texts: pa.Array, rows: pa.Array) -> pa.Array:
             e = engine()
             every, at, none = flat(rows)
-            starts, ends = [], []
-            for k, t in enumerate(texts.to_pylist()):
+            empty = np.zeros(0, np.int32)
+            starts, ends, lens = [empty], [empty], []
+            for k, t in enumerate(texts):
                 try:
-                    a, b = e.spans(t, every[at[k] : at[k + 1]]) if t is not None and not none[k] else (None, None)
+                    told = e.spans(t.as_py(), every[at[k] : at[k + 1]]) if t.is_valid and not none[k] else None
                 except ValueError:
-                    a, b = None, None
-                starts.append(a)
-                ends.append(b)
-            lost = np.array([a is None for a in starts], bool)
-            offs = np.append(0, np.cumsum([0 if a is None else len(a) for a in starts])).astype(np.int64)
-            join = lambda x: np.concatenate([np.zeros(0, np.int64), *(y for y in x if y is not None)])
-            return pa.StructArray.from_arrays([lists(join(starts), offs, lost), lists(join(ends), offs, lost)], ["starts", "ends"])
+                    told = None
+                lens.append(-1 if told is None else len(told[0]))
+                if told is not None:  # kept as they are sent, at half the size
+                    starts.append(told[0].astype(np.int32))
+                    ends.append(told[1].astype(np.int32))
+            n = np.array(lens, np.int64)
+            offs, lost = pa.array(np.append(0, np.cumsum(np.maximum(n, 0))).astype(np.int32)), pa.array(n < 0)
+            return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offs, pa.array(np.concatenate(x)), mask=lost) for x in (starts, ends)], ["starts", "ends"])
 
         return run(text, ids)
 
